@@ -1,0 +1,60 @@
+"""Helpers shared by the operators of this subpackage."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A new folder URI below spark.checkpoint.dir, the folder that driver and executors share.
+
+    Where the setting is absent (tests, local mode) a folder of this machine becomes the setting.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + os.path.join(tempfile.gettempdir(), "tessella-checkpoints")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` to the shared folder and read it again: lineage ends, lost executors lose nothing."""
+    spark = df.sparkSession
+    path = shared_dir(spark, name)
+    schema = df.schema
+    df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def text_or_empty(col: str | Column) -> Column:
+    return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
+
+
+def task_count(spark: SparkSession, factor: float = 1.0) -> int:
+    return max(1, int(int(spark.conf.get("spark.sql.shuffle.partitions")) * factor))
+
+
+def arrow_schema(spark: SparkSession, ddl: str):
+    """The Arrow schema of a DDL string; made on the driver, as executors' Python has no session."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(spark.createDataFrame([], ddl).schema)
+
+
+def arrow_batch(rows: list[tuple], kinds):
+    """A record batch from tuples in the order of the schema."""
+    import pyarrow as pa
+
+    cols = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(cols, kinds, strict=True)], schema=kinds)
