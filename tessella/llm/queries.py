@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import bpe, records, shards, sql
+from . import bpe, html_extract, records, shards, sql, toxicity
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(read_table(spark, sf_dir, "documents"), vocabulary(), digests, added, keep=["doc_id"])
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_extract.extract(read_table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+    return pages.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 def op6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     def crc(ids):
         return (zlib.crc32(ids.astype("<u4").tobytes()),)
@@ -48,8 +53,15 @@ def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"), allowed=toxicity.may_train(F.col("doc_id")))
+    scored = toxicity.score(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", (~toxicity.may_train(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_bpe": op1_bpe, "op6_records": op6_records, "op8_shards": op8_shards}
+    return {"op1_bpe": op1_bpe, "op2_html": op2_html, "op6_records": op6_records, "op8_shards": op8_shards, "op9_toxicity": op9_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
