@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import bpe, html_extract, records, shards, sql, toxicity
+from . import bpe, decontam, html_extract, pii, records, shards, sql, toxicity
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,11 @@ def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.withColumn("n_chars", F.length("text").cast("bigint"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.find(docs, pii.fit(docs))
+
+
 def op6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     def crc(ids):
         return (zlib.crc32(ids.astype("<u4").tobytes()),)
@@ -60,8 +65,13 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~toxicity.may_train(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that a benchmark item leaks into; documents without a leak have no row."""
+    return decontam.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_bpe": op1_bpe, "op2_html": op2_html, "op6_records": op6_records, "op8_shards": op8_shards, "op9_toxicity": op9_toxicity}
+    return {"op1_bpe": op1_bpe, "op2_html": op2_html, "op5_pii": op5_pii, "op6_records": op6_records, "op8_shards": op8_shards, "op9_toxicity": op9_toxicity, "op10_decontam": op10_decontam}
 
 
 def oracle_sql() -> dict[str, str]:
