@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import bpe, decontam, html_extract, jaccard, pii, records, shards, sql, toxicity
+from . import bpe, decontam, html_extract, jaccard, passages, pii, records, shards, sql, toxicity
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,11 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents with a passage of 50 words or more that repeats in another one; others have no row."""
+    return passages.repeated_passages(read_table(spark, sf_dir, "documents"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.find(docs, pii.fit(docs))
@@ -75,7 +80,7 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_bpe": op1_bpe, "op2_html": op2_html, "op3_jaccard": op3_jaccard, "op5_pii": op5_pii, "op6_records": op6_records, "op8_shards": op8_shards, "op9_toxicity": op9_toxicity, "op10_decontam": op10_decontam}
+    return {"op1_bpe": op1_bpe, "op2_html": op2_html, "op3_jaccard": op3_jaccard, "op4_passages": op4_passages, "op5_pii": op5_pii, "op6_records": op6_records, "op8_shards": op8_shards, "op9_toxicity": op9_toxicity, "op10_decontam": op10_decontam}
 
 
 def oracle_sql() -> dict[str, str]:
