@@ -23,15 +23,17 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 SUFFIX = "</w>"
-ODD_SPACE = re.compile("[\x1c-\x1f]")
-CACHE_LIMIT = 500_000
-GROUP_CHARS = 2_000_000
+SPACE = re.compile(r"[\t-\r ]+")
+CACHE_LIMIT = 600_000
+GROUP_BYTES = 8_000_000
+SHORT = 40
 
 
 def byte_alphabet() -> list[str]:
@@ -64,11 +66,10 @@ class WordBpe:
         left = np.array([self.vocab[a] for a, _ in pairs], np.int64)
         right = np.array([self.vocab[b] for _, b in pairs], np.int64)
         made = np.array([self.vocab[a + b] for a, b in pairs], np.int64)
-        self.base = size - len(made)  # only for the order test below
         if not (np.diff(made) > 0).all():
             raise ValueError("ids of merged tokens must follow the order of the merges")
-        self.rank = {(a, b): c for a, b, c in zip(left.tolist(), right.tolist(), made.tolist(), strict=True)}
         key = left * size + right
+        self.rank = dict(zip(key.tolist(), made.tolist(), strict=True))
         order = np.argsort(key)
         self.key, self.made, self.size = key[order], made[order], size
         self.split_left, self.split_right = np.arange(size), np.arange(size)
@@ -77,9 +78,16 @@ class WordBpe:
         self.longest = max(map(len, self.vocab))
         #: Tokens that BPE gives for their own text; only these may be proposed.
         self.usable = {t: i for t, i in self.vocab.items() if self.merge_exactly(self.symbols(t)) == [i]}
+        #: Length of the longest usable token inside a word by its first three characters; two characters at most for others.
+        self.reach: dict[str, int] = {}
+        for t in self.usable:
+            if not t.endswith(SUFFIX) and len(t) > 2:
+                self.reach[t[:3]] = max(len(t), self.reach.get(t[:3], 0))
         self.decimal = [str(i) for i in range(size)]
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        #: chunk -> place; the ids of the chunk at place k are flat[ends[k]:ends[k + 1]]
+        self.cache: dict[str, int] = {}
+        self.flat, self.ends, self.used = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64), 0
+        self.words: dict[str, list[int]] = {}
 
     def symbols(self, mapped: str) -> list[int]:
         if mapped.endswith(SUFFIX) and len(mapped) > len(SUFFIX):
@@ -88,11 +96,28 @@ class WordBpe:
         return [self.vocab[c] for c in mapped]
 
     def merge_exactly(self, ids: list[int]) -> list[int]:
-        """BPE by rank with a heap over a linked list: lowest rank first, leftmost among equals."""
-        n = len(ids)
-        rank, ids = self.rank, list(ids)
+        """BPE by rank: lowest rank first, leftmost among equals. Ids follow the ranks, so they stand for them."""
+        n, get, size = len(ids), self.rank.get, self.size
+        if n > SHORT:
+            return self.merge_long(ids)
+        ids = list(ids)
+        made = [get(a * size + b, size) for a, b in zip(ids, ids[1:], strict=False)]
+        while made and (best := min(made)) < size:
+            i = made.index(best)
+            ids[i] = best
+            del ids[i + 1], made[i]
+            if i:
+                made[i - 1] = get(ids[i - 1] * size + best, size)
+            if i < len(made):
+                made[i] = get(best * size + ids[i + 1], size)
+        return ids
+
+    def merge_long(self, ids: list[int]) -> list[int]:
+        """The same with a heap over a linked list, in n log n."""
+        n, get, size = len(ids), self.rank.get, self.size
+        ids = list(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := rank.get((ids[i], ids[i + 1]))) is not None]
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := get(ids[i] * size + ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
             made, i, a, b = heapq.heappop(heap)
@@ -103,27 +128,24 @@ class WordBpe:
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if (r := rank.get((made, ids[k]))) is not None:
+                if (r := get(made * size + ids[k])) is not None:
                     heapq.heappush(heap, (r, i, made, ids[k]))
             h = before[i]
-            if h >= 0 and (r := rank.get((ids[h], made))) is not None:
+            if h >= 0 and (r := get(ids[h] * size + made)) is not None:
                 heapq.heappush(heap, (r, h, ids[h], made))
         return [x for x in ids if x >= 0]
 
     def propose(self, mapped: str) -> list[int]:
         """Greedy longest match; `mapped` ends with the suffix."""
-        usable, end, out, i = self.usable, len(mapped) - len(SUFFIX), [], 0
+        usable, reach, end, out, i = self.usable.get, self.reach.get, len(mapped) - len(SUFFIX), [], 0
         while i < end:
-            j = len(mapped) if len(mapped) - i <= self.longest else -1
-            t = usable.get(mapped[i:]) if j > 0 else None
-            if t is None:
-                j = min(end, i + self.longest)
-                while (t := usable.get(mapped[i:j])) is None or j == end:
-                    # the last character has to be taken with the suffix
-                    j -= 1
-                    if j <= i:
-                        t, j = self.vocab[mapped[i] + SUFFIX], len(mapped)
-                        break
+            if len(mapped) - i <= self.longest and (t := usable(mapped[i:])) is not None:
+                out.append(t)
+                break
+            # the last character belongs to the suffix
+            j = min(end - 1, i + reach(mapped[i:i + 3], 2))
+            while j > i and (t := usable(mapped[i:j])) is None:
+                j -= 1
             out.append(t)
             i = j
         return out
@@ -176,10 +198,6 @@ class WordBpe:
 
     def learn(self, chunks) -> None:
         """Add new chunks to the table: propose for all, test all pairs at once, merge the failing words."""
-        if len(self.cache) > CACHE_LIMIT:
-            self.cache.clear()
-        if len(self.words) > CACHE_LIMIT:
-            self.words.clear()
         words, pieces = self.words, self.pieces
         parts = [(c, pieces(c)) for c in chunks]
         texts = list({w for _, ws in parts for w in ws}.difference(words))
@@ -194,52 +212,78 @@ class WordBpe:
             wrong = inner[~self.compatible(flat[inner], flat[inner + 1])]
             for k in set(word_of[wrong].tolist()):
                 guesses[k] = self.merge_exactly(self.symbols(mapped[k]))
-        words.update(zip(texts, map(tuple, guesses), strict=True))
-        for c, ws in parts:
-            self.cache[c] = words[ws[0]] if len(ws) == 1 else tuple([i for w in ws for i in words[w]])
-
-    def chunks(self, text: str) -> list:
-        """White-space-separated chunks; an added token's string stands as its id."""
-        if "<|" in text and self.added_split and self.added_split.search(text):
-            out = []
-            for k, part in enumerate(self.added_split.split(text)):
-                out += [self.added[part]] if k % 2 else self.chunks(part)
-            return out
-        if ODD_SPACE.search(text):  # str.split would cut there, the pattern \s does not
-            return regex.split("[\t-\r \x85\xa0  -     　]+", text)
-        return text.split()
+        words.update(zip(texts, guesses, strict=True))
+        lens = [sum([len(words[w]) for w in ws]) for _, ws in parts]
+        flat = np.fromiter(chain.from_iterable([words[w] for _, ws in parts for w in ws]), np.int32, sum(lens))
+        ends = self.used + np.cumsum(lens, dtype=np.int64)
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used: self.used + len(flat)] = flat
+        at = len(self.cache)
+        while at + len(parts) + 1 > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.ends[at + 1: at + 1 + len(parts)] = ends
+        self.cache.update(zip([c for c, _ in parts], range(at, at + len(parts)), strict=True))
+        self.used += len(flat)
+
+    def forget(self) -> None:
+        """Empty the tables once they are full; they hold what is dear, not what is needed."""
+        if len(self.cache) > CACHE_LIMIT:
+            self.cache.clear()
+            self.used = 0
+        if len(self.words) > CACHE_LIMIT:
+            self.words.clear()
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        out: list[list[int]] = []
-        at = 0
+    def places(self, chunks: list[str]) -> np.ndarray:
+        """The places of chunks in the tables, new ones learned."""
+        get = self.cache.get
+        at = list(map(get, chunks))
+        if None in at:
+            self.learn(dict.fromkeys([c for c, k in zip(chunks, at, strict=True) if k is None]))
+            at = list(map(get, chunks))
+        return np.array(at, np.int64)
+
+    def expand(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of the chunks at these places, the number of ids of each chunk)."""
+        starts = self.ends[at]
+        lens = self.ends[at + 1] - starts
+        stops = np.cumsum(lens)
+        total = int(stops[-1]) if len(stops) else 0
+        return self.flat[np.repeat(starts - (stops - lens), lens) + np.arange(total)], lens
+
+    def encode_text(self, text: str) -> np.ndarray:
+        """One text, with the strings of added tokens as their ids."""
+        parts = self.added_split.split(text) if self.added_split else [text]
+        out = []
+        for k, part in enumerate(parts):
+            out.append(np.array([self.added[part]], np.int32) if k % 2 else self.expand(self.places(SPACE.split(part)))[0])
+        return np.concatenate(out)
+
+    def encode_arrow(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text of an Arrow string array without nulls.
+
+        Arrow splits the texts and finds the distinct chunks of a slice; only these meet Python.
+        """
+        out: list[np.ndarray] = []
+        at, sizes = 0, pc.binary_length(texts).to_numpy(zero_copy_only=False)
         while at < len(texts):
-            group, size = [], 0
-            while at < len(texts) and (not group or size + len(texts[at]) <= GROUP_CHARS):
-                size += len(texts[at])
-                group.append(self.chunks(texts[at]))
-                at += 1
-            new = {c for cs in group for c in cs}.difference(self.cache)
-            if new := [c for c in new if isinstance(c, str)]:
-                self.learn(new)
-                if len(self.cache) > CACHE_LIMIT:  # the table may have been emptied before this group
-                    missing = {c for cs in group for c in cs if isinstance(c, str)}.difference(self.cache)
-                    if missing:
-                        self.learn_more(missing)
-            get = self.cache.__getitem__
-            for cs in group:
-                try:
-                    out.append(list(chain.from_iterable(map(get, cs))))
-                except KeyError:
-                    self.learn_more([c for c in cs if isinstance(c, str) and c not in self.cache])
-                    out.append([i for c in cs for i in (get(c) if isinstance(c, str) else (c,))])
+            self.forget()
+            upto = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:]), GROUP_BYTES, "right")))
+            part = texts.slice(at, upto - at)
+            at = upto
+            if self.added_split and pc.any(pc.match_substring(part, "<|")).as_py():
+                out += [self.encode_text(t) for t in part.to_pylist()]
+                continue
+            split = pc.ascii_split_whitespace(part)
+            coded = split.flatten().dictionary_encode()
+            which = self.places(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.int64)
+            ids, lens = self.expand(which)
+            stops = np.concatenate([[0], np.cumsum(lens)])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+            out += np.split(ids, stops[1:-1])
         return out
 
-    def learn_more(self, chunks) -> None:
-        """learn() without emptying the table, for chunks that a group at hand needs."""
-        kept, self.cache = self.cache, {}
-        self.learn(chunks)
-        kept.update(self.cache)
-        self.cache = kept
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [x.tolist() for x in self.encode_arrow(pa.array(texts, pa.string()))]
 
     def decode(self, ids) -> str:
         """As the library without a decoder: the tokens' strings, joined by one space."""
@@ -280,8 +324,10 @@ def encode(df: DataFrame, vocabulary_path: str, text_col: str = "text", ids_col:
     def run(batches):
         bpe = loaded(spec.value)
         for b in batches:
-            ids = bpe.encode([t or "" for t in b.column(text_col).to_pylist()])
-            yield b.append_column(ids_col, pa.array(ids, pa.list_(pa.int32())))
+            ids = bpe.encode_arrow(b.column(text_col).fill_null(""))
+            stops = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+            flat = pa.array(np.concatenate([np.zeros(0, np.int32), *ids]), pa.int32())
+            yield b.append_column(ids_col, pa.ListArray.from_arrays(pa.array(stops, pa.int32()), flat))
 
     return df.mapInArrow(run, _with(df, [T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
 
@@ -315,10 +361,10 @@ def encode_decode(df: DataFrame, vocabulary_path: str, finish, added: list[T.Str
 
         bpe, kind = loaded(spec.value), to_arrow_schema(kinds)
         for b in batches:
-            texts = [t or "" for t in b.column(text_col).to_pylist()]
+            texts = b.column(text_col).fill_null("")
             rows: list[tuple] = []
-            for k in range(0, len(texts), 512):
-                rows += [finish(bpe, ids, bpe.decode(ids)) for ids in bpe.encode(texts[k: k + 512])]
+            for k in range(0, len(texts), 2048):
+                rows += [finish(bpe, ids := x.tolist(), bpe.decode(ids)) for x in bpe.encode_arrow(texts.slice(k, 2048))]
             cols = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(kind)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *cols], names=schema.names)
 

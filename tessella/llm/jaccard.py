@@ -11,9 +11,10 @@ before a pair is verified; the least estimated cost (entries read plus entries /
 wins. A pair with c shared prefix tokens can only reach the threshold if c plus the longer of the
 two rests does; pairs below that are dropped, unseen texts and all.
 
-Candidates of a token's list are not all its pairs. First every member meets the list's leader.
-Verified links give components; then only members outside the leader's component meet the members
-of other components. A list of near copies thus costs its length, and no pair of different
+Candidates of a token's list are not all its pairs. First every member meets the list's leader, the
+member whose prefix is shared most, which in a group of near copies is next to the original.
+Verified links give components, and leaders of further components follow in the same way; at last
+only members outside the first leader's component meet the members of other components. A list of near copies thus costs its length, and no pair of different
 components that shares a prefix token goes unexamined, so components are exact.
 
 Defined cases: null texts and texts without words have empty sets, size 0, and link with nothing;
@@ -40,6 +41,8 @@ SKETCH = 1 << 18
 BLOCK = 1 << 10
 LONGEST = 4
 VERIFY_COST = 8.0
+STAR_ROUNDS = 3
+FEW_IDS = 2_000_000
 SLICE_BYTES = 8_000_000
 MULTIPLIER = 0x9E3779B97F4A7C15
 FINISH = 0xBF58476D1CE4E5B9
@@ -192,7 +195,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
             yield pa.RecordBatch.from_arrays([b.column("a").filter(m := pa.array(keep, pa.bool_())), b.column("b").filter(m)], names=["a", "b"])
 
     pairs = written(pairs.select("a", "b"), "pairs")
-    involved = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    involved = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "involved")
+    if involved.count() <= FEW_IDS:  # 16 MB of ids at most; beyond that the join shuffles
+        involved = F.broadcast(involved)
     sets = written(docs.join(involved, "id", "left_semi").mapInArrow(as_sets, "id long, s binary"), "sets")
     full = (pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
             .join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b"))
@@ -227,38 +232,52 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.repeat(keys, lens)), pa.array(np.repeat(lens, lens).astype(np.int32))], schema=kinds)
 
     rows = docs.where("id is not null").select("text").mapInArrow(prefixes, "token long, k1 long, p int").repartition(tasks, "token")
-    shared = rows.groupBy("token").agg(F.min("k1").alias("lead"), F.max("k1").alias("last")).where("lead < last").drop("last")
+    # both uses read the same columns, so that one exchange serves both
+    shared = rows.groupBy("token").agg(F.min("k1").alias("low"), F.max("k1").alias("high"), F.min("p").alias("least")).where("low < high and least > 0").select("token")
     lists = rows.join(shared.hint("shuffle_hash"), "token").dropDuplicates(["token", "k1"])
-    named = nodes.select("k1", "node", "n")
-    lists = written(lists.join(named, "k1").select("token", "node", "n", "p", (F.col("k1") == F.col("lead")).alias("leads")), "lists")
+    lists = written(lists.join(nodes.select("k1", "node", "n"), "k1").select("token", "node", "n", "p"), "lists")
+    tokens = written(lists.groupBy("node").agg(F.collect_list("token").alias("t"), (F.count("*") / F.first("p")).alias("share")), "tokens")  # one document's prefix
+    lists = written(lists.join(tokens.select("node", "share"), "node"), "lists")
 
     size_ok = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
     needed = F.ceil((F.col("n") + F.col("m")) * F.lit(percent) / F.lit(100 + percent))
-
-    # first round: every member of a list against its leader
-    leads = lists.where("leads").select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("p").alias("q"))
-    star = (lists.where("not leads").join(leads, "token").where((F.col("node") != F.col("b")) & size_ok)
-            .select(F.col("node").alias("a"), "n", "p", "b", "m", "q").distinct())
-    tokens = lists.groupBy("node").agg(F.collect_list("token").alias("t"))  # the prefix of one document at most
-    star = (star.join(tokens.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a")
-            .join(tokens.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
-            .withColumn("c", F.size(F.array_intersect("ta", "tb"))))
     may = F.col("c") + F.greatest(F.col("n") - F.col("p"), F.col("m") - F.col("q")) >= needed
-    links = _verified(star.where(may), docs, words, percent)
-
-    # second round: members outside their leader's component against those of other components
-    first = components(links)
-    placed = lists.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = written(placed, "placed")
-    heads = placed.where("leads").groupBy("token").agg(F.min("component").alias("head"))
-    placed = placed.where("not leads")
-    out = placed.join(heads, "token").where(F.col("component") != F.col("head")).select("token", F.col("node").alias("a"), "n", "p", F.col("component").alias("ca"), F.lit(True).alias("out"))
+
+    def placed_by(comps: DataFrame | None) -> DataFrame:
+        if comps is None:
+            return lists.withColumn("component", F.col("node"))
+        return written(lists.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
+
+    # star rounds: the members of a list against a leader of another component, the most central one
+    placed, links, first_heads, heads = placed_by(None), None, None, None
+    for _ in range(STAR_ROUNDS):
+        left = placed
+        if heads is not None:
+            now = heads.join(placed.select("token", F.col("node").alias("b"), F.col("component").alias("hc")), ["token", "b"]).select("token", "hc")
+            left = placed.join(now, "token").where("component <> hc")
+        heads = written(left.groupBy("token").agg(F.max(F.struct("share", "node", "n", "p", "component")).alias("h"))
+                        .select("token", F.col("h.node").alias("b"), F.col("h.n").alias("m"), F.col("h.p").alias("q"), F.col("h.component").alias("hc")), "heads")
+        first_heads = heads if first_heads is None else first_heads
+        star = (placed.join(heads, "token").where((F.col("component") != F.col("hc")) & size_ok)
+                .select(F.col("node").alias("a"), "n", "p", "b", "m", "q").distinct())
+        star = (star.join(tokens.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a")
+                .join(tokens.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
+                .withColumn("c", F.size(F.array_intersect("ta", "tb"))))
+        new = _verified(star.where(may), docs, words, percent)
+        links = new if links is None else links.unionByName(new)
+        placed = placed_by(written(components(links), "components"))
+        heads = heads.drop("hc")
+        if new.isEmpty():
+            break
+
+    # last round: members outside their first leader's component against those of any other component
+    inner = first_heads.select("token", "b").join(placed.select("token", F.col("node").alias("b"), F.col("component").alias("head")), ["token", "b"]).select("token", "head")
+    out = placed.join(inner, "token").where("component <> head").select("token", F.col("node").alias("a"), "n", "p", F.col("component").alias("ca"))
     mixed = out.select("token").distinct()
-    rest = (placed.join(mixed, "token", "left_semi").join(heads, "token")
+    rest = (placed.join(mixed, "token", "left_semi").join(inner, "token")
             .select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("component").alias("cb"), (F.col("component") != F.col("head")).alias("b_out")))
     pairs = (out.join(rest, "token").where((F.col("ca") != F.col("cb")) & (~F.col("b_out") | (F.col("a") < F.col("b"))) & size_ok)
-             .groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"), F.first("p").alias("p"), F.first("q").alias("q"))
-             .withColumnsRenamed({"x": "a", "y": "b"}))
+             .groupBy("a", "b").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"), F.first("p").alias("p"), F.first("q").alias("q")))
     more = _verified(pairs.where(may), docs, words, percent)
     found = written(components(links.unionByName(more)), "components")
 

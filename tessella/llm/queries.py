@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import bpe, decontam, html_extract, jaccard, passages, pii, records, shards, sql, toxicity
+from . import bpe, decontam, html_extract, jaccard, nn_descent, passages, pii, records, shards, sql, toxicity
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,10 @@ def op6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_records(spark, files, crc, "ids_crc32 long")
 
 
+def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = shards.shard_by_bytes(read_table(spark, sf_dir, "documents"), SHARDS)
     return done.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -80,7 +84,7 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_bpe": op1_bpe, "op2_html": op2_html, "op3_jaccard": op3_jaccard, "op4_passages": op4_passages, "op5_pii": op5_pii, "op6_records": op6_records, "op8_shards": op8_shards, "op9_toxicity": op9_toxicity, "op10_decontam": op10_decontam}
+    return {"op1_bpe": op1_bpe, "op2_html": op2_html, "op3_jaccard": op3_jaccard, "op4_passages": op4_passages, "op5_pii": op5_pii, "op6_records": op6_records, "op7_neardup": op7_neardup, "op8_shards": op8_shards, "op9_toxicity": op9_toxicity, "op10_decontam": op10_decontam}
 
 
 def oracle_sql() -> dict[str, str]:

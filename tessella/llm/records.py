@@ -100,12 +100,12 @@ def write_records(df: DataFrame, vocabulary_path: str, folder: str | None = None
             if out is None and b.num_rows:
                 fs.create_dir(root, recursive=True)
                 out = fs.open_output_stream(f"{own}.rec")
-            ids_in, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-            for k in range(0, len(texts), 512):
-                for doc, ids in zip(ids_in[k: k + 512], bpe.encode(texts[k: k + 512]), strict=True):
+            ids_in, texts = b.column("doc_id").to_pylist(), b.column("text")
+            for k in range(0, len(texts), 2048):
+                for doc, ids in zip(ids_in[k: k + 2048], bpe.encode_arrow(texts.slice(k, 2048)), strict=True):
                     if end_id is not None:
-                        ids.append(end_id)
-                    rec = frame(doc, np.array(ids, np.uint32), width)
+                        ids = np.append(ids, end_id)
+                    rec = frame(doc, ids, width)
                     index.append((doc, offset, len(rec), len(ids)))
                     offset += len(rec)
                     tokens += len(ids)
