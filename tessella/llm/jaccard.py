@@ -289,4 +289,6 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw
     """One document of each component, that of least id, with all columns of `df`; rows without an id stay."""
     found = near_duplicates(df, id_col, text_col, **kw)
     gone = written(found.where(F.col("component_id") != F.col(id_col)).select(id_col).distinct(), "gone")
+    if gone.count() <= FEW_IDS:
+        gone = F.broadcast(gone)
     return df.join(gone, id_col, "left_anti").select(*df.columns)
