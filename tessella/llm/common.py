@@ -37,6 +37,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
+    """Write `df` bucketed by a key: aggregates and joins on the key then read it without a shuffle.
+
+    Every task writes the one bucket that the shuffle before gave it, so there are as many files as buckets.
+    """
+    spark = df.sparkSession
+    path = shared_dir(spark, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    df.repartition(buckets, key).write.format("parquet").option("path", path).bucketBy(buckets, key).saveAsTable(table)
+    return spark.table(table)
+
+
 def text_or_empty(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 

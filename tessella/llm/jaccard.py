@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, arrow_schema, task_count, written
+from .common import arrow_batch, arrow_schema, bucketed, task_count, written
 from .components import components
 
 WORDS = 5
@@ -41,9 +41,9 @@ SKETCH = 1 << 18
 BLOCK = 1 << 10
 LONGEST = 4
 VERIFY_COST = 8.0
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 FEW_IDS = 2_000_000
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 3_000_000
 MULTIPLIER = 0x9E3779B97F4A7C15
 FINISH = 0xBF58476D1CE4E5B9
 
@@ -61,7 +61,7 @@ _hashes: dict[str, int] = {}
 
 
 def word_hashes(words: list[str]) -> np.ndarray:
-    if len(_hashes) > 500_000:
+    if len(_hashes) > 200_000:
         _hashes.clear()
     get, out = _hashes.get, []
     for w in words:
@@ -148,7 +148,7 @@ def _survey(docs: DataFrame, words: int) -> tuple[DataFrame, Sketch]:
         part = TaskContext.get().partitionId()
         for b in batches:
             rows = []
-            for d, s in zip(b.column("id").to_pylist(), shingle_sets(b.column("text"), words), strict=True):
+            for d, s in zip(b.column("id").to_pylist(), (s for at in range(0, b.num_rows, 1000) for s in shingle_sets(b.column("text").slice(at, 1000), words)), strict=True):
                 k = xxhash.xxh3_128_intdigest(s.tobytes()) if len(s) else 0
                 rows.append((d, len(s), (k & (1 << 64) - 1) - (1 << 63), (k >> 64) - (1 << 63), None, None, None))
                 if len(s) and k not in seen:
@@ -181,8 +181,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
 
     def as_sets(batches):
         for b in batches:
-            sets = shingle_sets(b.column("text"), words)
-            yield arrow_batch([(d, s.tobytes()) for d, s in zip(b.column("id").to_pylist(), sets, strict=True)], sets_kind)
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                sets = shingle_sets(part.column("text"), words)
+                yield arrow_batch([(d, s.tobytes()) for d, s in zip(part.column("id").to_pylist(), sets, strict=True)], sets_kind)
 
     def check(batches):
         for b in batches:
@@ -219,29 +221,34 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def prefixes(batches):
         seen, own = set(), sent.value
         for b in batches:
-            tokens, keys, lens = [], [], []
-            for s in shingle_sets(b.column("text"), words):
-                if not len(s) or (k := xxhash.xxh3_128_intdigest(s.tobytes())) in seen:
+            for at in range(0, b.num_rows, 1000):
+                tokens, keys, lens = [], [], []
+                for s in shingle_sets(b.column("text").slice(at, 1000), words):
+                    if not len(s) or (k := xxhash.xxh3_128_intdigest(s.tobytes())) in seen:
+                        continue
+                    seen.add(k)
+                    pre, _ = own.prefix(s, percent)
+                    tokens.append(signed(pre))
+                    keys.append((k & (1 << 64) - 1) - (1 << 63))
+                    lens.append(len(pre))
+                if not tokens:
                     continue
-                seen.add(k)
-                pre, _ = own.prefix(s, percent)
-                tokens.append(signed(pre))
-                keys.append((k & (1 << 64) - 1) - (1 << 63))
-                lens.append(len(pre))
-            if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.repeat(keys, lens)), pa.array(np.repeat(lens, lens).astype(np.int32))], schema=kinds)
 
-    rows = docs.where("id is not null").select("text").mapInArrow(prefixes, "token long, k1 long, p int").repartition(tasks, "token")
-    # both uses read the same columns, so that one exchange serves both
-    shared = rows.groupBy("token").agg(F.min("k1").alias("low"), F.max("k1").alias("high"), F.min("p").alias("least")).where("low < high and least > 0").select("token")
+    rows = docs.where("id is not null").select("text").mapInArrow(prefixes, "token long, k1 long, p int")
+    # bucketed by token: one pass over the texts and one shuffle serve the counting and the lists
+    rows = bucketed(rows, "token", tasks, "prefixes")
+    shared = rows.groupBy("token").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low < high").select("token")
     lists = rows.join(shared.hint("shuffle_hash"), "token").dropDuplicates(["token", "k1"])
     lists = written(lists.join(nodes.select("k1", "node", "n"), "k1").select("token", "node", "n", "p"), "lists")
-    tokens = written(lists.groupBy("node").agg(F.collect_list("token").alias("t"), (F.count("*") / F.first("p")).alias("share")), "tokens")  # one document's prefix
-    lists = written(lists.join(tokens.select("node", "share"), "node"), "lists")
+    held = lists.groupBy("node").agg(F.count("*").alias("k"))
+    lists = written(lists.join(held, "node"), "lists")  # k: how many of its prefix tokens a node shares with any other
 
     size_ok = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
     needed = F.ceil((F.col("n") + F.col("m")) * F.lit(percent) / F.lit(100 + percent))
-    may = F.col("c") + F.greatest(F.col("n") - F.col("p"), F.col("m") - F.col("q")) >= needed
+    rests = F.greatest(F.col("n") - F.col("p"), F.col("m") - F.col("q"))
+    may = F.col("c") + rests >= needed
+    may_at_best = F.least("k", "l") + rests >= needed
 
     def placed_by(comps: DataFrame | None) -> DataFrame:
         if comps is None:
@@ -255,14 +262,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         if heads is not None:
             now = heads.join(placed.select("token", F.col("node").alias("b"), F.col("component").alias("hc")), ["token", "b"]).select("token", "hc")
             left = placed.join(now, "token").where("component <> hc")
-        heads = written(left.groupBy("token").agg(F.max(F.struct("share", "node", "n", "p", "component")).alias("h"))
-                        .select("token", F.col("h.node").alias("b"), F.col("h.n").alias("m"), F.col("h.p").alias("q"), F.col("h.component").alias("hc")), "heads")
+        heads = written(left.groupBy("token").agg(F.max(F.struct((F.col("k") / F.col("p")).alias("share"), "node", "n", "p", "k", "component")).alias("h"))
+                        .select("token", F.col("h.node").alias("b"), F.col("h.n").alias("m"), F.col("h.p").alias("q"), F.col("h.k").alias("l"), F.col("h.component").alias("hc")), "heads")
         first_heads = heads if first_heads is None else first_heads
-        star = (placed.join(heads, "token").where((F.col("component") != F.col("hc")) & size_ok)
+        star = (placed.join(heads, "token").where((F.col("component") != F.col("hc")) & size_ok & may_at_best)
                 .select(F.col("node").alias("a"), "n", "p", "b", "m", "q").distinct())
-        star = (star.join(tokens.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a")
-                .join(tokens.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
-                .withColumn("c", F.size(F.array_intersect("ta", "tb"))))
+        # all tokens that a pair shares, those of lists with other leaders too
+        star = (star.join(lists.select(F.col("node").alias("a"), "token"), "a")
+                .join(lists.select(F.col("node").alias("b"), "token"), ["token", "b"])
+                .groupBy("a", "b").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"), F.first("p").alias("p"), F.first("q").alias("q")))
         new = _verified(star.where(may), docs, words, percent)
         links = new if links is None else links.unionByName(new)
         placed = placed_by(written(components(links), "components"))
@@ -272,11 +280,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     # last round: members outside their first leader's component against those of any other component
     inner = first_heads.select("token", "b").join(placed.select("token", F.col("node").alias("b"), F.col("component").alias("head")), ["token", "b"]).select("token", "head")
-    out = placed.join(inner, "token").where("component <> head").select("token", F.col("node").alias("a"), "n", "p", F.col("component").alias("ca"))
+    out = placed.join(inner, "token").where("component <> head").select("token", F.col("node").alias("a"), "n", "p", "k", F.col("component").alias("ca"))
     mixed = out.select("token").distinct()
     rest = (placed.join(mixed, "token", "left_semi").join(inner, "token")
-            .select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("component").alias("cb"), (F.col("component") != F.col("head")).alias("b_out")))
-    pairs = (out.join(rest, "token").where((F.col("ca") != F.col("cb")) & (~F.col("b_out") | (F.col("a") < F.col("b"))) & size_ok)
+            .select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("k").alias("l"), F.col("component").alias("cb"), (F.col("component") != F.col("head")).alias("b_out")))
+    pairs = (out.join(rest, "token").where((F.col("ca") != F.col("cb")) & (~F.col("b_out") | (F.col("a") < F.col("b"))) & size_ok & may_at_best)
              .groupBy("a", "b").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"), F.first("p").alias("p"), F.first("q").alias("q")))
     more = _verified(pairs.where(may), docs, words, percent)
     found = written(components(links.unionByName(more)), "components")
