@@ -15,6 +15,7 @@ the input raises ValueError; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import json
 import re
@@ -31,7 +32,7 @@ from pyspark.sql import types as T
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 SUFFIX = "</w>"
 SPACE = re.compile(r"[\t-\r ]+")
-CACHE_LIMIT = 600_000
+CACHE_LIMIT = 1_000_000
 GROUP_BYTES = 8_000_000
 SHORT = 40
 
@@ -87,7 +88,7 @@ class WordBpe:
         #: chunk -> place; the ids of the chunk at place k are flat[ends[k]:ends[k + 1]]
         self.cache: dict[str, int] = {}
         self.flat, self.ends, self.used = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64), 0
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
 
     def symbols(self, mapped: str) -> list[int]:
         if mapped.endswith(SUFFIX) and len(mapped) > len(SUFFIX):
@@ -184,10 +185,14 @@ class WordBpe:
         return ok
 
     def pieces(self, chunk: str) -> list[str]:
-        if chunk.isalpha() and chunk.isascii():
-            return [chunk.lower()]
         if not chunk.isascii():
             chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
+            if "İ" in chunk:  # its lower case is a letter and a mark
+                return PIECES.findall(chunk.lower())
+        if chunk.isalpha():
+            return [chunk.lower()]
+        if (body := chunk[:-1]).isalpha() and chunk[-1].isascii():
+            return [body.lower(), chunk[-1]]
         return PIECES.findall(chunk.lower())
 
     def mapped(self, word: str) -> str:
@@ -198,6 +203,15 @@ class WordBpe:
 
     def learn(self, chunks) -> None:
         """Add new chunks to the table: propose for all, test all pairs at once, merge the failing words."""
+        collecting = gc.isenabled()
+        gc.disable()  # the many small tuples made here hold no cycles
+        try:
+            self.learn_all(chunks)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def learn_all(self, chunks) -> None:
         words, pieces = self.words, self.pieces
         parts = [(c, pieces(c)) for c in chunks]
         texts = list({w for _, ws in parts for w in ws}.difference(words))
@@ -209,12 +223,14 @@ class WordBpe:
         if len(flat) > 1:
             word_of = np.repeat(np.arange(len(lens)), lens)
             inner = np.flatnonzero(word_of[1:] == word_of[:-1])
-            wrong = inner[~self.compatible(flat[inner], flat[inner + 1])]
+            key, which = np.unique(flat[inner] * self.size + flat[inner + 1], return_inverse=True)
+            wrong = inner[~self.compatible(key // self.size, key % self.size)[which]]
             for k in set(word_of[wrong].tolist()):
                 guesses[k] = self.merge_exactly(self.symbols(mapped[k]))
-        words.update(zip(texts, guesses, strict=True))
-        lens = [sum([len(words[w]) for w in ws]) for _, ws in parts]
-        flat = np.fromiter(chain.from_iterable([words[w] for _, ws in parts for w in ws]), np.int32, sum(lens))
+        words.update(zip(texts, map(tuple, guesses), strict=True))
+        own = [words[ws[0]] if len(ws) == 1 else tuple(chain.from_iterable([words[w] for w in ws])) for _, ws in parts]
+        lens = list(map(len, own))
+        flat = np.fromiter(chain.from_iterable(own), np.int32, sum(lens))
         ends = self.used + np.cumsum(lens, dtype=np.int64)
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
