@@ -1,17 +1,14 @@
-"""Registry of the engine's queries and of their DuckDB oracles."""
+"""All registered queries of the engine and their DuckDB oracles."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
+from . import association, distributions, functions, modelling, ranking, tables  # noqa: F401
+from .registry import ORACLES, QUERIES, Query
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
