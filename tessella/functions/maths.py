@@ -259,27 +259,26 @@ def newton_value(xs: Sequence[float], c: Sequence[float], x: Column) -> Column:
 
 def spline_pieces(nodes: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     """(low, high, c3, c2, c1, c0) of a cubic between neighbours with slopes from local parabolas; c in powers of (x - low)."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("_one").orderBy("x")
-    n = nodes.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).withColumn("_one", F.lit(1))
-    n = n.withColumn("px", F.lag("x").over(w)).withColumn("py", F.lag("y").over(w)).withColumn("nx", F.lead("x").over(w)).withColumn("ny", F.lead("y").over(w))
-    back, ahead = (F.col("y") - F.col("py")) / (F.col("x") - F.col("px")), (F.col("ny") - F.col("y")) / (F.col("nx") - F.col("x"))
-    mid = (back * (F.col("nx") - F.col("x")) + ahead * (F.col("x") - F.col("px"))) / (F.col("nx") - F.col("px"))
-    n = n.withColumn("m", F.coalesce(mid, ahead, back, F.lit(0.0))).withColumn("nm", F.lead("m").over(w)).where("nx is not null")
+    from tessella.operators.ordered import scan
+
+    n = nodes.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    n = scan(n, ["x"], lags={"px": F.col("x"), "py": F.col("y")})
+    # the next node's values: lags in the opposite order
+    ahead = scan(n.withColumn("o", -F.col("x")), ["o"], lags={"nx": F.col("x"), "ny": F.col("y")})
+    back, fore = (F.col("y") - F.col("py")) / (F.col("x") - F.col("px")), (F.col("ny") - F.col("y")) / (F.col("nx") - F.col("x"))
+    mid = (back * (F.col("nx") - F.col("x")) + fore * (F.col("x") - F.col("px"))) / (F.col("nx") - F.col("px"))
+    n = scan(ahead.withColumn("m", F.coalesce(mid, fore, back, F.lit(0.0))), ["o"], lags={"nm": F.col("m")}).where("nx is not null")
     h, d = F.col("nx") - F.col("x"), (F.col("ny") - F.col("y")) / (F.col("nx") - F.col("x"))
     return n.select(F.col("x").alias("low"), F.col("nx").alias("high"), ((F.col("m") + F.col("nm") - 2 * d) / (h * h)).alias("c3"), ((3 * d - 2 * F.col("m") - F.col("nm")) / h).alias("c2"), F.col("m").alias("c1"), F.col("y").alias("c0"))
 
 
 def spline_eval(at: DataFrame, pieces: DataFrame, column: str, name: str = "value") -> DataFrame:
-    """Values of a spline; outside its nodes the end pieces go on. An as-of lookup as one union and one window."""
-    from pyspark.sql import Window
-
-    p = pieces.select(F.col("low").alias("_x"), F.struct("low", "c3", "c2", "c1", "c0").alias("_p"))
-    q = at.select(F.col(column).cast("double").alias("_x")).distinct().select("_x", F.lit(None).cast(p.schema["_p"].dataType).alias("_p"))
-    w = Window.partitionBy("_one").orderBy("_x", F.col("_p").isNull())
-    both = p.unionByName(q).withColumn("_one", F.lit(1))
-    got = both.withColumn("_u", F.coalesce(F.last("_p", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first("_p", True).over(w.rowsBetween(0, Window.unboundedFollowing)))).where("_p is null")
+    """Values of a spline; outside its nodes the end pieces go on. An as-of lookup as one union and one ordered scan."""
+    from tessella.operators.ordered import scan
+
+    p = pieces.select(F.col("low").alias("_x"), F.lit(0).alias("_k"), F.struct("low", "c3", "c2", "c1", "c0").alias("_p"))
+    q = at.select(F.col(column).cast("double").alias("_x")).distinct().where("_x is not null").select("_x", F.lit(1).alias("_k"), F.lit(None).cast(p.schema["_p"].dataType).alias("_p"))
+    got = scan(p.unionByName(q), ["_x", "_k"], lasts={"_a": F.col("_p")}, nexts={"_b": F.col("_p")}).where("_k = 1").withColumn("_u", F.coalesce("_a", "_b"))
     t = F.col("_x") - F.col("_u.low")
     got = got.select("_x", (((F.col("_u.c3") * t + F.col("_u.c2")) * t + F.col("_u.c1")) * t + F.col("_u.c0")).alias(name))
     return at.join(got, at[column].cast("double").eqNullSafe(got["_x"]), "left").drop("_x")

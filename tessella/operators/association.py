@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .ordered import scan
+
 
 def categorical_pdf(df: DataFrame, column: str) -> DataFrame:
     """(value, p) of a column, null among the values."""
@@ -46,11 +48,10 @@ def in_and_out(df: DataFrame, category: str, value: str) -> DataFrame:
 
 def ks_statistics(sides: DataFrame, by: str = "category") -> DataFrame:
     """(by, ks, n_inside, n_outside): exact two-sample Kolmogorov-Smirnov statistic of (by, value, inside, outside)."""
-    upto = Window.partitionBy(by).orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(by)
-    d = F.abs(F.sum("inside").over(upto) / F.sum("inside").over(whole) - F.sum("outside").over(upto) / F.sum("outside").over(whole))
-    return (sides.select(by, d.alias("d"), F.sum("inside").over(whole).alias("n_inside"), F.sum("outside").over(whole).alias("n_outside"))
-            .groupBy(by).agg(F.max("d").alias("ks"), F.first("n_inside").alias("n_inside"), F.first("n_outside").alias("n_outside")))
+    n = sides.groupBy(by).agg(F.sum("inside").alias("n_inside"), F.sum("outside").alias("n_outside"))
+    run = scan(sides, ["value"], [by], sums={"i": F.col("inside"), "o": F.col("outside")}).join(n, by)
+    d = F.abs(F.col("i") / F.col("n_inside") - F.col("o") / F.col("n_outside"))
+    return run.groupBy(by).agg(F.max(d).alias("ks"), F.first("n_inside").alias("n_inside"), F.first("n_outside").alias("n_outside"))
 
 
 def ks_by_category(df: DataFrame, category: str, value: str) -> DataFrame:
@@ -74,15 +75,14 @@ def ks_p_value(ks: Column, n1: Column, n2: Column | None = None) -> Column:
 def normal_ks(df: DataFrame, column: str) -> DataFrame:
     """One row (ks, n, p_value) of a sample against the standard normal distribution."""
     v = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("x")).agg(F.count("*").alias("c"))
-    upto = Window.partitionBy("one").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    n = F.sum("c").over(Window.partitionBy("one"))
-    e = F.sum("c").over(upto) / n
+    run = scan(v, ["x"], sums={"upto": F.col("c")}).crossJoin(F.broadcast(v.agg(F.sum("c").alias("n"))))  # one row
+    e = F.col("upto") / F.col("n")
     # error function by its rational approximation of 1.5e-7 (Abramowitz and Stegun 7.1.26)
     z = F.abs(F.col("x")) / F.sqrt(F.lit(2.0))
     t = 1 / (1 + 0.3275911 * z)
     erf = 1 - (((((1.061405429 * t - 1.453152027) * t) + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t * F.exp(-z * z)
     cdf = F.when(F.col("x") >= 0, (1 + erf) / 2).otherwise((1 - erf) / 2)
-    d = v.withColumn("one", F.lit(1)).select(F.greatest(F.abs(e - cdf), F.abs(e - F.col("c") / n - cdf)).alias("d"), n.alias("n"))
+    d = run.select(F.greatest(F.abs(e - cdf), F.abs(e - F.col("c") / F.col("n") - cdf)).alias("d"), "n")
     return d.agg(F.max("d").alias("ks"), F.first("n").alias("n")).withColumn("p_value", ks_p_value(F.col("ks"), F.col("n")))
 
 
@@ -97,25 +97,24 @@ def epdf_by_category(df: DataFrame, category: str, value: str) -> DataFrame:
 
 
 def epdf_difference(sides: DataFrame, by: str = "category") -> DataFrame:
-    upto = Window.partitionBy(by).orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(by)
-    out = sides
-    for s in ("inside", "outside"):
-        own = F.col(s) > 0
-        low = F.min(F.when(own, F.col("value"))).over(whole)
-        mass = F.sum(F.when(F.col("value") == low, F.col(s)).otherwise(0)).over(whole)
-        total = F.sum(s).over(whole)
-        f = F.when(own, (F.sum(s).over(upto) - mass) / F.when(total > mass, total - mass))
-        out = out.withColumn(f"f_{s}", f).withColumn(f"x_{s}", F.when(own, F.col("value"))).withColumn(f"d_{s}", F.sum(own.cast("int")).over(whole))
-    after = Window.partitionBy(by).orderBy("value").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    for s in ("inside", "outside"):
-        x0, f0 = (F.last(f"{c}_{s}", True).over(upto) for c in "xf")
-        x1, f1 = (F.first(f"{c}_{s}", True).over(after) for c in "xf")
-        out = out.withColumn(f"y_{s}", F.when(f0.isNull(), 0.0).when(f1.isNull(), 1.0).when(x1 == x0, f0).otherwise(f0 + (f1 - f0) * (F.col("value") - x0) / (x1 - x0)))
-    step = Window.partitionBy(by).orderBy("value")
-    rise = [F.col(f"y_{s}") - F.lag(f"y_{s}").over(step) for s in ("inside", "outside")]
-    got = out.select(by, F.greatest(F.least(*rise), F.lit(0.0)).alias("shared"), F.least("d_inside", "d_outside").alias("few"))
-    return got.groupBy(by).agg(F.when(F.min("few") <= 1, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.coalesce(F.sum("shared"), F.lit(0.0)))).alias("difference"))
+    names = ("inside", "outside")
+    own = {s: F.col(s) > 0 for s in names}
+    low = sides.groupBy(by).agg(*[F.min(F.when(own[s], F.col("value"))).alias(f"low_{s}") for s in names], *[F.sum(s).alias(f"n_{s}") for s in names], *[F.sum(own[s].cast("int")).alias(f"d_{s}") for s in names])
+    mass = sides.join(low, by).groupBy(by).agg(*[F.sum(F.when(F.col("value") == F.col(f"low_{s}"), F.col(s)).otherwise(0)).alias(f"mass_{s}") for s in names])
+    facts = low.join(mass, by)
+    run = scan(sides, ["value"], [by], sums={f"c_{s}": F.col(s) for s in names}).join(facts, by)
+    for s in names:
+        rest = F.col(f"n_{s}") - F.col(f"mass_{s}")
+        run = run.withColumn(f"f_{s}", F.when(own[s], (F.col(f"c_{s}") - F.col(f"mass_{s}")) / F.when(rest > 0, rest))).withColumn(f"x_{s}", F.when(own[s], F.col("value")))
+    ends = [f"{c}_{s}" for c in "xf" for s in names]
+    run = run.select(by, "value", *ends, F.least("d_inside", "d_outside").alias("few"))
+    run = scan(run, ["value"], [by], lasts={f"{c}0": F.col(c) for c in ends}, nexts={f"{c}1": F.col(c) for c in ends})
+    for s in names:
+        x0, f0, x1, f1 = (F.col(f"{c}_{s}{e}") for e in "01" for c in "xf")
+        run = run.withColumn(f"y_{s}", F.when(f0.isNull(), 0.0).when(f1.isNull(), 1.0).when(x1 == x0, f0).otherwise(f0 + (f1 - f0) * (F.col("value") - x0) / (x1 - x0)))
+    run = scan(run.select(by, "value", "few", "y_inside", "y_outside"), ["value"], [by], lags={"p_inside": F.col("y_inside"), "p_outside": F.col("y_outside")})
+    shared = F.greatest(F.least(*[F.col(f"y_{s}") - F.col(f"p_{s}") for s in names]), F.lit(0.0))
+    return run.groupBy(by).agg(F.when(F.min("few") <= 1, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.coalesce(F.sum(shared), F.lit(0.0)))).alias("difference"))
 
 
 def category_category(df: DataFrame, a: str, b: str) -> DataFrame:

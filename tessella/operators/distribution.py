@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import scan
+
 LEAD = 2.0 ** -26
 
 
 def cdf_points(df: DataFrame, column: str, lead: bool = True) -> DataFrame:
     """(x, p): distinct values with the share of rows up to them, after a leading point (least - 2**-26, 0)."""
     v = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("x")).agg(F.count("*").alias("c"))
-    upto = Window.partitionBy("_one").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    pts = v.withColumn("_one", F.lit(1)).select("x", (F.sum("c").over(upto) / F.sum("c").over(Window.partitionBy("_one"))).alias("p"))
-    return pts.unionByName(v.agg((F.min("x") - LEAD).alias("x"), F.lit(0.0).alias("p")).where("x is not null")) if lead else pts
+    n = v.agg(F.sum("c").alias("n"), F.min("x").alias("low"))
+    pts = scan(v, ["x"], sums={"upto": F.col("c")}).crossJoin(F.broadcast(n)).select("x", (F.col("upto") / F.col("n")).alias("p"))  # one row
+    return pts.unionByName(n.where("low is not null").select((F.col("low") - LEAD).alias("x"), F.lit(0.0).alias("p"))) if lead else pts
 
 
 def percentiles(df: DataFrame, column: str, percents: Sequence[float]) -> DataFrame:
@@ -31,20 +33,20 @@ def approximate_percentiles(df: DataFrame, column: str, percents: Sequence[float
 
 
 def interpolate(at: DataFrame, nodes: DataFrame, column: str, x: str = "x", y: str = "p", name: str = "value", below: float | None = 0.0, above: float | None = 1.0) -> DataFrame:
-    """Add the piecewise-linear function of the nodes at each value: an as-of lookup as one union and one window.
+    """Add the piecewise-linear function of the nodes at each value: an as-of lookup as one union and one ordered scan.
 
     Outside the nodes the value is `below` or `above` (None: that of the nearest node).
     """
-    pts = nodes.select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), F.lit(None).cast("string").alias("_row"))
-    vals = at.select(F.col(column).cast("double").alias("_x")).distinct().where("_x is not null").select("_x", F.lit(None).cast("double").alias("_y"), F.lit("q").alias("_row"))
-    w = Window.partitionBy("_one").orderBy("_x", F.desc_nulls_last("_y"))
-    both = pts.unionByName(vals).withColumn("_one", F.lit(1)).withColumn("_nx", F.when(F.col("_y").isNotNull(), F.col("_x")))
-    past, future = w.rowsBetween(Window.unboundedPreceding, Window.currentRow), w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    x0, y0, x1, y1 = F.last("_nx", True).over(past), F.last("_y", True).over(past), F.first("_nx", True).over(future), F.first("_y", True).over(future)
+    pts = nodes.select(F.col(x).cast("double").alias("_x"), F.lit(0).alias("_k"), F.col(y).cast("double").alias("_y"))
+    vals = at.select(F.col(column).cast("double").alias("_x")).distinct().where("_x is not null").select("_x", F.lit(1).alias("_k"), F.lit(None).cast("double").alias("_y"))
+    nx, ny = F.when(F.col("_k") == 0, F.col("_x")), F.col("_y")
+    # nodes stand before the values equal to them; the node after a value is the next one in the order
+    both = scan(pts.unionByName(vals), ["_x", "_k"], lasts={"_x0": nx, "_y0": ny}, nexts={"_x1": nx, "_y1": ny}).where("_k = 1")
+    x0, y0, x1, y1 = (F.col(c) for c in ("_x0", "_y0", "_x1", "_y1"))
     lo = y1 if below is None else F.lit(below)
     hi = y0 if above is None else F.lit(above)
     v = F.when(x0.isNull(), lo).when(x0 == F.col("_x"), y0).when(x1.isNull(), hi).otherwise(y0 + (y1 - y0) * (F.col("_x") - x0) / (x1 - x0))
-    done = both.withColumn("_v", v).where("_row is not null").select("_x", "_v")
+    done = both.select("_x", v.alias("_v"))
     return at.join(done, at[column].cast("double").eqNullSafe(done["_x"]), "left").select(*at.columns, F.col("_v").alias(name))
 
 
@@ -65,9 +67,8 @@ def inverse_sample(uniform: DataFrame, nodes: DataFrame, column: str, name: str
 
 def density(nodes: DataFrame) -> DataFrame:
     """(low, high, slope) of the intervals between nodes."""
-    w = Window.partitionBy("_one").orderBy("x")
-    n = nodes.withColumn("_one", F.lit(1)).select(F.lag("x").over(w).alias("low"), F.col("x").alias("high"), ((F.col("p") - F.lag("p").over(w)) / (F.col("x") - F.lag("x").over(w))).alias("slope"))
-    return n.where("low is not null")
+    n = scan(nodes.select("x", "p"), ["x"], lags={"low": F.col("x"), "q": F.col("p")}).where("low is not null")
+    return n.select("low", F.col("x").alias("high"), ((F.col("p") - F.col("q")) / (F.col("x") - F.col("low"))).alias("slope"))
 
 
 def combine(a: DataFrame, b: DataFrame, wa: float = 0.5, wb: float = 0.5) -> DataFrame:

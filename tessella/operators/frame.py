@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .ordered import in_ranges
+
 RID = "_rid"
 
 
@@ -311,9 +313,8 @@ def numbered(df: DataFrame, order: Iterable[str | Column], name: str = RID) -> D
     keys = [F.col(c) if isinstance(c, str) else c for c in order]
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    plain = [c for c in keys]
-    ranged = df.repartitionByRange(parts, *plain).withColumn("_part", F.spark_partition_id())
-    inner = Window.partitionBy("_part").orderBy(*plain)
+    ranged = in_ranges(df, parts, keys)
+    inner = Window.partitionBy("_part").orderBy(*keys)
     local = ranged.withColumn("_in", F.row_number().over(inner))
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

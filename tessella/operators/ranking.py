@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import scan
+
 
 def sorted_unique(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).distinct().orderBy(column)
@@ -18,9 +20,9 @@ def insert_sorted(values: Column, value: Column) -> Column:
 
 def count_greater(df: DataFrame, column: str, name: str = "greater") -> DataFrame:
     """For each row how many rows have a strictly greater value: counts by value, then a running sum over values."""
-    v = df.groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_c")).where("_v is not null").withColumn("_one", F.lit(1))
-    above = Window.partitionBy("_one").orderBy(F.desc("_v")).rowsBetween(Window.unboundedPreceding, -1)
-    got = v.select("_v", F.coalesce(F.sum("_c").over(above), F.lit(0)).cast("bigint").alias(name))
+    v = df.groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_c")).where("_v is not null")
+    run = scan(v, ["_v"], sums={"_upto": F.col("_c")}).crossJoin(F.broadcast(v.agg(F.sum("_c").alias("_n"))))  # one row
+    got = run.select("_v", (F.col("_n") - F.col("_upto")).cast("bigint").alias(name))
     return df.join(got, df[column] == got["_v"], "left").drop("_v")
 
 

@@ -49,9 +49,9 @@ def accuracy_measures(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("p_partkey", F.round(maths.oom_error(F.col("p_retailprice"), F.col("p_size") + 0.5), 9).alias("magnitude"), F.round(maths.abs_diff(F.col("p_retailprice"), F.col("p_size")), 6).alias("gap"), F.round(maths.root(F.col("p_retailprice"), F.lit(3)), 9).alias("cube"))
 
 
-@query("bit_accuracy", "SELECT p_partkey, round(-log2(abs(p_retailprice - round(p_retailprice * 0.999, 3)) / greatest(abs(p_retailprice), abs(round(p_retailprice * 0.999, 3)))), 6) AS bits FROM part")
+@query("bit_accuracy", "SELECT p_partkey, round(-log2(abs(p_retailprice - p_size) / greatest(abs(p_retailprice), abs(p_size))), 6) AS bits FROM part")
 def bit_accuracy(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "part").select("p_partkey", F.round(maths.bit_accuracy(F.col("p_retailprice"), F.round(F.col("p_retailprice") * 0.999, 3)), 6).alias("bits"))
+    return table(spark, sf, "part").select("p_partkey", F.round(maths.bit_accuracy(F.col("p_retailprice"), F.col("p_size")), 6).alias("bits"))
 
 
 @query("chebyshev", "SELECT i::BIGINT AS place, round((1 - cos((2 * i + 1) * pi() / 32)) / 2, 12) AS x FROM range(0, 16) t(i)")

@@ -277,8 +277,8 @@ def unique_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("unique_first", "SELECT min(rid)::BIGINT AS _rid, user_id, event_type FROM (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS rid FROM events) GROUP BY 2, 3")
 def unique_first(spark: SparkSession, sf: str) -> DataFrame:
-    e = Frame(table(spark, sf, "events").select("event_id", "user_id", "event_type"), "event_id").rid()
-    return Frame(e.df.drop("event_id"), RID).unique().df
+    e = Frame(table(spark, sf, "events"), "event_id").rid()
+    return Frame(e.df.select(RID, "user_id", "event_type"), RID).unique().df
 
 
 @query("union_by_name", "SELECT n_nationkey AS key, n_name AS name FROM nation UNION ALL SELECT r_regionkey, r_name FROM region")
