@@ -9,8 +9,8 @@ Words repeat, so each worker keeps a bounded table from white-space-separated ch
 vocabulary (about 2 MB, fixed) is read by the driver from a path and broadcast.
 
 Defined cases: a null text is encoded as the empty text (no ids) and decodes to ""; very long words
-take O(n log n); all other columns pass through, and a result column that clashes with a column of
-the input raises ValueError; an empty table gives an empty table.
+take O(n log n); all other columns pass through, but one with the name of a result column is
+replaced by it; ties and repeated rows are coded each; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -328,14 +328,13 @@ def broadcast_vocabulary(spark, path: str):
 
 
 def _with(df: DataFrame, added: list[T.StructField]) -> T.StructType:
-    if clash := {f.name for f in added} & set(df.columns):
-        raise ValueError(f"columns exist already: {sorted(clash)}")
     return T.StructType([*df.schema.fields, *added])
 
 
 def encode(df: DataFrame, vocabulary_path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """Add the ids of each text as array<int>."""
     spec = broadcast_vocabulary(df.sparkSession, vocabulary_path)
+    df = df.drop(ids_col)
 
     def run(batches):
         bpe = loaded(spec.value)
@@ -351,6 +350,7 @@ def encode(df: DataFrame, vocabulary_path: str, text_col: str = "text", ids_col:
 def decode(df: DataFrame, vocabulary_path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """Add the text of each array of ids; null ids decode to the empty text."""
     spec = broadcast_vocabulary(df.sparkSession, vocabulary_path)
+    df = df.drop(text_col)
 
     def run(batches):
         bpe = loaded(spec.value)
@@ -368,7 +368,8 @@ def encode_decode(df: DataFrame, vocabulary_path: str, finish, added: list[T.Str
     several times as large as the texts; callers that need digests of them need not move them.
     """
     spec = broadcast_vocabulary(df.sparkSession, vocabulary_path)
-    keep = [c for c in df.columns if c != text_col] if keep is None else keep
+    names = {f.name for f in added}
+    keep = [c for c in (df.columns if keep is None else keep) if c not in names and (keep is not None or c != text_col)]
     schema = _with(df.select(*keep), added)
     kinds = T.StructType(added)
 

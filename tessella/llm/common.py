@@ -57,6 +57,13 @@ def task_count(spark: SparkSession, factor: float = 1.0) -> int:
     return max(1, int(int(spark.conf.get("spark.sql.shuffle.partitions")) * factor))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, or with underscores after it until no column has it."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def arrow_schema(spark: SparkSession, ddl: str):
     """The Arrow schema of a DDL string; made on the driver, as executors' Python has no session."""
     from pyspark.sql.pandas.types import to_arrow_schema

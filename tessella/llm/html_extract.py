@@ -9,7 +9,8 @@ character references decoded, white space inside a block made one space, blocks
 
 Defined cases: null, empty or textless pages give ""; cut-off pages are read as far as they come;
 pages without a scoring paragraph fall back to article, main or body; equal scores go to the
-container that comes first; a page is read in time proportional to its length.
+container that comes first; a page is read in time proportional to its length; a column with the
+name of the text column is replaced; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -281,9 +282,7 @@ def main_text(page: str | None) -> str:
 
 def extract(df: DataFrame, html_col: str = "html", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Add the main text of each page; `keep` names the columns that pass through (all by default)."""
-    keep = df.columns if keep is None else keep
-    if text_col in keep:
-        raise ValueError(f"column exists already: {text_col}")
+    keep = [c for c in (df.columns if keep is None else keep) if c != text_col]
     schema = T.StructType([*df.select(*keep).schema.fields, T.StructField(text_col, T.StringType())])
 
     def run(batches):

@@ -15,7 +15,8 @@ two kinds of edges. What comes to the driver is a table of feature combinations,
 
 Defined cases: null and empty texts have no spans; base spans are never removed or changed; repeated
 rows are treated each; texts of any length are read whole in linear time; a corpus without entities
-adds nothing; an empty table gives an empty table.
+adds nothing; a column with the name of a result column is replaced; an empty table gives an empty
+table.
 """
 
 from __future__ import annotations
@@ -285,10 +286,9 @@ def rendered(spans: list[Span]) -> str:
 
 def find(docs: DataFrame, field: Field, text_col: str = "text", keep: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """Add n_email, n_ip, n_card, n_phone, base_sha256 (of the base spans) and spans (all of them)."""
-    keep = [c for c in docs.columns if c != text_col] if keep is None else keep
     added = [*(T.StructField(f"n_{k}", T.LongType()) for k in KINDS), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())]
-    if clash := {f.name for f in added} & set(keep):
-        raise ValueError(f"columns exist already: {sorted(clash)}")
+    names = {f.name for f in added}
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in names and (keep is not None or c != text_col)]
     schema = T.StructType([*docs.select(*keep).schema.fields, *added])
     sent = docs.sparkSession.sparkContext.broadcast(field)
 

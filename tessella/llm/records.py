@@ -39,6 +39,7 @@ MASK = 0xA282EAD8
 HEAD, HEAD_SIZE = "<QI", 12
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("length", "<u4"), ("n_tokens", "<u4")])
 BUFFER = 4 << 20
+NO_ID = -(1 << 63)
 
 
 def masked_crc(data: bytes) -> int:
@@ -85,7 +86,7 @@ def write_records(df: DataFrame, vocabulary_path: str, folder: str | None = None
     folder = folder or shared_dir(spark, "records")
     spec = broadcast_vocabulary(spark, vocabulary_path)
     ready = (df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-             .withColumn("doc_id", F.expr("coalesce(doc_id, raise_error('null document id'))").cast("bigint")))
+             .withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))))
 
     def run(batches):
         ctx = TaskContext.get()
@@ -157,7 +158,7 @@ def read_records(spark: SparkSession, files: DataFrame, finish, added: str, task
                             data, at = data[at:] + more, 0
                             continue
                         doc, ids, at = unframe(data, at)
-                        rows.append((doc, start, len(ids), *finish(ids)))
+                        rows.append((None if doc == NO_ID else doc, start, len(ids), *finish(ids)))
                         start += len(ids)
                         if len(rows) >= 4096:
                             yield arrow_batch(rows, kinds)

@@ -10,7 +10,8 @@ Scoring reads every whole text once and moves no text.
 Defined cases: null texts count as empty and get a score like any other; null labels are left out;
 several labels of a document count as toxic if one of them is; without labelled documents of both
 classes every score is the share of toxic ones (0 without labels); repeated rows are scored each;
-other columns pass through, clashing names raise ValueError; an empty table gives an empty table.
+other columns pass through, one with the name of the score column is replaced; an empty table gives
+an empty table.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import free_name, written
 
 # Insults in four languages, second-person words, characters that stand for letters.
 LEXICON = """idiot idiots stupid moron morons loser losers scum trash pathetic worthless disgusting clown clowns dumb
@@ -279,9 +280,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_training_rows: int = 20_000, id_
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score", keep: list[str] | None = None) -> DataFrame:
     """Add the score of each text."""
-    keep = docs.columns if keep is None else keep
-    if score_col in keep:
-        raise ValueError(f"column exists already: {score_col}")
+    keep = [c for c in (docs.columns if keep is None else keep) if c != score_col]
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField(score_col, T.DoubleType())])
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -298,6 +297,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **kw) -> DataFrame:
     """The documents whose score is below the threshold, with the columns they had."""
     model = fit(docs, labels, allowed=may_train(F.col(kw.get("id_col", "doc_id"))), **kw)
-    return score(docs, model, kw.get("text_col", "text"), "_toxicity").where(F.col("_toxicity") < threshold).drop("_toxicity")
+    name = free_name(docs, "toxicity")
+    return score(docs, model, kw.get("text_col", "text"), name).where(F.col(name) < threshold).drop(name)
 
 
