@@ -140,6 +140,18 @@ class Frame:
             return Frame(f.df.orderBy(F.desc(RID)).offset(-i - 1).limit(1), RID)
         return Frame(f.df.where(F.col(RID) == i), RID)
 
+    def cell(self, i: int, name: str | int) -> DataFrame:
+        """One cell, by row number and column name or place, as a table of one row and column."""
+        return self.row(i).df.select(self.names[name] if isinstance(name, int) else name)
+
+    def column(self, name: str) -> DataFrame:
+        """One column in the frame's order."""
+        return self.show_order().select(name)
+
+    def copy(self) -> Frame:
+        """The frame itself would do: tables do not change."""
+        return Frame(self.df, self.order)
+
     def rows(self, start: int | None = None, stop: int | None = None, step: int = 1) -> Frame:
         """Slice by row number; a negative step reverses (then `start` and `stop` bound the same rows)."""
         f = self.rid()

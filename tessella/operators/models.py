@@ -548,3 +548,31 @@ def unique_points(df: DataFrame, inputs: list[str], y: str) -> DataFrame:
 def subset_averages(df: DataFrame, inputs: list[str], y: str) -> DataFrame:
     """Mean response of the distinct points of every subset of the inputs; `subset` has a bit for each input left out."""
     return df.cube(*inputs).agg(F.avg(y).alias(y), F.grouping_id().alias("subset"))
+
+
+def timed(fit, predict, sizes: list[int], table) -> list[tuple[int, float, float]]:
+    """(size, seconds to fit, seconds to predict) of a model on tables of growing size; `table(n)` makes one."""
+    import time
+
+    out = []
+    for n in sizes:
+        df = table(n)
+        began = time.perf_counter()
+        model = fit(df)
+        fitted = time.perf_counter()
+        predict(model, df).write.format("noop").mode("overwrite").save()
+        out.append((n, fitted - began, time.perf_counter() - fitted))
+    return out
+
+
+def fit_errors(fits: dict, folded: DataFrame, y: str, folds: int) -> list[tuple[str, int, float]]:
+    """(model, fold, mean squared error on the fold) of models fitted on the other folds."""
+    from .sampling import fold_split
+
+    out = []
+    for name, fit in fits.items():
+        for b in range(folds):
+            train, test = fold_split(folded, b)
+            err = fit(train).predict(test).agg(F.avg(F.pow(F.col("prediction") - F.col(y), F.lit(2.0)))).first()[0]
+            out.append((name, b, err))
+    return out
