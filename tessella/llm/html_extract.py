@@ -216,8 +216,12 @@ def choose(root: Node, order: list[Node]) -> list[Node]:
             up.score += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
             up, level = up.parent, level + 1
     marked = [x for x in order if x.tag in ("article", "main")]
+    for x in marked:  # a page whose article is short has no paragraph that scores in it
+        if x.score is None and x.chars:
+            x.score = CONTAINERS[x.tag] + x.weight
+            scored.append(x)
     if not scored:
-        return [max(marked, key=lambda x: (x.chars, -x.order))] if any(x.chars for x in marked) else [root]
+        return [root]
     final = {x: x.score * (1 - min(1.0, _density(x))) for x in scored}
     best = max(scored, key=lambda x: (final[x], -x.order))
     # a wrapper that has nothing but the best container adds nothing; one that is marked as article holds it whole
