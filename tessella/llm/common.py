@@ -64,6 +64,13 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def release() -> None:
+    """Give memory that Arrow keeps for later back to the system: workers go on to other operators."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+
+
 def arrow_schema(spark: SparkSession, ddl: str):
     """The Arrow schema of a DDL string; made on the driver, as executors' Python has no session."""
     from pyspark.sql.pandas.types import to_arrow_schema
