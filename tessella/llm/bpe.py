@@ -29,10 +29,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import release
+
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 SUFFIX = "</w>"
 SPACE = re.compile(r"[\t-\r ]+")
-CACHE_LIMIT = 1_000_000
+CACHE_LIMIT = 700_000
+WORD_LIMIT = 300_000
 GROUP_BYTES = 8_000_000
 SHORT = 40
 
@@ -89,6 +92,7 @@ class WordBpe:
         self.cache: dict[str, int] = {}
         self.flat, self.ends, self.used = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64), 0
         self.words: dict[str, tuple[int, ...]] = {}
+        self.limits: tuple[int, int] | None = None
 
     def symbols(self, mapped: str) -> list[int]:
         if mapped.endswith(SUFFIX) and len(mapped) > len(SUFFIX):
@@ -244,10 +248,11 @@ class WordBpe:
 
     def forget(self) -> None:
         """Empty the tables once they are full; they hold what is dear, not what is needed."""
-        if len(self.cache) > CACHE_LIMIT:
+        chunks, words = self.limits or (CACHE_LIMIT, WORD_LIMIT)
+        if len(self.cache) > chunks:
             self.cache.clear()
             self.used = 0
-        if len(self.words) > CACHE_LIMIT:
+        if len(self.words) > words:
             self.words.clear()
 
     def places(self, chunks: list[str]) -> np.ndarray:
@@ -312,12 +317,13 @@ class WordBpe:
 _loaded: dict[int, WordBpe] = {}
 
 
-def loaded(spec: str) -> WordBpe:
-    """One set of tables a worker process."""
+def loaded(spec: str, limits: tuple[int, int] | None = None) -> WordBpe:
+    """One set of tables a worker process; `limits` are the most chunks and words that it remembers."""
     key = hash(spec)
     if key not in _loaded:
         _loaded.clear()
         _loaded[key] = WordBpe(spec)
+    _loaded[key].limits = limits
     return _loaded[key]
 
 
@@ -343,6 +349,7 @@ def encode(df: DataFrame, vocabulary_path: str, text_col: str = "text", ids_col:
             stops = np.cumsum([0, *map(len, ids)], dtype=np.int32)
             flat = pa.array(np.concatenate([np.zeros(0, np.int32), *ids]), pa.int32())
             yield b.append_column(ids_col, pa.ListArray.from_arrays(pa.array(stops, pa.int32()), flat))
+        release()
 
     return df.mapInArrow(run, _with(df, [T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
 
@@ -377,12 +384,12 @@ def encode_decode(df: DataFrame, vocabulary_path: str, finish, added: list[T.Str
         from pyspark.sql.pandas.types import to_arrow_schema
 
         bpe, kind = loaded(spec.value), to_arrow_schema(kinds)
-        for b in batches:
-            texts = b.column(text_col).fill_null("")
-            rows: list[tuple] = []
-            for k in range(0, len(texts), 2048):
-                rows += [finish(bpe, ids := x.tolist(), bpe.decode(ids)) for x in bpe.encode_arrow(texts.slice(k, 2048))]
-            cols = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(kind)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *cols], names=schema.names)
+        for whole in batches:
+            for k in range(0, whole.num_rows, 512):  # ids as Python numbers are large: few at a time
+                b = whole.slice(k, 512)
+                rows = [finish(bpe, ids := x.tolist(), bpe.decode(ids)) for x in bpe.encode_arrow(b.column(text_col).fill_null(""))]
+                cols = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(kind)]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *cols], names=schema.names)
+        release()
 
     return df.select(*dict.fromkeys([*keep, text_col])).mapInArrow(run, schema)

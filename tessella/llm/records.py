@@ -40,6 +40,8 @@ HEAD, HEAD_SIZE = "<QI", 12
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("length", "<u4"), ("n_tokens", "<u4")])
 BUFFER = 4 << 20
 NO_ID = -(1 << 63)
+#: This operator does nothing dearer than coding, so its workers may remember more chunks and words.
+TABLES = (1_000_000, 1_000_000)
 
 
 def masked_crc(data: bytes) -> int:
@@ -96,7 +98,7 @@ def write_records(df: DataFrame, vocabulary_path: str, folder: str | None = None
         own = f"{name}.{ctx.taskAttemptId()}"
         out, index, offset, pending, tokens = None, [], 0, [], 0
         for b in batches:
-            bpe = bpe or loaded(spec.value)
+            bpe = bpe or loaded(spec.value, TABLES)
             width = 2 if bpe.size <= 1 << 16 else 4
             if out is None and b.num_rows:
                 fs.create_dir(root, recursive=True)
