@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, arrow_schema, bucketed, task_count, written
+from .common import arrow_batch, arrow_schema, bucketed, release, task_count, written
 from .components import components
 
 WORDS = 5
@@ -42,6 +42,9 @@ BLOCK = 1 << 10
 LONGEST = 4
 VERIFY_COST = 8.0
 STAR_ROUNDS = 2
+LONG_LIST = 512
+LIST_BLOCK = 256
+DENSE = 8192
 FEW_IDS = 2_000_000
 SLICE_BYTES = 3_000_000
 MULTIPLIER = 0x9E3779B97F4A7C15
@@ -61,7 +64,7 @@ _hashes: dict[str, int] = {}
 
 
 def word_hashes(words: list[str]) -> np.ndarray:
-    if len(_hashes) > 200_000:
+    if len(_hashes) > 100_000:
         _hashes.clear()
     get, out = _hashes.get, []
     for w in words:
@@ -156,6 +159,7 @@ def _survey(docs: DataFrame, words: int) -> tuple[DataFrame, Sketch]:
                     for row, at in zip(counts, Sketch.places(s), strict=True):
                         np.add.at(row, at, 1)
             yield arrow_batch(rows, kinds)
+        release()
         flat = counts.reshape(-1, BLOCK)
         yield arrow_batch([(None, None, None, None, i, part, flat[i].astype("<i8").tobytes()) for i in np.flatnonzero(flat.any(1)).tolist()], kinds)
 
@@ -185,6 +189,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
                 part = b.slice(at, 500)
                 sets = shingle_sets(part.column("text"), words)
                 yield arrow_batch([(d, s.tobytes()) for d, s in zip(part.column("id").to_pylist(), sets, strict=True)], sets_kind)
+        release()
 
     def check(batches):
         for b in batches:
@@ -195,6 +200,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
                 both = int((x[at] == y).sum()) if len(x) else 0
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column("a").filter(m := pa.array(keep, pa.bool_())), b.column("b").filter(m)], names=["a", "b"])
+        release()
 
     pairs = written(pairs.select("a", "b"), "pairs")
     involved = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "involved")
@@ -206,6 +212,63 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     return written(full.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long"), "links")
 
 
+def _long_list_pairs(marked: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a long list with different components, one outside the leader's, that share enough prefix tokens.
+
+    Members are dealt to blocks; a block of outside members meets every block of members in one task
+    with all their tokens, and only pairs that may reach the threshold leave it. A pair leaves the
+    list of the least long-listed token that it shares.
+    """
+    spark = marked.sparkSession
+    kinds = arrow_schema(spark, "a long, b long")
+    nodes = marked.select("node").distinct()
+    long_tokens = marked.select("token").distinct().withColumn("long", F.lit(True))
+    own = lists.join(nodes, "node", "left_semi").join(long_tokens, "token", "left").groupBy("node").agg(F.collect_list("token").alias("t"), F.collect_list(F.when(F.col("long"), F.col("token"))).alias("u"))
+    parts, outs = F.ceil(F.col("members") / LIST_BLOCK).cast("int"), F.ceil(F.col("outs") / LIST_BLOCK).cast("int")
+    rows = marked.join(own, "node").withColumns({"parts": parts, "outs": outs})
+    cell = [F.struct("node", "n", "p", "component", "out", "t", "u").alias("x")]
+    mine = F.pmod(F.xxhash64("node", F.lit(1)), F.col("outs")).cast("int")
+    left = rows.where("out").select("token", mine.alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"), F.lit(0).alias("side"), *cell)
+    other = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    right = rows.select("token", F.explode(F.sequence(F.lit(0), F.col("outs") - 1)).alias("i"), other.alias("j"), F.lit(1).alias("side"), *cell)
+    groups = left.unionByName(right).groupBy("token", "i", "j").agg(F.collect_list(F.struct("side", "x")).alias("m"))  # two blocks at most
+
+    def run(batches):
+        for batch in batches:
+            for token, m in zip(batch.column("token").to_pylist(), batch.column("m"), strict=True):
+                rows = m.as_py()
+                yield arrow_batch(_block_pairs([r["x"] for r in rows if not r["side"]], [r["x"] for r in rows if r["side"]], token, percent), kinds)
+
+    return groups.select("token", "m").mapInArrow(run, "a long, b long")
+
+
+def _block_pairs(left: list[dict], right: list[dict], token: int, percent: int) -> list[tuple[int, int]]:
+    if not left or not right:
+        return []
+    code: dict[int, int] = {}
+    for r in left:
+        for t in r["t"]:
+            code.setdefault(t, len(code))
+    where = []
+    for rows in (left, right):
+        found = [[code[t] for t in r["t"] if t in code] for r in rows]
+        where.append((np.repeat(np.arange(len(rows)), [len(f) for f in found]), np.array([x for f in found for x in f], np.int64)))
+    c = np.zeros((len(left), len(right)), np.float32)
+    for low in range(0, len(code), DENSE):  # a slice of the tokens at a time bounds the matrices
+        x, y = (np.zeros((len(rows), DENSE), np.float32) for rows in (left, right))
+        for z, (row, col) in zip((x, y), where, strict=True):
+            inside = (col >= low) & (col < low + DENSE)
+            z[row[inside], col[inside] - low] = 1
+        c += x @ y.T
+    field = lambda rows, k: np.array([r[k] for r in rows])
+    n, m, rest_x, rest_y = field(left, "n")[:, None], field(right, "n")[None], (field(left, "n") - field(left, "p"))[:, None], (field(right, "n") - field(right, "p"))[None]
+    a, b = field(left, "node")[:, None], field(right, "node")[None]
+    good = (100 + percent) * (c + np.maximum(rest_x, rest_y)) >= percent * (n + m)
+    good &= (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent) & (field(left, "component")[:, None] != field(right, "component")[None]) & (~field(right, "out")[None] | (a < b))
+    u, v = [set(r["u"]) for r in left], [set(r["u"]) for r in right]
+    return [(left[i]["node"], right[j]["node"]) for i, j in zip(*(k.tolist() for k in np.nonzero(good)), strict=True) if min(u[i] & v[j]) == token]
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component_id) for each row of `df`."""
     spark = df.sparkSession
@@ -234,6 +297,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 if not tokens:
                     continue
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.repeat(keys, lens)), pa.array(np.repeat(lens, lens).astype(np.int32))], schema=kinds)
+        release()
 
     rows = docs.where("id is not null").select("text").mapInArrow(prefixes, "token long, k1 long, p int")
     # bucketed by token: one pass over the texts and one shuffle serve the counting and the lists
@@ -280,13 +344,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     # last round: members outside their first leader's component against those of any other component
     inner = first_heads.select("token", "b").join(placed.select("token", F.col("node").alias("b"), F.col("component").alias("head")), ["token", "b"]).select("token", "head")
-    out = placed.join(inner, "token").where("component <> head").select("token", F.col("node").alias("a"), "n", "p", "k", F.col("component").alias("ca"))
-    mixed = out.select("token").distinct()
-    rest = (placed.join(mixed, "token", "left_semi").join(inner, "token")
-            .select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("k").alias("l"), F.col("component").alias("cb"), (F.col("component") != F.col("head")).alias("b_out")))
+    marked = placed.join(inner, "token").withColumn("out", F.col("component") != F.col("head")).drop("head")
+    sizes = marked.groupBy("token").agg(F.count("*").alias("members"), F.count_if("out").alias("outs")).where("outs > 0")
+    marked = written(marked.join(sizes, "token"), "mixed")
+    short = marked.where(F.col("members") <= LONG_LIST)
+    out = short.where("out").select("token", F.col("node").alias("a"), "n", "p", "k", F.col("component").alias("ca"))
+    rest = short.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("k").alias("l"), F.col("component").alias("cb"), F.col("out").alias("b_out"))
     pairs = (out.join(rest, "token").where((F.col("ca") != F.col("cb")) & (~F.col("b_out") | (F.col("a") < F.col("b"))) & size_ok & may_at_best)
              .groupBy("a", "b").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"), F.first("p").alias("p"), F.first("q").alias("q")))
-    more = _verified(pairs.where(may), docs, words, percent)
+    # a pair whose shared tokens all have short lists is counted there; one that meets in a long list is counted in blocks of it
+    pairs = pairs.where(may).select("a", "b").unionByName(_long_list_pairs(marked.where(F.col("members") > LONG_LIST), lists, percent)).distinct()
+    more = _verified(pairs, docs, words, percent)
     found = written(components(links.unionByName(more)), "components")
 
     return (survey.join(nodes.select("k1", "k2", "node"), ["k1", "k2"], "left").join(found, "node", "left")
