@@ -34,8 +34,8 @@ from .common import release
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 SUFFIX = "</w>"
 SPACE = re.compile(r"[\t-\r ]+")
-CACHE_LIMIT = 700_000
-WORD_LIMIT = 300_000
+CACHE_LIMIT = 200_000
+WORD_LIMIT = 100_000
 GROUP_BYTES = 8_000_000
 SHORT = 40
 

@@ -10,7 +10,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Send fewer rows to Python at a time than the default of 10,000, unless the session says otherwise: texts are large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -19,6 +30,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
     Where the setting is absent (tests, local mode) a folder of this machine becomes the setting.
     """
+    small_batches(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
@@ -65,10 +77,16 @@ def free_name(df: DataFrame, name: str) -> str:
 
 
 def release() -> None:
-    """Give memory that Arrow keeps for later back to the system: workers go on to other operators."""
+    """Give memory that Arrow and the C library keep for later back to the system: workers go on to other operators."""
+    import ctypes
+    import ctypes.util
+
     import pyarrow as pa
 
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(ctypes.util.find_library("c") or None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def arrow_schema(spark: SparkSession, ddl: str):

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, written
+from .common import free_name, release, written
 
 # Insults in four languages, second-person words, characters that stand for letters.
 LEXICON = """idiot idiots stupid moron morons loser losers scum trash pathetic worthless disgusting clown clowns dumb
@@ -45,7 +45,7 @@ WINDOW = 50
 NEAR = 6
 EDGES = string.punctuation + "«»“”‘’…–—"
 STRETCH = re.compile(r"(.)\1{2,}")
-CACHE = 200_000
+CACHE = 100_000
 PREFIXES = (5, 6, 7)
 
 
@@ -290,6 +290,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
         for b in batches:
             x = np.array([f.row(t or "") for t in b.column(text_col).to_pylist()], float).reshape(b.num_rows, len(NAMES))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(m.score(x), pa.float64())], names=[*keep, score_col])
+        f.known.clear()
+        release()
 
     return docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(run, schema)
 
