@@ -29,7 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_batch, arrow_schema, bucketed, release, task_count, written
@@ -212,6 +212,27 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     return written(full.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long"), "links")
 
 
+def _conditions(percent: int) -> tuple[Column, Column, Column, Column]:
+    """Of pairs of n and m shingles, p and q in the prefixes, k and l of them shared with any: sizes fit, shared shingles needed, the longer rest, may link at best."""
+    size_ok = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+    needed = F.ceil((F.col("n") + F.col("m")) * F.lit(percent) / F.lit(100 + percent))
+    rests = F.greatest(F.col("n") - F.col("p"), F.col("m") - F.col("q"))
+    return size_ok, needed, rests, F.least("k", "l") + rests >= needed
+
+
+def _short_list_pairs(short: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b), a < b, of different components that share enough prefix tokens, one of the two outside the leader's in each list.
+
+    Which one is outside differs between the lists of a pair, so the pair is ordered before its tokens are counted.
+    """
+    size_ok, needed, rests, may_at_best = _conditions(percent)
+    out = short.where("out").select("token", F.col("node").alias("a"), "n", "p", "k", F.col("component").alias("ca"))
+    rest = short.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("k").alias("l"), F.col("component").alias("cb"), F.col("out").alias("b_out"))
+    return (out.join(rest, "token").where((F.col("ca") != F.col("cb")) & (~F.col("b_out") | (F.col("a") < F.col("b"))) & size_ok & may_at_best)
+            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (needed - rests).alias("least"))  # the same from both sides
+            .groupBy("a", "b").agg(F.count("*").alias("c"), F.first("least").alias("least")).where("c >= least").select("a", "b"))
+
+
 def _long_list_pairs(marked: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of a long list with different components, one outside the leader's, that share enough prefix tokens.
 
@@ -308,11 +329,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     held = lists.groupBy("node").agg(F.count("*").alias("k"))
     lists = written(lists.join(held, "node"), "lists")  # k: how many of its prefix tokens a node shares with any other
 
-    size_ok = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-    needed = F.ceil((F.col("n") + F.col("m")) * F.lit(percent) / F.lit(100 + percent))
-    rests = F.greatest(F.col("n") - F.col("p"), F.col("m") - F.col("q"))
+    size_ok, needed, rests, may_at_best = _conditions(percent)
     may = F.col("c") + rests >= needed
-    may_at_best = F.least("k", "l") + rests >= needed
 
     def placed_by(comps: DataFrame | None) -> DataFrame:
         if comps is None:
@@ -348,12 +366,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sizes = marked.groupBy("token").agg(F.count("*").alias("members"), F.count_if("out").alias("outs")).where("outs > 0")
     marked = written(marked.join(sizes, "token"), "mixed")
     short = marked.where(F.col("members") <= LONG_LIST)
-    out = short.where("out").select("token", F.col("node").alias("a"), "n", "p", "k", F.col("component").alias("ca"))
-    rest = short.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("k").alias("l"), F.col("component").alias("cb"), F.col("out").alias("b_out"))
-    pairs = (out.join(rest, "token").where((F.col("ca") != F.col("cb")) & (~F.col("b_out") | (F.col("a") < F.col("b"))) & size_ok & may_at_best)
-             .groupBy("a", "b").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"), F.first("p").alias("p"), F.first("q").alias("q")))
     # a pair whose shared tokens all have short lists is counted there; one that meets in a long list is counted in blocks of it
-    pairs = pairs.where(may).select("a", "b").unionByName(_long_list_pairs(marked.where(F.col("members") > LONG_LIST), lists, percent)).distinct()
+    pairs = _short_list_pairs(short, percent).unionByName(_long_list_pairs(marked.where(F.col("members") > LONG_LIST), lists, percent)).distinct()
     more = _verified(pairs, docs, words, percent)
     found = written(components(links.unionByName(more)), "components")
 

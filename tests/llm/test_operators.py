@@ -261,6 +261,23 @@ def test_jaccard_prefix_is_safe():
         assert c >= min(la, lb) and c + max(len(a) - len(pa_), len(b) - len(pb)) >= both
 
 
+def test_jaccard_short_lists_count_a_pair_once(spark):
+    """Pairs across components of lists with three or more: shared tokens count together, whichever side is outside the leader's."""
+    rng = random.Random(21)
+    n, p, nodes = 100, 28, range(16)
+    tokens = {d: set(rng.sample(range(40), p)) for d in nodes}
+    lists = {t: [d for d in nodes if t in tokens[d]] for t in range(40)}
+    rows = []
+    for t, m in lists.items():
+        head = rng.choice(m) % 4  # of four components
+        rows += [(t, d, n, p, p, d % 4, d % 4 != head) for d in m]
+    short = spark.createDataFrame(rows, "token long, node long, n long, p int, k long, component long, out boolean")
+    got = sorted((r.a, r.b) for r in jaccard._short_list_pairs(short, 75).collect())
+    need = -(-2 * n * 75 // 175)
+    want = [(a, b) for a, b in itertools.combinations(nodes, 2) if a % 4 != b % 4 and len(tokens[a] & tokens[b]) + n - p >= need]
+    assert want and got == want
+
+
 def test_jaccard_edges(odd, empty):
     got = jaccard.near_duplicates(odd).collect()
     assert len(got) == len(ODD)
