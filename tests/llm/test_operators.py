@@ -341,6 +341,40 @@ def test_chains_against_all_predecessors():
             assert all(a[i] < a[j] and b[i] < b[j] for i, j in zip(c, c[1:], strict=False))
 
 
+def test_chains_reach_the_best_score_within_the_gap():
+    rng, k, cost, reach = random.Random(19), 6, 0.25, 46
+
+    def step(s, dx, dy):
+        return k + max(0.0, s - max(0.0, cost * (dx + dy - 2 * k)))
+
+    for _ in range(200):
+        n = rng.randint(1, 60)
+        top = rng.choice((60, 300))
+        a, b = [rng.randrange(top) for _ in range(n)], [rng.randrange(top) for _ in range(n)]
+        best = [float(k)] * n
+        for j in sorted(range(n), key=lambda i: (a[i], -b[i])):
+            best[j] = max([best[j]] + [step(best[i], a[j] - a[i], b[j] - b[i]) for i in range(n) if 0 < a[j] - a[i] <= reach and 0 < b[j] - b[i] <= reach])
+        chain = passages.chains(np.array(a), np.array(b), k)[0]
+        s = float(k)
+        for i, j in zip(chain, chain[1:], strict=False):
+            s = step(s, a[j] - a[i], b[j] - b[i])
+        assert s == max(best)
+
+
+def two_passages(rng, first, gap, second):
+    """Two texts that share `first` words, differ for `gap` words each, and share `second` words."""
+    one, two = prose(rng, first), prose(rng, second)
+    return [f"{one} {prose(rng, gap)} {two}" for _ in range(2)]
+
+
+def test_second_passage_after_a_long_one(spark):
+    rng = random.Random(20)
+    docs = [t for gap in (50, 100, 150, 250) for t in two_passages(rng, 200, gap, 60)]
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {r.doc_id: r.passages for r in passages.repeated_passages(d).collect()}
+    assert got == {i: f"0:200,{200 + gap}:{260 + gap}" for i, gap in enumerate(g for g in (50, 100, 150, 250) for _ in range(2))}
+
+
 def test_edit_distance():
     rng = random.Random(10)
     for _ in range(200):
