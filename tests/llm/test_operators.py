@@ -375,6 +375,16 @@ def test_second_passage_after_a_long_one(spark):
     assert got == {i: f"0:200,{200 + gap}:{260 + gap}" for i, gap in enumerate(g for g in (50, 100, 150, 250) for _ in range(2))}
 
 
+def test_passage_twice_in_one_text(spark):
+    rng = random.Random(22)
+    for _ in range(2):
+        one = prose(rng, 70)
+        docs = [f"{one} {prose(rng, 60)} {one}", f"{prose(rng, 30)} {one}", f"{one} {prose(rng, 30)}"]
+        d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+        got = {r.doc_id: r.passages for r in passages.repeated_passages(d).collect()}
+        assert got == {0: "0:70,130:200", 1: "30:100", 2: "0:70"}
+
+
 def test_edit_distance():
     rng = random.Random(10)
     for _ in range(200):
