@@ -385,6 +385,37 @@ def test_passage_twice_in_one_text(spark):
         assert got == {0: "0:70,130:200", 1: "30:100", 2: "0:70"}
 
 
+def test_passage_of_frequent_lines(spark):
+    """Each line of the passage stands in many other texts, in none of them two in a row as in the passage."""
+    rng = random.Random(23)
+    docs, want = [], {}
+    for _ in range(5):
+        lines = [prose(rng, 10) for _ in range(6)]
+        for _ in range(2):
+            want[len(docs)] = "30:90"
+            docs.append(f"{prose(rng, 30)} {' '.join(lines)} {prose(rng, 30)}")
+        for line in lines:
+            docs += [f"{prose(rng, 20)} {line} {prose(rng, 20)}" for _ in range(25)]
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {r.doc_id: r for r in passages.repeated_passages(d).collect()}
+    assert {i: r.passages for i, r in got.items()} == want
+    assert all(got[i].class_id == min(j for j in want if j // 152 == i // 152) for i in want)
+
+
+def test_runs_of_seeds():
+    rng = np.random.default_rng(24)
+    s = rng.integers(0, 2**63, 12).astype(np.uint64)
+    at = np.cumsum(rng.integers(1, 9, 12))
+    hot = np.ones(12, bool)
+    lo, hi = np.arange(12), np.arange(12)[::-1]
+    h, x, y = passages.runs(s, at, hot, lo, hi)
+    g, u, v = passages.runs(np.concatenate([s[:3][::-1], s]), np.concatenate([[1, 2, 3], at + 100]), np.ones(15, bool), np.arange(15), np.arange(15))
+    assert set(h.tolist()) <= set(g.tolist()) and len(set(h.tolist())) == len(h)
+    assert {(i + 100, j + 100) for i, j in zip(x.tolist(), y.tolist(), strict=True)} <= set(zip(u.tolist(), v.tolist(), strict=True))
+    assert not len(passages.runs(s, at, ~hot, lo, hi)[0]) and not len(passages.runs(s, np.arange(12) * 60, hot, lo, hi)[0])
+    assert not len(passages.runs(s, at, hot, lo * 0, hi)[0])
+
+
 def test_edit_distance():
     rng = random.Random(10)
     for _ in range(200):
