@@ -402,6 +402,17 @@ def test_passage_of_frequent_lines(spark):
     assert all(got[i].class_id == min(j for j in want if j // 152 == i // 152) for i in want)
 
 
+def test_passages_with_every_tenth_word_changed(spark):
+    rng = random.Random(25)
+    docs = []
+    for n in range(30):
+        w = prose(rng, 80).split()
+        docs += [prose(rng, 30) + " " + " ".join(w), " ".join(x if i % 10 != n % 10 else f"new{n}x{i}" for i, x in enumerate(w)) + " " + prose(rng, 30)]
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.n_words) for r in passages.repeated_passages(d).collect()}
+    assert set(got) == set(range(60)) and all(c == i // 2 * 2 and n >= 60 for i, (c, n) in got.items())
+
+
 def test_runs_of_seeds():
     rng = np.random.default_rng(24)
     s = rng.integers(0, 2**63, 12).astype(np.uint64)
