@@ -484,6 +484,69 @@ def test_pii_consistency(spark):
     assert red[100] == "Call <PHONE> today. Again: <PHONE>. Mail <EMAIL> or <EMAIL>." and red[101] == dict(rows)[101]
 
 
+def test_pii_messages_against_exact_marginals():
+    rng = np.random.default_rng(31)
+    for trial in range(60):
+        n = int(rng.integers(1, 6))
+        field = pii.Field(rng.normal(0, 0.6, (sum(pii.WIDTHS) + 1, pii.LABELS)), rng.normal(0, 0.5, (pii.LABELS, pii.LABELS)), np.zeros((3, pii.LABELS, pii.LABELS)))
+        for k in range(3):
+            m = rng.normal(0, 0.5, (pii.LABELS, pii.LABELS))
+            field.skip[k] = m + m.T
+        tree = trial % 2 == 0
+        chain = [(i, i + 1) for i in range(n - 1)] if not tree else []
+        skips = sorted({(int(rng.integers(0, j)), j, int(rng.integers(0, 3))) for j in range(1, n)}, key=str)
+        if not tree:
+            field.chain *= 0.4
+            field.skip *= 0.4
+        feats = [tuple(int(rng.integers(0, w)) for w in pii.WIDTHS) for _ in range(n)]
+        known = [int(rng.integers(-1, pii.LABELS)) for _ in range(n)]
+        logit = pii.one_hot(feats) @ field.weights
+        want = np.zeros((n, pii.LABELS))
+        for lab in itertools.product(range(pii.LABELS), repeat=n):
+            if any(k >= 0 and k != y for k, y in zip(known, lab, strict=True)):
+                continue
+            e = sum(logit[i, y] for i, y in enumerate(lab) if known[i] < 0) + sum(field.chain[lab[i], lab[j]] for i, j in chain) + sum(field.skip[k][lab[i], lab[j]] for i, j, k in skips)
+            for i, y in enumerate(lab):
+                want[i, y] += np.exp(e)
+        want /= want.sum(1, keepdims=True)
+        got = field.posterior(feats, known, chain, skips)
+        assert np.abs(got - want).max() < (1e-6 if tree else 0.08)
+
+
+def test_pii_respelled_mentions_of_the_table(spark, sf_dir):
+    """Mentions of the table in another spelling are found; the table's own texts, which hold decoys and no such spelling, get no span."""
+    docs = spark.read.parquet(f"{sf_dir.rsplit('/', 1)[0]}/sf0.01/documents.parquet").select("doc_id", "text")
+    field = pii.fit(docs)
+    seen = [0, 0]
+    for t in (r.text for r in docs.collect() if r.text):
+        base = pii.base_spans(t)
+        assert pii.added_spans(t, base, field) == []
+        for k, s, e in base[:1]:
+            m = t[s:e]
+            new = {0: m.replace("@", " (at) ").replace(".", " [dot] "), 1: m.replace(".", "[.]"), 3: re.sub("[^0-9]+", "-", m[3:]).strip("-")}.get(k)
+            if new:
+                longer = f"{t} once more, {new} it is"
+                found = [x for x in pii.added_spans(longer, pii.base_spans(longer), field) if x[1] >= len(t)]
+                seen[0] += 1
+                seen[1] += [(k, longer[a:b]) for k, a, b in found] == [(k, new)]
+    assert seen[0] > 20 and seen[1] >= 0.9 * seen[0]
+
+
+def test_pii_skip_weights_are_learned():
+    """Where repeated mentions agree, equal mentions' weights rise above their prior; where near ones differ, theirs fall below it."""
+    rng = random.Random(33)
+    seen = {}
+    for _ in range(300):
+        card = "41111111" + "".join(rng.choice("0123456789") for _ in range(7))
+        card += next(c for c in "0123456789" if pii.luhn(card + c))
+        wrong = card[:-1] + str((int(card[-1]) + 1) % 10)
+        for x in pii.combinations_of(f"a {card} b {wrong} c {card} d {wrong} e"):
+            seen[x] = seen.get(x, 0) + 1
+    field = pii.Field.fit(sorted(seen.items()))
+    gain = [field.skip[k][2, 2] + field.skip[k][4, 4] - 2 * field.skip[k][2, 4] for k in range(3)]
+    assert gain[pii.EQUAL] > 2 * pii.SKIP_PRIOR[pii.EQUAL] and gain[pii.NEAR] < 0
+
+
 def test_pii_edges(odd, empty):
     field = pii.fit(odd)
     got = pii.find(odd, field)
