@@ -1,16 +1,22 @@
 """Main-text extraction from HTML by tree scoring.
 
 A page becomes a tree (implied end tags as browsers add them). Elements that are boilerplate by kind
-or by the words of their class and id are cut. Each paragraph passes points, for its length and its
-commas, to its parent, half of them to its grandparent and a falling share further up; a container's
-points are discounted by its link density. The best container is kept, with those siblings that
-score well or are long, link-poor paragraphs. All blocks of what is kept stay, in page order:
-character references decoded, white space inside a block made one space, blocks joined by two \\n.
+are cut. Words of class and id only raise a doubt, which the tree settles: words of reader comments
+cut; words of sidebars, notices and the like cut unless good words or a word of state ("with-sidebar",
+"no-comments") stand beside them or the element holds the page's chief article; loose words ("share",
+"related", "tags") cut what has no sentence or is dense with links; a form is cut unless it wraps
+half of the page. Then each paragraph passes points, for its length and its commas, to its parent,
+half of them to its grandparent and a falling share further up; a container's points are discounted
+by its link density. The best container is kept, with those siblings that score well, are long,
+link-poor paragraphs, or sentences in an element like it; inside an article or main element a sibling
+only has to be poor in links, and so on up to that element. All blocks of what is kept stay, in page
+order, but for lists of nothing but short links: character references decoded, white space inside a
+block made one space, blocks joined by two \\n.
 
 Defined cases: null, empty or textless pages give ""; cut-off pages are read as far as they come;
 pages without a scoring paragraph fall back to article, main or body; equal scores go to the
-container that comes first; a page is read in time proportional to its length; a column with the
-name of the text column is replaced; an empty table gives an empty table.
+container that comes first; repeated rows are read each; a page is read in time proportional to its
+length; a column with the name of the text column is replaced; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -30,50 +36,67 @@ WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 # Element kinds and words of class and id names.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes noscript template".split())
-CUT = set("script style noscript template iframe object embed svg math canvas audio video nav footer aside form button select option textarea input label fieldset dialog menu head title noembed noframes xmp map".split())
+CUT = set("script style noscript template iframe object embed svg math canvas audio video nav footer aside button select option textarea input label fieldset dialog menu head title noembed noframes xmp map".split())
 BLOCK = set("address article aside blockquote body center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 CLOSES_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "body", "html", "legend"}
-BAD_WORDS = set("ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline comment comments commentlist disqus respond reply replies cookie cookies consent gdpr footer foot masthead menu menus modal nav navbar navigation newsletter notice notices alert pager pagination paywall popup promo promotion promoted related recommended recommendations share sharing shares sidebar side sidebars skip social sponsor sponsored sponsors subscribe subscription signup login tags tagcloud toolbar widget widgets overlay".split())
+BAD_WORDS = set("ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs cookie cookies consent gdpr footer masthead menu menus modal nav navbar navigation newsletter notice notices alert pagination paywall popup promo promotion promoted sidebar sidebars sponsor sponsored sponsors subscribe subscription toolbar widget widgets overlay".split())
+COMMENT_WORDS = set("comment comments commentlist disqus respond reply replies".split())
+LOOSE_WORDS = set("byline foot login pager recommended recommendations related share sharing shares side signup skip social tags tagcloud".split())
+STATE_WORDS = set("no not with without has hide hides is show shows".split())
 GOOD_WORDS = set("article body content entry hentry main page post story text blog column".split())
 PAGE_ONLY = {"header"}
 BAD_ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
 CONTAINERS = {"article": 25, "main": 20, "section": 3, "div": 5, "td": 3, "blockquote": 3, "pre": 3, "ol": -3, "ul": -3, "dl": -3, "table": -3, "body": 0, "li": -3, "th": -5, "form": -3}
+MARKED = ("article", "main")
 PARAGRAPH_CHARS = 25
 SIBLING_SHARE = 0.2
 LONG_PARAGRAPH = 80
+CHIEF_SHARE = 0.4
+SENTENCE = re.compile(r"[.!?。](?=[\s\"'”’»)]|$)")
+#: Doubts that words and kinds raise, the greatest counts.
+LOOSE, FORM, BAD, COMMENT = 1, 2, 3, 4
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "bad", "weight", "score", "chars", "links", "order")
+    __slots__ = ("tag", "parent", "kids", "bad", "doubt", "name", "weight", "score", "chars", "links", "anchors", "order")
 
     def __init__(self, tag, parent, order):
         self.tag, self.parent, self.kids, self.order = tag, parent, [], order
-        self.bad, self.weight, self.score, self.chars, self.links = False, 0, None, 0, 0
+        self.bad, self.doubt, self.name, self.weight, self.score, self.chars, self.links, self.anchors = False, 0, "", 0, None, 0, 0, 0
 
 
-def _words(value: str) -> set[str]:
-    return {w.lower() for w in WORDS.findall(value)}
+def _doubt(value: str) -> int:
+    """The doubt that a class or id raises. A word after one of state tells of what the element has or lacks, not of what it is."""
+    out = 0
+    for name in value.split():
+        words = [w.lower() for w in WORDS.findall(name)]
+        for before, w in zip([None, *words], words, strict=False):
+            if before not in STATE_WORDS:
+                out = max(out, COMMENT if w in COMMENT_WORDS else BAD if w in BAD_WORDS else LOOSE if w in LOOSE_WORDS else 0)
+    return out
 
 
 def _judge(node: Node, attrs: str) -> None:
-    """Whether the element is boilerplate, and its weight, from its kind and attributes."""
+    """Whether the element is boilerplate by kind, the doubt about it, and its weight."""
     if node.tag in CUT:
         node.bad = True
         return
+    if node.tag == "form":
+        node.doubt = FORM
     if not attrs or not attrs.strip(" /\n\t"):
         return
     for m in ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name in ("class", "id"):
-            found = _words(value)
-            good = found & GOOD_WORDS
-            if found & BAD_WORDS and node.tag not in ("body", "html", "article", "main"):
-                node.bad = True
+            doubt, good = _doubt(value), {w.lower() for w in WORDS.findall(value)} & GOOD_WORDS
+            node.name = value if name == "class" else node.name
+            if doubt == COMMENT and node.tag not in ("body", "html") or doubt and not good and node.tag not in ("body", "html", *MARKED):
+                node.doubt = max(node.doubt, doubt)
             if good:
                 node.weight += 25
         elif name == "role":
             node.bad |= value.lower() in BAD_ROLES
-            node.weight += 25 * (value.lower() in ("main", "article"))
+            node.weight += 25 * (value.lower() in MARKED)
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             node.bad = True
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
@@ -103,7 +126,6 @@ def parse(page: str) -> Node:
             tag = m[2].lower()
             if tag in ("html", "head", "body"):
                 if tag == "body":
-                    _judge(open_[0], "")
                     while len(open_) > 1 and any(x.tag == "head" for x in open_):
                         p_open -= open_.pop().tag == "p"
                 if tag != "head":
@@ -132,7 +154,6 @@ def parse(page: str) -> Node:
             node = Node(tag, open_[-1], n)
             n += 1
             _judge(node, m[3])
-            node.bad |= open_[-1].bad
             if tag in PAGE_ONLY and not any(x.tag in ("article", "main", "section") for x in open_):
                 node.bad = True
             open_[-1].kids.append(node)
@@ -163,23 +184,69 @@ def parse(page: str) -> Node:
     return root
 
 
-def _measure(root: Node) -> list[Node]:
-    """Characters and link characters of each element, cut ones left out; returns elements in page order."""
+def _ordered(root: Node) -> list[Node]:
+    """The elements that are not cut, in page order."""
     order, stack = [], [root]
     while stack:
         x = stack.pop()
         order.append(x)
         stack.extend(k for k in reversed(x.kids) if isinstance(k, Node) and not k.bad)
+    return order
+
+
+def _measure(root: Node) -> list[Node]:
+    """Characters, link characters and links of each element that is not cut; returns these in page order."""
+    order = _ordered(root)
     for x in reversed(order):
+        x.chars = x.links = x.anchors = 0
         for k in x.kids:
             if isinstance(k, str):
                 x.chars += sum(map(len, k.split())) + k.count(" ")
             elif not k.bad:
                 x.chars += k.chars
                 x.links += k.chars if k.tag == "a" else k.links
+                x.anchors += 1 if k.tag == "a" else k.anchors
     return order
 
 
+def _has_sentence(x: Node) -> bool:
+    """Whether a text inside is long enough for a paragraph and has the end of a sentence."""
+    stack = [x]
+    while stack:
+        y = stack.pop()
+        if (y is x or y.tag in BLOCK) and len(text := _own_text(y)) >= PARAGRAPH_CHARS and SENTENCE.search(text):
+            return True
+        stack.extend(k for k in y.kids if isinstance(k, Node) and not k.bad)
+    return False
+
+
+def _settle(root: Node) -> list[Node]:
+    """Cut the elements whose doubt the tree confirms; returns what is left in page order, measured."""
+    order = _measure(root)
+    if not any(x.doubt for x in order):
+        return order
+    commented: set[Node] = set()
+    for x in order:
+        if x.doubt == COMMENT or x.parent in commented:
+            commented.add(x)
+    chief = max((x for x in order if x.tag in MARKED and x not in commented), key=lambda x: (x.chars - x.links, -x.order), default=None)
+    above: set[Node] = set()
+    if chief is not None and chief.chars - chief.links >= CHIEF_SHARE * (root.chars - root.links):
+        while chief is not None:
+            above.add(chief)
+            chief = chief.parent
+    for x in order:
+        if x.doubt == COMMENT:
+            x.bad = True
+        elif x.doubt == BAD:
+            x.bad = x not in above
+        elif x.doubt == FORM:
+            x.bad = x not in above and 2 * (x.chars - x.links) < root.chars - root.links
+        elif x.doubt == LOOSE:
+            x.bad = x not in above and (_density(x) >= 0.3 or not _has_sentence(x))
+    return _measure(root)
+
+
 def _density(x: Node) -> float:
     return x.links / x.chars if x.chars else 0.0
 
@@ -215,36 +282,45 @@ def choose(root: Node, order: list[Node]) -> list[Node]:
                 scored.append(up)
             up.score += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
             up, level = up.parent, level + 1
-    marked = [x for x in order if x.tag in ("article", "main")]
-    for x in marked:  # a page whose article is short has no paragraph that scores in it
-        if x.score is None and x.chars:
+    for x in order:  # a page whose article is short has no paragraph that scores in it
+        if x.tag in MARKED and x.score is None and x.chars:
             x.score = CONTAINERS[x.tag] + x.weight
             scored.append(x)
     if not scored:
         return [root]
     final = {x: x.score * (1 - min(1.0, _density(x))) for x in scored}
     best = max(scored, key=lambda x: (final[x], -x.order))
-    # a wrapper that has nothing but the best container adds nothing; one that is marked as article holds it whole
-    up = best.parent
-    while up is not None:
-        if up.tag in ("article", "main") and not up.bad:
-            best = up
+    kept, top = [best], best
+    while top.parent is not None:
+        inside = _marked_above(top)
+        kept += [k for k in top.parent.kids if isinstance(k, Node) and k is not top and not k.bad and (_density(k) < 0.5 if inside else _kept_beside(k, best, final))]
+        if not inside:
             break
-        up = up.parent
-    if best.parent is None or best.tag in ("article", "main") and best.parent is not None and sum(x.tag == best.tag for x in marked) == 1:
-        return [best]
-    level = max(10.0, SIBLING_SHARE * final.get(best, best.score or 0))
-    kept = []
-    for k in best.parent.kids:
-        if isinstance(k, str) or k.bad:
-            continue
-        if k is best or final.get(k, 0) >= level:
-            kept.append(k)
-        elif k.tag in ("p", "h1", "h2", "h3", "pre", "blockquote"):
-            text, dense = _own_text(k), _density(k)
-            if k.tag[0] == "h" or len(text) > LONG_PARAGRAPH and dense < 0.25 or text and dense == 0 and re.search(r"[.!?。](\s|$)", text):
-                kept.append(k)
-    return kept
+        top = top.parent
+    return sorted(kept, key=lambda x: x.order)
+
+
+def _marked_above(x: Node) -> bool:
+    x = x.parent
+    while x is not None and x.tag not in MARKED:
+        x = x.parent
+    return x is not None
+
+
+def _kept_beside(k: Node, best: Node, final: dict[Node, float]) -> bool:
+    """Whether a sibling of the best container, or of the article around it, belongs to the text."""
+    if final.get(k, 0) >= max(10.0, SIBLING_SHARE * final[best]):
+        return True
+    dense = _density(k)
+    if k.tag in ("p", "h1", "h2", "h3", "pre", "blockquote"):
+        text = _own_text(k)
+        return k.tag[0] == "h" or len(text) > LONG_PARAGRAPH and dense < 0.25 or bool(text) and dense == 0 and SENTENCE.search(text) is not None
+    return k.tag == best.tag and k.name == best.name and dense < 0.25 and _has_sentence(k)
+
+
+def _is_menu(x: Node) -> bool:
+    """A list of nothing but short links."""
+    return x.anchors >= 3 and x.tag in ("ul", "ol", "div", "section", "table") and x.links >= 0.9 * x.chars and x.links < 40 * x.anchors
 
 
 def blocks(nodes: list[Node]) -> list[str]:
@@ -263,7 +339,7 @@ def blocks(nodes: list[Node]) -> list[str]:
             flush()
         elif isinstance(x, str):
             run.append(x)
-        elif x.bad:
+        elif x.bad or _is_menu(x) and x not in nodes:
             continue
         elif x.tag == "br":
             run.append(" ")
@@ -281,7 +357,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
-    return "\n\n".join(blocks(choose(root, _measure(root))))
+    return "\n\n".join(blocks(choose(root, _settle(root))))
 
 
 def extract(df: DataFrame, html_col: str = "html", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

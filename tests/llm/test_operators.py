@@ -179,11 +179,44 @@ def test_html_edges(spark):
     assert html_extract.extract(d.where("page_id > 9")).count() == 0
 
 
-def test_html_tables_against_template(spark, sf_dir):
+TEXT = "<p>A first paragraph, long enough, with commas, that anyone would read to its end.</p><p>And a second one, no shorter, for good measure and more.</p>"
+SAME = "A first paragraph, long enough, with commas, that anyone would read to its end.\n\nAnd a second one, no shorter, for good measure and more."
+
+
+@pytest.mark.parametrize("page", [
+    f'<body><div class="layout with-sidebar"><article>{TEXT}</article></div></body>',
+    f'<body><div id="content" class="no-comments">{TEXT}</div><div id="comments"><p>A comment, by a reader, that is long, very long, and full of commas, too.</p></div></body>',
+    f'<body><form action="/"><input name=q><div><nav><a href=/>x</a></nav>{TEXT}</div></form></body>',
+    f'<body><div class="sidebar-left"><article>{TEXT}</article><div class="sidebar"><p>Some side text, that is long enough, to be read as a paragraph.</p></div></div></body>',
+    f'<body><div>{TEXT}</div><form><p>Your name, your mail, please, so that we can answer you.</p></form></body>',
+    f'<body><article><section>{TEXT}</section></article><section id=comments><article class="comment-body"><p>A reply, long, with commas, that goes on and on, and on.</p></article></section></body>',
+    f'<body><main><ul><li><a href=/1>One</a><li><a href=/2>Two</a><li><a href=/3>Three</a></ul><div>{TEXT}</div></main></body>',
+])
+def test_html_trees(page):
+    assert html_extract.main_text(page) == SAME
+
+
+@pytest.mark.parametrize("name", ["related-work", "share-price", "tags", "side"])
+def test_html_loose_words_inside_an_article(name):
+    more = "<p>Prices rose, fell, and rose again in the course of the year.</p>"
+    assert html_extract.main_text(f'<body><article>{TEXT}<div class="{name}">{more}</div></article></body>') == SAME + "\n\n" + more[3:-4]
+    links = "".join(f"<li><a href=/{i}>Another story {i}</a>" for i in range(4))
+    assert html_extract.main_text(f'<body><article>{TEXT}<div class="{name}"><ul>{links}</ul></div></article></body>') == SAME
+
+
+def test_html_sections_of_an_article_stay():
+    short = "<section><h2>Short</h2><ul><li>one</li><li>two</li></ul></section>"
+    assert html_extract.main_text(f"<body><article><h1>T</h1><section>{TEXT * 4}</section>{short}</article></body>") == "\n\n".join(["T", *[SAME] * 4, "Short", "one", "two"])
+
+
+@pytest.mark.parametrize("tag", ["article", "main", "div", "section", "div class=x17"])
+def test_html_tables_against_template(spark, sf_dir, tag):
+    """The pages as they are and with another element, or none that tells anything, in place of the article."""
     import html as h
 
     for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
         body = r.html.split("<article>", 1)[1].split("</article>")[0]
+        r = type(r)(html=r.html.replace("<article>", f"<{tag}>").replace("</article>", f"</{tag.split()[0]}>")) if tag != "article" else r
         parts = (re.sub(r"<[^>]*$", "", re.sub(r"<(?!/?(p|h1)\b)[^>]*>", lambda m: " " if m[0] == "<br>" else "", x)) for x in re.split(r"</?(?:p|h1)>", body))
         assert html_extract.main_text(r.html) == "\n\n".join(x for x in (" ".join(h.unescape(p).split()) for p in parts) if x)
 
