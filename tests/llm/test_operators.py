@@ -611,6 +611,50 @@ def test_nn_descent(spark):
     assert nn_descent.near_duplicates(d.where("vec_id < 0")).count() == 0 and nn_descent.near_duplicates(d.where("vec_id = 1000")).count() == 1
 
 
+def vectors_by_force(x, threshold=0.9):
+    """(links of each vector, least vector reachable)."""
+    m = np.array([np.float32(v) for v in x], np.float64)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    s = m @ m.T >= threshold
+    np.fill_diagonal(s, False)
+    least = np.arange(len(x))
+    while True:
+        new = np.minimum(least, np.where(s, least[None], len(x)).min(1))
+        if (new == least).all():
+            return s.sum(1).tolist(), least.tolist()
+        least = new
+
+
+def test_nn_descent_every_length_is_searched(spark):
+    rng = np.random.default_rng(41)
+    x = [rng.standard_normal(16) for _ in range(40)]
+    x += [x[k] + rng.standard_normal(16) * 0.05 for k in range(20)]
+    y = [rng.standard_normal(5) for _ in range(6)]
+    y += [y[0] * 2, y[1] + 1e-3, y[1]]
+    rows = [(i, v.tolist()) for i, v in enumerate(x + y)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in nn_descent.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    (na, ca), (nb, cb) = vectors_by_force(x), vectors_by_force(y)
+    assert got == {i: (n, c) for i, (n, c) in enumerate(zip(na + nb, ca + [60 + c for c in cb], strict=True))} and sum(nb) > 0
+
+
+def test_nn_descent_poor_lists_end_exact_or_fail(spark, monkeypatch):
+    """Lists of one neighbour without rounds find too little; the audit sees it, whatever the share of vectors with links."""
+    rng = np.random.default_rng(42)
+    x = [rng.standard_normal(8) for _ in range(1500)]
+    for k in range(60):
+        c = rng.standard_normal(8)
+        x += [c + rng.standard_normal(8) * 0.16 for _ in range(4)]
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    for name, value in (("LIST", 2), ("REVERSE", 1), ("ROUNDS", 0), ("PROJECTIONS", 1), ("GROWTHS", 0)):
+        monkeypatch.setattr(nn_descent, name, value)
+    monkeypatch.setattr(nn_descent.linked_vectors, "__defaults__", (0.9, 2, 0.95, 0, 7))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in nn_descent.near_duplicates(d).collect()}
+    assert got == dict(enumerate(zip(*vectors_by_force(x), strict=True)))
+    monkeypatch.setattr(nn_descent, "EXACT_ROWS", 100)
+    with pytest.raises(RuntimeError, match="audited recall"):
+        nn_descent.near_duplicates(d).collect()
+
+
 # Toxicity --------------------------------------------------------------------------------------------------
 
 def test_trees_and_isotonic():
