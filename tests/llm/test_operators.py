@@ -364,34 +364,108 @@ def test_passages_planted(spark):
 
 
 def test_chains_against_all_predecessors():
-    rng = random.Random(9)
-    for _ in range(30):
-        n = rng.randint(1, 40)
-        a, b = [rng.randrange(60) for _ in range(n)], [rng.randrange(60) for _ in range(n)]
-        found = passages.chains(np.array(a), np.array(b))
+    """The best chain's score is that of a search over all pairs of runs, and chains ascend and are disjoint."""
+    rng, k, cost = random.Random(19), passages.SEED_WORDS, passages.GAP_COST
+    for _ in range(300):
+        n = rng.randint(1, 50)
+        top = rng.choice((40, 300))
+        a, b, size = ([rng.randrange(lo, hi) for _ in range(n)] for lo, hi in ((0, top), (0, top), (1, 20)))
+        best = [0.0] * n
+        for j in sorted(range(n), key=lambda i: (a[i], b[i])):
+            before = [i for i in range(n) if a[i] + size[i] <= a[j] and b[i] + size[i] <= b[j]]
+            best[j] = size[j] + k - 1 + max([0.0] + [best[i] - cost * (a[j] - a[i] - size[i] + b[j] - b[i] - size[i]) for i in before])
+        found = passages.chains(np.array(a), np.array(b), np.array(size))
         assert sorted(i for c in found for i in c) == list(range(n))
-        for c in found:
-            assert all(a[i] < a[j] and b[i] < b[j] for i, j in zip(c, c[1:], strict=False))
+        assert all(a[i] + size[i] <= a[j] and b[i] + size[i] <= b[j] for c in found for i, j in zip(c, c[1:], strict=False))
+        s = 0.0
+        for i, j in zip([None, *found[0]], found[0], strict=False):
+            s = size[j] + k - 1 + (0.0 if i is None else s - cost * (a[j] - a[i] - size[i] + b[j] - b[i] - size[i]))
+        assert abs(s - max(best)) < 1e-9
 
 
-def test_chains_reach_the_best_score_within_the_gap():
-    rng, k, cost, reach = random.Random(19), 6, 0.25, 46
+def test_equal_runs_are_those_of_all_pairs():
+    rng, k = random.Random(26), passages.SEED_WORDS
+    for _ in range(60):
+        x = [rng.randrange(1 << 32) for _ in range(rng.randint(0, 60))]
+        y = [rng.randrange(1 << 32) for _ in range(10)] + x[5:30] + [7] + x[31:50] + x[10:20]
+        got = set(zip(*(c.tolist() for c in passages.equal_runs(np.array(x, np.uint32), np.array(y, np.uint32))), strict=True))
+        want = set()
+        for i in range(len(x)):
+            for j in range(len(y)):
+                if x[i] == y[j] and (not i or not j or x[i - 1] != y[j - 1]):
+                    n = 0
+                    while i + n < len(x) and j + n < len(y) and x[i + n] == y[j + n]:
+                        n += 1
+                    if n >= k:
+                        want.add((i, j, n - k + 1))
+        assert got == want
+    long = np.full(100_000, 3, np.uint32)
+    a, b, size = passages.equal_runs(long, long[:70_000])
+    assert len(a) < 100_000 and (100_000 - 4) in (a + size)
+
+
+def passages_by_force(texts):
+    """{id: spans}, {id: least id linked} by comparing all pairs of texts, none of them equal."""
+    words = [w.astype(np.uint32) for w in passages.word_arrays(pa.array(texts, pa.string()))]
+    spans, up = {}, list(range(len(texts)))
 
-    def step(s, dx, dy):
-        return k + max(0.0, s - max(0.0, cost * (dx + dy - 2 * k)))
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
 
-    for _ in range(200):
-        n = rng.randint(1, 60)
-        top = rng.choice((60, 300))
-        a, b = [rng.randrange(top) for _ in range(n)], [rng.randrange(top) for _ in range(n)]
-        best = [float(k)] * n
-        for j in sorted(range(n), key=lambda i: (a[i], -b[i])):
-            best[j] = max([best[j]] + [step(best[i], a[j] - a[i], b[j] - b[i]) for i in range(n) if 0 < a[j] - a[i] <= reach and 0 < b[j] - b[i] <= reach])
-        chain = passages.chains(np.array(a), np.array(b), k)[0]
-        s = float(k)
-        for i, j in zip(chain, chain[1:], strict=False):
-            s = step(s, a[j] - a[i], b[j] - b[i])
-        assert s == max(best)
+    pairs = {}
+    for x, y in itertools.combinations(range(len(texts)), 2):
+        for s, e, t, f in passages.shared_spans(words[x], words[y]):
+            spans.setdefault(x, []).append((s, e, y))
+            spans.setdefault(y, []).append((t, f, x))
+    kept = {i: [z for z in passages.merged(got, passages.JOIN_GAP) if z[1] - z[0] >= passages.MIN_WORDS] for i, got in spans.items()}
+    for i, got in spans.items():
+        for s, e, other in got:
+            if any(s >= u and e <= v for u, v, _ in kept[i]):
+                x, y = root(i), root(other)
+                up[max(x, y)] = min(x, y)
+    return {i: [(s, e) for s, e, _ in k] for i, k in kept.items() if k}, {i: root(i) for i, k in kept.items() if k}
+
+
+def repeating_corpus(rng):
+    """Texts with near copies, passages in two to thirty texts, fuzzy ones, frequent lines, passages of frequent lines, repetitions."""
+    lines = [prose(rng, rng.randint(6, 30)) for _ in range(12)]
+    shared = [prose(rng, rng.randint(50, 90)) for _ in range(10)]
+    long = " ".join(rng.choice(lines) for _ in range(5))
+    out = []
+    for i in range(260):
+        parts = [prose(rng, rng.randint(5, 60))]
+        for _ in range(rng.randint(0, 3)):
+            kind = rng.random()
+            if kind < 0.4:
+                parts.append(rng.choice(lines))
+            elif kind < 0.55:
+                parts.append(shared[min(9, int(rng.expovariate(0.4)))])
+            elif kind < 0.75:
+                w = rng.choice(shared).split()
+                parts.append(" ".join(f"new{rng.randrange(10**6)}" if rng.random() < 0.08 else x for x in w))
+            elif kind < 0.85:
+                parts.append(long)
+            parts.append(prose(rng, rng.randint(5, 40)))
+        out.append(" ".join(parts))
+    base = prose(rng, 200).split()
+    out += [" ".join(f"edit{rng.randrange(10**6)}" if rng.random() < 0.02 else x for x in base) for _ in range(30)]
+    return out
+
+
+def test_passages_against_all_pairs(spark):
+    texts = repeating_corpus(random.Random(27))
+    spans, classes = passages_by_force(texts)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in passages.repeated_passages(d).collect()}
+    found = {i: [tuple(map(int, x.split(":"))) for x in r.passages.split(",")] for i, r in got.items()}
+    covered = lambda s: {i: {w for a, b in v for w in range(a, b)} for i, v in s.items()}
+    want, have = covered(spans), covered(found)
+    recall = sum(len(want[i] & have.get(i, set())) for i in want) / sum(map(len, want.values()))
+    print(f"documents {len(set(want) & set(have))} of {len(want)}, words {recall:.4f}, too many {sorted(set(have) - set(want))}")
+    assert set(have) <= set(want) and len(set(want) - set(have)) <= 0.01 * len(want) and recall >= 0.97
+    assert sum(got[i].class_id == classes[i] for i in found) >= 0.99 * len(found)
 
 
 def two_passages(rng, first, gap, second):
@@ -446,18 +520,40 @@ def test_passages_with_every_tenth_word_changed(spark):
     assert set(got) == set(range(60)) and all(c == i // 2 * 2 and n >= 60 for i, (c, n) in got.items())
 
 
-def test_runs_of_seeds():
+def test_seeds_of_a_hot_group_are_dealt_to_many_buckets():
+    """Repetitions of a seed and what follows leave the bucket of the seed but for two a chunk; all rows are dealt, and met again."""
     rng = np.random.default_rng(24)
-    s = rng.integers(0, 2**63, 12).astype(np.uint64)
-    at = np.cumsum(rng.integers(1, 9, 12))
-    hot = np.ones(12, bool)
-    lo, hi = np.arange(12), np.arange(12)[::-1]
-    h, x, y = passages.runs(s, at, hot, lo, hi)
-    g, u, v = passages.runs(np.concatenate([s[:3][::-1], s]), np.concatenate([[1, 2, 3], at + 100]), np.ones(15, bool), np.arange(15), np.arange(15))
-    assert set(h.tolist()) <= set(g.tolist()) and len(set(h.tolist())) == len(h)
-    assert {(i + 100, j + 100) for i, j in zip(x.tolist(), y.tolist(), strict=True)} <= set(zip(u.tolist(), v.tolist(), strict=True))
-    assert not len(passages.runs(s, at, ~hot, lo, hi)[0]) and not len(passages.runs(s, np.arange(12) * 60, hot, lo, hi)[0])
-    assert not len(passages.runs(s, at, hot, lo * 0, hi)[0])
+    texts = [np.concatenate([rng.integers(0, 2**63, 30), np.arange(40) + 9]).astype(np.uint64) for _ in range(300)]
+    h, doc, pos = passages.minimizers(texts)
+    s, ctx = h >> np.uint64(16), passages.following(h >> np.uint64(16), doc)
+    rows, where = passages.dealt(s, ctx, doc, pos, np.zeros(0, np.uint64), 64, 5)
+    assert (np.diff(where) >= 0).all() and set(rows.tolist()) == set(range(len(s)))
+    hot = [x for x, c in zip(*np.unique(s, return_counts=True), strict=True) if c == 300]
+    assert len(hot) > 5
+    for x in hot:
+        per = np.unique(where[s[rows] == x], return_counts=True)[1]
+        assert len(per) >= 1 and (s[rows] == x).sum() <= 302
+    packed = passages.unpacked(passages.packed(s, ctx, doc, pos))
+    assert all((u == v).all() for u, v in zip(packed, (s, ctx, doc, pos), strict=True))
+    x, y, p, q = passages.met(s, ctx, doc, pos)
+    pairs = {(int(a), int(b)) for a, b in zip(x, y, strict=True)}
+    assert len(pairs) <= 2 * len(s) and all(any((i, j) in pairs for j in (0, i - 1)) for i in range(1, 300))
+    assert all((texts[a][i:i + 5] == texts[b][j:j + 5]).all() for a, b, i, j in zip(x.tolist(), y.tolist(), p.tolist(), q.tolist(), strict=True))
+
+
+def test_minimizers_of_many_texts():
+    rng = np.random.default_rng(28)
+    texts = [rng.integers(0, 50, int(n)).astype(np.uint64) for n in (0, 3, 5, 7, 9, 40, 4, 100)]
+    h, doc, pos = passages.minimizers(texts)
+    got = list(zip(doc.tolist(), pos.tolist(), strict=True))
+    want = []
+    for i, t in enumerate(texts):
+        own = passages.kmers(t).tolist()
+        if not own:
+            continue
+        w = min(passages.WINDOW, len(own))
+        want += [(i, p) for p in sorted({min(range(j, j + w), key=lambda q: (own[q], q)) for j in range(len(own) - w + 1)})]
+    assert got == want and all(h[n] == passages.kmers(texts[i])[p] for n, (i, p) in enumerate(got))
 
 
 def test_edit_distance():
