@@ -2,10 +2,12 @@
 
 Features of a text: densities and counts of lexicon words, their nearness to second-person words,
 capitals, punctuation and obfuscation rates, and word statistics. The lexicon is a short fixed list
-plus words that a significance test finds in the training texts. Trees and calibration are fitted on
-the driver with numpy, on a bounded sample of labelled documents (`max_training_rows`, those of least
-hash, so that a repeated run takes the same ones); only the sample's feature rows come to the driver.
-Scoring reads every whole text once and moves no text.
+plus words that a significance test finds in the training texts; `mined_words` 0 leaves the fixed
+list alone. Calibration is fitted on margins of held-out folds, whose words are mined and whose trees
+are grown without the fold's labels. Trees and calibration are fitted on the driver with numpy, on a
+bounded sample of labelled documents (`max_training_rows`, those of least hash, so that a repeated
+run takes the same ones); only the sample's feature rows come to the driver. Scoring reads every
+whole text once and moves no text.
 
 Defined cases: null texts count as empty and get a score like any other; null labels are left out;
 several labels of a document count as toxic if one of them is; without labelled documents of both
@@ -40,7 +42,9 @@ SECOND_PERSON = """you your yours yourself u ur ye tu te toi ton ta tes vous vot
 euer sie usted ustedes tú ti vosotros vuestro""".split()
 LEET = str.maketrans("013457@$!|*+", "oleastasiiit")
 
-NAMES = ("log_words", "word_len", "lex_count", "lex_density", "lex_kinds", "lex_window", "second_density", "second_near", "second_near_share", "second_distance", "caps_rate", "caps_words", "exclaims", "questions", "punct_rate", "digit_rate", "obfuscated_count", "obfuscated_rate", "symbol_words", "repeat_rate", "mined_count", "mined_weight", "mined_density", "mined_max", "lines", "unique_rate")
+NAMES = ("log_words", "word_len", "lex_count", "lex_density", "lex_kinds", "lex_window", "second_density", "second_near", "second_near_share", "second_distance", "caps_rate", "caps_words", "exclaims", "questions", "punct_rate", "digit_rate", "obfuscated_count", "obfuscated_rate", "symbol_words", "repeat_rate", "lines", "unique_rate")
+MINED_NAMES = ("mined_count", "mined_weight", "mined_density", "mined_max")
+FOLDS = 4
 WINDOW = 50
 NEAR = 6
 EDGES = string.punctuation + "«»“”‘’…–—"
@@ -55,17 +59,17 @@ def forms(word: str) -> list[str]:
 
 
 class Features:
-    """Feature rows of texts; remembers what it found out about each word."""
+    """Feature rows of texts under one or several mined lexicons; remembers what it found out about each word."""
 
-    def __init__(self, mined: dict[str, float]):
+    def __init__(self, *mined: dict[str, float]):
         self.lexicon, self.mined, self.second = set(LEXICON), mined, set(SECOND_PERSON)
         self.known: dict[str, tuple] = {}
         punct = np.zeros(256, bool)
         punct[[ord(c) for c in string.punctuation]] = True
         self.punct = punct
 
-    def word(self, raw: str) -> tuple[int, float]:
-        """(bits, mined weight); bits: 1 lexicon, 2 second person, 4 obfuscated, 8 capitals, 16 inner symbol, 32 stretched."""
+    def word(self, raw: str) -> tuple:
+        """(bits, weight in each mined lexicon); bits: 1 lexicon, 2 second person, 4 obfuscated, 8 capitals, 16 inner symbol, 32 stretched."""
         bare = raw.strip(EDGES)
         low = bare.lower()
         bits = 0
@@ -79,26 +83,27 @@ class Features:
             if any(not c.isalnum() and c not in "'’-" for c in bare) or not bare.isdigit() and any(c.isdigit() for c in bare):
                 bits |= 16
         if not bits & 3 and len(raw) < 40:
-            plain = "".join(c for c in raw.lower().translate(LEET) if c.isalpha())
+            plain = {"".join(c for c in w.lower().translate(LEET) if c.isalpha()) for w in (raw, bare)}
             short = STRETCH.sub(r"\1", low)
-            if bits & 16 and plain in self.lexicon or short != low and short in self.lexicon:
+            if bits & 16 and plain & self.lexicon or short != low and short in self.lexicon:
                 bits |= 1 | 4
         if STRETCH.search(low):
             bits |= 32
-        return bits, max(map(self.mined.get, forms(low), repeat(0.0)), default=0.0)
+        own = forms(low)
+        return bits, *(max(map(m.get, own, repeat(0.0)), default=0.0) for m in self.mined)
 
     def row(self, text: str) -> list[float]:
+        """The features of `NAMES`, then those of `MINED_NAMES` for each mined lexicon."""
         raw = text.split()
         n = len(raw)
         if not n:
-            return [0.0] * len(NAMES)
+            return [0.0] * (len(NAMES) + len(MINED_NAMES) * len(self.mined))
         known = self.known
         if len(known) > CACHE:
             known.clear()
         for w in set(raw).difference(known):
             known[w] = self.word(w)
         bits = np.fromiter([known[w][0] for w in raw], np.int16, n)
-        weight = np.fromiter([known[w][1] for w in raw], np.float32, n)
         lex = np.flatnonzero(bits & 1)
         sec = np.flatnonzero(bits & 2)
         near, dist = 0, 99.0
@@ -110,12 +115,15 @@ class Features:
         hist = np.bincount(np.frombuffer(text.encode("utf-8", "replace"), np.uint8), minlength=256)
         size = max(1, int(hist.sum()))
         caps, lower = int(hist[65:91].sum()), int(hist[97:123].sum())
-        obf, mined = int((bits & 4 > 0).sum()), weight[weight != 0]
-        return [math.log1p(n), size / n, len(lex), len(lex) / n, len({raw[i].strip(EDGES).lower() for i in lex.tolist()}), window, len(sec) / n, near,
-                near / max(1, len(lex)), dist, caps / max(1, caps + lower), float((bits & 8 > 0).mean()), hist[33] / n, hist[63] / n,
-                float(hist[self.punct].sum()) / size, float(hist[48:58].sum()) / size, obf, obf / n, float((bits & 16 > 0).mean()),
-                float((bits & 32 > 0).mean()), len(mined), float(mined.sum()), len(mined) / n, float(mined.max()) if len(mined) else 0.0,
-                float(hist[10]) / n, len(set(raw)) / n]
+        obf = int((bits & 4 > 0).sum())
+        out = [math.log1p(n), size / n, len(lex), len(lex) / n, len({raw[i].strip(EDGES).lower() for i in lex.tolist()}), window, len(sec) / n, near,
+               near / max(1, len(lex)), dist, caps / max(1, caps + lower), float((bits & 8 > 0).mean()), hist[33] / n, hist[63] / n,
+               float(hist[self.punct].sum()) / size, float(hist[48:58].sum()) / size, obf, obf / n, float((bits & 16 > 0).mean()),
+               float((bits & 32 > 0).mean()), float(hist[10]) / n, len(set(raw)) / n]
+        for m in range(1, len(self.mined) + 1):
+            mined = [x for w in raw if (x := known[w][m])]
+            out += [len(mined), sum(mined), len(mined) / n, max(mined, default=0.0)]
+        return out
 
 
 class Trees:
@@ -212,17 +220,19 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Lexicon, trees and calibration; picklable."""
+    """Lexicon, trees and calibration; picklable.
+
+    `x` has the features of the rows under the final lexicon, `held[k]` those under the lexicon mined without fold k.
+    """
 
-    def __init__(self, mined: dict[str, float], x: np.ndarray, y: np.ndarray, folds: int = 4):
+    def __init__(self, mined: dict[str, float], x: np.ndarray, y: np.ndarray, fold: np.ndarray, held: list[np.ndarray]):
         self.mined, self.constant, self.trees = mined, float(y.mean()) if len(y) else 0.0, None
         if len(y) and 0 < y.sum() < len(y):
-            fold = np.arange(len(y)) % folds
-            held = np.zeros(len(y))
-            for k in range(folds):
+            margin = np.zeros(len(y))
+            for k, own in enumerate(held):
                 t = y[fold != k]
-                held[fold == k] = Trees().fit(x[fold != k], t).margin(x[fold == k]) if 0 < t.sum() < len(t) else math.log((t.mean() + 1e-6) / (1 - t.mean() + 1e-6))
-            self.trees, self.knots = Trees().fit(x, y), isotonic(held, y)
+                margin[fold == k] = Trees().fit(own[fold != k], t).margin(own[fold == k]) if 0 < t.sum() < len(t) else math.log((t.mean() + 1e-6) / (1 - t.mean() + 1e-6))
+            self.trees, self.knots = Trees().fit(x, y), isotonic(margin, y)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.trees is None or not len(x):
@@ -252,30 +262,42 @@ def fit(docs: DataFrame, labels: DataFrame, max_training_rows: int = 20_000, id_
 
     def words(batches):
         for b in batches:
-            for t, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist(), strict=True):
+            for t, y, k in zip(b.column("text").to_pylist(), b.column("y").to_pylist(), b.column("fold").to_pylist(), strict=True):
                 seen = list({f for w in {x.strip(EDGES).lower() for x in t.split()} for f in forms(w)})
-                yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string()), pa.array([y] * len(seen), pa.int32())], names=["w", "y"])
-
-    n, pos = texts.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
-    mined: dict[str, float] = {}
-    if 0 < pos < n:
-        neg = n - pos
-        seen = texts.mapInArrow(words, "w string, y int").groupBy("w").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("c")).where(F.col("a") >= min_toxic)
-        p = (F.col("a") + F.col("c")) / n
-        z = (F.col("a") / pos - F.col("c") / neg) / F.sqrt(p * (1 - p) * (1 / pos + 1 / neg) + 1e-12)
-        odds = F.log(((F.col("a") + 0.5) / (pos + 1)) / ((F.col("c") + 0.5) / (neg + 1)))
-        top = seen.select("w", z.alias("z"), odds.alias("o")).where(F.col("z") >= least_z).orderBy(F.desc("z"), "w").limit(mined_words).collect()
-        mined = {r.w: float(r.o) for r in top}
+                yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string()), pa.array([y] * len(seen), pa.int32()), pa.array([k] * len(seen), pa.int32())], names=["w", "y", "fold"])
+
+    texts = texts.withColumn("fold", (F.crc32(F.concat(F.lit("fold"), F.col("doc_id").cast("string")).cast("binary")) % FOLDS).cast("int"))
+    sizes = {r.fold: (r.n, r.pos) for r in texts.groupBy("fold").agg(F.count("*").alias("n"), F.sum("y").alias("pos")).collect()}  # a row a fold
+    n, pos = (sum(s[i] for s in sizes.values()) for i in (0, 1))
+    lexicons: list[dict[str, float]] = [{} for _ in range(FOLDS + 1)]
+    if 0 < pos < n and mined_words:
+        each = [F.sum(F.when(F.col("fold") == k, v).otherwise(0)).alias(f"{name}{k}") for k in range(FOLDS) for name, v in (("a", F.col("y")), ("c", 1 - F.col("y")))]
+        seen = written(texts.mapInArrow(words, "w string, y int, fold int").groupBy("w").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("c"), *each).where(F.col("a") >= min_toxic), "words")
+        for k in range(FOLDS + 1):  # without fold k, at last without none
+            without = sizes.get(k, (0, 0))
+            rows, toxic = n - without[0], pos - without[1]
+            clean = rows - toxic
+            if not toxic or not clean:
+                continue
+            a, c = (F.col("a"), F.col("c")) if k == FOLDS else (F.col("a") - F.col(f"a{k}"), F.col("c") - F.col(f"c{k}"))
+            p = (a + c) / rows
+            z = (a / toxic - c / clean) / F.sqrt(p * (1 - p) * (1 / toxic + 1 / clean) + 1e-12)
+            odds = F.log(((a + 0.5) / (toxic + 1)) / ((c + 0.5) / (clean + 1)))
+            top = seen.where(a >= min_toxic).select("w", z.alias("z"), odds.alias("o")).where(F.col("z") >= least_z).orderBy(F.desc("z"), "w").limit(mined_words).collect()
+            lexicons[k] = {r.w: float(r.o) for r in top}
 
     def rows(batches):
-        f = Features(mined)
+        f = Features(*lexicons)
         for b in batches:
             x = [f.row(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), b.column("fold"), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "y", "fold", "x"])
 
-    schema = T.StructType([texts.schema["doc_id"], texts.schema["y"], T.StructField("x", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([texts.schema["doc_id"], texts.schema["y"], texts.schema["fold"], T.StructField("x", T.ArrayType(T.DoubleType()))])
     got = texts.mapInArrow(rows, schema).orderBy("doc_id").collect()  # at most max_training_rows rows of numbers
-    return Model(mined, np.array([r.x for r in got], float).reshape(len(got), len(NAMES)), np.array([r.y for r in got], float))
+    base, own = len(NAMES), len(MINED_NAMES)
+    x = np.array([r.x for r in got], float).reshape(len(got), base + own * len(lexicons))
+    under = [np.hstack([x[:, :base], x[:, base + own * k: base + own * (k + 1)]]) for k in range(len(lexicons))]
+    return Model(lexicons[FOLDS], under[FOLDS], np.array([r.y for r in got], float), np.array([r.fold for r in got], int), under[:FOLDS])
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score", keep: list[str] | None = None) -> DataFrame:
@@ -288,7 +310,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
         m = sent.value
         f = Features(m.mined)
         for b in batches:
-            x = np.array([f.row(t or "") for t in b.column(text_col).to_pylist()], float).reshape(b.num_rows, len(NAMES))
+            x = np.array([f.row(t or "") for t in b.column(text_col).to_pylist()], float).reshape(b.num_rows, len(NAMES) + len(MINED_NAMES))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(m.score(x), pa.float64())], names=[*keep, score_col])
         f.known.clear()
         release()
