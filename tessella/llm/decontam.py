@@ -8,18 +8,24 @@ is hit by an item where that distance is k at most.
 
 Words are maximal runs of letters and digits of the lower-cased text, so case, punctuation and white
 space never count. The items are a stated query set: they are read in blocks of at most
-`block_bytes` of text, each broadcast in turn, and every block meets every document.
-
-Defined cases: null and empty items match nothing; items of fewer than `min_words` words match only
-as a whole and exactly (k = 0); null, empty and very long documents are read whole, in linear time;
-repeated items and repeated documents are reported each; an empty table gives no hits.
+`block_bytes` of text and broadcast, up to `pass_blocks` blocks at a time, so a pass over the
+documents serves 64 MB of items and only larger sets take further passes. A worker builds the index
+of a block once, however many tasks it runs.
+
+Defined cases: null and empty items match nothing; items so short that k is 0 match exactly; null,
+empty and very long documents are read whole, in linear time; repeated items and repeated documents
+are reported each; of equally distant places of an item the first counts; the result has its own
+columns alone, so names of other columns cannot clash; an empty table gives no hits.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
+from itertools import islice
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +33,8 @@ from .common import arrow_batch, arrow_schema
 
 WORD = re.compile(r"[^\W_]+")
 EDIT_RATE = 0.15
-MIN_WORDS = 8
 BLOCK_BYTES = 8 << 20
+PASS_BLOCKS = 8
 PRIME = 0x9E3779B97F4A7C15
 STEP_WORDS = 1 << 20
 
@@ -76,14 +82,14 @@ def myers(masks: dict[int, int], m: int, text, limit: int) -> tuple[int, int]:
 class Matcher:
     """Piece index over a block of items."""
 
-    def __init__(self, items: list[tuple[int, str]], edit_rate: float, min_words: int):
+    def __init__(self, items: list[tuple[int, str]], edit_rate: float):
         self.code: dict[str, int] = {}
         self.items, found = [], {}
         for item_id, text in items:
             ws = words_of(text)
             if not ws:
                 continue
-            k = int(edit_rate * len(ws)) if len(ws) >= min_words else 0
+            k = int(edit_rate * len(ws))
             codes = [self.code.setdefault(w, len(self.code) + 1) for w in ws]
             masks: dict[int, int] = {}
             for i, c in enumerate(codes):
@@ -165,21 +171,37 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int):
         yield block
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, edit_rate: float = EDIT_RATE, min_words: int = MIN_WORDS, id_col: str = "doc_id",
-               text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+_matchers: dict[str, list[Matcher]] = {}
+
+
+def matchers_of(key: str, blocks: list, edit_rate: float) -> list[Matcher]:
+    """The indexes of the blocks of a pass, kept by the worker until the next pass."""
+    if key not in _matchers:
+        _matchers.clear()
+        _matchers[key] = [Matcher(b, edit_rate) for b in blocks]
+    return _matchers[key]
+
+
+def _passes(docs: DataFrame, items: DataFrame, item_id_col: str, item_text_col: str, block_bytes: int, pass_blocks: int):
+    """(key, broadcast blocks) for each pass over the documents."""
+    blocks = item_blocks(items, item_id_col, item_text_col, block_bytes)
+    while some := list(islice(blocks, pass_blocks)):
+        yield uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(some)
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, edit_rate: float = EDIT_RATE, id_col: str = "doc_id", text_col: str = "text",
+               item_id_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES, pass_blocks: int = PASS_BLOCKS) -> DataFrame:
     """A row (doc_id, item_id, distance, first_word, end_word) for each document and item that leaks into it."""
     spark = docs.sparkSession
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, item_id {items.schema[item_id_col].dataType.simpleString()}, distance int, first_word long, end_word long"
     kinds = arrow_schema(spark, schema)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     out = None
-    for block in item_blocks(items, item_id_col, item_text_col, block_bytes):
-        sent = spark.sparkContext.broadcast(block)
-
-        def run(batches, sent=sent):
-            matcher = Matcher(sent.value, edit_rate, min_words)
+    for key, sent in _passes(docs, items, item_id_col, item_text_col, block_bytes, pass_blocks):
+        def run(batches, key=key, sent=sent):
+            matchers = matchers_of(key, sent.value, edit_rate)
             for b in batches:
-                rows = [(d, *hit) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True) for hit in matcher.hits(t)]
+                rows = [(d, *hit) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True) for m in matchers for hit in m.hits(t)]
                 yield arrow_batch(rows, kinds)
 
         found = texts.mapInArrow(run, schema)
@@ -187,19 +209,14 @@ def find_leaks(docs: DataFrame, items: DataFrame, edit_rate: float = EDIT_RATE,
     return spark.createDataFrame([], schema) if out is None else out
 
 
-def remove_leaking(docs: DataFrame, items: DataFrame, edit_rate: float = EDIT_RATE, min_words: int = MIN_WORDS, text_col: str = "text",
-                   item_id_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def remove_leaking(docs: DataFrame, items: DataFrame, edit_rate: float = EDIT_RATE, text_col: str = "text", item_id_col: str = "item_id",
+                   item_text_col: str = "text", block_bytes: int = BLOCK_BYTES, pass_blocks: int = PASS_BLOCKS) -> DataFrame:
     """The documents that no item leaks into, with all their columns; each is judged where it lies, nothing is joined."""
-    spark = docs.sparkSession
-    for block in item_blocks(items, item_id_col, item_text_col, block_bytes):
-        sent = spark.sparkContext.broadcast(block)
-
-        def run(batches, sent=sent):
-            import pyarrow as pa
-
-            matcher = Matcher(sent.value, edit_rate, min_words)
+    for key, sent in _passes(docs, items, item_id_col, item_text_col, block_bytes, pass_blocks):
+        def run(batches, key=key, sent=sent):
+            matchers = matchers_of(key, sent.value, edit_rate)
             for b in batches:
-                yield b.filter(pa.array([not matcher.hits(t) for t in b.column(text_col).to_pylist()], pa.bool_()))
+                yield b.filter(pa.array([not any(m.hits(t) for m in matchers) for t in b.column(text_col).to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
