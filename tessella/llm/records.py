@@ -18,7 +18,9 @@ whole pair. The folder is a URI that pyarrow's file systems open (file, hdfs, s3
 shared by all executors.
 
 Defined cases: null texts give records of the end id alone; documents with equal ids all stay, next
-to one another; an empty table gives a folder without records; a null id is refused.
+to one another; a null id is the payload's id -2**63 and comes first, and is read back as null, so a
+document with that very id is refused; columns other than id and text are not carried, so their names
+cannot clash; an empty table gives a folder without records.
 """
 
 from __future__ import annotations
@@ -81,14 +83,15 @@ def write_records(df: DataFrame, vocabulary_path: str, folder: str | None = None
     """Encode each text, append `end_id` (None: nothing), write the files; returns a row for each file.
 
     Texts are dealt by ranges of the id and sorted inside a task, so ranges hold nearly as many
-    documents each however the ids are spread. The result (file, first_id, n_docs, n_tokens, bytes)
-    is written too: a lost executor does not make the files be written twice.
+    documents each however the ids are spread. The result (file, number, first_id, n_docs, n_tokens, bytes)
+    is written too: a lost executor does not make the files be written twice. Files are in the order of
+their `number`; their names sort like it up to 100,000 files only.
     """
     spark = df.sparkSession
     folder = folder or shared_dir(spark, "records")
     spec = broadcast_vocabulary(spark, vocabulary_path)
     ready = (df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-             .withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))))
+             .withColumn("doc_id", F.when(F.col("doc_id") == NO_ID, F.raise_error(F.lit(f"the id {NO_ID} stands for no id"))).otherwise(F.coalesce("doc_id", F.lit(NO_ID)))))
 
     def run(batches):
         ctx = TaskContext.get()
@@ -121,26 +124,30 @@ def write_records(df: DataFrame, vocabulary_path: str, folder: str | None = None
                 f.write(np.array(index, INDEX).tobytes())
             for ext in (".rec", ".idx"):
                 fs.move(own + ext, name + ext)
-            yield pa.RecordBatch.from_pylist([{"file": f"part-{part:05d}", "first_id": index[0][0], "n_docs": len(index), "n_tokens": tokens, "bytes": offset}])
+            yield pa.RecordBatch.from_pylist([{"file": f"part-{part:05d}", "number": part, "first_id": index[0][0], "n_docs": len(index), "n_tokens": tokens, "bytes": offset}])
 
     tasks = tasks or task_count(spark)
     made = (ready.repartitionByRange(tasks, "doc_id").sortWithinPartitions("doc_id")
-            .mapInArrow(run, "file string, first_id long, n_docs long, n_tokens long, bytes long"))
+            .mapInArrow(run, "file string, number long, first_id long, n_docs long, n_tokens long, bytes long"))
     made.write.parquet(f"{folder}/files.parquet")
     return spark.read.parquet(f"{folder}/files.parquet").withColumn("folder", F.lit(folder))
 
 
+def tokens_before(files: DataFrame) -> DataFrame:
+    """The files with `before`, the number of ids in all files before: a running sum over a row for each file."""
+    from pyspark.sql import Window
+
+    before = Window.orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    return files.withColumn("before", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+
+
 def read_records(spark: SparkSession, files: DataFrame, finish, added: str, tasks: int | None = None) -> DataFrame:
     """Read the data files of write_records(), a task for each few files, checking every checksum.
 
     `start` is the number of ids in all documents before: a running sum over the files (a row each)
     plus one inside the file. `finish(ids)` returns a tuple for the fields named in `added`.
     """
-    from pyspark.sql import Window
-
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    todo = (files.withColumn("before", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
-            .select("folder", "file", "before").repartition(tasks or task_count(spark), "file"))
+    todo = tokens_before(files).select("folder", "file", "before").repartition(tasks or task_count(spark), "file")
     schema = f"doc_id long, start long, n_tokens long, {added}"
 
     kinds = arrow_schema(spark, schema)
