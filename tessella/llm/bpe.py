@@ -292,7 +292,7 @@ class WordBpe:
             upto = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:]), GROUP_BYTES, "right")))
             part = texts.slice(at, upto - at)
             at = upto
-            if self.added_split and pc.any(pc.match_substring(part, "<|")).as_py():
+            if any(pc.any(pc.match_substring(part, t)).as_py() for t in self.added):
                 out += [self.encode_text(t) for t in part.to_pylist()]
                 continue
             split = pc.ascii_split_whitespace(part)
