@@ -46,7 +46,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_dir(spark, name)
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._written = (path, None)
+    return out
 
 
 def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
@@ -58,7 +60,22 @@ def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
     path = shared_dir(spark, name)
     table = path.rsplit("/", 1)[1].replace("-", "_")
     df.repartition(buckets, key).write.format("parquet").option("path", path).bucketBy(buckets, key).saveAsTable(table)
-    return spark.table(table)
+    out = spark.table(table)
+    out._written = (path, table)
+    return out
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Remove what written() or bucketed() wrote; only for results that nothing reads any more."""
+    for df in frames:
+        path, table = getattr(df, "_written", (None, None)) if df is not None else (None, None)
+        if path is None:
+            continue
+        spark = df.sparkSession
+        if table is not None:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def text_or_empty(col: str | Column) -> Column:

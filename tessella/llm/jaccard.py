@@ -24,6 +24,8 @@ are those of either text; a null id keeps a null component; an empty table gives
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -32,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, arrow_schema, bucketed, release, task_count, written
+from .common import arrow_batch, arrow_schema, bucketed, discard, release, task_count, written
 from .components import components
 
 WORDS = 5
@@ -75,6 +77,11 @@ def word_hashes(words: list[str]) -> np.ndarray:
     return np.array(out, np.uint64)
 
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(FINISH)
+    return h ^ (h >> np.uint64(29))
+
+
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text (nulls as empty)."""
     out: list[np.ndarray] = []
@@ -88,18 +95,21 @@ def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
         at = split.offsets.to_numpy()
         at = np.concatenate([[0], np.cumsum(real)])[at - at[0]]
         own = own[real]
+        # all shingles of the slice at once; those that reach over the end of a text are not taken
+        h = own[: max(0, len(own) - words + 1)] + np.uint64(words)
+        for j in range(1, words):
+            h = h * np.uint64(MULTIPLIER) + own[j: j + len(h)]
+        h = mixed(h)
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            n = b - a
-            if not n:
+            if b - a >= words:
+                out.append(np.unique(h[a: b - words + 1]))
+            elif b > a:
+                one = own[a: a + 1] + np.uint64(b - a)
+                for j in range(a + 1, b):
+                    one = one * np.uint64(MULTIPLIER) + own[j: j + 1]
+                out.append(mixed(one))
+            else:
                 out.append(np.zeros(0, np.uint64))
-                continue
-            k = min(words, n)
-            h = own[a: b - k + 1] + np.uint64(k)
-            for j in range(1, k):
-                h = h * np.uint64(MULTIPLIER) + own[a + j: b - k + 1 + j]
-            h = h ^ (h >> np.uint64(31))
-            h = h * np.uint64(FINISH)
-            out.append(np.unique(h ^ (h >> np.uint64(29))))
     return out
 
 
@@ -150,15 +160,17 @@ def _survey(docs: DataFrame, words: int) -> tuple[DataFrame, Sketch]:
         counts, seen = np.zeros((2, SKETCH), np.int64), set()
         part = TaskContext.get().partitionId()
         for b in batches:
-            rows = []
-            for d, s in zip(b.column("id").to_pylist(), (s for at in range(0, b.num_rows, 1000) for s in shingle_sets(b.column("text").slice(at, 1000), words)), strict=True):
-                k = xxhash.xxh3_128_intdigest(s.tobytes()) if len(s) else 0
-                rows.append((d, len(s), (k & (1 << 64) - 1) - (1 << 63), (k >> 64) - (1 << 63), None, None, None))
-                if len(s) and k not in seen:
-                    seen.add(k)
-                    for row, at in zip(counts, Sketch.places(s), strict=True):
-                        np.add.at(row, at, 1)
-            yield arrow_batch(rows, kinds)
+            for first in range(0, b.num_rows, 1000):
+                some, rows, new = b.slice(first, 1000), [], [np.zeros(0, np.uint64)]
+                for d, s in zip(some.column("id").to_pylist(), shingle_sets(some.column("text"), words), strict=True):
+                    k = xxhash.xxh3_128_intdigest(s.tobytes()) if len(s) else 0
+                    rows.append((d, len(s), (k & (1 << 64) - 1) - (1 << 63), (k >> 64) - (1 << 63), None, None, None))
+                    if len(s) and k not in seen:
+                        seen.add(k)
+                        new.append(s)
+                for row, at in zip(counts, Sketch.places(np.concatenate(new)), strict=True):
+                    row += np.bincount(at, minlength=SKETCH)
+                yield arrow_batch(rows, kinds)
         release()
         flat = counts.reshape(-1, BLOCK)
         yield arrow_batch([(None, None, None, None, i, part, flat[i].astype("<i8").tobytes()) for i in np.flatnonzero(flat.any(1)).tolist()], kinds)
@@ -203,13 +215,15 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
         release()
 
     pairs = written(pairs.select("a", "b"), "pairs")
-    involved = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "involved")
+    held = involved = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "involved")
     if involved.count() <= FEW_IDS:  # 16 MB of ids at most; beyond that the join shuffles
         involved = F.broadcast(involved)
     sets = written(docs.join(involved, "id", "left_semi").mapInArrow(as_sets, "id long, s binary"), "sets")
     full = (pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
             .join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b"))
-    return written(full.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long"), "links")
+    links = written(full.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long"), "links")
+    discard(pairs, sets, held)
+    return links
 
 
 def _conditions(percent: int) -> tuple[Column, Column, Column, Column]:
@@ -325,9 +339,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = bucketed(rows, "token", tasks, "prefixes")
     shared = rows.groupBy("token").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low < high").select("token")
     lists = rows.join(shared.hint("shuffle_hash"), "token").dropDuplicates(["token", "k1"])
-    lists = written(lists.join(nodes.select("k1", "node", "n"), "k1").select("token", "node", "n", "p"), "lists")
-    held = lists.groupBy("node").agg(F.count("*").alias("k"))
-    lists = written(lists.join(held, "node"), "lists")  # k: how many of its prefix tokens a node shares with any other
+    named = written(lists.join(nodes.select("k1", "node", "n"), "k1").select("token", "node", "n", "p"), "lists")
+    discard(rows)
+    held = named.groupBy("node").agg(F.count("*").alias("k"))
+    lists = written(named.join(held, "node"), "lists")  # k: how many of its prefix tokens a node shares with any other
+    discard(named)
 
     size_ok, needed, rests, may_at_best = _conditions(percent)
     may = F.col("c") + rests >= needed
@@ -338,7 +354,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return written(lists.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
 
     # star rounds: the members of a list against a leader of another component, the most central one
-    placed, links, first_heads, heads = placed_by(None), None, None, None
+    placed, links, first_heads, heads, comps = placed_by(None), [], None, None, None
     for _ in range(STAR_ROUNDS):
         left = placed
         if heads is not None:
@@ -354,8 +370,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 .join(lists.select(F.col("node").alias("b"), "token"), ["token", "b"])
                 .groupBy("a", "b").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"), F.first("p").alias("p"), F.first("q").alias("q")))
         new = _verified(star.where(may), docs, words, percent)
-        links = new if links is None else links.unionByName(new)
-        placed = placed_by(written(components(links), "components"))
+        links.append(new)
+        discard(comps, placed)
+        comps = written(components(reduce(DataFrame.unionByName, links)), "components")
+        placed = placed_by(comps)
         heads = heads.drop("hc")
         if new.isEmpty():
             break
@@ -364,12 +382,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     inner = first_heads.select("token", "b").join(placed.select("token", F.col("node").alias("b"), F.col("component").alias("head")), ["token", "b"]).select("token", "head")
     marked = placed.join(inner, "token").withColumn("out", F.col("component") != F.col("head")).drop("head")
     sizes = marked.groupBy("token").agg(F.count("*").alias("members"), F.count_if("out").alias("outs")).where("outs > 0")
-    marked = written(marked.join(sizes, "token"), "mixed")
+    marked = mixed_lists = written(marked.join(sizes, "token"), "mixed")
     short = marked.where(F.col("members") <= LONG_LIST)
     # a pair whose shared tokens all have short lists is counted there; one that meets in a long list is counted in blocks of it
     pairs = _short_list_pairs(short, percent).unionByName(_long_list_pairs(marked.where(F.col("members") > LONG_LIST), lists, percent)).distinct()
     more = _verified(pairs, docs, words, percent)
-    found = written(components(links.unionByName(more)), "components")
+    found = written(components(reduce(DataFrame.unionByName, [*links, more])), "components")
+    discard(*links, more, lists, placed, comps, mixed_lists)
 
     return (survey.join(nodes.select("k1", "k2", "node"), ["k1", "k2"], "left").join(found, "node", "left")
             .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "node", "id").alias("component_id")))

@@ -56,6 +56,23 @@ def test_bpe_equals_library(spark, sf_dir, library):
     assert all(coder.decode(m) == library.decode(m, skip_special_tokens=False) for m in mine)
 
 
+def test_bpe_any_added_token(library):
+    """Strings of added tokens are found whatever they look like."""
+    import json
+
+    from tokenizers import AddedToken, Tokenizer
+
+    spec = json.loads(open(queries.vocabulary(), encoding="utf-8").read())
+    top = max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])])
+    own = Tokenizer.from_str(json.dumps(spec))
+    own.add_special_tokens([AddedToken("[SEP.]", normalized=False)])
+    spec["added_tokens"].append({**spec["added_tokens"][0], "id": own.token_to_id("[SEP.]"), "content": "[SEP.]"})
+    assert own.token_to_id("[SEP.]") == top + 1
+    coder = bpe.WordBpe(json.dumps(spec))
+    texts = ["one[SEP.]two", "[SEP.]", "three [SEPx] four", "<|endoftext|>[SEP.]five"]
+    assert coder.encode(texts) == [e.ids for e in own.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_bpe_verification_finds_every_wrong_guess():
     coder = bpe.WordBpe(open(queries.vocabulary(), encoding="utf-8").read())
     rng = random.Random(2)
@@ -121,6 +138,20 @@ def test_records_edges_and_index(spark, odd, empty):
     assert none.count() == 0 and records.read_records(spark, none, lambda ids: (0,), "x int").count() == 0
 
 
+def test_records_order_of_many_files(spark):
+    """Files are in the order of their number, not of their name: part-100000 comes after part-99999."""
+    rows = [(f"part-{n:05d}", n, n, 1, 10, 0, "x") for n in (99_998, 99_999, 100_000, 100_001)]
+    files = spark.createDataFrame(rows, "file string, number int, first_id long, n_docs long, n_tokens long, bytes long, folder string")
+    before = records.tokens_before(files)
+    assert [(r.number, r.before) for r in before.orderBy("number").collect()] == [(n, 10 * i) for i, n in enumerate((99_998, 99_999, 100_000, 100_001))]
+
+
+def test_records_refuse_the_id_that_stands_for_none(spark):
+    d = spark.createDataFrame([(records.NO_ID, "x")], "doc_id long, text string")
+    with pytest.raises(Exception, match="stands for no id"):
+        records.write_records(d, queries.vocabulary(), tasks=1)
+
+
 def test_records_find_damage():
     rec = records.frame(5, np.array([1, 2, 3]), 2)
     assert records.unframe(rec)[0] == 5 and records.unframe(rec)[1].tolist() == [1, 2, 3] and records.unframe(rec)[2] == len(rec)
@@ -775,8 +806,9 @@ def test_toxicity_held_out(spark):
         rows.append((i, " ".join(w)))
         labels.append((i, int(y)))
     d, q = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    plain = toxicity.fit(d, q, allowed=toxicity.may_train(F.col("doc_id")), mined_words=0)
     model = toxicity.fit(d, q, allowed=toxicity.may_train(F.col("doc_id")))
-    assert "zorgling" in model.mined
+    assert "zorgling" in model.mined and not plain.mined
     held = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 3 == 1}
     got = {r.doc_id: r.score for r in toxicity.score(d, model).collect()}
     assert len(got) == 900 and all(0 <= s <= 1 for s in got.values())
@@ -786,6 +818,58 @@ def test_toxicity_held_out(spark):
     assert sum(i % 6 == 0 for i in kept) < 15 and sum(i % 6 != 0 for i in kept) == 750
 
 
+def test_toxicity_folds_do_not_see_their_labels(spark, monkeypatch):
+    """A word of one toxic document each tells nothing: held-out margins stay low, so no text is scored high by it."""
+    rng = random.Random(34)
+    rows, labels = [], []
+    for i in range(600):
+        y = i % 5 == 0
+        rows.append((i, prose(rng, 30) + (f" mark{i // 40}" if y else "")))
+        labels.append((i, int(y)))
+    d, q = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    seen = []
+    real = toxicity.Model.__init__
+
+    def spy(self, mined, x, y, fold, held):
+        seen.append((x, y, fold, held))
+        real(self, mined, x, y, fold, held)
+
+    monkeypatch.setattr(toxicity.Model, "__init__", spy)
+    toxicity.fit(d, q, least_z=2.0)
+    x, y, fold, held = seen[0]
+    assert sorted(set(fold.tolist())) == list(range(toxicity.FOLDS)) and len(held) == toxicity.FOLDS
+    assert any((held[k] != x).any() for k in range(toxicity.FOLDS))
+
+
+def test_features_against_plain():
+    f = toxicity.Features({"zorg": 2.0, "zorgl-": 1.5}, {})
+    names = [*toxicity.NAMES, *toxicity.MINED_NAMES, *(f"{n}2" for n in toxicity.MINED_NAMES)]
+    got = dict(zip(names, f.row("YOU are an idiot, you id!ot!! zorgling zorg?\nSooo stupiiid"), strict=True))
+    words = "YOU are an idiot, you id!ot!! zorgling zorg? Sooo stupiiid".split()
+    assert got["lex_count"] == 3 and got["lex_density"] == 3 / len(words) and got["obfuscated_count"] == 2
+    assert got["second_density"] == 2 / len(words) and got["second_near"] == 3 and got["second_distance"] == 1
+    assert got["exclaims"] == 2 / len(words) and got["questions"] == 1 / len(words) and got["caps_words"] == 1 / len(words)
+    assert got["mined_count"] == 2 and got["mined_weight"] == 3.5 and got["mined_max"] == 2.0 and got["mined_count2"] == 0
+    assert f.row("") == [0.0] * len(names)
+
+
+def test_trees_against_plain_walks():
+    """Scores of the fitted trees, node by node and row by row."""
+    rng = np.random.default_rng(35)
+    x = rng.integers(0, 6, (200, 3)).astype(float)
+    y = (x[:, 0] + x[:, 1] > 5).astype(float)
+    t = toxicity.Trees(12).fit(x, y)
+    for row, got in zip(x, t.margin(x), strict=True):
+        bins = [int((c < v).sum()) for c, v in zip(t.cuts, row, strict=True)]
+        want = t.start
+        for tree in t.trees:
+            node = 0
+            while node in tree["feature"]:
+                node = 2 * node + 1 + (bins[tree["feature"][node]] > tree["cut"][node])
+            want += tree["value"][node]
+        assert abs(want - got) < 1e-9
+
+
 def test_toxicity_edges(spark, odd, empty):
     none = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int")
     model = toxicity.fit(odd, none)
@@ -798,7 +882,7 @@ def test_toxicity_edges(spark, odd, empty):
 
 def test_decontamination_against_plain(spark):
     rng = random.Random(15)
-    items = [(k, prose(rng, n)) for k, n in enumerate((8, 15, 23, 40, 59, 5))] + [(90, None), (91, "")]
+    items = [(k, prose(rng, n)) for k, n in enumerate((7, 15, 23, 40, 59, 5))] + [(90, None), (91, "")]
     docs = []
     for i in range(80):
         w = prose(rng, 60).split()
@@ -817,7 +901,7 @@ def test_decontamination_against_plain(spark):
             p = decontam.words_of(it)
             if not p:
                 continue
-            limit = int(0.15 * len(p)) if len(p) >= 8 else 0
+            limit = int(0.15 * len(p))
             best = [0] * (len(w) + 1)
             for i, a in enumerate(p, 1):
                 prev, best[0] = best[0], i
@@ -827,7 +911,7 @@ def test_decontamination_against_plain(spark):
                 want.add((doc, k, min(best)))
     got = {(r.doc_id, r.item_id, r.distance) for r in decontam.find_leaks(d, q).collect()}
     assert got == want and len(want) > 40
-    assert got == {(r.doc_id, r.item_id, r.distance) for r in decontam.find_leaks(d, q, block_bytes=100).collect()}
+    assert got == {(r.doc_id, r.item_id, r.distance) for r in decontam.find_leaks(d, q, block_bytes=100, pass_blocks=2).collect()}
     kept = {r.doc_id for r in decontam.remove_leaking(d, q).collect()}
     assert kept == {i for i, _ in docs} - {x for x, *_ in want}
 

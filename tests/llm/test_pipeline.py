@@ -26,7 +26,7 @@ def test_stages(spark, sf_dir):
     assert ids[2] == {c for _, c in comps.values()}
 
     items = [(r.item_id, r.text) for r in read_table(spark, sf_dir, "benchmark").collect()]
-    m = decontam.Matcher(items, decontam.EDIT_RATE, decontam.MIN_WORDS)
+    m = decontam.Matcher(items, decontam.EDIT_RATE)
     assert ids[3] == {d for d in ids[2] if not m.hits(texts[d])}
 
     after = {r.doc_id: r for r in seen[4].collect()}
