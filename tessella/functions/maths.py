@@ -53,8 +53,8 @@ def oom_error(x: Column, y: Column) -> Column:
 
 
 def bit_accuracy(x: Column, y: Column) -> Column:
-    """Bits that x and y agree in: -log2 of their relative difference."""
-    return F.when(x == y, F.lit(53.0)).otherwise(-F.log2(F.abs(x - y) / F.greatest(F.abs(x), F.abs(y))))
+    """Bits that x and y agree in: -log2 of the orders of magnitude between them, infinite for equal ones."""
+    return F.when(x == y, F.lit(float("inf"))).otherwise(-F.log2(oom_error(x, y)))
 
 
 def abs_diff(x: Column, y: Column, kind: str = "number") -> Column:
@@ -70,6 +70,15 @@ def root(base: Column, power: Column) -> Column:
     return F.pow(base.cast("double"), 1 / power.cast("double"))
 
 
+def erf(x: Column, terms: int = 120) -> Column:
+    """The error function to full precision: a series of positive terms up to |x| = 6, beyond which it is 1 or -1."""
+    z = F.least(F.abs(x.cast("double")), F.lit(6.0))
+    start = F.struct(z.alias("total"), z.alias("term"))
+    # the n-th term is the one before times 2 z^2 / (2 n + 1)
+    done = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), start, lambda s, n: F.struct((s["total"] + s["term"] * 2 * z * z / (2 * n + 1)).alias("total"), (s["term"] * 2 * z * z / (2 * n + 1)).alias("term")))
+    return F.when(F.abs(x) >= 6, F.signum(x)).otherwise(F.signum(x) * done["total"] * F.exp(-z * z) * (2 / math.sqrt(math.pi)))
+
+
 def product(values: Column) -> Column:
     return F.aggregate(values, F.lit(1.0), lambda a, x: a * x.cast("double"))
 
@@ -86,13 +95,18 @@ def chebyshev_mesh(spark: SparkSession, n: int, d: int) -> DataFrame:
 
 
 def polar_mesh(spark: SparkSession, n: int) -> DataFrame:
-    """Weakly admissible mesh of the disc: angles by radii cos(pi j / n)."""
-    return spark.range(n + 1).select(F.cos(F.col("id") * math.pi / n).alias("r")).crossJoin(spark.range(n + 1).select((F.col("id") * math.pi / (n + 1)).alias("a"))).select((F.col("r") * F.cos("a")).alias("x0"), (F.col("r") * F.sin("a")).alias("x1"))
+    """Weakly admissible mesh of the disc in the unit box: the centre and n - 1 rings of 2 n + 1 angles, radii (1 + cos(pi j / n)) / 2."""
+    rings = spark.range(1, max(1, n)).select(((1 + F.cos(F.col("id") * math.pi / n)) / 2).alias("r"))
+    turns = spark.range(2 * n + 1).select((F.col("id") * (2 * math.pi) / (2 * n + 1)).alias("a"))
+    # both sides are as small as the mesh that is asked for
+    points = rings.crossJoin(turns).select((F.col("r") * F.cos("a")).alias("x0"), (F.col("r") * F.sin("a")).alias("x1"))
+    centre = spark.range(1).select(F.lit(0.0).alias("x0"), F.lit(0.0).alias("x1"))
+    return centre.unionByName(points).select(((F.col("x0") + 1) / 2).alias("x0"), ((F.col("x1") + 1) / 2).alias("x1"))
 
 
 def box_mesh_nodes(spark: SparkSession, n: int) -> DataFrame:
-    """Weakly admissible mesh of the square: Chebyshev-Lobatto nodes crossed."""
-    one = spark.range(n + 1).select(F.cos(F.col("id") * math.pi / n).alias("x"))
+    """Weakly admissible mesh of the unit square: n + 1 nodes (1 + cos(pi j / n)) / 2 crossed."""
+    one = spark.range(n + 1).select(((1 + F.cos(F.col("id") * math.pi / n)) / 2).alias("x"))
     return one.select(F.col("x").alias("x0")).crossJoin(one.select(F.col("x").alias("x1")))
 
 
@@ -135,24 +149,47 @@ def _fold(x: Column, f) -> Column:
     return F.aggregate(F.transform(x, f), F.lit(0.0), lambda a, v: a + v)
 
 
-def cosine_norm(x: Column) -> Column:
-    return F.cos(F.sqrt(_fold(x, lambda v: v * v)))
+def cosine_norm(x: Column, radius: float = 1.0, peaks: int = 2, power: float = 1.0) -> Column:
+    """cos(|x / radius| ** power * (2 peaks - 1) * pi): `peaks` tops between the middle and the radius."""
+    return F.cos(F.pow(F.sqrt(_fold(x, lambda v: (v / radius) * (v / radius))), F.lit(float(power))) * (max(0, 2 * peaks - 1) * math.pi))
+
+
+def _share(value: Column, x: Column, top: float) -> Column:
+    """A sum over coordinates as a share of the greatest that [-1, 1] allows."""
+    return value / (F.size(x) * F.lit(float(top)))
+
+
+def steep(x: Column, k: int = 2) -> Column:
+    """Sum of |x| ** (2 k / (2 k - 1)): less than quadratic, suddenly steep beside the solution at 0 ("mejr")."""
+    return _share(_fold(x, lambda v: F.pow(F.abs(v), F.lit(2 * k / (2 * k - 1)))), x, 1)
+
 
+def basin(x: Column, k: int = 2) -> Column:
+    """Sum of x ** (2 k): flat round the solution at 0."""
+    return _share(_fold(x, lambda v: F.pow(v, F.lit(2.0 * k))), x, 1)
 
-def basin(x: Column) -> Column:
-    return _fold(x, lambda v: v * v)
 
+def saddle(x: Column, s: float = 0.75) -> Column:
+    """Saddle points at +-s, solution at 0; scaled by its value at 1 for s = 0.75."""
+    return _share(_fold(x, lambda v: s**4 * v * v / 2 - s**2 * F.pow(v, F.lit(4.0)) / 2 + F.pow(v, F.lit(6.0)) / 6), x, 1 / 6 - 0.75**2 / 2 + 0.75**4 / 2)
 
-def saddle(x: Column) -> Column:
-    return F.aggregate(F.transform(x, lambda v, i: F.when(i % 2 == 0, v * v).otherwise(-v * v)), F.lit(0.0), lambda a, v: a + v)
 
+def many_minima(x: Column, m: int = 3, a: float = 2.0) -> Column:
+    """The Chebyshev polynomial of degree 2 m, which has m minima on either side, over a quadratic; solution at 0 ("multimin")."""
+    def one(v):
+        before, now = F.lit(1.0), v
+        for _ in range(2, 2 * m + 1):
+            before, now = now, 2 * v * now - before
+        return 1 + a * v * v + now
 
-def many_minima(x: Column) -> Column:
-    return _fold(x, lambda v: v * v + 0.5 * (1 - F.cos(4 * math.pi * v)))
+    return _share(_fold(x, one), x, 4)
 
 
-def weierstrass(x: Column, terms: int = 8) -> Column:
-    return _fold(x, lambda v: sum((0.5**k * F.cos(3.0**k * math.pi * v) for k in range(1, terms)), F.cos(math.pi * v)))
+def weierstrass(x: Column, k: int = 10, a: float = 0.5, b: int = 3) -> Column:
+    """k + 1 terms of a function that is nowhere differentiable in the limit, moved so that its solution is 0."""
+    terms = [(a**i, math.pi * b**i) for i in range(k + 1)]
+    rest = sum(w * math.cos(t) for w, t in terms)
+    return _share(_fold(x, lambda v: sum((w * F.cos(t * (v + 1)) for w, t in terms), F.lit(-rest))), x, 3.998046875)
 
 
 def skewed(x: Column, power: float = 2.0) -> Column:

@@ -35,8 +35,10 @@ def parallel_map(spark: SparkSession, function: Callable[[Any], Any], items: Ite
 
 
 def split_rows(df: DataFrame, count: int, key: str) -> DataFrame:
-    """Add `part`: rows dealt to `count` parts by their key's hash."""
-    return df.withColumn("part", F.pmod(F.xxhash64(key), F.lit(count)).cast("int"))
+    """Add `part`: rows dealt in turn to `count` parts, in the order of the key."""
+    from tessella.operators.frame import numbered
+
+    return numbered(df, [key], "_place").withColumn("part", (F.col("_place") % count).cast("int")).drop("_place")
 
 
 def map_column(df: DataFrame, column: str, function: Callable[[Any], Any], name: str, result: str = "string") -> DataFrame:

@@ -6,12 +6,16 @@ or category, not over all rows in one task.
 
 from __future__ import annotations
 
+import math
+
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.functions.maths import erf
+
 from .ordered import scan
 
 
@@ -77,11 +81,7 @@ def normal_ks(df: DataFrame, column: str) -> DataFrame:
     v = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("x")).agg(F.count("*").alias("c"))
     run = scan(v, ["x"], sums={"upto": F.col("c")}).crossJoin(F.broadcast(v.agg(F.sum("c").alias("n"))))  # one row
     e = F.col("upto") / F.col("n")
-    # error function by its rational approximation of 1.5e-7 (Abramowitz and Stegun 7.1.26)
-    z = F.abs(F.col("x")) / F.sqrt(F.lit(2.0))
-    t = 1 / (1 + 0.3275911 * z)
-    erf = 1 - (((((1.061405429 * t - 1.453152027) * t) + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t * F.exp(-z * z)
-    cdf = F.when(F.col("x") >= 0, (1 + erf) / 2).otherwise((1 - erf) / 2)
+    cdf = (1 + erf(F.col("x") / math.sqrt(2.0))) / 2
     d = run.select(F.greatest(F.abs(e - cdf), F.abs(e - F.col("c") / F.col("n") - cdf)).alias("d"), "n")
     return d.agg(F.max("d").alias("ks"), F.first("n").alias("n")).withColumn("p_value", ks_p_value(F.col("ks"), F.col("n")))
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -95,24 +97,77 @@ def gauss_smooth(at: DataFrame, nodes: DataFrame, column: str, deviation: float,
     return at.join(got, at[column].eqNullSafe(got["_c"]), "left").drop("_c")
 
 
+#: Candidate breaks that come to the driver at a time.
+BREAK_PAGE = 10_000
+
+
+def _steps(nodes: DataFrame) -> DataFrame:
+    """(x0, p0, x, p, s): steps between neighbouring values and their slopes; the leading point begins none."""
+    n = scan(nodes.select(F.col("x").cast("double").alias("x"), F.col("p").cast("double").alias("p")), ["x"], lags={"x0": F.col("x"), "p0": F.col("p")})
+    return n.where("p0 > 0").withColumn("s", (F.col("p") - F.col("p0")) / (F.col("x") - F.col("x0")))
+
+
+def break_candidates(nodes: DataFrame) -> DataFrame:
+    """(low, high, below, above) of each step of a CDF that is flatter than the steps beside it; its break is the middle."""
+    n = _steps(nodes)
+    n = scan(n, ["x"], lags={"before": F.col("s")})
+    n = scan(n.withColumn("o", -F.col("x")), ["o"], lags={"after": F.col("s")})
+    inner = n.where("s < before and s < after")
+    return inner.select(F.col("x0").alias("low"), F.col("x").alias("high"), F.col("p0").alias("below"), F.col("p").alias("above"))
+
+
+def chosen_breaks(candidates: list[tuple[float, float, float, float]], error: float, breaks: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """`breaks` (x, p) with those of the candidates, in their order, that leave `2 * error` of the mass on both sides of the interval they cut."""
+    out = sorted(breaks)
+    for low, high, below, above in candidates:
+        x, p = (low + high) / 2, (below + above) / 2
+        k = bisect_right(out, (x, p))
+        if 0 < k < len(out) and min(out[k][1] - p, p - out[k - 1][1]) >= 2 * error:
+            insort(out, (x, p))
+    return out
+
+
 def modes(nodes: DataFrame, error: float) -> DataFrame:
-    """Intervals of a CDF between local minima of its slope, each with at least 2 * error of the mass on both sides.
+    """(mode, low, high, mass, peak): intervals of a linear CDF between breaks, `peak` the middle of its steepest step.
 
-    Cuts are taken from the flattest on; nodes are few here: what comes to the driver is the list of
-    local minima of at most a thousand smoothed steps.
+    Breaks are the middles of steps that are flatter than those beside them, the widest step first, as long as both sides of the
+    interval that is cut hold twice the sampling error. Candidates come to the driver in pages of the widest; a page already
+    leaves out what the breaks so far rule out, so there are few pages: breaks number 1 / (2 * error) at most.
     """
-    grid = nodes.sparkSession.range(1, 1001).select((F.col("id") / 1001).alias("q"))
-    xs = [(r.q, r.x) for r in inverse_eval(grid, nodes, "q").orderBy("q").collect()]
-    slope = [(b[0] - a[0]) / max(b[1] - a[1], 1e-300) for a, b in zip(xs, xs[1:], strict=False)]
-    cuts: list[float] = []
-    for i in sorted(range(1, len(slope) - 1), key=lambda i: slope[i]):
-        q = xs[i][0]
-        if slope[i] <= slope[i - 1] and slope[i] <= slope[i + 1] and all(abs(q - c) >= 2 * error for c in [0.0, 1.0, *cuts]):
-            cuts.append(q)
-    edges = [0.0, *sorted(cuts), 1.0]
-    place = {q: x for q, x in xs}
-    rows = [(i, place.get(a, xs[0][1] if a == 0 else None), place.get(b, xs[-1][1] if b == 1 else None), b - a) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
-    return nodes.sparkSession.createDataFrame(rows, "mode int, low double, high double, mass double")
+    spark = nodes.sparkSession
+    low, high = nodes.where("p > 0").agg(F.min("x"), F.max("x")).first()
+    if low is None:
+        return spark.createDataFrame([], "mode int, low double, high double, mass double, peak double")
+    breaks = [(float(low), 0.0), (float(high), 1.0)]
+    all_ = break_candidates(nodes).withColumn("w", F.col("high") - F.col("low")).persist()
+    last = None
+    while True:
+        page = all_ if last is None else all_.where((F.col("w") < last[0]) | ((F.col("w") == last[0]) & (F.col("low") > last[1])))
+        p = (F.col("below") + F.col("above")) / 2
+        free = []
+        for (_, a), (_, b) in zip(breaks, breaks[1:], strict=False):
+            if b - a >= 4 * error:
+                free.append((p - a >= 2 * error) & (b - p >= 2 * error))
+        if not free:
+            break
+        page = page.where(reduce(lambda u, v: u | v, free))
+        rows = page.orderBy(F.desc("w"), "low").limit(BREAK_PAGE).collect()
+        breaks = chosen_breaks([(r.low, r.high, r.below, r.above) for r in rows], error, breaks)
+        if len(rows) < BREAK_PAGE:
+            break
+        last = (rows[-1].w, rows[-1].low)
+    all_.unpersist()
+    return _peaks(nodes, breaks)
+
+
+def _peaks(nodes: DataFrame, breaks: list[tuple[float, float]]) -> DataFrame:
+    spark, steps = nodes.sparkSession, _steps(nodes)
+    middle = (F.col("x") + F.col("x0")) / 2
+    cuts = F.array(*[F.lit(x) for x, _ in breaks[1:-1]]).cast("array<double>")
+    placed = steps.withColumn("mode", F.size(F.filter(cuts, lambda c: c <= middle)))
+    peak = placed.groupBy("mode").agg(F.min(F.struct((-F.col("s")).alias("s"), middle.alias("m"))).alias("best")).select("mode", F.col("best.m").alias("peak"))
+    rows = [(i, a[0], b[0], b[1] - a[1]) for i, (a, b) in enumerate(zip(breaks, breaks[1:], strict=False))]
+    return spark.createDataFrame(rows, "mode int, low double, high double, mass double").join(F.broadcast(peak), "mode", "left").orderBy("mode")
 
 
 def histogram_pdf(value: Column, low: Column, width: Column) -> Column:

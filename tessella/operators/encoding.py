@@ -6,6 +6,7 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -176,15 +177,30 @@ def product(column: str) -> Column:
     return F.product(column)
 
 
-def covariance(df: DataFrame, columns: list[str]) -> np.ndarray:
-    """Population covariance matrix from one aggregate; what comes to the driver is its entries."""
+#: Up to so many columns their products are expressions of one aggregate; more would be thousands of expressions.
+FEW_COLUMNS = 8
+
+
+def second_moments(df: DataFrame, columns: list[str], centred: bool) -> np.ndarray:
+    """Mean products of columns, of differences from their means if `centred`; rows with a null are left out.
+
+    One aggregate of a few columns, else sums of matrices of batches; what comes to the driver has a number for each pair.
+    """
     d = len(columns)
-    one = df.agg(*[F.covar_pop(a, b).alias(f"c{i}_{j}") for i, a in enumerate(columns) for j, b in enumerate(columns[: i + 1])]).first()
-    m = np.zeros((d, d))
-    for i in range(d):
-        for j in range(i + 1):
-            m[i, j] = m[j, i] = one[f"c{i}_{j}"] or 0.0
-    return m
+    if d > FEW_COLUMNS:
+        from .models import Rows
+
+        rows = Rows(df, columns, columns[0])
+        mean = rows.moments()[0] if centred else np.zeros(d)
+        return rows.sums(lambda x, _: [(x - mean).T @ (x - mean)])[0] / rows.n
+    pair = F.covar_pop if centred else lambda a, b: F.avg(F.col(a) * F.col(b))
+    one = df.dropna(subset=columns).agg(*[pair(a, b).alias(f"c{i}_{j}") for i, a in enumerate(columns) for j, b in enumerate(columns[: i + 1])]).first()
+    return np.array([[one[f"c{max(i, j)}_{min(i, j)}"] or 0.0 for j in range(d)] for i in range(d)])
+
+
+def covariance(df: DataFrame, columns: list[str]) -> np.ndarray:
+    """Population covariance matrix."""
+    return second_moments(df, columns, True)
 
 
 def pca(df: DataFrame, columns: list[str], n: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -199,9 +215,23 @@ def pca(df: DataFrame, columns: list[str], n: int | None = None) -> tuple[np.nda
 
 
 def project(df: DataFrame, columns: list[str], matrix: np.ndarray, prefix: str = "pc") -> DataFrame:
-    """Add one column for each row of a matrix: the row times the columns."""
-    made = {f"{prefix}{i + 1}": sum((F.col(c) * float(w) for c, w in list(zip(columns, row, strict=True))[1:]), F.col(columns[0]) * float(row[0])) for i, row in enumerate(matrix)}
-    return df.withColumns(made)
+    """Add one column for each row of a matrix: the row times the columns. Many weights are multiplied in batches, not as expressions."""
+    if matrix.size <= FEW_COLUMNS**2:
+        made = {f"{prefix}{i + 1}": sum((F.col(c) * float(w) for c, w in list(zip(columns, row, strict=True))[1:]), F.col(columns[0]) * float(row[0])) for i, row in enumerate(matrix)}
+        return df.withColumns(made)
+    names = [f"{prefix}{i + 1}" for i in range(len(matrix))]
+    df = df.drop(*names)
+    turned = np.ascontiguousarray(matrix.T)
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                x = np.stack([b.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in columns], 1) @ turned
+                for i, name in enumerate(names):
+                    b = b.append_column(name, pa.array(x[:, i], pa.float64(), from_pandas=True))
+                yield b
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)]))
 
 
 def metric_pca(df: DataFrame, key: str, columns: list[str], value: str, count: int = 1000, n: int | None = None, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -213,8 +243,7 @@ def metric_pca(df: DataFrame, key: str, columns: list[str], value: str, count: i
     flat = pairs.select(*[F.col("direction")[i].alias(f"d{i}") for i in range(len(columns))])
     # directions have no sign: second moments about 0
     d = len(columns)
-    one = flat.agg(*[F.avg(F.col(f"d{i}") * F.col(f"d{j}")).alias(f"c{i}_{j}") for i in range(d) for j in range(i + 1)]).first()
-    m = np.array([[one[f"c{max(i, j)}_{min(i, j)}"] or 0.0 for j in range(d)] for i in range(d)])
+    m = second_moments(flat, flat.columns, False)
     values, vectors = np.linalg.eigh(m)
     order = np.argsort(-values)[: n or d]
     comps = vectors[:, order].T

@@ -168,19 +168,32 @@ def _local(queries: DataFrame, points: DataFrame, q_id: str, p_id: str, vec: str
     return queries.select(F.col(q_id).alias("query_id"), F.col(vec).alias("qv")).mapInArrow(run, f"query_id {qkind}, {p_id} {kind}, weight double")
 
 
-def voronoi_weights_of(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """max(0, 1 - greatest over other centres of the query's place on the way to it, twice), normalised."""
+def voronoi_weights_of(x: np.ndarray, q: np.ndarray, few: int = 48) -> np.ndarray:
+    """max(0, 1 - greatest over other centres of the query's place on the way to it, twice), normalised.
+
+    A centre is out as soon as one other centre says so. The ones nearest to the query rule out nearly all; only what they
+    leave is compared with every centre.
+    """
+    n = len(x)
     d2 = ((x - q) ** 2).sum(1)
     if d2.min() < 1e-24:
         w = (d2 < 1e-24).astype(float)
         return w / w.sum()
-    g, sq, xq = x @ x.T, (x * x).sum(1), x @ q
-    num = xq[None, :] - xq[:, None] - g + sq[:, None]  # (q - c) . (o - c)
-    den = sq[:, None] + sq[None, :] - 2 * g
-    np.fill_diagonal(den, 1.0)
-    ratio = num / np.where(den == 0, np.inf, den)
-    np.fill_diagonal(ratio, -np.inf)
-    w = np.maximum(0, 1 - np.maximum(ratio.max(1), 0))
+
+    def farthest(own: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """The greatest (q - c) . (o - c) / |o - c|^2 of each centre c over other centres o."""
+        c, o = x[own], x[others]
+        num = (o @ q)[None, :] - (c @ q)[:, None] - c @ o.T + (c * c).sum(1)[:, None]
+        den = (c * c).sum(1)[:, None] + (o * o).sum(1)[None, :] - 2 * c @ o.T
+        same = own[:, None] == others[None, :]
+        return np.where(same, -np.inf, num / np.where(same | (den == 0), np.inf, den)).max(1)
+
+    near = np.argpartition(d2, few)[:few] if n > few else np.arange(n)
+    left = np.flatnonzero(farthest(np.arange(n), near) < 1)
+    w = np.zeros(n)
+    for at in range(0, len(left), 256):
+        own = left[at: at + 256]
+        w[own] = np.maximum(0, 1 - np.maximum(farthest(own, np.arange(n)), 0))
     if not w.any():
         w[d2.argmin()] = 1
     return w / w.sum()
@@ -195,20 +208,27 @@ def voronoi_weights(queries: DataFrame, points: DataFrame, q_id: str, p_id: str,
 def box_widths(x: np.ndarray) -> np.ndarray:
     """(n, dims, 2): how far each point's box reaches down and up; infinite where no point bounds it.
 
-    Boxes grow to the nearest point by largest coordinate difference, one side at a time.
+    Boxes grow to the nearest point inside by largest coordinate difference, which ends its farthest side. Distances rise, so
+    each side is set once: after each the next point inside is looked up at once.
     """
     n, d = x.shape
     out = np.full((n, d, 2), np.inf)
+    axes = np.arange(d)
     for i in range(n):
         diff = x - x[i]
-        for j in np.argsort(np.abs(diff).max(1)).tolist():
-            if j == i:
-                continue
-            v = diff[j]
-            side = (v > 0).astype(int)
-            if all(abs(v[k]) < out[i, k, side[k]] for k in range(d)):  # inside the box so far: it ends at its farthest side
-                k = int(np.abs(v).argmax())
-                out[i, k, side[k]] = abs(v[k])
+        order = np.argsort(np.abs(diff).max(1), kind="stable")
+        diff = diff[order[order != i]]
+        reach, side = np.abs(diff), (diff > 0).astype(int)
+        at = 0
+        while at < len(diff):
+            inside = (reach[at:] < out[i][axes, side[at:]]).all(1)
+            step = int(inside.argmax())
+            if not inside[step]:
+                break
+            at += step
+            k = int(reach[at].argmax())
+            out[i, k, side[at, k]] = reach[at, k]
+            at += 1
     return out
 
 
@@ -325,11 +345,70 @@ def decision_tree(df: DataFrame, inputs: list[str], y: str, depth: int = 5):
     return model, lambda d: model.transform(va.transform(d)).drop("_features")
 
 
-def bounded_rows(df: DataFrame, inputs: list[str], y: str, limit: int = MAX_FIT_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """At most `limit` rows, those of least hash, as matrices: for solvers that need rows in one place."""
-    rows = df.select(*[F.col(c).cast("double") for c in inputs], F.col(y).cast("double").alias("_y")).dropna().orderBy(F.xxhash64(*inputs), *inputs).limit(limit).collect()
-    m = np.array([tuple(r) for r in rows], float).reshape(len(rows), len(inputs) + 1)
-    return m[:, :-1], m[:, -1]
+class Rows:
+    """All rows without nulls of a table as matrices (x, t), for solvers that need sums over them.
+
+    Up to `MAX_FIT_ROWS` rows, counted first, are held by the driver; more stay where they are and every sum is a pass over
+    them. Either way each row counts, and solvers take the same steps.
+    """
+
+    def __init__(self, df: DataFrame, inputs: list[str], y: str):
+        self.df = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(inputs)], F.col(y).cast("double").alias("t")).dropna()
+        self.inputs, self.n, self.held = len(inputs), self.df.count(), None
+        if not self.n:
+            raise ValueError("no row without nulls to fit on")
+        if self.n <= MAX_FIT_ROWS:
+            rows = self.df.orderBy(*self.df.columns).collect()
+            m = np.array([tuple(r) for r in rows], float).reshape(self.n, self.inputs + 1)
+            self.held = m[:, :-1], m[:, -1]
+
+    def sums(self, function) -> list[np.ndarray]:
+        """The sums over all rows of the arrays that `function(x, t)` returns for some of them."""
+        if self.held is not None:
+            return [np.asarray(a, float) for a in function(*self.held)]
+
+        def some(batches):
+            total = None
+            for b in batches:
+                if b.num_rows:
+                    m = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], 1)
+                    got = [np.asarray(a, float) for a in function(m[:, :-1], m[:, -1])]
+                    total = got if total is None else [u + v for u, v in zip(total, got, strict=True)]
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([[a.tobytes() for a in total]], pa.list_(pa.binary())), pa.array([[list(a.shape) for a in total]], pa.list_(pa.list_(pa.int32())))], names=["a", "s"])
+
+        def add(batches):
+            total, shapes = None, None
+            for b in batches:
+                for cells, dims in zip(b.column("a").to_pylist(), b.column("s").to_pylist(), strict=True):
+                    got = [np.frombuffer(c).reshape(d) for c, d in zip(cells, dims, strict=True)]
+                    total, shapes = (got if total is None else [u + v for u, v in zip(total, got, strict=True)]), dims
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([[np.ascontiguousarray(a).tobytes() for a in total]], pa.list_(pa.binary())), pa.array([shapes], pa.list_(pa.list_(pa.int32())))], names=["a", "s"])
+
+        kind = "a array<binary>, s array<array<int>>"
+        # two levels, so that the driver adds up the square root of the tasks' sums or so
+        parts = self.df.mapInArrow(some, kind)
+        got = parts.repartition(max(1, math.isqrt(max(1, self.df.rdd.getNumPartitions())))).mapInArrow(add, kind).collect()
+        out = None
+        for r in got:
+            one = [np.frombuffer(bytes(c)).reshape(d) for c, d in zip(r.a, r.s, strict=True)]
+            out = one if out is None else [u + v for u, v in zip(out, one, strict=True)]
+        return out
+
+    def moments(self) -> tuple[np.ndarray, np.ndarray, float, float]:
+        """(means of x, variances of x, mean of t, variance of t)."""
+        sx, st = self.sums(lambda x, t: [x.sum(0), t.sum()])
+        mx, mt = sx / self.n, float(st) / self.n
+        vx, vt = self.sums(lambda x, t: [((x - mx) ** 2).sum(0), ((t - mt) ** 2).sum()])
+        return mx, vx / self.n, mt, float(vt) / self.n
+
+    def quantiles(self, place: int, shares: list[float]) -> np.ndarray:
+        """Of an input by its place, or of t for -1: interpolated where rows are held, of 1 in 10,000 ranks otherwise."""
+        if self.held is not None:
+            return np.quantile(self.held[1] if place < 0 else self.held[0][:, place], shares)
+        name = "t" if place < 0 else f"x{place}"
+        return np.array(self.df.agg(F.percentile_approx(name, shares, 10_000).alias("q")).first().q)
 
 
 @dataclass
@@ -406,98 +485,131 @@ def _network_values(p, x):
 PREDICT = {"svr": _svr_values, "mars": _mars_values, "network": _network_values, "plrm": _network_values}
 
 
-def svr_fit(df: DataFrame, inputs: list[str], y: str, basis: str = "rbf", features: int = 200, epsilon: float = 0.01, steps: int = 400, l2: float = 1e-4, seed: int = 0) -> ArrayModel:
-    """Support-vector regression in random Fourier (rbf) or cubic features: the epsilon-insensitive loss by averaged gradient steps."""
-    x, t = bounded_rows(df, inputs, y)
-    rng = np.random.default_rng(seed)
-    mean, scale = x.mean(0), np.where(x.std(0) == 0, 1, x.std(0))
-    p = {"basis": basis, "mean": mean, "scale": scale, "freq": rng.standard_normal((x.shape[1], features)) / math.sqrt(x.shape[1]), "shift": rng.uniform(0, 2 * math.pi, features), "bias": float(np.median(t))}
-    size = features if basis == "rbf" else 1 + 3 * x.shape[1]
-    p["weights"] = np.zeros(size)
-    p0 = p | {"weights": np.eye(size), "bias": 0.0}
-    f = _svr_values(p0, x)
-    spread = max(t.std(), 1e-12)
-    g = (t - p["bias"]) / spread
-    a = f.T @ f / len(f) + l2 * np.eye(size)
-    w = np.linalg.solve(a, f.T @ g / len(f))
-    for _ in range(20):  # iteratively reweighted least squares of the epsilon-insensitive loss
-        e = g - f @ w
-        over = np.maximum(np.abs(e) - epsilon, 0)
-        u = np.where(over > 0, 1 / np.maximum(np.abs(e), 1e-6), 1e-3)
-        w = np.linalg.solve((f * u[:, None]).T @ f / len(f) + l2 * np.eye(size), (f * u[:, None]).T @ (g - epsilon * np.sign(e) * (over > 0)) / len(f))
+def svr_fit(df: DataFrame, inputs: list[str], y: str, basis: str = "rbf", features: int = 200, epsilon: float = 0.01, l2: float = 1e-4, seed: int = 0) -> ArrayModel:
+    """Support-vector regression in random Fourier (rbf) or cubic features: the epsilon-insensitive loss by reweighted least squares."""
+    rows, rng = Rows(df, inputs, y), np.random.default_rng(seed)
+    mean, var, _, spread = rows.moments()
+    d, bias, spread = rows.inputs, float(rows.quantiles(-1, [0.5])[0]), max(math.sqrt(spread), 1e-12)
+    p = {"basis": basis, "mean": mean, "scale": np.where(var == 0, 1, np.sqrt(var)), "freq": rng.standard_normal((d, features)) / math.sqrt(d), "shift": rng.uniform(0, 2 * math.pi, features), "bias": bias}
+    size = features if basis == "rbf" else 1 + 3 * d
+    own = p | {"weights": np.eye(size), "bias": 0.0}
+
+    def step(w):
+        """Normal equations of squares without weights `w`, else of the loss about them, by reweighted squares."""
+        def part(x, t):
+            f, g = _svr_values(own, x), (t - bias) / spread
+            if w is None:
+                return [f.T @ f, f.T @ g]
+            e = g - f @ w
+            over = np.maximum(np.abs(e) - epsilon, 0)
+            u = np.where(over > 0, 1 / np.maximum(np.abs(e), 1e-6), 1e-3)
+            return [(f * u[:, None]).T @ f, (f * u[:, None]).T @ (g - epsilon * np.sign(e) * (over > 0))]
+        a, b = rows.sums(part)
+        return np.linalg.solve(a / rows.n + l2 * np.eye(size), b / rows.n)
+
+    w = step(None)
+    for _ in range(20):
+        w = step(w)
     p["weights"] = w * spread
     return ArrayModel("svr", inputs, p)
 
 
 def mars_fit(df: DataFrame, inputs: list[str], y: str, max_bases: int = 15, interaction: int = 1, knots: int = 20) -> ArrayModel:
     """Adaptive regression splines: hinge pairs added greedily, then dropped by generalised cross-validation."""
-    x, t = bounded_rows(df, inputs, y)
-    terms: list[list[list[float]]] = []
-    cand = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, knots + 2)[1:-1])) for j in range(x.shape[1])]
+    rows = Rows(df, inputs, y)
+    _, _, middle, var = rows.moments()
+    knot_list = [np.unique(rows.quantiles(j, np.linspace(0, 1, knots + 2)[1:-1].tolist())) for j in range(rows.inputs)]
 
-    def solve(ts):
-        h = _hinges({"terms": ts}, x)
-        w = np.linalg.lstsq(h, t, rcond=None)[0]
-        return w, float(((t - h @ w) ** 2).sum())
+    def solved(gram: np.ndarray, cross: np.ndarray, total: float) -> tuple[np.ndarray, float]:
+        """Weights and the sum of squared errors from the normal equations."""
+        s = 1 / np.sqrt(np.maximum(np.diag(gram), 1e-300))
+        w = np.linalg.lstsq(gram * np.outer(s, s), cross * s, rcond=1e-12)[0] * s
+        return w, max(0.0, float(total - cross @ w))
 
-    best = solve(terms)[1]
+    terms: list[list[list[float]]] = []
+    total, best = var * rows.n, var * rows.n
     while len(terms) + 2 <= max_bases:
+        pairs = [[[*parent, [j, k, 1.0]], [*parent, [j, k, -1.0]]] for parent in [[], *[tm for tm in terms if len(tm) < interaction]]
+                 for j, ks in enumerate(knot_list) if not any(int(h[0]) == j for h in parent) for k in ks.tolist()]
+        if not pairs:
+            break
+
+        def part(x, t, terms=terms, pairs=pairs):
+            b, c = _hinges({"terms": terms}, x), _hinges({"terms": [tm for two in pairs for tm in two]}, x)[:, 1:]
+            t = t - middle
+            two = c.reshape(len(x), -1, 2)
+            return [b.T @ b, b.T @ c, np.einsum("npi,npj->pij", two, two), b.T @ t, c.T @ t]
+
+        bb, bc, cc, bt, ct = rows.sums(part)  # one pass tries all pairs of hinges
         top = None
-        for parent in [[], *[tm for tm in terms if len(tm) < interaction]]:
-            for j, ks in enumerate(cand):
-                if any(int(h[0]) == j for h in parent):
-                    continue
-                for k in ks.tolist():
-                    new = [*terms, [*parent, [j, k, 1.0]], [*parent, [j, k, -1.0]]]
-                    err = solve(new)[1]
-                    if top is None or err < top[0]:
-                        top = (err, new)
-        if top is None or top[0] > best * 0.999:
+        for i, two in enumerate(pairs):
+            at = slice(2 * i, 2 * i + 2)
+            err = solved(np.block([[bb, bc[:, at]], [bc[:, at].T, cc[i]]]), np.concatenate([bt, ct[at]]), total)[1]
+            if top is None or err < top[0]:
+                top = (err, [*terms, *two])
+        if top[0] > best * 0.999:
             break
         best, terms = top
-    gcv = lambda ts: solve(ts)[1] / max(1e-9, (1 - (1 + 2.5 * len(ts)) / len(t))) ** 2
-    keep = gcv(terms)
-    while terms:
-        tries = [terms[:i] + terms[i + 1:] for i in range(len(terms))]
-        scores = [gcv(ts) for ts in tries]
+
+    def whole(x, t):
+        h = _hinges({"terms": terms}, x)
+        return [h.T @ h, h.T @ (t - middle)]
+
+    gram, cross = rows.sums(whole)
+    held = list(range(len(terms)))
+
+    def gcv(places):
+        at = [0, *(i + 1 for i in places)]
+        return solved(gram[np.ix_(at, at)], cross[at], total)[1] / max(1e-9, (1 - (1 + 2.5 * len(places)) / rows.n)) ** 2
+
+    keep = gcv(held)
+    while held:
+        tries = [held[:i] + held[i + 1:] for i in range(len(held))]
+        scores = [gcv(h) for h in tries]
         if min(scores) > keep:
             break
-        keep, terms = min(scores), tries[int(np.argmin(scores))]
-    return ArrayModel("mars", inputs, {"terms": [[[float(v) for v in h] for h in tm] for tm in terms], "weights": solve(terms)[0]})
+        keep, held = min(scores), tries[int(np.argmin(scores))]
+    at = [0, *(i + 1 for i in held)]
+    weights = solved(gram[np.ix_(at, at)], cross[at], total)[0]
+    weights[0] += middle
+    return ArrayModel("mars", inputs, {"terms": [[[float(v) for v in h] for h in terms[i]] for i in held], "weights": weights})
 
 
 def network_fit(df: DataFrame, inputs: list[str], y: str, layers: tuple[int, ...] = (32, 32), steps: int = 1000, rate: float = 0.01, seed: int = 0, by_variance: bool = False, kind: str = "network") -> ArrayModel:
-    """A network of ramps fitted by Adam steps on all sampled rows, the best step kept; stops when 200 steps bring nothing.
+    """A network of ramps fitted by Adam steps on the gradient over all rows, the best step kept; stops when 200 steps bring nothing.
 
     `by_variance` divides inputs and outputs by their variance instead of their deviation.
     """
-    x, t = bounded_rows(df, inputs, y)
-    rng = np.random.default_rng(seed)
-    size = (lambda v: np.where(v.var(0) == 0, 1, v.var(0))) if by_variance else (lambda v: np.where(v.std(0) == 0, 1, v.std(0)))
-    p = {"mean": x.mean(0), "scale": size(x), "y_mean": float(t.mean()), "y_scale": float(size(t[:, None])[0])}
-    widths = [x.shape[1], *layers, 1]
+    rows, rng = Rows(df, inputs, y), np.random.default_rng(seed)
+    mean, var, y_mean, y_var = rows.moments()
+    size = (lambda v: np.where(v == 0, 1, v)) if by_variance else (lambda v: np.where(v == 0, 1, np.sqrt(v)))
+    p = {"mean": mean, "scale": size(var), "y_mean": y_mean, "y_scale": float(size(np.array(y_var)))}
+    widths = [rows.inputs, *layers, 1]
     names = []
     for i, (a, b) in enumerate(zip(widths, widths[1:], strict=False)):
         p[f"w{i}"], p[f"b{i}"] = rng.standard_normal((a, b)) * math.sqrt(2 / a), np.zeros(b)
         names += [f"w{i}", f"b{i}"]
-    goal = (t - p["y_mean"]) / p["y_scale"]
     m, v = {k: 0.0 for k in names}, {k: 0.0 for k in names}
     best, kept, since = np.inf, None, 0
     for step in range(1, steps + 1):
-        h = _network_layers(p, x)
-        e = h[-1][:, 0] - goal
-        loss = float((e * e).mean())
+        def part(x, t, p=p):
+            h = _network_layers(p, x)
+            e = h[-1][:, 0] - (t - p["y_mean"]) / p["y_scale"]
+            g, out = (2 * e)[:, None], [(e * e).sum()]
+            for i in reversed(range(len(widths) - 1)):
+                out += [h[i].T @ g, g.sum(0)]
+                g = (g @ p[f"w{i}"].T) * (h[i] > 0) if i else g
+            return out
+
+        loss, *slopes = (a / rows.n for a in rows.sums(part))
         if loss < best - 1e-9:
-            best, kept, since = loss, {k: p[k].copy() for k in names}, 0
+            best, kept, since = float(loss), {k: p[k].copy() for k in names}, 0
         else:
             since += 1
             if since > 200:
                 break
-        g = (2 * e / len(e))[:, None]
-        for i in reversed(range(len(widths) - 1)):
-            gw, gb = h[i].T @ g, g.sum(0)
-            g = (g @ p[f"w{i}"].T) * (h[i] > 0) if i else g
-            for k, d in ((f"w{i}", gw), (f"b{i}", gb)):
+        for j, i in enumerate(reversed(range(len(widths) - 1))):
+            for k, d in ((f"w{i}", slopes[2 * j]), (f"b{i}", slopes[2 * j + 1])):
                 m[k], v[k] = 0.9 * m[k] + 0.1 * d, 0.999 * v[k] + 0.001 * d * d
                 p[k] = p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
     p |= kept or {}

@@ -6,7 +6,7 @@ import math
 from fractions import Fraction
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .frame import numbered
@@ -46,41 +46,42 @@ def random_range(spark: SparkSession, start: int, stop: int, step: int = 1, coun
     n = max(0, -(-(stop - start) // step))
     count = n if count is None else min(count, n)
     size = 1 << max(2, (max(1, n) - 1).bit_length())
-    # a full-period linear congruential step over the next power of two, by closed form for any place
-    mult, inc = 4 * (seed % 97) + 5, 2 * (seed % 1009) + 1
-    def run(batches):
-        for b in batches:
-            out = []
-            for i in b.column("id").to_pylist():
-                out.append(skip_ahead(seed % size, mult, inc, size, i))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, pa.int64())], names=["id", "v"])
-    got = spark.range(size).mapInArrow(run, "id long, v long").where(F.col("v") < n)
+    # a full-period linear congruential generator over the next power of two, any place of it by closed form
+    got = spark.range(size).select("id", congruential(F.col("id"), seed % size, 4 * (seed % 97) + 5, 2 * (seed % 1009) + 1, size).alias("v")).where(F.col("v") < n)
     placed = numbered(got, ["id"], "place")
     return placed.where(F.col("place") < count).select("place", (F.col("v") * step + start).alias("value"))
 
 
-def skip_ahead(x: int, a: int, c: int, m: int, n: int) -> int:
-    """The n-th number after x of the generator x -> a x + c mod m, in log n steps."""
-    mult, add, am, cm = 1, 0, a % m, c % m
-    while n:
-        if n & 1:
-            mult, add = mult * am % m, (add * am + cm) % m
-        am, cm = am * am % m, (am + 1) * cm % m
-        n >>= 1
-    return (mult * x + add) % m
+def congruential(place: Column, value: int, multiplier: int, offset: int, modulus: int) -> Column:
+    """The number `place` steps after `value` of the generator x -> (multiplier x + offset) mod `modulus`, a power of two up to 2**32.
 
-
-def uniform_stream(spark: SparkSession, count: int, seed: int = 0, multiplier: int = 1664525, offset: int = 1013904223, modulus: int = 2**32) -> DataFrame:
-    """(place, u): a linear congruential stream in [0, 1), computable from any place on."""
-    def run(batches):
-        for b in batches:
-            ids = b.column("id").to_pylist()
-            xs, x = [], None
-            for k, i in enumerate(ids):
-                x = (x * multiplier + offset) % modulus if x is not None and i == ids[k - 1] + 1 else skip_ahead(seed, multiplier, offset, modulus, i + 1)
-                xs.append(x / modulus)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(xs, pa.float64())], names=["place", "u"])
-    return spark.range(count).mapInArrow(run, "place long, u double")
+    2**k steps are one step of another multiplier and offset; the bits of the place say which of them to take. Products are
+    taken in two halves of the multiplier, so that they stay within 64 bits.
+    """
+    if modulus & (modulus - 1) or modulus > 1 << 32:
+        raise ValueError("the modulus has to be a power of two up to 2**32")
+    out, mult, add = F.lit(value % modulus).cast("bigint"), multiplier % modulus, offset % modulus
+    m = F.lit(modulus).cast("bigint")
+    steps = []
+    for k in range(max(1, modulus.bit_length() - 1)):
+        steps.append(F.struct(F.lit(1 << k).cast("bigint").alias("bit"), F.lit(mult >> 16).cast("bigint").alias("high"), F.lit(mult & 0xFFFF).cast("bigint").alias("low"), F.lit(add).cast("bigint").alias("add")))
+        mult, add = mult * mult % modulus, (mult + 1) * add % modulus
+    half = F.lit(1 << 16).cast("bigint")
+    # in `aggregate` the state is one number; a place beyond the period wraps round
+    return F.aggregate(F.array(*steps), out, lambda x, s: F.when(place.bitwiseAND(s["bit"]) == 0, x).otherwise((x * s["high"] % m * half + x * s["low"] + s["add"]) % m))
+
+
+def uniform_stream(spark: SparkSession, count: int, value: int | None = None, offset: int = 4091, multiplier: int = 1048573, max_numbers: int = 2**32) -> DataFrame:
+    """(place, u): a deterministic stream of numbers in [0, 1) that repeats none of `max_numbers`, computable from any place on.
+
+    It starts at `value` (half of `max_numbers` without one); the generator's step is 4 * (max_numbers + multiplier) + 1, its
+    increment 2 * offset + 1, its modulus the next power of two.
+    """
+    most = max(count, max_numbers)
+    modulus = 1 << max(1, (most - 1).bit_length())
+    start = most // 2 if value is None else value
+    x = congruential(F.col("id"), start, 4 * (most + multiplier) + 1, 2 * offset + 1, modulus)
+    return spark.range(count).select(F.col("id").alias("place"), (x / F.lit(float(modulus))).alias("u"))
 
 
 def latin(spark: SparkSession, n: int, d: int, seed: int = 0) -> DataFrame:
@@ -140,11 +141,11 @@ def test_corpus(df: DataFrame, inputs: list[str], output: str, splits: list[floa
     Points extreme in an input are always training points, so that tests lie inside.
     """
     cube = df.cube(*inputs).agg(F.avg(output).alias(output), F.grouping_id().alias("subset")).where(F.col("subset") < 2 ** len(inputs) - 1)
-    w = Window.partitionBy("subset")
+    ends = cube.groupBy("subset").agg(*[f(c).alias(f"_{n}_{c}") for c in inputs for n, f in (("low", F.min), ("high", F.max))])  # a row a subset
     edge = F.lit(False)
     for c in inputs:
-        edge = edge | (F.col(c) == F.min(c).over(w)) | (F.col(c) == F.max(c).over(w))
-    marked = cube.withColumn("edge", F.coalesce(edge, F.lit(False)))
+        edge = edge | F.coalesce((F.col(c) == F.col(f"_low_{c}")) | (F.col(c) == F.col(f"_high_{c}")), F.lit(False))
+    marked = cube.join(F.broadcast(ends), "subset").select(*inputs, output, "subset", edge.alias("edge"))
     spec = F.array(*[F.struct(F.lit(float(s)).alias("split"), F.lit(int(r)).alias("seed")) for s in splits for r in seeds])
     many = marked.withColumn("_s", F.explode(spec)).select("*", "_s.split", "_s.seed").drop("_s")
     u = F.pmod(F.xxhash64(*inputs, "subset", "seed"), F.lit(1 << 32)) / float(1 << 32)

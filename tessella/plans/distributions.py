@@ -107,12 +107,19 @@ def random_range_values(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("uniform_lcg", """
-WITH RECURSIVE r(place, x) AS (SELECT -1::BIGINT, 12345::HUGEINT UNION ALL SELECT place + 1, (x * 1664525 + 1013904223) % 4294967296 FROM r WHERE place < 999)
-SELECT place, (x / 4294967296.0::DOUBLE)::DOUBLE AS u FROM r WHERE place >= 0""")
+WITH RECURSIVE r(place, x) AS (SELECT 0::BIGINT, 12345::HUGEINT UNION ALL SELECT place + 1, (x * ((4 * (4294967296::HUGEINT + 1048573) + 1) % 4294967296) + 2 * 4091 + 1) % 4294967296 FROM r WHERE place < 999)
+SELECT place, (x / 4294967296.0::DOUBLE)::DOUBLE AS u FROM r""")
 def uniform_lcg(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.uniform_stream(spark, 1000, 12345)
 
 
+@query("uniform_lcg_defaults", """
+WITH RECURSIVE r(place, x) AS (SELECT 0::BIGINT, 2147483648::HUGEINT UNION ALL SELECT place + 1, (x * ((4 * (4294967296::HUGEINT + 1048573) + 1) % 4294967296) + 2 * 4091 + 1) % 4294967296 FROM r WHERE place < 499)
+SELECT place, (x / 4294967296.0::DOUBLE)::DOUBLE AS u FROM r""")
+def uniform_lcg_defaults(spark: SparkSession, sf: str) -> DataFrame:
+    return sampling.uniform_stream(spark, 500)
+
+
 @query("latin_cells", "SELECT unnest(range(0, 200))::BIGINT AS cell, 3::BIGINT AS n")
 def latin_cells(spark: SparkSession, sf: str) -> DataFrame:
     x = sampling.latin(spark, 200, 3)

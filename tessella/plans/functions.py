@@ -49,9 +49,9 @@ def accuracy_measures(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("p_partkey", F.round(maths.oom_error(F.col("p_retailprice"), F.col("p_size") + 0.5), 9).alias("magnitude"), F.round(maths.abs_diff(F.col("p_retailprice"), F.col("p_size")), 6).alias("gap"), F.round(maths.root(F.col("p_retailprice"), F.lit(3)), 9).alias("cube"))
 
 
-@query("bit_accuracy", "SELECT p_partkey, round(-log2(abs(p_retailprice - p_size) / greatest(abs(p_retailprice), abs(p_size))), 6) AS bits FROM part")
+@query("bit_accuracy", "SELECT p_partkey, round(-log2(abs(log2(p_retailprice / (p_size + 0.5)))), 6) AS bits FROM part")
 def bit_accuracy(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "part").select("p_partkey", F.round(maths.bit_accuracy(F.col("p_retailprice"), F.col("p_size")), 6).alias("bits"))
+    return table(spark, sf, "part").select("p_partkey", F.round(maths.bit_accuracy(F.col("p_retailprice"), F.col("p_size") + 0.5), 6).alias("bits"))
 
 
 @query("chebyshev", "SELECT i::BIGINT AS place, round((1 - cos((2 * i + 1) * pi() / 32)) / 2, 12) AS x FROM range(0, 16) t(i)")
@@ -59,22 +59,42 @@ def chebyshev(spark: SparkSession, sf: str) -> DataFrame:
     return maths.chebyshev(spark, 16).withColumn("x", F.round("x", 12))
 
 
+@query("polar_mesh", """
+SELECT 0.5::DOUBLE AS x0, 0.5::DOUBLE AS x1 UNION ALL
+SELECT round((r * cos(a) + 1) / 2, 9), round((r * sin(a) + 1) / 2, 9) FROM (SELECT 0.5 * (1 + cos(j * pi() / 6)) AS r, 2 * pi() * i / 13 AS a FROM range(1, 6) u(j), range(0, 13) v(i))""")
+def polar_mesh(spark: SparkSession, sf: str) -> DataFrame:
+    return maths.polar_mesh(spark, 6).select(F.round("x0", 9).alias("x0"), F.round("x1", 9).alias("x1"))
+
+
+@query("box_mesh_nodes", "SELECT round(0.5 * (1 + cos(i * pi() / 5)), 9) AS x0, round(0.5 * (1 + cos(j * pi() / 5)), 9) AS x1 FROM range(0, 6) u(i), range(0, 6) v(j)")
+def box_mesh_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    return maths.box_mesh_nodes(spark, 5).select(F.round("x0", 9).alias("x0"), F.round("x1", 9).alias("x1"))
+
+
 @query("test_functions", """
-WITH e AS (SELECT vec_id, list_transform(embedding[1:4], lambda x: x::DOUBLE) AS x FROM embeddings)
-SELECT vec_id, round(list_sum(list_transform(x, lambda v: v * v)), 9) AS basin, round(x[1] * x[1] - x[2] * x[2] + x[3] * x[3] - x[4] * x[4], 9) AS saddle, round(cos(sqrt(list_sum(list_transform(x, lambda v: v * v)))), 9) AS cosine,
-  round(list_sum(list_transform(x, lambda v: v * v + 0.5 * (1 - cos(4 * pi() * v)))), 9) AS minima FROM e""")
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings), w AS (SELECT list(range) AS i, list_sum(list(pow(0.5, range) * cos(pi() * pow(3, range)))) AS rest FROM range(0, 11))
+SELECT vec_id, round(list_sum(list_transform(x, lambda v: pow(abs(v), 4.0 / 3))) / len(x), 9) AS mejr,
+  round(list_sum(list_transform(x, lambda v: pow(v, 4))) / len(x), 9) AS basin,
+  round(list_sum(list_transform(x, lambda v: pow(0.75, 4) * pow(v, 2) / 2 - pow(0.75, 2) * pow(v, 4) / 2 + pow(v, 6) / 6)) / (len(x) * (1.0 / 6 - pow(0.75, 2) / 2 + pow(0.75, 4) / 2)), 7) AS saddle,
+  round((len(x) + 2 * list_sum(list_transform(x, lambda v: pow(v, 2))) + list_sum(list_transform(x, lambda v: 32 * pow(v, 6) - 48 * pow(v, 4) + 18 * pow(v, 2) - 1))) / (4 * len(x)), 9) AS multimin,
+  round(list_sum(list_transform(x, lambda v: list_sum(list_transform(i, lambda k: pow(0.5, k) * cos(pi() * pow(3, k) * (v + 1)))) - rest)) / (3.998046875 * len(x)), 6) AS weierstrass,
+  round(cos(pow(sqrt(list_sum(list_transform(x, lambda v: pow(v / 2, 2)))), 1.5) * 5 * pi()), 6) AS cosine FROM e, w""")
 def test_functions(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double")).alias("x"))
+    e = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
     x = F.col("x")
-    return e.select("vec_id", F.round(maths.basin(x), 9).alias("basin"), F.round(maths.saddle(x), 9).alias("saddle"), F.round(maths.cosine_norm(x), 9).alias("cosine"), F.round(maths.many_minima(x), 9).alias("minima"))
+    return e.select("vec_id", F.round(maths.steep(x), 9).alias("mejr"), F.round(maths.basin(x), 9).alias("basin"), F.round(maths.saddle(x), 7).alias("saddle"), F.round(maths.many_minima(x), 9).alias("multimin"),
+                    F.round(maths.weierstrass(x), 6).alias("weierstrass"), F.round(maths.cosine_norm(x, 2.0, 3, 1.5), 6).alias("cosine"))
 
 
 @query("test_transforms")
 def test_transforms(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 2), lambda x: x.cast("double")).alias("x"))
+    """Skewed, recentred, rotated in the plane of the first two coordinates, with noise."""
+    e = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+    dims = e.select(F.max(F.size("x"))).first()[0]
     c, s = math.cos(0.3), math.sin(0.3)
-    moved = maths.rotated(maths.recentred(maths.skewed(F.col("x")), [0.1, 0.2]), [[c, -s], [s, c]])
-    return e.select("vec_id", maths.noisy(maths.weierstrass(moved), F.col("vec_id")).alias("value"))
+    turn = [[{(0, 0): c, (0, 1): -s, (1, 0): s, (1, 1): c}.get((i, j), float(i == j)) for j in range(dims)] for i in range(dims)]
+    moved = maths.rotated(maths.recentred(maths.skewed(F.col("x")), [0.1] * dims), turn)
+    return e.select("vec_id", maths.noisy(maths.basin(moved), F.col("vec_id")).alias("value"))
 
 
 @query("fractions", """
@@ -140,14 +160,19 @@ def map_column(spark: SparkSession, sf: str) -> DataFrame:
     return parallel.map_column(table(spark, sf, "region"), "r_name", lambda s: s[::-1], "back").select("r_regionkey", "back")
 
 
-@query("sort_by_function", "SELECT n_nationkey, n_name FROM nation")
+@query("sort_by_function", "SELECT (row_number() OVER (ORDER BY length(n_name), n_name) - 1)::BIGINT AS place, n_name FROM nation")
 def sort_by_function(spark: SparkSession, sf: str) -> DataFrame:
-    return parallel.sort_by(table(spark, sf, "nation").select("n_nationkey", "n_name"), "n_name", lambda s: float(len(s)))
+    """The places in the order of a Python key; names of one length in the order of the names."""
+    from tessella.operators.frame import numbered
+
+    got = parallel.sort_by(table(spark, sf, "nation").select("n_name").orderBy("n_name"), "n_name", lambda s: len(s) + sum(ord(c) / 200 ** (i + 2) for i, c in enumerate(s[:5])))
+    return numbered(got.select("n_name", F.monotonically_increasing_id().alias("at")), ["at"], "place").select(F.col("place").cast("bigint").alias("place"), "n_name")
 
 
-@query("split_rows", "SELECT count(*)::BIGINT AS n FROM orders")
+@query("split_rows", "SELECT part::INT AS part, count(*)::BIGINT AS n, min(o_orderkey) AS first, sum(o_orderkey)::BIGINT AS total FROM (SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) % 7 AS part FROM orders) GROUP BY 1")
 def split_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return parallel.split_rows(table(spark, sf, "orders"), 7, "o_orderkey").groupBy("part").agg(F.count("*").alias("n")).agg(F.sum("n").alias("n"))
+    got = parallel.split_rows(table(spark, sf, "orders"), 7, "o_orderkey")
+    return got.groupBy(F.col("part").cast("int").alias("part")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first"), F.sum("o_orderkey").cast("bigint").alias("total"))
 
 
 @query("table_function", "SELECT n_regionkey, (i - 1)::INT AS place, v[i]::VARCHAR AS value FROM (SELECT n_regionkey, list(n_nationkey ORDER BY n_nationkey) AS v, unnest(range(1, count(*) + 1)) AS i FROM nation GROUP BY 1)")
@@ -163,18 +188,18 @@ def batch_minimum(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(x[0], x[1], f)], "x double, y double, f double")
 
 
-@query("minimizers")
+@query("minimizers", "SELECT unnest(['adagrad', 'adam', 'adaptive_normal', 'ampgo', 'direct', 'l_bfgs', 'random', 'sgd']) AS method, true AS near")
 def minimizers(spark: SparkSession, sf: str) -> DataFrame:
-    """Every method on a bowl whose minimum is 0 at (0.3, -0.2)."""
+    """Whether every method comes near the minimum of a bowl, 0 at (0.3, -0.2)."""
     f = lambda v: (v[0] - 0.3) ** 2 + (v[1] + 0.2) ** 2
-    rows = [(m, float(optimize.minimize(f, bounds=[(-1, 1), (-1, 1)], method=m, max_steps=400).best)) for m in sorted(optimize.METHODS)]
-    return spark.createDataFrame(rows, "method string, best double")
+    rows = [(m, abs(float(optimize.minimize(f, bounds=[(-1, 1), (-1, 1)], method=m, max_steps=400).best)) < 0.01) for m in sorted(optimize.METHODS)]
+    return spark.createDataFrame(rows, "method string, near boolean")
 
 
-@query("line_searches")
+@query("line_searches", "SELECT 'binary' AS method, round(pow(2, 1.0 / 3), 5) AS x UNION ALL SELECT 'false_position', round(pow(2, 1.0 / 3), 5) UNION ALL SELECT 'golden_section', 1.5")
 def line_searches(spark: SparkSession, sf: str) -> DataFrame:
     rows = [("binary", optimize.binary_search(lambda x: x**3 - 2, 0, 2)), ("false_position", optimize.false_position(lambda x: x**3 - 2, 0, 2)), ("golden_section", optimize.golden_section(lambda x: (x - 1.5) ** 2, 0, 4))]
-    return spark.createDataFrame(rows, "method string, x double")
+    return spark.createDataFrame(rows, "method string, x double").withColumn("x", F.round("x", 5))
 
 
 @query("descent_fit")
@@ -184,6 +209,10 @@ def descent_fit(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([tuple(w)], "slope double, intercept double")
 
 
-@query("approximate_percentiles")
+@query("approximate_percentiles", "SELECT unnest([5.0, 50.0, 95.0])::DOUBLE AS percent, true AS near")
 def approximate_percentiles(spark: SparkSession, sf: str) -> DataFrame:
-    return dist.approximate_percentiles(table(spark, sf, "lineitem"), "l_extendedprice", [5, 50, 95])
+    """Whether the share of rows up to each approximate percentile is within a thousandth of the percent."""
+    lines = table(spark, sf, "lineitem").select("l_extendedprice")
+    got = dist.approximate_percentiles(lines, "l_extendedprice", [5, 50, 95])
+    share = lines.crossJoin(F.broadcast(got)).groupBy("percent").agg((F.count_if(F.col("l_extendedprice") < F.col("value")) / F.count("*")).alias("below"), (F.count_if(F.col("l_extendedprice") <= F.col("value")) / F.count("*")).alias("upto"))  # three rows
+    return share.select(F.col("percent").cast("double").alias("percent"), ((F.col("below") <= F.col("percent") / 100 + 0.001) & (F.col("upto") >= F.col("percent") / 100 - 0.001)).alias("near"))

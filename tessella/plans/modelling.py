@@ -73,17 +73,23 @@ def group_product(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "nation").withColumn("v", F.col("n_nationkey") + 1).groupBy("n_regionkey").agg(encoding.product("v").alias("p"))
 
 
+def _components(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
+    """(vec_id, label and each component of the vectors as a column, the columns' names)."""
+    e = table(spark, sf, "embeddings")
+    cols = [f"e{i}" for i in range(e.select(F.max(F.size("embedding"))).first()[0])]
+    return e.select("vec_id", F.col("label").cast("double").alias("y"), *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(cols)]), cols
+
+
 @query("pca_weights")
 def pca_weights(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(6)])
-    comps, weights = encoding.pca(e, [f"e{i}" for i in range(6)], 3)
-    return encoding.project(e, [f"e{i}" for i in range(6)], comps * weights[:, None]).select("vec_id", "pc1", "pc2", "pc3")
+    e, cols = _components(spark, sf)
+    comps, weights = encoding.pca(e, cols, 3)
+    return encoding.project(e, cols, comps * weights[:, None]).select("vec_id", "pc1", "pc2", "pc3")
 
 
 @query("metric_pca")
 def metric_pca(spark: SparkSession, sf: str) -> DataFrame:
-    cols = [f"e{i}" for i in range(4)]
-    e = table(spark, sf, "embeddings").select("vec_id", F.col("label").cast("double").alias("y"), *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(4)])
+    e, cols = _components(spark, sf)
     return encoding.conditioned(e, cols, "MPCA", "vec_id", "y").select("vec_id", "pc1", "pc2", "pc3", "pc4")
 
 
@@ -100,10 +106,14 @@ def frequent_itemsets_1_2_3(spark: SparkSession, sf: str) -> DataFrame:
     return got.select(F.array_join("items", ",").alias("items"), "size", "n", F.round("support", 9).alias("support"))
 
 
-@query("frequent_itemsets_fp", "WITH t AS (SELECT DISTINCT user_id AS t, event_type AS i FROM events) SELECT i AS items, count(*)::BIGINT AS n FROM t GROUP BY 1 HAVING count(*) >= 0.3 * (SELECT count(DISTINCT t) FROM t)")
+@query("frequent_itemsets_fp", """
+WITH RECURSIVE t AS (SELECT DISTINCT user_id AS t, event_type AS i FROM events), n AS (SELECT 0.3 * count(DISTINCT t) AS least FROM t),
+s(t, items, last) AS (SELECT t, i, i FROM t UNION ALL SELECT s.t, s.items || ',' || t.i, t.i FROM s JOIN t ON s.t = t.t AND t.i > s.last)
+SELECT items, count(*)::BIGINT AS n FROM s GROUP BY 1 HAVING count(*) >= (SELECT least FROM n)""")
 def frequent_itemsets_fp(spark: SparkSession, sf: str) -> DataFrame:
-    got = mining.frequent_itemsets_fp(table(spark, sf, "events"), "user_id", "event_type", 0.3).where(F.size("items") == 1)
-    return got.select(F.array_join("items", ",").alias("items"), "n")
+    """Itemsets of every size."""
+    got = mining.frequent_itemsets_fp(table(spark, sf, "events"), "user_id", "event_type", 0.3)
+    return got.select(F.array_join(F.array_sort("items"), ",").alias("items"), "n")
 
 
 @query("cube_averages", "SELECT l_returnflag, l_linestatus, round(avg(l_extendedprice), 4) AS mean, grouping(l_returnflag, l_linestatus)::BIGINT AS subset FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
@@ -117,12 +127,13 @@ def avg_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return models.unique_points(table(spark, sf, "part"), ["p_brand", "p_size"], "p_retailprice").withColumn("p_retailprice", F.round("p_retailprice", 4))
 
 
-VEC = "WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), d AS (SELECT q.vec_id AS query_id, p.vec_id, p.label::DOUBLE AS y, sqrt(list_sum(list_transform(list_zip(q.e, p.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d FROM v q, v p WHERE q.vec_id < 20 AND p.vec_id >= 20)"
+VEC = "WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), d AS (SELECT q.vec_id AS query_id, p.vec_id, p.label::DOUBLE AS y, sqrt(list_sum(list_transform(list_zip(q.e, p.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d FROM v q, v p WHERE q.vec_id % 50 = 0 AND p.vec_id % 50 <> 0)"
 
 
 def _split(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(queries, points): the vectors whose id is divisible by 50, and all others."""
     v = table(spark, sf, "embeddings")
-    return v.where("vec_id < 20"), v.where("vec_id >= 20")
+    return v.where("vec_id % 50 = 0"), v.where("vec_id % 50 <> 0")
 
 
 @query("knn_predict", VEC + "SELECT query_id, round(avg(y), 9) AS prediction FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS k FROM d) WHERE k <= 4 GROUP BY 1")
@@ -156,15 +167,14 @@ def shepard_weights(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("shepmod_predict", """
-WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE vec_id < 220),
-a AS (SELECT q.vec_id AS qid, p.vec_id, p.label::DOUBLE AS y, sqrt(list_sum(list_transform(list_zip(q.e, p.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d FROM v q, v p WHERE p.vec_id >= 20),
-r AS (SELECT qid AS vec_id, max(d) AS r FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, vec_id) AS k FROM a WHERE qid >= 20 AND qid <> vec_id) WHERE k <= 11 GROUP BY 1),
-d AS (SELECT a.*, r, max((d < r)::INT) OVER (PARTITION BY qid) AS any_in, row_number() OVER (PARTITION BY qid ORDER BY d, vec_id) AS k FROM a JOIN r USING (vec_id) WHERE qid < 20),
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+a AS (SELECT q.vec_id AS qid, p.vec_id, p.label::DOUBLE AS y, sqrt(list_sum(list_transform(list_zip(q.e, p.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d FROM v q, v p WHERE p.vec_id % 50 <> 0),
+r AS (SELECT qid AS vec_id, max(d) AS r FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, vec_id) AS k FROM a WHERE qid % 50 <> 0 AND qid <> vec_id) WHERE k <= 11 GROUP BY 1),
+d AS (SELECT a.*, r, max((d < r)::INT) OVER (PARTITION BY qid) AS any_in, row_number() OVER (PARTITION BY qid ORDER BY d, vec_id) AS k FROM a JOIN r USING (vec_id) WHERE qid % 50 = 0),
 w AS (SELECT qid, y, CASE WHEN any_in = 1 THEN CASE WHEN d < r THEN pow((r - d) / (r * d), 2) ELSE 0 END WHEN k <= 11 THEN 1 / (d * d) ELSE 0 END AS w FROM d)
 SELECT qid AS query_id, round(sum(w * y) / sum(w), 9) AS prediction FROM w GROUP BY 1""")
 def shepmod_predict(spark: SparkSession, sf: str) -> DataFrame:
-    v = table(spark, sf, "embeddings").where("vec_id < 220")
-    q, p = v.where("vec_id < 20"), v.where("vec_id >= 20")
+    q, p = _split(spark, sf)
     w = models.modified_shepard_weights(q, p, "vec_id", "vec_id", "embedding", 10)
     return models.predict_weighted(w, p, "vec_id", "label").withColumn("prediction", F.round("prediction", 9))
 
@@ -231,12 +241,14 @@ def split_model(spark: SparkSession, sf: str) -> DataFrame:
 @query("embedding_interpolator")
 def embedding_interpolator(spark: SparkSession, sf: str) -> DataFrame:
     p = _parts(spark, sf)
-    return models.embedding_interpolator(p.where("p_partkey > 20"), p.where("p_partkey <= 20"), ["a", "b"], "y", "p_partkey", "p_partkey", steps=100)
+    return models.embedding_interpolator(p.where("p_partkey % 50 <> 0"), p.where("p_partkey % 50 = 0"), ["a", "b"], "y", "p_partkey", "p_partkey", steps=100)
 
 
 def _planes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(queries, points) in two dimensions: customers whose key is divisible by 50, and all others, equal points as one."""
     p = table(spark, sf, "customer").select("c_custkey", F.array(F.col("c_nationkey").cast("double") + F.pmod("c_custkey", F.lit(13)) / 13.0, F.col("c_acctbal") / 1000).alias("x"), (F.col("c_acctbal") * 0.5).alias("y"))
-    return p.where("c_custkey <= 10"), p.where("c_custkey > 10 and c_custkey <= 110")
+    points = p.where("c_custkey % 50 <> 0").groupBy("x").agg(F.min("c_custkey").alias("c_custkey"), F.avg("y").alias("y")).select("c_custkey", "x", "y")
+    return p.where("c_custkey % 50 = 0"), points
 
 
 @query("lshep")
@@ -265,7 +277,6 @@ def delaunay(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("best_k_model")
 def best_k_model(spark: SparkSession, sf: str) -> DataFrame:
-    v = table(spark, sf, "embeddings")
-    q = v.where("vec_id < 20")
+    q, v = _split(spark, sf)
     k = models.best_k(v, "vec_id", "embedding", "label", 20, 16)
     return models.predict_weighted(models.knn_weights(q, v, k, "vec_id", "vec_id", "embedding"), v, "vec_id", "label").withColumn("k", F.lit(k))

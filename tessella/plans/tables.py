@@ -308,20 +308,20 @@ def filter_mask_and_set(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("pairwise_distance", """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)
-SELECT q.vec_id AS query_id, p.vec_id, round(sqrt(list_sum(list_transform(list_zip(q.e, p.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 6) AS distance FROM v q, v p WHERE q.vec_id < 20""")
+SELECT q.vec_id AS query_id, p.vec_id, round(sqrt(list_sum(list_transform(list_zip(q.e, p.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 6) AS distance FROM v q, v p WHERE q.vec_id % 50 = 0""")
 def pairwise_distance(spark: SparkSession, sf: str) -> DataFrame:
     v = table(spark, sf, "embeddings")
-    q = v.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qe"))
+    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qe"))
     return joins.pairwise_distance(q, v, "query_id", "vec_id", "qe", "embedding").withColumn("distance", F.round("distance", 6))
 
 
 @query("knn_topk", """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
-d AS (SELECT q.vec_id AS query_id, p.vec_id, sqrt(list_sum(list_transform(list_zip(q.e, p.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS distance FROM v q, v p WHERE q.vec_id < 20)
+d AS (SELECT q.vec_id AS query_id, p.vec_id, sqrt(list_sum(list_transform(list_zip(q.e, p.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS distance FROM v q, v p WHERE q.vec_id % 50 = 0)
 SELECT query_id, vec_id, round(distance, 6) AS distance, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d) WHERE rank <= 5""")
 def knn_topk(spark: SparkSession, sf: str) -> DataFrame:
     v = table(spark, sf, "embeddings")
-    q = v.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qe"))
+    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qe"))
     return joins.nearest(q, v, 5, "query_id", "vec_id", "qe", "embedding").withColumn("distance", F.round("distance", 6))
 
 
@@ -345,10 +345,14 @@ def mesh(spark: SparkSession, sf: str) -> DataFrame:
     return joins.mesh(spark, [[0.0, 0.5, 1.0], [0.0, 0.5, 1.0], [2.0, 3.0]])
 
 
-@query("mesh_sample_rows", "SELECT 10::BIGINT AS n, 10::BIGINT AS n_distinct")
+@query("mesh_sample_rows", "SELECT a AS x0, b AS x1, true AS inside FROM (SELECT unnest([0, 1, 2, 3])::INT AS a), (SELECT unnest([5, 6, 7])::INT AS b)")
 def mesh_sample_rows(spark: SparkSession, sf: str) -> DataFrame:
-    m = joins.mesh_sample(spark, [[0, 1, 2, 3], [5, 6, 7]], 10, 4)
-    return m.agg(F.count("*").alias("n"), F.count_distinct("x0", "x1").alias("n_distinct"))
+    """All the mesh's rows and whether samples of 10 and of 12 of them hold distinct rows of it only."""
+    nodes = [[0, 1, 2, 3], [5, 6, 7]]
+    rows = joins.mesh(spark, nodes).select(F.col("x0").cast("int").alias("x0"), F.col("x1").cast("int").alias("x1"))
+    some, all_ = (joins.mesh_sample(spark, nodes, n, 4).select(F.col("x0").cast("int").alias("x0"), F.col("x1").cast("int").alias("x1")) for n in (10, 12))
+    fine = some.distinct().count() == 10 and some.exceptAll(rows).isEmpty()
+    return rows.join(all_.withColumn("in_sample", F.lit(True)), ["x0", "x1"], "left").select("x0", "x1", (F.coalesce("in_sample", F.lit(False)) & F.lit(fine)).alias("inside"))
 
 
 @query("separator_stats", """

@@ -61,6 +61,19 @@ def typed(raw: DataFrame, types: dict[str, str]) -> DataFrame:
     return raw.select(*[cell(c, types.get(c, "string")).alias(c) for c in raw.columns])
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, _file, _place, _first): lines that are not blank, each with its file, its place there in the order of reading, and whether it is the file's first.
+
+    A partition of a text scan reads its files' parts in order, so numbers that rise inside a partition are places; the first
+    line of a file is in the partition that begins with its first byte.
+    """
+    meta = F.col("_metadata")
+    lines = spark.read.text(path).select("value", meta["file_path"].alias("_file"), meta["file_block_start"].alias("_block"), F.monotonically_increasing_id().alias("_n")).where(F.trim("value") != "")
+    firsts = lines.groupBy("_file").agg(F.min(F.struct("_block", "_n")).alias("_f"))  # a row a file
+    place = F.struct("_block", "_n")
+    return lines.join(firsts, "_file").select("value", "_file", place.alias("_place"), (place == F.col("_f")).alias("_first"))
+
+
 def read_delimited(spark: SparkSession, path: str, sep: str | None = None, header: bool = True, types: dict[str, str] | None = None,
                    sample: float | int | None = None, report: bool = False) -> DataFrame:
     """A delimited text file: cells trimmed, empty ones null, short lines filled with nulls, blank ones skipped.
@@ -68,23 +81,28 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None, heade
     Lines with more cells than columns are dropped, and so are lines whose cells cannot be read as
     the given types; with `report` they are returned instead, as column `line`. Without `types` they
     are found in one pass: whole number, number, text, the widest that a column needs. A `sample` of
-    less than 1 is a share of the lines, 1 or more a count; the first data line is always kept.
+    less than 1 is a share of the lines, 1 or more a count; the first data line is always kept. The
+    header is the first line that is not blank of the file that comes first by name, and in every other
+    file a first line equal to it; a data line with the same text stays.
     """
-    lines = spark.read.text(path).where(F.trim("value") != "")
+    lines = numbered_lines(spark, path)
     if sep is None:
         sep = detect_separator(lines)
-    first = lines.first()
+    first = lines.where("_first").agg(F.min(F.struct("_file", "value")).alias("f")).first().f
     if first is None:
         raise ValueError(f"no lines: {path}")
     head = [c.strip().strip('"') for c in re.split(re.escape(sep) + r'(?=(?:[^"]*"[^"]*")*[^"]*$)', first.value)]
     names = head if header else [f"column {i + 1}" for i in range(len(head))]
-    data = lines.where(F.col("value") != F.lit(first.value)) if header else lines
+    data = lines.where(~(F.col("_first") & (F.col("value") == F.lit(first.value)))) if header else lines
     if sample is not None:
+        # the first data line, by file and place
+        place = data.agg(F.min(F.struct("_file", "_place"))).first()[0]
+        one = F.lit(False) if place is None else (F.col("_file") == place["_file"]) & (F.col("_place") == place["_place"])
         keep = F.xxhash64("value")
         if sample < 1:
-            data = data.where((F.pmod(keep, F.lit(1 << 32)) < int(sample * 2**32)) | F.lit(False))
+            data = data.where((F.pmod(keep, F.lit(1 << 32)) < int(sample * 2**32)) | one)
         else:
-            data = data.orderBy(keep, "value").limit(int(sample))
+            data = data.orderBy(F.desc(one), keep, "value").limit(int(sample))
     cells = data.select("value", split_quoted(F.col("value"), sep).alias("c"))
     long = cells.where(F.size("c") > len(names))
     fine = cells.where(F.size("c") <= len(names))

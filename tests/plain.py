@@ -1,0 +1,321 @@
+"""Plain versions of the queries that SQL cannot express: each takes the query's rows and a DuckDB connection with the tables, and asserts."""
+
+import math
+
+import numpy as np
+
+
+def fetch(duck, sql):
+    return duck.sql(sql).fetchall()
+
+
+def by(rows, key):
+    return {r[key]: r for r in rows}
+
+
+def prices(duck):
+    return np.array([x for (x,) in fetch(duck, "SELECT p_retailprice FROM part")], float)
+
+
+def cdf_nodes(values):
+    x, c = np.unique(values, return_counts=True)
+    return np.concatenate([[x[0] - 2.0**-26], x]), np.concatenate([[0.0], np.cumsum(c) / c.sum()])
+
+
+def normal_confidence(rows, duck):
+    z = prices(duck)
+    z = np.sort((z - z.mean()) / z.std())
+    cdf = np.array([(1 + math.erf(v / math.sqrt(2))) / 2 for v in z])
+    n = len(z)
+    # equal values are one step
+    up, down = np.searchsorted(z, z, "right") / n, np.searchsorted(z, z, "left") / n
+    assert len(rows) == 1 and rows[0].n == n and abs(rows[0].ks - max(np.abs(up - cdf).max(), np.abs(down - cdf).max())) < 1e-9
+
+
+def inverse_sampling(rows, duck):
+    x, p = cdf_nodes(prices(duck))
+    assert len(rows) == 1000 and all(abs(r.price - np.interp(r.u, p, x)) < 1e-6 for r in rows)
+
+
+def smoothed_cdf(rows, duck):
+    x, p = cdf_nodes(prices(duck))
+    at = np.arange(100) * (250.0 / 99) - 125
+    w = np.exp(-at * at / (2 * 25.0**2))
+    assert len(rows) == 40 and all(abs(r.smooth - (np.interp(r.v + at, x, p, 0, 1) * w).sum() / w.sum()) < 1e-9 for r in rows)
+
+
+def modes(rows, duck):
+    """The greedy choice of breaks over all local minima of the slope, widest steps first."""
+    x, p = cdf_nodes([v for (v,) in fetch(duck, "SELECT o_totalprice FROM orders")])
+    x, p = x[1:], p[1:]
+    slope = np.diff(p) / np.diff(x)
+    cand = [i for i in range(1, len(slope) - 1) if slope[i] < slope[i - 1] and slope[i] < slope[i + 1]]
+    breaks = [(x[0], 0.0), (x[-1], 1.0)]
+    for i in sorted(cand, key=lambda i: (-(x[i + 1] - x[i]), x[i])):
+        new = ((x[i] + x[i + 1]) / 2, (p[i] + p[i + 1]) / 2)
+        k = next(j for j, b in enumerate(breaks) if b > new)
+        if min(breaks[k][1] - new[1], new[1] - breaks[k - 1][1]) >= 0.1:
+            breaks.insert(k, new)
+    rows = sorted(rows, key=lambda r: r.mode)
+    assert [r.mode for r in rows] == list(range(len(breaks) - 1)) and len(rows) > 1
+    middle = (x[1:] + x[:-1]) / 2
+    for r, a, b in zip(rows, breaks, breaks[1:], strict=False):
+        assert abs(r.low - a[0]) < 1e-6 and abs(r.high - b[0]) < 1e-6 and abs(r.mass - (b[1] - a[1])) < 1e-9
+        inside = np.flatnonzero((middle >= a[0]) & (middle < b[0]))
+        assert abs(r.peak - middle[inside[slope[inside].argmax()]]) < 1e-6
+
+
+def combined_distributions(rows, duck):
+    """The mean of two linear CDFs at the values of either."""
+    sides = [cdf_nodes([v for (v,) in fetch(duck, f"SELECT value FROM events WHERE event_type = '{t}' AND value IS NOT NULL")]) for t in ("view", "click")]
+    values = {round(float(v), 9) for x, _ in sides for v in x}
+    assert {round(r.x, 9) for r in rows} == values
+    for r in rows:
+        assert abs(r.p - np.mean([np.interp(r.x, x, p, 0, 1) for x, p in sides])) < 1e-9
+
+
+def latin_sphere_points(rows, duck):
+    """All inside the unit ball, directions on either side of every axis, one radius in each of 200 shells of equal volume."""
+    x = np.array([[r.x0, r.x1, r.x2] for r in rows])
+    size = np.linalg.norm(x, axis=1)
+    assert len(x) == 200 and size.max() <= 1 + 1e-9
+    assert sorted(np.floor(size**3 * 200 + 1e-9).astype(int).tolist()) == list(range(200))
+    assert all(60 < (x[:, j] > 0).sum() < 140 for j in range(3))
+
+
+def test_corpus_parts(rows, duck):
+    """All distinct points of each subset of the inputs; extreme ones are for training, of the others a share near the split."""
+    all_ = fetch(duck, "SELECT p_size, p_brand FROM part")
+    groups = {}
+    for r in rows:
+        groups.setdefault((r.subset, r.split, r.seed), {})[r.part] = r.n
+    assert set(groups) == {(s, f, r) for s in (0, 1, 2) for f in (0.5, 0.9) for r in (1, 2)}
+    for (subset, split, _), found in groups.items():
+        points = {tuple(v for v, out in zip(p, (subset & 2, subset & 1), strict=True) if not out) for p in all_}
+        ends = [(min(c), max(c)) for c in zip(*points, strict=True)]
+        edge = sum(any(v in e for v, e in zip(p, ends, strict=True)) for p in points)
+        inner = len(points) - edge
+        train = found.get("train", 0)
+        assert train + found.get("test", 0) == len(points) and train >= edge
+        assert abs(train - edge - split * inner) <= 5 * math.sqrt(inner * split * (1 - split)) + 1
+
+
+def metric_pairs(rows, duck):
+    v = {i: (np.array(e, float), y) for i, e, y in fetch(duck, "SELECT vec_id, embedding, label FROM embeddings")}
+    assert len(rows) == 200 and all(r.a != r.b for r in rows)
+    for r in rows:
+        d = v[r.a][0] - v[r.b][0]
+        assert np.abs(np.array(r.direction) - abs(v[r.a][1] - v[r.b][1]) * d / np.linalg.norm(d)).max() < 1e-6
+
+
+def test_transforms(rows, duck):
+    v = {i: np.array(e, float) for i, e in fetch(duck, "SELECT vec_id, embedding FROM embeddings")}
+    assert len(rows) == len(v)
+    c, s = math.cos(0.3), math.sin(0.3)
+    for r in rows:
+        x = np.sign(v[r.vec_id]) * np.abs(v[r.vec_id]) ** 2 - 0.1
+        x[:2] = [c * x[0] - s * x[1], s * x[0] + c * x[1]]
+        assert abs(r.value - (x**4).mean()) <= 0.05 + 1e-9  # noise of up to half of 0.1 either way
+    assert len({round(r.value, 12) for r in rows}) == len(rows)
+
+
+def spline(rows, duck):
+    """Cubics between neighbours with slopes of the parabolas through three of them."""
+    n = sorted(fetch(duck, "SELECT p_size, avg(p_retailprice) FROM part GROUP BY 1"))
+    x, y = np.array([a for a, _ in n], float), np.array([b for _, b in n], float)
+    d = np.diff(y) / np.diff(x)
+    m = np.empty(len(x))
+    m[0], m[-1] = d[0], d[-1]
+    for i in range(1, len(x) - 1):
+        m[i] = (d[i - 1] * (x[i + 1] - x[i]) + d[i] * (x[i] - x[i - 1])) / (x[i + 1] - x[i - 1])
+    assert len(rows) == 200
+    for r in rows:
+        i = min(max(int(np.searchsorted(x, r.x, "right")) - 1, 0), len(x) - 2)
+        h, t = x[i + 1] - x[i], (r.x - x[i]) / (x[i + 1] - x[i])
+        want = (2 * t**3 - 3 * t**2 + 1) * y[i] + (t**3 - 2 * t**2 + t) * h * m[i] + (-2 * t**3 + 3 * t**2) * y[i + 1] + (t**3 - t**2) * h * m[i + 1]
+        assert abs(r.value - want) < 1e-6 * max(1, abs(want))
+
+
+def batch_minimum(rows, duck):
+    """Near the minimum, 0 at 0, and the value is the function's at the point."""
+    (r,) = rows
+    f = sum(1 + 2 * v * v + math.cos(6 * math.acos(v)) for v in (r.x, r.y)) / 8
+    assert abs(r.f - f) < 1e-9 and r.f < 0.01
+
+
+def descent_fit(rows, duck):
+    """The same steps with numpy."""
+    a = np.array([v for (v,) in fetch(duck, "SELECT p_size / 50.0 FROM part")], float)
+    y = a * 5 + 1
+    scale = math.sqrt((a * a).mean())
+    x = np.stack([a / scale, np.ones(len(a))], 1)
+    w = np.zeros(2)
+    for _ in range(20):
+        w -= x.T @ (x @ w - y) / len(a) / 2
+    assert abs(rows[0].slope - w[0] / scale) < 1e-6 and abs(rows[0].intercept - w[1]) < 1e-6
+
+
+def vectors(duck):
+    v = sorted(fetch(duck, "SELECT vec_id, embedding, label FROM embeddings"))
+    return [i for i, *_ in v], np.array([e for _, e, _ in v], float), np.array([y for *_, y in v], float)
+
+
+def signed(comps):
+    return comps * np.array([-1 if c[np.abs(c) > 1e-12][0] < 0 else 1 for c in comps])[:, None]
+
+
+def pca_weights(rows, duck):
+    ids, x, _ = vectors(duck)
+    _, s, vt = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    want = x @ (signed(vt[:3]) * (s[:3] / s.sum())[:, None]).T
+    got = by(rows, "vec_id")
+    assert len(rows) == len(ids) and max(np.abs(np.array(got[i][1:4]) - w).max() for i, w in zip(ids, want, strict=True)) < 1e-6
+
+
+def metric_pca(rows, duck):
+    """Coordinates are linear in the vectors, by orthogonal directions, scaled by falling weights."""
+    ids, x, _ = vectors(duck)
+    got = by(rows, "vec_id")
+    y = np.array([list(got[i][1:5]) for i in ids])
+    w, _, rank, _ = np.linalg.lstsq(x, y, rcond=None)
+    assert len(rows) == len(ids) and np.abs(x @ w - y).max() < 1e-8
+    if rank == x.shape[1]:
+        g = w.T @ w
+        assert np.abs(g - np.diag(np.diag(g))).max() < 1e-8 and (np.diff(np.diag(g)) <= 1e-12).all()
+
+
+def parts(duck):
+    p = sorted(fetch(duck, "SELECT p_partkey, p_size, p_partkey % 97, p_retailprice FROM part"))
+    return [k for k, *_ in p], np.array([[a, b] for _, a, b, _ in p], float), np.array([y for *_, y in p], float)
+
+
+def predictions(rows, key, ids):
+    got = by(rows, key)
+    assert set(got) == set(ids) and len(rows) == len(ids)
+    return np.array([got[i].prediction for i in ids])
+
+
+def poly_fit(rows, duck):
+    ids, x, y = parts(duck)
+    v = np.stack([x[:, 0] ** i * x[:, 1] ** j for i in range(4) for j in range(4 - i)], 1)
+    scale = np.abs(v).max(0)
+    want = v @ (np.linalg.lstsq(v / scale, y, rcond=None)[0] / scale)
+    assert np.abs(predictions(rows, "p_partkey", ids) - want).max() < 1e-5 * np.abs(want).max()
+
+
+def decision_tree(rows, duck):
+    """Constant on the leaves, each the mean of its rows, no worse than the best first cut."""
+    ids, x, y = parts(duck)
+    got = predictions(rows, "p_partkey", ids)
+    for v in np.unique(got):
+        assert abs(y[got == v].mean() - v) < 1e-6
+    assert len(np.unique(got)) <= 32 and ((y - got) ** 2).mean() < y.var()
+
+
+def fits(worst):
+    """At most `worst` of the variance is left: what fitted models promise on the rows they saw."""
+    def check(rows, duck):
+        ids, _, y = parts(duck)
+        got = predictions(rows, "p_partkey", ids)
+        assert np.isfinite(got).all() and ((y - got) ** 2).mean() <= worst * y.var()
+    return check
+
+
+def split_model(rows, duck):
+    """Between the least and the greatest prediction of three planes, which are near one another."""
+    ids, x, y = parts(duck)
+    a = np.hstack([x, np.ones((len(x), 1))])
+    want = a @ np.linalg.lstsq(a, y, rcond=None)[0]
+    assert np.abs(predictions(rows, "p_partkey", ids) - want).max() < 0.25 * y.std() + 1e-9
+
+
+def embedding_interpolator(rows, duck):
+    """Means of three responses of parts that were fitted."""
+    ids, _, y = parts(duck)
+    ask = [i for i in ids if i % 50 == 0]
+    got = predictions(rows, "p_partkey" if "p_partkey" in rows[0].asDict() else "query_id", ask)
+    assert (got >= y.min()).all() and (got <= y.max()).all() and np.isfinite(got).all()
+
+
+def planes(duck):
+    c = fetch(duck, "SELECT c_custkey, c_nationkey + (c_custkey % 13) / 13.0::DOUBLE, c_acctbal / 1000, c_acctbal * 0.5 FROM customer ORDER BY 1")
+    q = [(k, np.array([a, b])) for k, a, b, _ in c if k % 50 == 0]
+    p = {}
+    for k, a, b, y in c:
+        if k % 50:
+            p.setdefault((a, b), []).append((k, y))
+    return q, np.array(list(p)), np.array([np.mean([y for _, y in v]) for v in p.values()])
+
+
+def answers(rows, q):
+    got = by(rows, "query_id")
+    assert set(got) == {k for k, _ in q} and len(rows) == len(q)
+    return {k: got[k].prediction for k, _ in q}
+
+
+def voronoi(rows, duck):
+    q, x, y = planes(duck)
+    got = answers(rows, q)
+    for k, v in q:
+        w = np.zeros(len(x))
+        for i, c in enumerate(x):
+            d = x - c
+            n = (d * d).sum(1)
+            n[i] = np.inf
+            w[i] = max(0.0, 1 - max(0.0, (d @ (v - c) / n).max()))
+        hit = ((x - v) ** 2).sum(1) < 1e-24
+        w = hit.astype(float) if hit.any() else w
+        assert abs(got[k] - w @ y / w.sum()) < 1e-6 * max(1, abs(got[k]))
+
+
+def boxmesh(rows, duck):
+    q, x, y = planes(duck)
+    got = answers(rows, q)
+    reach = np.full((len(x), 2, 2), np.inf)
+    for i, c in enumerate(x):
+        d = x - c
+        for j in np.argsort(np.abs(d).max(1), kind="stable"):
+            side = (d[j] > 0).astype(int)
+            if j != i and all(abs(d[j, k]) < reach[i, k, side[k]] for k in (0, 1)):
+                k = int(np.abs(d[j]).argmax())
+                reach[i, k, side[k]] = abs(d[j, k])
+    for k, v in q:
+        w = np.array([math.prod(max(0.0, 1 - abs(d[a]) / reach[i, a, int(d[a] > 0)]) for a in (0, 1)) for i, d in enumerate(v - x)])
+        want = w @ y / w.sum() if w.any() else y[((x - v) ** 2).sum(1).argmin()]
+        assert abs(got[k] - want) < 1e-6 * max(1, abs(want))
+
+
+def delaunay(rows, duck):
+    """The response is half the balance, linear in the place, so it comes back exactly inside the hull of the points."""
+    q, x, y = planes(duck)
+    got = answers(rows, q)
+    turns = np.linspace(0, 2 * math.pi, 720, endpoint=False)
+    out = np.stack([np.cos(turns), np.sin(turns)])
+    most = (x @ out).max(0)
+    inside = [(k, v) for k, v in q if (v @ out <= most - 1e-6).all()]
+    assert inside and all(abs(got[k] - 500 * v[1]) < 1e-4 * max(1, abs(500 * v[1])) for k, v in inside)
+
+
+def lshep(rows, duck):
+    """Local planes give a linear response back."""
+    q, _, _ = planes(duck)
+    got = answers(rows, q)
+    assert all(abs(got[k] - 500 * v[1]) < 1e-4 * max(1, abs(500 * v[1])) for k, v in q)
+
+
+def best_k_model(rows, duck):
+    """Means of the k nearest of the points, k a power of two."""
+    ids, x, y = vectors(duck)
+    ask = [i for i in ids if i % 50 == 0]
+    rest = [j for j, i in enumerate(ids) if i % 50]
+    got = by(rows, "query_id")
+    assert set(got) == set(ask) and {r.k for r in rows} <= {1, 2, 4, 8, 16} and len({r.k for r in rows}) == 1
+    for i in ask:
+        d = ((x[rest] - x[ids.index(i)]) ** 2).sum(1)
+        near = np.array(rest)[np.lexsort((np.array(rest), d))[: rows[0].k]]
+        assert abs(got[i].prediction - y[near].mean()) < 1e-9
+
+
+PLAIN = {f.__name__: f for f in (normal_confidence, inverse_sampling, smoothed_cdf, modes, combined_distributions, latin_sphere_points, test_corpus_parts, metric_pairs, test_transforms, spline, batch_minimum, descent_fit,
+                                 pca_weights, metric_pca, poly_fit, decision_tree, split_model, embedding_interpolator, voronoi, boxmesh, delaunay, lshep, best_k_model)}
+PLAIN |= {"svr": fits(1.02), "mars": fits(1.0 + 1e-9), "neural_network": fits(1.0), "plrm": fits(1.0)}
