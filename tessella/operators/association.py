@@ -7,7 +7,6 @@ or category, not over all rows in one task.
 from __future__ import annotations
 
 import math
-
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,6 +15,7 @@ from pyspark.sql import types as T
 
 from tessella.functions.maths import erf
 
+from .joins import small
 from .ordered import scan
 
 
@@ -46,7 +46,7 @@ def in_and_out(df: DataFrame, category: str, value: str) -> DataFrame:
     base = df.where(F.col(category).isNotNull() & F.col(value).isNotNull()).groupBy(F.col(category).alias("category"), F.col(value).cast("double").alias("value")).agg(F.count("*").alias("n"))
     per_value = base.groupBy("value").agg(F.sum("n").alias("all"))
     kinds = base.select("category").distinct()
-    grid = per_value.crossJoin(F.broadcast(kinds))  # a category is a grouping; its values are few by nature
+    grid = per_value.crossJoin(small(kinds))
     return grid.join(base, ["category", "value"], "left").select("category", "value", F.coalesce("n", F.lit(0)).alias("inside"), (F.col("all") - F.coalesce("n", F.lit(0))).alias("outside"))
 
 
@@ -59,8 +59,20 @@ def ks_statistics(sides: DataFrame, by: str = "category") -> DataFrame:
 
 
 def ks_by_category(df: DataFrame, category: str, value: str) -> DataFrame:
-    """Kolmogorov-Smirnov statistic between a column's values inside and outside each category."""
-    return ks_statistics(in_and_out(df, category, value))
+    """(category, ks, n_inside, n_outside): Kolmogorov-Smirnov statistic between a column's values inside and outside each category.
+
+    Between two values of a category its own share stands still and the others' rises, so the difference is greatest at one of
+    its values or just before it: no category meets values that it does not hold.
+    """
+    base = df.where(F.col(category).isNotNull() & F.col(value).isNotNull()).groupBy(F.col(category).alias("category"), F.col(value).cast("double").alias("value")).agg(F.count("*").alias("n"))
+    whole = scan(base.groupBy("value").agg(F.sum("n").alias("a")), ["value"], sums={"all": F.col("a")}).select("value", "a", "all")
+    sizes = base.groupBy("category").agg(F.sum("n").alias("n_inside"))
+    total = base.agg(F.sum("n").alias("total"))
+    run = scan(base, ["value"], ["category"], sums={"own": F.col("n")}).join(whole, "value").join(sizes, "category").crossJoin(F.broadcast(total))  # one row
+    rest = F.nullif(F.col("total") - F.col("n_inside"), F.lit(0))
+    after = F.abs(F.col("own") / F.col("n_inside") - (F.col("all") - F.col("own")) / rest)
+    before = F.abs((F.col("own") - F.col("n")) / F.col("n_inside") - (F.col("all") - F.col("a") - F.col("own") + F.col("n")) / rest)
+    return run.groupBy("category").agg(F.max(F.greatest(after, before)).alias("ks"), F.first("n_inside").alias("n_inside"), F.first(F.col("total") - F.col("n_inside")).alias("n_outside"))
 
 
 def ks_two_sample(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
@@ -121,16 +133,17 @@ def category_category(df: DataFrame, a: str, b: str) -> DataFrame:
     """(side, category, difference): total variation between the other column's distribution given = and <> each category."""
     n = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b")).agg(F.count("*").alias("n"))
     out = None
+    total = n.agg(F.sum("n").alias("total"))
     for given, other, name in (("a", "b", a), ("b", "a", b)):
-        kinds = n.select(F.col(given).alias("category")).distinct()
-        values = n.groupBy(F.col(other).alias("v")).agg(F.sum("n").alias("all"))
-        cell = n.select(F.col(given).alias("category"), F.col(other).alias("v"), "n")
-        grid = values.crossJoin(F.broadcast(kinds)).join(cell, ["category", "v"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-        whole = Window.partitionBy("category")
-        p = F.col("n") / F.sum("n").over(whole)
-        q = (F.col("all") - F.col("n")) / F.nullif(F.sum(F.col("all") - F.col("n")).over(whole), F.lit(0))
-        part = grid.select("category", F.abs(p - F.coalesce(q, F.lit(0.0))).alias("d")).groupBy("category").agg((F.sum("d") / 2).alias("difference"))
-        part = part.select(F.lit(name).alias("side"), "category", "difference")
+        cells = n.select(F.col(given).alias("category"), F.col(other).alias("v"), "n")
+        values = cells.groupBy("v").agg(F.sum("n").alias("all"))
+        sizes = cells.groupBy("category").agg(F.sum("n").alias("own"))
+        held = cells.join(values, "v").join(sizes, "category").crossJoin(F.broadcast(total))  # one row
+        rest = F.nullif(F.col("total") - F.col("own"), F.lit(0))
+        d = F.abs(F.col("n") / F.col("own") - F.coalesce((F.col("all") - F.col("n")) / rest, F.lit(0.0)))
+        # values that a category does not hold add their share of the others, together what the held ones leave
+        part = held.withColumn("rest", rest).groupBy("category").agg(F.sum(d).alias("d"), F.sum("all").alias("seen"), F.first("total").alias("total"), F.first("rest").alias("rest"))
+        part = part.select(F.lit(name).alias("side"), "category", ((F.col("d") + F.coalesce((F.col("total") - F.col("seen")) / F.col("rest"), F.lit(0.0))) / 2).alias("difference"))
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -17,8 +17,7 @@ def frequent_itemsets(df: DataFrame, key: str, item: str, support: float, longes
 
     def level(sets: DataFrame) -> DataFrame:
         n = sets.groupBy("items").agg(F.count("*").alias("n")).where(F.col("n") >= support * total)
-        best = n.withColumn("_r", F.row_number().over(Window.orderBy(F.desc("n"), "items")))
-        return best.where(F.col("_r") <= max_items).drop("_r")
+        return n.orderBy(F.desc("n"), "items").limit(max_items)  # each task sends its best `max_items`
 
     holders = rows.select("t", F.array("i").alias("items"), F.col("i").alias("last"))
     kept = level(holders)

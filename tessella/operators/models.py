@@ -142,15 +142,18 @@ def linear_shepard_predict(queries: DataFrame, points: DataFrame, fitted: DataFr
     return d.select("query_id", plane.alias("f"), w.alias("w")).groupBy("query_id").agg((F.sum(F.col("f") * F.col("w")) / F.sum("w")).alias("prediction"))
 
 
-def _local(queries: DataFrame, points: DataFrame, q_id: str, p_id: str, vec: str, weigh) -> DataFrame:
+def _local(queries: DataFrame, points: DataFrame, q_id: str, p_id: str, vec: str, weigh, distinct: bool = False) -> DataFrame:
     """(query_id, point, weight) by a numpy function of one query and all points of a bounded model.
 
-    The model's points are what was fitted: at most MAX_FIT_ROWS, counted before they are broadcast.
+    The model's points are what was fitted: at most MAX_FIT_ROWS, checked before they are broadcast.
     """
     spark = queries.sparkSession
-    if points.count() > MAX_FIT_ROWS:
+    got = points.select(p_id, vec).limit(MAX_FIT_ROWS + 1).collect()
+    if len(got) > MAX_FIT_ROWS:
         raise ValueError(f"this model takes at most {MAX_FIT_ROWS} points; sample or split them (see split_fit)")
-    got = points.select(p_id, vec).orderBy(p_id).collect()
+    if distinct and len({tuple(r[1]) for r in got}) < len(got):
+        raise ValueError("this mesh needs distinct points")
+    got.sort(key=lambda r: r[0])
     sent = spark.sparkContext.broadcast(([r[0] for r in got], np.array([r[1] for r in got], float)))
     kind = points.schema[p_id].dataType.simpleString()
     qkind = queries.schema[q_id].dataType.simpleString()
@@ -200,9 +203,7 @@ def voronoi_weights_of(x: np.ndarray, q: np.ndarray, few: int = 48) -> np.ndarra
 
 
 def voronoi_weights(queries: DataFrame, points: DataFrame, q_id: str, p_id: str, vec: str) -> DataFrame:
-    if points.select(vec).distinct().count() != points.count():
-        raise ValueError("a Voronoi mesh needs distinct points")
-    return _local(queries, points, q_id, p_id, vec, voronoi_weights_of)
+    return _local(queries, points, q_id, p_id, vec, voronoi_weights_of, True)
 
 
 def box_widths(x: np.ndarray) -> np.ndarray:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import small
 from .ordered import scan
 
 
@@ -47,11 +48,10 @@ def rank_probability_independent(df: DataFrame, series: str, value: str, interes
     rest = df.where(F.col(series) != interest)
     others = rest.groupBy(F.col(series).alias("s"), F.col(value).alias("v")).agg(F.count("*").alias("c"))
     kinds = others.groupBy("s").agg(F.sum("c").alias("n"))
-    # shares up to each value of interest: one union and one running sum per series
-    marks = own.select("v").crossJoin(F.broadcast(kinds.select("s"))).select("s", "v", F.lit(0).cast("bigint").alias("c"), F.lit(True).alias("mark"))
-    both = others.select("s", "v", "c", F.lit(False).alias("mark")).unionByName(marks)
-    upto = Window.partitionBy("s").orderBy("v").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    p = both.withColumn("upto", F.sum("c").over(upto)).where("mark").join(F.broadcast(kinds), "s").select("v", "s", (F.col("upto") / F.col("n")).alias("p"))
+    # shares up to each value of interest: one union and one running sum per series, marks after the values they equal
+    marks = own.select("v").crossJoin(small(kinds.select("s"))).select("s", "v", F.lit(0).cast("bigint").alias("c"), F.lit(1).alias("mark"))
+    both = others.where("s is not null").select("s", "v", "c", F.lit(0).alias("mark")).unionByName(marks)
+    p = scan(both, ["v", "mark"], ["s"], sums={"upto": F.col("c")}).where("mark = 1").join(kinds, "s").select("v", "s", (F.col("upto") / F.col("n")).alias("p"))
     folded = F.aggregate("ps", F.array(F.lit(1.0)), lambda a, q: F.zip_with(F.concat(F.transform(a, lambda x: x * (1 - q)), F.array(F.lit(0.0))), F.concat(F.array(F.lit(0.0)), F.transform(a, lambda x: x * q)), lambda x, y: x + y))
     got = p.groupBy("v").agg(F.transform(F.array_sort(F.collect_list(F.struct("s", "p"))), lambda x: x["p"]).alias("ps")).withColumn("dist", folded)
     k = F.size("ps") + 1 + rank if rank < 0 else F.lit(rank)
@@ -80,9 +80,9 @@ def data_profile(df: DataFrame, trial: str, iteration: str, value: str, best: fl
 
 def total_variation(df: DataFrame, axis: str, x: str, y: str, dims: int = 1) -> DataFrame:
     """(axis, variation): sum of |dy| / (dx * dims) over neighbours in x of each axis, steps without dx skipped."""
-    w = Window.partitionBy(axis).orderBy(x, y)
-    dx, dy = F.lead(x).over(w) - F.col(x), F.abs(F.lead(y).over(w) - F.col(y))
-    return df.select(axis, dx.alias("dx"), dy.alias("dy")).where("dx > 0").groupBy(axis).agg(F.sum(F.col("dy") / (F.col("dx") * dims)).alias("variation"))
+    steps = scan(df.where(F.col(axis).isNotNull()), [x, y], [axis], lags={"_x": F.col(x), "_y": F.col(y)})
+    dx, dy = F.col(x) - F.col("_x"), F.abs(F.col(y) - F.col("_y"))
+    return steps.select(axis, dx.alias("dx"), dy.alias("dy")).where("dx > 0").groupBy(axis).agg(F.sum(F.col("dy") / (F.col("dx") * dims)).alias("variation"))
 
 
 def axis_weights(variation: DataFrame, axis: str) -> DataFrame:
