@@ -228,12 +228,14 @@ def collect_lists(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("zip_join", """
-SELECT a.rid::BIGINT AS _rid, a.n_name, b.c_name FROM (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) - 1 AS rid FROM nation) a
-JOIN (SELECT c_name, row_number() OVER (ORDER BY c_custkey) - 1 AS rid FROM customer ORDER BY c_custkey LIMIT 25) b USING (rid)""")
+SELECT a.rid::BIGINT AS _rid, a.o_orderkey, b.dearest FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS rid FROM orders) a
+JOIN (SELECT o_orderkey AS dearest, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS rid FROM orders) b USING (rid)""")
 def zip_join(spark: SparkSession, sf: str) -> DataFrame:
-    a = Frame(table(spark, sf, "nation").select("n_nationkey", "n_name"), "n_nationkey").rid()
-    b = Frame(table(spark, sf, "customer").select("c_custkey", "c_name").orderBy("c_custkey").limit(25), "c_custkey").rid()
-    return a.add_columns(b).df.select(RID, "n_name", "c_name")
+    """Orders in the order of their keys beside orders in the order of their prices."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    a = Frame(orders.select("o_orderkey"), "o_orderkey").rid()
+    b = Frame(orders.select((-F.col("o_totalprice")).alias("price"), F.col("o_orderkey").alias("dearest")), ["price", "dearest"]).rid()
+    return a.add_columns(b).df.select(RID, "o_orderkey", "dearest")
 
 
 @query("stack_events", "SELECT user_id, event_type, string_agg(event_id::VARCHAR, ',' ORDER BY event_id) AS ids FROM events GROUP BY 1, 2")
