@@ -55,7 +55,7 @@ PREFIXES = (5, 6, 7)
 
 def forms(word: str) -> list[str]:
     """What the lexicon is mined from: the word and its beginnings, so that inflected and joined forms count."""
-    return [word, *(f"{word[:k]}-" for k in PREFIXES if len(word) > k)] if 2 < len(word) < 40 else []
+    return [word, *[word[:k] + "-" for k in PREFIXES if len(word) > k]] if 2 < len(word) < 40 else []
 
 
 class Features:
@@ -64,6 +64,7 @@ class Features:
     def __init__(self, *mined: dict[str, float]):
         self.lexicon, self.mined, self.second = set(LEXICON), mined, set(SECOND_PERSON)
         self.known: dict[str, tuple] = {}
+        self.nothing = (0.0,) * len(mined)
         punct = np.zeros(256, bool)
         punct[[ord(c) for c in string.punctuation]] = True
         self.punct = punct
@@ -82,15 +83,18 @@ class Features:
         if bare and not bare.isalpha():
             if any(not c.isalnum() and c not in "'’-" for c in bare) or not bare.isdigit() and any(c.isdigit() for c in bare):
                 bits |= 16
+        # only words with a symbol or digit inside, or with a stretch, can hide another one
+        stretched = STRETCH.search(low) is not None
         if not bits & 3 and len(raw) < 40:
-            plain = {"".join(c for c in w.lower().translate(LEET) if c.isalpha()) for w in (raw, bare)}
-            short = STRETCH.sub(r"\1", low)
-            if bits & 16 and plain & self.lexicon or short != low and short in self.lexicon:
+            hidden = bits & 16 and any("".join(filter(str.isalpha, w.lower().translate(LEET))) in self.lexicon for w in (raw, bare))
+            if hidden or stretched and STRETCH.sub(r"\1", low) in self.lexicon:
                 bits |= 1 | 4
-        if STRETCH.search(low):
+        if stretched:
             bits |= 32
+        if not 2 < len(low) < 40:
+            return bits, *self.nothing
         own = forms(low)
-        return bits, *(max(map(m.get, own, repeat(0.0)), default=0.0) for m in self.mined)
+        return bits, *[max([m.get(f, 0.0) for f in own], default=0.0) for m in self.mined]
 
     def row(self, text: str) -> list[float]:
         """The features of `NAMES`, then those of `MINED_NAMES` for each mined lexicon."""
@@ -120,8 +124,12 @@ class Features:
                near / max(1, len(lex)), dist, caps / max(1, caps + lower), float((bits & 8 > 0).mean()), hist[33] / n, hist[63] / n,
                float(hist[self.punct].sum()) / size, float(hist[48:58].sum()) / size, obf, obf / n, float((bits & 16 > 0).mean()),
                float((bits & 32 > 0).mean()), float(hist[10]) / n, len(set(raw)) / n]
-        for m in range(1, len(self.mined) + 1):
-            mined = [x for w in raw if (x := known[w][m])]
+        if len(self.mined) == 1:
+            columns = [[known[w][1] for w in raw]]
+        else:
+            columns = list(zip(*[known[w][1:] for w in raw], strict=True))
+        for column in columns:
+            mined = list(filter(None, column))
             out += [len(mined), sum(mined), len(mined) / n, max(mined, default=0.0)]
         return out
 
