@@ -19,7 +19,10 @@ components that shares a prefix token goes unexamined, so components are exact.
 
 Defined cases: null texts and texts without words have empty sets, size 0, and link with nothing;
 fewer than five words count as one shingle; rows with equal ids count as one document whose links
-are those of either text; a null id keeps a null component; an empty table gives an empty table.
+are those of either text; a null id keeps a null component; of members that share equal parts of their
+prefixes the one with the greatest id leads, which changes costs and no result; columns other than id
+and text are not carried by near_duplicates(), so their names cannot clash, and keep_one() passes all
+through; an empty table gives an empty table.
 """
 
 from __future__ import annotations
