@@ -1,4 +1,4 @@
-"""The queries op1 .. op10: operators of this subpackage over the whole of their tables."""
+"""The queries op1 .. op13: operators of this subpackage over the whole of their tables."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import bpe, decontam, html_extract, jaccard, nn_descent, passages, pii, records, shards, sql, toxicity
+from . import bpe, decontam, html_extract, infill, jaccard, nn_descent, passages, pii, records, shards, sql, toxicity
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,8 +83,15 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = infill.fill_in_middle(read_table(spark, sf_dir, "documents"))
+    again = infill.restored(F.col("output"), F.col("form"))
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(again, 256).alias("restored_sha256"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_bpe": op1_bpe, "op2_html": op2_html, "op3_jaccard": op3_jaccard, "op4_passages": op4_passages, "op5_pii": op5_pii, "op6_records": op6_records, "op7_neardup": op7_neardup, "op8_shards": op8_shards, "op9_toxicity": op9_toxicity, "op10_decontam": op10_decontam}
+    return {"op1_bpe": op1_bpe, "op2_html": op2_html, "op3_jaccard": op3_jaccard, "op4_passages": op4_passages, "op5_pii": op5_pii, "op6_records": op6_records, "op7_neardup": op7_neardup, "op8_shards": op8_shards, "op9_toxicity": op9_toxicity, "op10_decontam": op10_decontam,
+            "op12_infill": op12_infill}
 
 
 def oracle_sql() -> dict[str, str]:
