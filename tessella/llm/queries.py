@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import bpe, decontam, html_extract, infill, jaccard, nn_descent, passages, pii, records, shards, sql, toxicity
+from . import bpe, decontam, html_extract, infill, jaccard, nn_descent, passages, pii, records, shards, sql, toxicity, valid_time
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,6 +83,11 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op11_valid_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = valid_time.enrich(read_table(spark, sf_dir, "sales"), read_table(spark, sf_dir, "client_changes"))
+    return done.select("rec", "id", "batch", "n_held", "change_id", F.floor(F.col("balance") * 100 + 0.5).alias("balance_cents"), "op")
+
+
 def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = infill.fill_in_middle(read_table(spark, sf_dir, "documents"))
     again = infill.restored(F.col("output"), F.col("form"))
@@ -91,7 +96,7 @@ def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {"op1_bpe": op1_bpe, "op2_html": op2_html, "op3_jaccard": op3_jaccard, "op4_passages": op4_passages, "op5_pii": op5_pii, "op6_records": op6_records, "op7_neardup": op7_neardup, "op8_shards": op8_shards, "op9_toxicity": op9_toxicity, "op10_decontam": op10_decontam,
-            "op12_infill": op12_infill}
+            "op11_valid_time": op11_valid_time, "op12_infill": op12_infill}
 
 
 def oracle_sql() -> dict[str, str]:
