@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import bpe, decontam, html_extract, infill, jaccard, nn_descent, passages, pii, records, shards, sql, toxicity, valid_time
+from . import bpe, decontam, html_extract, infill, jaccard, nn_descent, passages, pii, records, shards, sql, suffixes, toxicity, valid_time
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,9 +94,14 @@ def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(again, 256).alias("restored_sha256"))
 
 
+def op13_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffixes.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Query]:
     return {"op1_bpe": op1_bpe, "op2_html": op2_html, "op3_jaccard": op3_jaccard, "op4_passages": op4_passages, "op5_pii": op5_pii, "op6_records": op6_records, "op7_neardup": op7_neardup, "op8_shards": op8_shards, "op9_toxicity": op9_toxicity, "op10_decontam": op10_decontam,
-            "op11_valid_time": op11_valid_time, "op12_infill": op12_infill}
+            "op11_valid_time": op11_valid_time, "op12_infill": op12_infill, "op13_suffixes": op13_suffixes}
 
 
 def oracle_sql() -> dict[str, str]:
