@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .encoding import polynomial_terms
+from . import meshes
 from .joins import nearest, pairwise_distance
 
 TINY = math.sqrt(2.0 ** -52)
@@ -145,12 +146,13 @@ def linear_shepard_predict(queries: DataFrame, points: DataFrame, fitted: DataFr
 def _local(queries: DataFrame, points: DataFrame, q_id: str, p_id: str, vec: str, weigh, distinct: bool = False) -> DataFrame:
     """(query_id, point, weight) by a numpy function of one query and all points of a bounded model.
 
-    The model's points are what was fitted: at most MAX_FIT_ROWS, checked before they are broadcast.
+    The model's points are what was fitted: at most MAX_FIT_ROWS, checked before they are broadcast. More points take the
+    searches of meshes, which give the same weights.
     """
     spark = queries.sparkSession
     got = points.select(p_id, vec).limit(MAX_FIT_ROWS + 1).collect()
     if len(got) > MAX_FIT_ROWS:
-        raise ValueError(f"this model takes at most {MAX_FIT_ROWS} points; sample or split them (see split_fit)")
+        raise ValueError(f"more than {MAX_FIT_ROWS} points")
     if distinct and len({tuple(r[1]) for r in got}) < len(got):
         raise ValueError("this mesh needs distinct points")
     got.sort(key=lambda r: r[0])
@@ -202,7 +204,13 @@ def voronoi_weights_of(x: np.ndarray, q: np.ndarray, few: int = 48) -> np.ndarra
     return w / w.sum()
 
 
+def _many(points: DataFrame) -> bool:
+    return points.limit(MAX_FIT_ROWS + 1).count() > MAX_FIT_ROWS
+
+
 def voronoi_weights(queries: DataFrame, points: DataFrame, q_id: str, p_id: str, vec: str) -> DataFrame:
+    if _many(points):
+        return meshes.voronoi_weights(queries, points, q_id, p_id, vec)
     return _local(queries, points, q_id, p_id, vec, voronoi_weights_of, True)
 
 
@@ -235,6 +243,8 @@ def box_widths(x: np.ndarray) -> np.ndarray:
 
 def box_mesh_weights(queries: DataFrame, points: DataFrame, q_id: str, p_id: str, vec: str) -> DataFrame:
     """Products of linear hats over each point's box (an unbounded side counts 1), normalised."""
+    if _many(points):
+        return meshes.box_mesh_weights(queries, points, q_id, p_id, vec)
     cache: dict[int, np.ndarray] = {}
 
     def weigh(x, q):
@@ -293,6 +303,8 @@ def delaunay_weights_of(x: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def delaunay_weights(queries: DataFrame, points: DataFrame, q_id: str, p_id: str, vec: str) -> DataFrame:
+    if _many(points):
+        return meshes.delaunay_weights(queries, points, q_id, p_id, vec, delaunay_weights_of)
     return _local(queries, points, q_id, p_id, vec, delaunay_weights_of)
 
 

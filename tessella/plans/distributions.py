@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.operators import cubic, sampling
 from tessella.operators import distribution as dist
-from tessella.operators import sampling
 
 from .registry import query, table
 
@@ -29,6 +29,38 @@ def cdf_eval(spark: SparkSession, sf: str) -> DataFrame:
     return dist.cdf_eval(q, nodes, "v").withColumn("cdf", F.round("cdf", 9))
 
 
+CUBIC = NODES + """,
+near AS (SELECT x, p, lag(x) OVER o AS xa, lag(p) OVER o AS pa, lead(x) OVER o AS xb, lead(p) OVER o AS pb, lag(x, 2) OVER o AS xy, lag(p, 2) OVER o AS py, lead(x, 2) OVER o AS xz, lead(p, 2) OVER o AS pz FROM n WINDOW o AS (ORDER BY x)),
+d AS (SELECT *, x - xa AS h0, (p - pa) / (x - xa) AS d0, xb - x AS h1, (pb - p) / (xb - x) AS d1, xz - xb AS h2, (pz - pb) / (xz - xb) AS d2, xa - xy AS g, (pa - py) / (xa - xy) AS e FROM near),
+r AS (SELECT *, ((2 * h1 + h2) * d1 - h1 * d2) / (h1 + h2) AS mf, ((2 * h0 + g) * d0 - h0 * e) / (h0 + g) AS ml FROM d),
+s AS (SELECT x, p, CASE
+  WHEN d0 IS NOT NULL AND d1 IS NOT NULL THEN CASE WHEN d0 * d1 <= 0 THEN 0 ELSE (3 * h0 + 3 * h1) / ((2 * h1 + h0) / d0 + (h1 + 2 * h0) / d1) END
+  WHEN d1 IS NOT NULL THEN CASE WHEN d2 IS NULL THEN d1 WHEN sign(mf) <> sign(d1) THEN 0 WHEN sign(d1) <> sign(d2) AND abs(mf) > 3 * abs(d1) THEN 3 * d1 ELSE mf END
+  ELSE CASE WHEN e IS NULL THEN d0 WHEN sign(ml) <> sign(d0) THEN 0 WHEN sign(d0) <> sign(e) AND abs(ml) > 3 * abs(d0) THEN 3 * d0 ELSE ml END END AS m FROM r),
+pieces AS (SELECT x AS low, lead(x) OVER o AS high, p AS y0, lead(p) OVER o AS y1, m AS m0, lead(m) OVER o AS m1 FROM s WINDOW o AS (ORDER BY x)),
+q AS (SELECT unnest(range(0, 600000, 7919))::DOUBLE AS v),
+j AS (SELECT v, pieces.*, (v - low) / (high - low) AS t, high - low AS h FROM q LEFT JOIN pieces ON v >= low AND v <= high)
+"""
+
+
+@query("cdf_cubic", CUBIC + """SELECT v, round(max(CASE WHEN low IS NULL THEN CASE WHEN v < (SELECT min(x) FROM n) THEN 0 ELSE 1 END ELSE y0 * (1 + 2 * t) * (1 - t) * (1 - t) + m0 * h * t * (1 - t) * (1 - t) + y1 * t * t * (3 - 2 * t) - m1 * h * t * t * (1 - t) END), 9) AS cdf,
+round(max(CASE WHEN low IS NULL THEN 0 ELSE 6 * t * (1 - t) * (y1 - y0) / h + m0 * (1 - t) * (1 - 3 * t) - m1 * t * (2 - 3 * t) END), 12) AS density FROM j GROUP BY v""")
+def cdf_cubic(spark: SparkSession, sf: str) -> DataFrame:
+    """The monotone cubic distribution of all order totals and its density at places over its whole range."""
+    found = cubic.pieces(dist.cdf_points(table(spark, sf, "orders"), "o_totalprice"))
+    q = spark.range(0, 600000, 7919).select(F.col("id").cast("double").alias("v"))
+    both = cubic.evaluate(cubic.evaluate(q, found, "v", "cdf"), found, "v", "density", slope=True)
+    return both.withColumns({"cdf": F.round("cdf", 9), "density": F.round("density", 12)})
+
+
+@query("cdf_cubic_inverse")
+def cdf_cubic_inverse(spark: SparkSession, sf: str) -> DataFrame:
+    """The price of every part found again from its share in the cubic distribution of all prices."""
+    p = table(spark, sf, "part").select("p_partkey", F.col("p_retailprice").cast("double").alias("price"))
+    found = cubic.pieces(dist.cdf_points(p, "price"))
+    return cubic.invert(cubic.evaluate(p, found, "price", "share"), found, "share", "again")
+
+
 @query("percentiles", """
 SELECT unnest([0.0, 5.0, 25.0, 50.0, 75.0, 95.0, 100.0])::DOUBLE AS percent, unnest(list_transform(quantile_cont(o_totalprice, [0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0]), lambda x: round(x, 4))) AS value FROM orders""")
 def percentiles(spark: SparkSession, sf: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.operators import encoding, mining, models
+from tessella.operators import encoding, gradients, meshes, mining, models
 
 from .registry import query, table
 
@@ -201,6 +201,27 @@ def poly_fit(spark: SparkSession, sf: str) -> DataFrame:
     return models.polynomial_fit(p, ["a", "b"], "y", 3).predict(p).select("p_partkey", "prediction")
 
 
+@query("linear_gradient", "SELECT p_partkey, round(s, 9) AS slope FROM part, (SELECT regr_slope(p_retailprice, p_size) AS s FROM part)")
+def linear_gradient(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "part")
+    got = gradients.gradient(models.linear_fit(p, ["p_size"], "p_retailprice"), p)
+    return got.select("p_partkey", F.round(F.col("gradient")[0], 9).alias("slope"))
+
+
+@query("polynomial_gradient")
+def polynomial_gradient(spark: SparkSession, sf: str) -> DataFrame:
+    """Both slopes of a cubic surface over all parts, at every part."""
+    p = _parts(spark, sf)
+    return gradients.gradient(models.polynomial_fit(p, ["a", "b"], "y", 3), p).select("p_partkey", F.col("gradient")[0].alias("by_a"), F.col("gradient")[1].alias("by_b"))
+
+
+@query("shepard_gradient")
+def shepard_gradient(spark: SparkSession, sf: str) -> DataFrame:
+    q, p = _planes(spark, sf)
+    got = gradients.shepard_gradient(q, p, "c_custkey", "c_custkey", "x", "y")
+    return got.select("query_id", "prediction", F.col("gradient")[0].alias("by_0"), F.col("gradient")[1].alias("by_1"))
+
+
 @query("decision_tree")
 def decision_tree(spark: SparkSession, sf: str) -> DataFrame:
     p = _parts(spark, sf)
@@ -275,6 +296,25 @@ def delaunay(spark: SparkSession, sf: str) -> DataFrame:
     return models.predict_weighted(models.delaunay_weights(q, p, "c_custkey", "c_custkey", "x"), p, "c_custkey", "y")
 
 
+@query("voronoi_cells")
+def voronoi_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """The mesh by searches in cells, as it is beyond what a task holds."""
+    q, p = _planes(spark, sf)
+    return models.predict_weighted(meshes.voronoi_weights(q, p, "c_custkey", "c_custkey", "x"), p, "c_custkey", "y")
+
+
+@query("boxmesh_cells")
+def boxmesh_cells(spark: SparkSession, sf: str) -> DataFrame:
+    q, p = _planes(spark, sf)
+    return models.predict_weighted(meshes.box_mesh_weights(q, p, "c_custkey", "c_custkey", "x"), p, "c_custkey", "y")
+
+
+@query("delaunay_cells")
+def delaunay_cells(spark: SparkSession, sf: str) -> DataFrame:
+    q, p = _planes(spark, sf)
+    return models.predict_weighted(meshes.delaunay_weights(q, p, "c_custkey", "c_custkey", "x", models.delaunay_weights_of), p, "c_custkey", "y")
+
+
 @query("best_k_model")
 def best_k_model(spark: SparkSession, sf: str) -> DataFrame:
     q, v = _split(spark, sf)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.operators import joins, profile, reshape
+from tessella.operators import cells, joins, profile, reshape
 from tessella.operators.frame import RID, Frame, arithmetic, compare, differs, equals, row_elementwise
 from tessella.sources import files
 
@@ -317,16 +317,37 @@ def pairwise_distance(spark: SparkSession, sf: str) -> DataFrame:
     return joins.pairwise_distance(q, v, "query_id", "vec_id", "qe", "embedding").withColumn("distance", F.round("distance", 6))
 
 
-@query("knn_topk", """
+KNN = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
 d AS (SELECT q.vec_id AS query_id, p.vec_id, sqrt(list_sum(list_transform(list_zip(q.e, p.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS distance FROM v q, v p WHERE q.vec_id % 50 = 0)
-SELECT query_id, vec_id, round(distance, 6) AS distance, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d) WHERE rank <= 5""")
+SELECT query_id, vec_id, round(distance, 6) AS distance, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d) WHERE rank <= 5"""
+
+
+@query("knn_topk", KNN)
 def knn_topk(spark: SparkSession, sf: str) -> DataFrame:
     v = table(spark, sf, "embeddings")
     q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qe"))
     return joins.nearest(q, v, 5, "query_id", "vec_id", "qe", "embedding").withColumn("distance", F.round("distance", 6))
 
 
+@query("knn_cells", KNN)
+def knn_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """The same neighbours out of cells, without a comparison of all pairs."""
+    v = table(spark, sf, "embeddings")
+    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qe"))
+    return cells.nearest(q, v, 5, "query_id", "vec_id", "qe", "embedding").withColumn("distance", F.round("distance", 6))
+
+
+@query("knn_cells_self", """
+WITH p AS (SELECT c_custkey, c_nationkey + c_custkey % 13 / 13 AS a, c_acctbal / 1000 AS b FROM customer),
+d AS (SELECT q.c_custkey AS query_id, p.c_custkey, sqrt((q.a - p.a) * (q.a - p.a) + (q.b - p.b) * (q.b - p.b)) AS distance FROM p q, p WHERE q.c_custkey <> p.c_custkey)
+SELECT query_id, c_custkey, round(distance, 6) AS distance, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, c_custkey) AS rank FROM d) WHERE rank <= 3""")
+def knn_cells_self(spark: SparkSession, sf: str) -> DataFrame:
+    """Three neighbours of every customer among all others."""
+    c = table(spark, sf, "customer").select("c_custkey", F.array(F.col("c_nationkey") + F.col("c_custkey") % 13 / 13, F.col("c_acctbal") / 1000).alias("x"))
+    return cells.nearest(c, c, 3, "c_custkey", "c_custkey", "x", "x", exclude_self=True).withColumn("distance", F.round("distance", 6))
+
+
 @query("all_pairs_regions", "SELECT a.r_regionkey AS a, b.r_regionkey AS b FROM region a JOIN region b ON a.r_regionkey > b.r_regionkey")
 def all_pairs_regions(spark: SparkSession, sf: str) -> DataFrame:
     return joins.all_pairs(table(spark, sf, "region"), "r_regionkey")

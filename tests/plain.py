@@ -316,6 +316,48 @@ def best_k_model(rows, duck):
         assert abs(got[i].prediction - y[near].mean()) < 1e-9
 
 
+def cdf_cubic_inverse(rows, duck):
+    x, p = cdf_nodes(prices(duck))
+    at = dict(zip(x, p, strict=True))
+    assert len(rows) == len(prices(duck)) and all(abs(r.share - at[r.price]) < 1e-12 and abs(r.again - r.price) <= 1e-9 * r.price for r in rows)
+
+
+def polynomial_gradient(rows, duck):
+    got = np.array(fetch(duck, "SELECT p_partkey, p_size, p_partkey % 97, p_retailprice FROM part"), float)
+    a, b, y = got[:, 1], got[:, 2], got[:, 3]
+    powers = [(i, j) for i in range(4) for j in range(4 - i)]
+    sa, sb = a.max(), b.max()
+    w = np.linalg.lstsq(np.stack([(a / sa) ** i * (b / sb) ** j for i, j in powers], 1), y, rcond=None)[0]
+    at = by(rows, "p_partkey")
+    da = sum(c * i * (a / sa) ** max(i - 1, 0) / sa * (b / sb) ** j for c, (i, j) in zip(w, powers, strict=True))
+    db = sum(c * j * (b / sb) ** max(j - 1, 0) / sb * (a / sa) ** i for c, (i, j) in zip(w, powers, strict=True))
+    for k, key in enumerate(got[:, 0].astype(int)):
+        assert abs(at[key].by_a - da[k]) < 1e-5 * max(1, abs(da[k])) and abs(at[key].by_b - db[k]) < 1e-5 * max(1, abs(db[k]))
+
+
+def shepard_gradient(rows, duck):
+    """Central differences of the weighted mean."""
+    q, x, y = planes(duck)
+    got = by(rows, "query_id")
+
+    def f(v):
+        w = 1 / ((x - v) ** 2).sum(1)
+        return w @ y / w.sum()
+
+    assert set(got) == {k for k, _ in q}
+    for k, v in q:
+        near = np.sqrt(((x - v) ** 2).sum(1).min())
+        if near == 0:
+            assert got[k].by_0 == got[k].by_1 == 0
+            continue
+        h = min(1e-4, near / 100)
+        for i, g in enumerate((got[k].by_0, got[k].by_1)):
+            e = np.eye(2)[i] * h
+            want = (f(v + e) - f(v - e)) / (2 * h)
+            assert abs(g - want) < 1e-4 * max(1, abs(want))
+
+
 PLAIN = {f.__name__: f for f in (normal_confidence, inverse_sampling, smoothed_cdf, modes, combined_distributions, latin_sphere_points, test_corpus_parts, metric_pairs, test_transforms, spline, batch_minimum, descent_fit,
-                                 pca_weights, metric_pca, poly_fit, decision_tree, split_model, embedding_interpolator, voronoi, boxmesh, delaunay, lshep, best_k_model)}
+                                 pca_weights, metric_pca, poly_fit, decision_tree, split_model, embedding_interpolator, voronoi, boxmesh, delaunay, lshep, best_k_model, cdf_cubic_inverse, polynomial_gradient, shepard_gradient)}
+PLAIN |= {"voronoi_cells": voronoi, "boxmesh_cells": boxmesh, "delaunay_cells": delaunay}
 PLAIN |= {"svr": fits(1.02), "mars": fits(1.0 + 1e-9), "neural_network": fits(1.0), "plrm": fits(1.0)}
