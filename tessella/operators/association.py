@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,12 +17,13 @@ from tessella.functions.maths import erf
 
 from .joins import small
 from .ordered import scan
+from .profile import with_share
 
 
 def categorical_pdf(df: DataFrame, column: str) -> DataFrame:
     """(value, p) of a column, null among the values."""
     n = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    return n.select("value", (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("p"))
+    return with_share(n, "p").select("value", "p")
 
 
 def categorical_diff(p: DataFrame, q: DataFrame) -> DataFrame:

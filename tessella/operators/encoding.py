@@ -254,7 +254,12 @@ def metric_pca(df: DataFrame, key: str, columns: list[str], value: str, count: i
 
 
 def conditioned(df: DataFrame, columns: list[str], method: str = "PCA", key: str | None = None, value: str | None = None, dim: int | None = None, scale: bool = True) -> DataFrame:
-    """Inputs in the coordinates of PCA or metric PCA, scaled by the components' weights."""
+    """Inputs in the coordinates of PCA or metric PCA (MPCA), scaled by the components' weights; other methods are refused.
+
+    Coordinates that a network learns are those of plrm.states.
+    """
+    if method not in ("PCA", "MPCA"):
+        raise ValueError(f"no such conditioning: {method}")
     comps, weights = pca(df, columns, dim) if method == "PCA" else metric_pca(df, key, columns, value, n=dim)
     return project(df, columns, comps * (weights[:, None] if scale else 1.0))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,10 +16,15 @@ def counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     return df.select(F.inline(cells)).groupBy("column", "value").agg(F.count("*").alias("n"))
 
 
+def with_share(counted: DataFrame, name: str = "share", n: str = "n") -> DataFrame:
+    """Add each count's share of their sum: the sum is an aggregate of one row that is sent to all tasks."""
+    total = counted.agg(F.sum(n).alias("_total"))
+    return counted.crossJoin(F.broadcast(total)).withColumn(name, F.col(n) / F.col("_total")).drop("_total")
+
+
 def shares(df: DataFrame, column: str) -> DataFrame:
     """(value, n, share) of a column."""
-    one = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    return one.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    return with_share(df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")))
 
 
 def missing(df: DataFrame) -> DataFrame:
@@ -51,7 +56,7 @@ def histogram(df: DataFrame, column: str, bins: int = 100, padding: float = 0.0,
     b = F.when(F.col("r") == 0, 0).otherwise(F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(bins - 1))).cast("int")
     out = placed.groupBy(b.alias("bin"), "lo", "r").agg(F.count("*").alias("n"))
     out = out.select("bin", (F.col("lo") + F.col("bin") * width).alias("low"), (F.col("lo") + (F.col("bin") + 1) * width).alias("high"), "n")
-    return out.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy())) if probability else out
+    return with_share(out) if probability else out
 
 
 def summary(df: DataFrame, max_display: int = 10) -> DataFrame:

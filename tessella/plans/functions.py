@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import maths, optimize, parallel
 from tessella.operators import distribution as dist
+from tessella.operators import splines
 
 from .registry import query, table
 
@@ -120,6 +121,26 @@ def spline(spark: SparkSession, sf: str) -> DataFrame:
     return maths.spline_eval(at, maths.spline_pieces(nodes, "p_size", "m"), "x")
 
 
+def _spend(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "orders").select(F.col("o_orderkey").cast("double").alias("x"), F.col("o_totalprice").alias("y"))
+
+
+@query("spline_natural")
+def spline_natural(spark: SparkSession, sf: str) -> DataFrame:
+    """The spline through all orders with two continuous derivatives, between the orders and at them."""
+    nodes = _spend(spark, sf)
+    found = splines.kept(splines.cubic(nodes, block=4096), "natural")
+    at = nodes.select((F.col("x") + 0.25).alias("v"))
+    return splines.evaluate(splines.evaluate(at, found, "v"), found, "v", "bend", 2)
+
+
+@query("spline_local")
+def spline_local(spark: SparkSession, sf: str) -> DataFrame:
+    """A spline with one continuous derivative out of parabolas through three neighbours."""
+    nodes = _spend(spark, sf)
+    return splines.evaluate(nodes.select((F.col("x") + 0.25).alias("v")), splines.fit(nodes, 2), "v")
+
+
 @query("newton_polynomial", "SELECT i::BIGINT AS i, round(pow(i / 10.0, 3) - 2 * (i / 10.0) + 1, 6) AS value FROM range(0, 50) t(i)")
 def newton_polynomial(spark: SparkSession, sf: str) -> DataFrame:
     xs = [0.0, 1.0, 2.0, 4.0]

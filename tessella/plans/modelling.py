@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.operators import encoding, gradients, meshes, mining, models
+from tessella.operators import encoding, gradients, meshes, mining, models, plrm as networks
 
 from .registry import query, table
 
@@ -253,6 +253,13 @@ def plrm(spark: SparkSession, sf: str) -> DataFrame:
     return models.plrm_fit(p, ["a", "b"], "y", steps=200).predict(p).select("p_partkey", "prediction")
 
 
+@query("plrm_categories")
+def plrm_categories(spark: SparkSession, sf: str) -> DataFrame:
+    """The amount of every sale line from its quantity and its item, an integer without an order."""
+    lines = table(spark, sf, "sale_lines").select("sale_id", "line_no", F.col("quantity").cast("double").alias("quantity"), "item_id", F.col("amount").alias("y"))
+    return networks.fit(lines, ["quantity"], ["item_id"], "y", steps=100).predict(lines)
+
+
 @query("split_model")
 def split_model(spark: SparkSession, sf: str) -> DataFrame:
     p = _parts(spark, sf)

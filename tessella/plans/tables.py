@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.operators import cells, joins, profile, reshape
+from tessella.operators import cells, intervals, joins, profile, reshape
 from tessella.operators.frame import RID, Frame, arithmetic, compare, differs, equals, row_elementwise
 from tessella.sources import files
 
@@ -348,6 +348,25 @@ def knn_cells_self(spark: SparkSession, sf: str) -> DataFrame:
     return cells.nearest(c, c, 3, "c_custkey", "c_custkey", "x", "x", exclude_self=True).withColumn("distance", F.round("distance", 6))
 
 
+@query("balance_ranges", """
+SELECT s_suppkey, count(*)::BIGINT AS n, sum(c_custkey)::BIGINT AS keys, round(min(c_acctbal), 4) AS least FROM supplier JOIN customer ON c_acctbal BETWEEN s_acctbal - 10 * (1 + s_suppkey % 7) AND s_acctbal + 25 GROUP BY 1""")
+def balance_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """The customers whose balance lies in a range around each supplier's."""
+    s = table(spark, sf, "supplier").select("s_suppkey", (F.col("s_acctbal") - 10 * (1 + F.col("s_suppkey") % 7)).alias("low"), (F.col("s_acctbal") + 25).alias("high"))
+    both = intervals.covering(table(spark, sf, "customer").select("c_custkey", "c_acctbal"), s, "c_acctbal", "low", "high")
+    return both.groupBy("s_suppkey").agg(F.count("*").alias("n"), F.sum("c_custkey").alias("keys"), F.round(F.min("c_acctbal"), 4).alias("least"))
+
+
+@query("sale_click", """
+WITH c AS (SELECT client_id AS k, ts, max(click_id) AS click_id FROM clicks WHERE client_id IS NOT NULL AND ts IS NOT NULL GROUP BY 1, 2)
+SELECT sale_id, sold_at, client_id, CASE WHEN epoch(sold_at) - epoch(ts) <= 86400 THEN click_id END AS click_id FROM sales LEFT JOIN LATERAL (SELECT ts, click_id FROM c WHERE k = client_id AND ts <= sold_at ORDER BY ts DESC LIMIT 1) ON true""")
+def sale_click(spark: SparkSession, sf: str) -> DataFrame:
+    """The last click of a sale's client before the sale, if it came within a day."""
+    clicks = table(spark, sf, "clicks").select("click_id", "ts", F.col("client_id").alias("who"))
+    sales = table(spark, sf, "sales").select("sale_id", "sold_at", "client_id")
+    return intervals.as_of(sales, clicks, "sold_at", "ts", [("client_id", "who")], tolerance=86_400, ties=["click_id"]).select("sale_id", "sold_at", "client_id", "click_id")
+
+
 @query("all_pairs_regions", "SELECT a.r_regionkey AS a, b.r_regionkey AS b FROM region a JOIN region b ON a.r_regionkey > b.r_regionkey")
 def all_pairs_regions(spark: SparkSession, sf: str) -> DataFrame:
     return joins.all_pairs(table(spark, sf, "region"), "r_regionkey")
