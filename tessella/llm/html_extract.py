@@ -36,13 +36,14 @@ WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 # Element kinds and words of class and id names.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes noscript template".split())
-CUT = set("script style noscript template iframe object embed svg math canvas audio video nav footer aside button select option textarea input label fieldset dialog menu head title noembed noframes xmp map".split())
+CUT = set("script style noscript template iframe object embed svg math canvas audio video nav footer aside button select option textarea input label dialog menu head title noembed noframes xmp map".split())
 BLOCK = set("address article aside blockquote body center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 CLOSES_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "body", "html", "legend"}
-BAD_WORDS = set("ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs cookie cookies consent gdpr footer masthead menu menus modal nav navbar navigation newsletter notice notices alert pagination paywall popup promo promotion promoted sidebar sidebars sponsor sponsored sponsors subscribe subscription toolbar widget widgets overlay".split())
+BAD_WORDS = set("ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs cookie cookies consent gdpr footer masthead menu menus modal nav navbar navigation newsletter notice notices alert pagination paywall popup promo promotion promoted sidebar sidebars sponsor sponsored sponsors subscribe subscription toolbar overlay".split())
 COMMENT_WORDS = set("comment comments commentlist disqus respond reply replies".split())
-LOOSE_WORDS = set("byline foot login pager recommended recommendations related share sharing shares side signup skip social tags tagcloud".split())
+LOOSE_WORDS = set("byline foot login pager recommended recommendations related share sharing shares side signup skip social tags tagcloud widget widgets".split())
 STATE_WORDS = set("no not with without has hide hides is show shows".split())
+STATE_AFTER = set("open opened closed enabled disabled status allowed free off".split())
 GOOD_WORDS = set("article body content entry hentry main page post story text blog column".split())
 PAGE_ONLY = {"header"}
 BAD_ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
@@ -66,12 +67,12 @@ class Node:
 
 
 def _doubt(value: str) -> int:
-    """The doubt that a class or id raises. A word after one of state tells of what the element has or lacks, not of what it is."""
+    """The doubt that a class or id raises. A word beside one of state tells of what the element has or lacks, not of what it is."""
     out = 0
     for name in value.split():
         words = [w.lower() for w in WORDS.findall(name)]
-        for before, w in zip([None, *words], words, strict=False):
-            if before not in STATE_WORDS:
+        for before, w, after in zip([None, *words], words, [*words[1:], None], strict=False):
+            if before not in STATE_WORDS and after not in STATE_AFTER:
                 out = max(out, COMMENT if w in COMMENT_WORDS else BAD if w in BAD_WORDS else LOOSE if w in LOOSE_WORDS else 0)
     return out
 
@@ -81,7 +82,7 @@ def _judge(node: Node, attrs: str) -> None:
     if node.tag in CUT:
         node.bad = True
         return
-    if node.tag == "form":
+    if node.tag in ("form", "fieldset"):
         node.doubt = FORM
     if not attrs or not attrs.strip(" /\n\t"):
         return
@@ -95,7 +96,8 @@ def _judge(node: Node, attrs: str) -> None:
             if good:
                 node.weight += 25
         elif name == "role":
-            node.bad |= value.lower() in BAD_ROLES
+            if value.lower() in BAD_ROLES:
+                node.doubt = max(node.doubt, FORM if value.lower() == "form" else BAD)
             node.weight += 25 * (value.lower() in MARKED)
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             node.bad = True
@@ -235,15 +237,18 @@ def _settle(root: Node) -> list[Node]:
         while chief is not None:
             above.add(chief)
             chief = chief.parent
+    had = _has_sentence(root)
     for x in order:
         if x.doubt == COMMENT:
             x.bad = True
-        elif x.doubt == BAD:
-            x.bad = x not in above
-        elif x.doubt == FORM:
+        elif x.doubt in (BAD, FORM):
+            # what holds half of the page's text is not beside the text, whatever its name
             x.bad = x not in above and 2 * (x.chars - x.links) < root.chars - root.links
         elif x.doubt == LOOSE:
             x.bad = x not in above and (_density(x) >= 0.3 or not _has_sentence(x))
+    if had and not _has_sentence(root):  # names that would leave no text are wrong
+        for x in order:
+            x.bad = False
     return _measure(root)
 
 
@@ -323,12 +328,20 @@ def _is_menu(x: Node) -> bool:
     return x.anchors >= 3 and x.tag in ("ul", "ol", "div", "section", "table") and x.links >= 0.9 * x.chars and x.links < 40 * x.anchors
 
 
+def _between_paragraphs(x: Node) -> bool:
+    """Whether paragraphs with a sentence stand before and after an element, in the same parent."""
+    kids = [k for k in x.parent.kids if isinstance(k, Node) and not k.bad]
+    at = kids.index(x)
+    told = [k.tag in ("p", "blockquote", "pre") and SENTENCE.search(_own_text(k)) is not None for k in kids]
+    return any(told[:at]) and any(told[at + 1:])
+
+
 def blocks(nodes: list[Node]) -> list[str]:
     out, run = [], []
 
     def flush():
         if run:
-            if text := " ".join(html.unescape("".join(run)).split()):
+            if text := " ".join("".join(run).split()):
                 out.append(text)
             run.clear()
 
@@ -338,8 +351,8 @@ def blocks(nodes: list[Node]) -> list[str]:
         if x is None:
             flush()
         elif isinstance(x, str):
-            run.append(x)
-        elif x.bad or _is_menu(x) and x not in nodes:
+            run.append(html.unescape(x))  # a reference does not go on in the next element
+        elif x.bad or x not in nodes and _is_menu(x) and not _between_paragraphs(x):
             continue
         elif x.tag == "br":
             run.append(" ")

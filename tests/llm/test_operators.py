@@ -235,6 +235,39 @@ def test_html_loose_words_inside_an_article(name):
     assert html_extract.main_text(f'<body><article>{TEXT}<div class="{name}"><ul>{links}</ul></div></article></body>') == SAME
 
 
+ONE, TWO = "The council met on Tuesday, and it decided on the bridge.", "Work begins in spring, the mayor said, and it will take a year."
+
+
+@pytest.mark.parametrize("page", [
+    '<main><div class="elementor-widget-container">{}</div></main>', '<div class="elementor-widget-wrap">{}</div>', '<div class="post type-post comments-open">{}</div>', '<article class="post comments-open">{}</article>',
+    '<article class="post comment-status-closed">{}</article>', '<div class="comment-enabled">{}</div>', '<div class="ad-free">{}</div>', '<div role="form">{}</div>', '<fieldset>{}</fieldset>', '<div class="reply">{}</div>',
+    '<div class="site no-sidebar"><div class="modal">{}</div></div>'])
+def test_html_names_of_builders_and_states_do_not_hide_the_article(page):
+    menu = '<ul class="menu"><li><a href="/">Home</a></li><li><a href="/a">News</a></li></ul>'
+    assert html_extract.main_text(f"<html><body>{menu}{page.format(f'<p>{ONE}</p><p>{TWO}</p>')}</body></html>") == f"{ONE}\n\n{TWO}"
+
+
+def test_html_builder_blocks_share_an_article():
+    parts = "".join(f'<div class="elementor-widget"><div class="elementor-widget-container"><p>{k}. {ONE}</p></div></div>' for k in range(6))
+    assert html_extract.main_text(f'<body><main>{parts}</main><div class="sidebar"><p>{TWO}</p></div></body>') == "\n\n".join(f"{k}. {ONE}" for k in range(6))
+
+
+def test_html_comments_go_even_where_they_are_long():
+    comments = "".join(f'<div class="comment"><p>{TWO} {k}, and more of it, as readers will.</p></div>' for k in range(9))
+    assert html_extract.main_text(f'<body><article><p>{ONE}</p><p>{TWO}</p></article><div class="comments">{comments}</div></body>') == f"{ONE}\n\n{TWO}"
+
+
+def test_html_link_lists_between_paragraphs_stay():
+    links = '<ul><li><a href="/1">One</a></li><li><a href="/2">Two</a></li><li><a href="/3">Three</a></li></ul>'
+    assert html_extract.main_text(f"<article><p>{ONE}</p>{links}<p>{TWO}</p></article>") == f"{ONE}\n\nOne\n\nTwo\n\nThree\n\n{TWO}"
+    assert html_extract.main_text(f"<article><p>{ONE}</p><p>{TWO}</p>{links}</article>") == f"{ONE}\n\n{TWO}"
+    assert html_extract.main_text(f"<article><p>{ONE}</p><ul class='menu'>{links}</ul><p>{TWO}</p></article>") == f"{ONE}\n\n{TWO}"
+
+
+def test_html_references_end_with_their_element():
+    assert html_extract.main_text(f"<article><p>{ONE} &<b>amp;</b> &amp; &copy; x&lt;y.</p></article>") == f"{ONE} &amp; & \xa9 x<y."
+
+
 def test_html_sections_of_an_article_stay():
     short = "<section><h2>Short</h2><ul><li>one</li><li>two</li></ul></section>"
     assert html_extract.main_text(f"<body><article><h1>T</h1><section>{TEXT * 4}</section>{short}</article></body>") == "\n\n".join(["T", *[SAME] * 4, "Short", "one", "two"])

@@ -16,10 +16,6 @@ def test_stages(spark, sf_dir):
     ids = [{r.doc_id for r in d.select("doc_id").collect()} for d in seen]
     assert all(a >= b for a, b in zip(ids, ids[1:], strict=False)) and ids[3] == ids[4]
 
-    labels = {r.doc_id: r.toxic for r in read_table(spark, sf_dir, "labels").collect()}
-    gone = ids[0] - ids[1]
-    assert sum(labels.get(d, 0) for d in gone) >= 0.5 * sum(labels.get(d, 1) for d in gone)
-
     from test_operators import plain_components
 
     comps = plain_components({d: texts[d] for d in ids[1]})
@@ -41,6 +37,22 @@ def test_stages(spark, sf_dir):
         assert r.ids == lib.encode(after[r.doc_id].text or "", add_special_tokens=False).ids and r.n_tokens == len(r.ids)
 
 
+def test_toxic_documents_go_and_clean_ones_stay(spark, sf_dir):
+    """Judged on labelled rows that the model did not learn from; documents without a label say nothing. The smallest
+    table has 6 toxic rows to learn from, too few to judge a model by, so this is held against the next larger one."""
+    import zlib
+    from pathlib import Path
+
+    larger = str(Path(sf_dir).with_name("sf0.01"))
+    docs = read_table(spark, larger, "documents")
+    kept = {r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, larger).select("doc_id").collect()}
+    held_out = {r.doc_id: r.toxic for r in read_table(spark, larger, "labels").where("toxic is not null").collect() if zlib.crc32(str(r.doc_id).encode()) % 3 == 1}
+    toxic, clean = [d for d, t in held_out.items() if t], [d for d, t in held_out.items() if not t]
+    assert len(toxic) >= 10 and len(clean) >= 50
+    assert sum(d not in kept for d in toxic) >= 0.7 * len(toxic)
+    assert sum(d not in kept for d in clean) <= 0.02 * len(clean)
+
+
 ROWS = [(1, None, "en"), (2, "", "en"), (3, "  \n", None), (4, "a few words of no harm", "en"), (4, "a few words of no harm", "en"), (5, "word " * 3000, "de"), (None, "no id at all", "fr"), (6, "mail bob@corp.example.org or +1 (555) 010-7777 now", "en"),
         (7, "one two three four five six seven eight nine ten", "en"), (8, "one two three four five six seven eight nine ten", "en"), (9, "an item of the benchmark that leaks into this text as a whole", None), (10, "you stupid idiot you scum", "en")]
 
