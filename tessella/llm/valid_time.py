@@ -55,6 +55,8 @@ SETTINGS = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "400",
+    # logs of write buffers are else allocated in full at once, some 70 MB a task, however small the state is
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.minBatchesToRetain": "2",
 }
 VERSION = {"client": pa.int64(), "slice": pa.int32(), "at": pa.int64(), "seq": pa.int64(), "id": pa.int64(), "op": pa.string(), "balance": pa.float64(), "base": pa.bool_()}
