@@ -15,8 +15,8 @@ of time, bounded by quantiles of its own times, and each slice lies in a cell by
 client do not see each other in the stream. Each reports its versions to a summary of a row a slice
 and batch, and a join with it gives sales what lies in earlier slices: the last version before the
 slice, the count over all slices, and the last version up to the watermark, before which everything
-is pruned. Slices, and with them summaries and bounds, number at most three times the cells, however many
-rows there are; they may be broadcast.
+is pruned. Slices, and with them summaries and bounds, are bounded by the number of cells (SLICES_A_CELL),
+however many rows there are; they may be broadcast.
 
 Times are wall-clock times without a zone. Order of versions: time, sequence, id; nulls first, rows
 that tie in all three by op and balance. Defined cases: repeated changes count once (over the columns
@@ -46,8 +46,10 @@ CLOCK, CHANGE, SALE, SLICE = range(4)
 WHOLE, NOBODY = -1, -2
 HOUR = 3_600_000_000
 BLOCK_ROWS = 16_384
-#: Cells a task of a shuffle, and rows a cell at most on average.
-CELLS_A_TASK, CELL_ROWS = 4, 200_000
+#: Rows a cell at most on average.
+CELL_ROWS = 200_000
+#: A client is cut where it has more than this part of a cell's share of all rows.
+SLICES_A_CELL = 4
 FEED = "cell int, kind int, client long, slice int, id long, at long, seq long, op string, balance double, sales_mark long, changes_mark long"
 OUT = "kind int, id long, batch int, client long, slice int, n long, v_at long, v_seq long, v_id long, op string, balance double, base_at long, base_seq long, base_id long"
 SETTINGS = {
@@ -58,6 +60,10 @@ SETTINGS = {
     # logs of write buffers are else allocated in full at once, some 70 MB a task, however small the state is
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.minBatchesToRetain": "2",
+    # a checksum file beside each file of a checkpoint doubles what a commit writes; file systems have their own
+    "spark.sql.streaming.checkpoint.fileChecksum.enabled": "false",
+    # each start of a query opens its own stores; those of ended ones are closed by maintenance
+    "spark.sql.streaming.stateStore.maintenanceInterval": "10s",
 }
 VERSION = {"client": pa.int64(), "slice": pa.int32(), "at": pa.int64(), "seq": pa.int64(), "id": pa.int64(), "op": pa.string(), "balance": pa.float64(), "base": pa.bool_()}
 WAITING = {"client": pa.int64(), "slice": pa.int32(), "at": pa.int64(), "id": pa.int64()}
@@ -139,10 +145,11 @@ class Enricher(StatefulProcessor):
         self.waiting.put(_blocks({c: x[~due] for c, x in s.items()}, WAITING)) if not due.all() else self.waiting.clear()
         s = {c: x[due] for c, x in s.items()}
 
-        yield self._frame(batch, LATE=change[late])
         code, own = _codes(v, s)
-        yield self._emitted(batch, v, s, code, own)
-        yield self._slices(batch, v, s, code, own)
+        lost = {"kind": CHANGE, "id": change["id"].to_numpy()[late]}
+        found = [self._columns(batch, **x) for x in (lost, self._emitted(v, s, code, own), self._slices(v, s, code, own)) if len(x["id"])]
+        if found:  # one frame a visit: each costs its own conversion to Arrow
+            yield pd.DataFrame({c: np.concatenate([x[c] for x in found]) for c in found[0]})
 
         past = v["at"] <= bound
         last = np.ones(len(past), bool)
@@ -153,17 +160,17 @@ class Enricher(StatefulProcessor):
         self.versions.put(_blocks(v, VERSION)) if stay.any() else self.versions.clear()
 
     @staticmethod
-    def _frame(batch: int, LATE: pd.DataFrame | None = None, **cols) -> pd.DataFrame:
-        if LATE is not None:
-            cols = {"kind": CHANGE, "id": LATE["id"].to_numpy()}
+    def _columns(batch: int, **cols) -> Rows:
+        """All columns of OUT, those not given with what stands for nothing."""
         n = len(cols["id"])
-        full = {"kind": 0, "batch": batch, "client": NONE, "slice": NOBODY, "n": 0, "v_at": NONE, "v_seq": NONE, "v_id": NONE, "op": None, "balance": np.nan,
-                "base_at": NONE, "base_seq": NONE, "base_id": NONE} | cols
-        names = [f.split()[0] for f in OUT.split(", ")]
-        out = pd.DataFrame({c: full[c] if isinstance(full[c], np.ndarray) else np.full(n, full[c], object if c == "op" else np.float64 if c == "balance" else np.int64) for c in names})
-        return out.astype({c: np.int32 for c in ("kind", "batch", "slice")})
-
-    def _emitted(self, batch: int, v: Rows, s: Rows, code: np.ndarray, own: np.ndarray) -> pd.DataFrame:
+        full = {"batch": batch, "client": NONE, "slice": NOBODY, "n": 0, "op": None, "balance": np.nan} | cols
+        found = {}
+        for name, kind in (f.split() for f in OUT.split(", ")):
+            x = full.get(name, NONE)
+            found[name] = np.asarray(x if isinstance(x, np.ndarray) else [x] * n, {"int": np.int32, "long": np.int64, "double": np.float64, "string": object}[kind])
+        return found
+
+    def _emitted(self, v: Rows, s: Rows, code: np.ndarray, own: np.ndarray) -> dict:
         """The last version up to each sale's time, found by bisection among the versions of its client and slice."""
         times = np.unique(np.concatenate([v["at"], s["at"]]))
         place = lambda c, at: c.astype(np.int64) << 32 | np.searchsorted(times, at)
@@ -174,9 +181,9 @@ class Enricher(StatefulProcessor):
         pick = {o: np.full(len(own), NONE, np.int64) for o in ("v_at", "v_seq", "v_id")} | {"op": np.full(len(own), None, object), "balance": np.full(len(own), np.nan)}
         for o, c in (("v_at", "at"), ("v_seq", "seq"), ("v_id", "id"), ("op", "op"), ("balance", "balance")):
             pick[o][found] = v[c][at[found]]
-        return self._frame(batch, kind=SALE, id=s["id"], client=s["client"], slice=s["slice"], n=held.astype(np.int64), **pick)
+        return {"kind": SALE, "id": s["id"], "client": s["client"], "slice": s["slice"], "n": held.astype(np.int64)} | pick
 
-    def _slices(self, batch: int, v: Rows, s: Rows, code: np.ndarray, own: np.ndarray) -> pd.DataFrame:
+    def _slices(self, v: Rows, s: Rows, code: np.ndarray, own: np.ndarray) -> dict:
         """A row for each slice with versions or sales: its count without the base, its last version, its base."""
         both, first = np.unique(np.concatenate([code, own]), return_index=True)
         client, part = (np.concatenate([v[c], s[c]])[first] for c in ("client", "slice"))
@@ -194,7 +201,7 @@ class Enricher(StatefulProcessor):
             cols[o][has] = v[c][end[has]]
         for c in ("at", "seq", "id"):
             cols[f"base_{c}"][based] = v[c][where[base[based]]]
-        return self._frame(batch, kind=SLICE, id=np.full(len(both), NONE, np.int64), client=client, slice=part, n=count.astype(np.int64), **cols)
+        return {"kind": SLICE, "id": np.full(len(both), NONE, np.int64), "client": client, "slice": part, "n": count.astype(np.int64)} | cols
 
 
 def enrich_stream(feed: DataFrame) -> DataFrame:
@@ -240,18 +247,28 @@ def _slice_bounds(sales: DataFrame, changes: DataFrame, parts: int) -> DataFrame
     return cuts.select("client", F.array_distinct(F.filter("b", lambda x, i: (i + 1) % F.col("step") == 0)).alias("bounds"))
 
 
-def _in_cells(rows: DataFrame, bounds: DataFrame, cells: int) -> DataFrame:
+def cell_numbers(spark: SparkSession, each: int) -> DataFrame:
+    """(place, cell): keys that the shuffle deals evenly, `each` to every task; places count from 0."""
+    tasks = task_count(spark)
+    task = F.pmod(F.hash(F.col("id").cast("int")), F.lit(tasks))
+    keys = spark.range((tasks * each + 50) * 40).select(F.col("id").cast("int").alias("cell"), task.alias("task"))
+    turn = F.row_number().over(Window.partitionBy("task").orderBy("cell"))
+    found = sorted(r.cell for r in keys.withColumn("turn", turn).where(F.col("turn") <= each).collect())  # `each` rows a task
+    return spark.createDataFrame(list(enumerate(found)), "place int, cell int")
+
+
+def _in_cells(rows: DataFrame, bounds: DataFrame, cells: DataFrame) -> DataFrame:
     sliced = rows.join(F.broadcast(bounds), "client", "left")
     part = F.when(F.col("client").isNull(), F.lit(NOBODY)).when(F.col("bounds").isNull(), F.lit(WHOLE)).otherwise(F.size(F.filter("bounds", lambda b: b <= F.col("at"))))
     key = F.when(F.col("client").isNull(), F.xxhash64("id", "kind", "at")).otherwise(F.xxhash64("client", "slice"))
-    placed = sliced.withColumn("slice", part.cast("int")).withColumn("cell", F.pmod(key, F.lit(cells)).cast("int"))
+    placed = sliced.withColumn("slice", part.cast("int")).withColumn("place", F.pmod(key, F.lit(cells.count())).cast("int")).join(F.broadcast(cells), "place")
     return placed.select("batch", "cell", "kind", F.coalesce("client", F.lit(NONE)).alias("client"), "slice", "id", "at", "seq", "op", "balance", F.lit(NONE).alias("sales_mark"), F.lit(NONE).alias("changes_mark"))
 
 
-def clock_rows(spark: SparkSession, cells: int, marks: list[tuple[int, int]]) -> DataFrame:
+def clock_rows(cells: DataFrame, marks: list[tuple[int, int]]) -> DataFrame:
     """A row for each cell and batch with the watermarks of the batch."""
-    times = spark.createDataFrame([(b, s, c) for b, (s, c) in enumerate(marks)], "batch int, sales_mark long, changes_mark long")
-    row = spark.range(cells).select(F.col("id").cast("int").alias("cell")).join(F.broadcast(times), F.lit(True))
+    times = cells.sparkSession.createDataFrame([(b, s, c) for b, (s, c) in enumerate(marks)], "batch int, sales_mark long, changes_mark long")
+    row = cells.select("cell").join(F.broadcast(times), F.lit(True))
     none = F.lit(NONE)
     return row.select("batch", "cell", F.lit(CLOCK).alias("kind"), none.alias("client"), F.lit(NOBODY).alias("slice"), none.alias("id"), none.alias("at"), none.alias("seq"),
                       F.lit(None).cast("string").alias("op"), F.lit(None).cast("double").alias("balance"), "sales_mark", "changes_mark")
@@ -312,23 +329,25 @@ def _settled(out: DataFrame) -> DataFrame:
 
 
 def enrich(sales: DataFrame, changes: DataFrame, batches: int = 10, first_day: int = 19723, days: int = 152, delay_days: int = 4,
-           lateness_hours: int = 36, cells: int | None = None) -> DataFrame:
+           lateness_hours: int = 36, each: int | None = None) -> DataFrame:
     """(rec, id, batch, n_held, change_id, valid_at, op, balance): a row for each sale and each late change.
 
     The tables are cut into batches of `days` days from `first_day` (days since 1970) and fed in order
     to a stateful query that is started anew for each on one checkpoint, all below a new shared folder.
+    `each` cells lie in a task; by default one, or more where a task's would hold too many rows.
     """
     spark = sales.sparkSession
     folder = shared_dir(spark, "valid-time")
     rows = feed_rows(sales, changes, batches, first_day, days, delay_days)
-    if cells is None:
+    if each is None:
         n = sales.select(F.lit(1)).unionAll(changes.select(F.lit(1))).count()
-        cells = max(task_count(spark) * CELLS_A_TASK, -(-n // CELL_ROWS))
-    placed = _in_cells(rows, _slice_bounds(sales, changes, cells), cells)
+        each = max(1, -(-n // (CELL_ROWS * task_count(spark))))
+    cells = cell_numbers(spark, each)
+    placed = _in_cells(rows, _slice_bounds(sales, changes, int(cells.count() * SLICES_A_CELL)), cells)
     placed.hint("rebalance", "batch").write.partitionBy("batch").parquet(f"{folder}/cut")
     cut = spark.read.schema(f"{FEED}, batch int").parquet(f"{folder}/cut")
     largest = {(r.batch, r.kind): r.at for r in cut.where(F.col("at") != NONE).groupBy("batch", "kind").agg(F.max("at").alias("at")).collect()}
-    clock_rows(spark, cells, watermarks(largest, batches, lateness_hours * HOUR)).coalesce(1).write.mode("append").partitionBy("batch").parquet(f"{folder}/cut")
+    clock_rows(cells, watermarks(largest, batches, lateness_hours * HOUR)).coalesce(1).write.mode("append").partitionBy("batch").parquet(f"{folder}/cut")
     settled = _settled(_run(spark, folder, batches))
     number = lambda c: F.nullif(F.col(c), F.lit(NONE))
     sale = lambda c: F.when(F.col("kind") == SALE, c)

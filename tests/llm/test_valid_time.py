@@ -78,23 +78,30 @@ def rows(df):
     return sorted(((r.rec, r.id, r.batch, r.n_held, r.change_id, r.balance, r.op) for r in df.collect()), key=repr)
 
 
-@pytest.mark.parametrize(("seed", "cells"), [(1, 2), (2, 40)])
-def test_against_plain(spark, seed, cells):
-    """With 40 cells the hot client is cut into slices of time, with 2 cells every client is whole."""
+@pytest.mark.parametrize(("seed", "each", "parts"), [(1, 1, 2), (2, 10, 40)])
+def test_against_plain(spark, monkeypatch, seed, each, parts):
+    """With 40 parts the hot client is cut into slices of time, with 2 parts every client is whole."""
+    monkeypatch.setattr(valid_time, "SLICES_A_CELL", parts / (4 * each))
     sales, changes = made(random.Random(seed), 600, 25)
     s = spark.createDataFrame(sales, SALES).repartition(3).withColumns({"slice": F.lit("x"), "cell": F.lit(None)})
     c = spark.createDataFrame(changes, CHANGES).repartition(3).withColumn("base", F.lit(1))
-    got = valid_time.enrich(s, c, batches=4, cells=cells)
+    got = valid_time.enrich(s, c, batches=4, each=each)
     assert rows(got) == plain(sales, changes, 4)
-    bounds = {r.client: len(r.bounds) for r in valid_time._slice_bounds(s, c, cells).collect()}
-    assert (bounds[1] >= 8 if cells == 40 else not bounds) and sum(bounds.values()) <= 2 * cells
+    bounds = {r.client: len(r.bounds) for r in valid_time._slice_bounds(s, c, parts).collect()}
+    assert (bounds[1] >= 8 if parts == 40 else not bounds) and sum(bounds.values()) <= 2 * parts
 
 
 def test_no_sales_and_no_changes(spark):
     sales, changes = made(random.Random(4), 30, 5)
     s, c = spark.createDataFrame(sales, SALES), spark.createDataFrame(changes, CHANGES)
-    assert rows(valid_time.enrich(s, c.limit(0), batches=2, cells=3)) == plain(sales, [], 2)
-    assert valid_time.enrich(s.limit(0), c.limit(0), batches=1, cells=2).count() == 0
+    assert rows(valid_time.enrich(s, c.limit(0), batches=2)) == plain(sales, [], 2)
+    assert valid_time.enrich(s.limit(0), c.limit(0), batches=1).count() == 0
+
+
+def test_cells_are_dealt_evenly(spark):
+    keys = valid_time.cell_numbers(spark, 3)
+    found = keys.repartition(4, "cell").withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
+    assert [r["count"] for r in found] == [3] * 4 and sorted(r.place for r in keys.collect()) == list(range(12))
 
 
 def test_micros_are_wall_clock(spark):
