@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import association, distributions, files, functions, modelling, ranking, tables  # noqa: F401
+from . import association, distributions, files, functions, modelling, ranking, streams, tables  # noqa: F401
 from .registry import ORACLES, QUERIES, Query
 
 

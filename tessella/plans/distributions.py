@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.operators import cubic, sampling
+from tessella.operators import cubic, sampling, sketch
 from tessella.operators import distribution as dist
 
 from .registry import query, table
@@ -61,6 +61,12 @@ def cdf_cubic_inverse(spark: SparkSession, sf: str) -> DataFrame:
     return cubic.invert(cubic.evaluate(p, found, "price", "share"), found, "share", "again")
 
 
+@query("sketched_percentiles")
+def sketched_percentiles(spark: SparkSession, sf: str) -> DataFrame:
+    """All percentiles of the prices of all lines from a sketch, with the bound on the error of their ranks."""
+    return sketch.quantile_table(table(spark, sf, "lineitem"), "l_extendedprice", list(range(101)))
+
+
 @query("percentiles", """
 SELECT unnest([0.0, 5.0, 25.0, 50.0, 75.0, 95.0, 100.0])::DOUBLE AS percent, unnest(list_transform(quantile_cont(o_totalprice, [0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0]), lambda x: round(x, 4))) AS value FROM orders""")
 def percentiles(spark: SparkSession, sf: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.operators import encoding, gradients, meshes, mining, models, plrm as networks
+from tessella.operators import encoding, fekete, gradients, meshes, mining, models, plrm as networks
 
 from .registry import query, table
 
@@ -222,6 +222,15 @@ def shepard_gradient(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("query_id", "prediction", F.col("gradient")[0].alias("by_0"), F.col("gradient")[1].alias("by_1"))
 
 
+@query("vandermonde")
+def vandermonde(spark: SparkSession, sf: str) -> DataFrame:
+    """A cubic surface through the ten best placed of all parts."""
+    p = _parts(spark, sf)
+    model = fekete.fit(p, ["a", "b"], "y", 3)
+    used = p.select("p_partkey", F.struct("a", "b", "y").isin([F.struct(*[F.lit(v) for v in r]) for r in model.points.tolist()]).alias("chosen"))
+    return model.predict(p).join(used, "p_partkey").select("p_partkey", "prediction", "chosen")
+
+
 @query("decision_tree")
 def decision_tree(spark: SparkSession, sf: str) -> DataFrame:
     p = _parts(spark, sf)

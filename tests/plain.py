@@ -362,6 +362,47 @@ def spline_local(rows, duck):
         assert abs(row.value - want) < 1e-6 * max(1, abs(want))
 
 
+def sketched_percentiles(rows, duck):
+    """Ranks within the stated bound, and the bound small."""
+    v = np.sort(np.array([x for (x,) in fetch(duck, "SELECT l_extendedprice FROM lineitem WHERE l_extendedprice IS NOT NULL")], float))
+    assert [r.percent for r in rows] == list(range(101)) and {r.n for r in rows} == {len(v)}
+    for r in rows:
+        low, high = np.searchsorted(v, r.value, "left") + 1, np.searchsorted(v, r.value, "right")
+        want = max(1, math.ceil(r.percent / 100 * len(v)))
+        assert low - r.rank_error <= want <= high + r.rank_error and r.rank_error <= 0.01 * len(v)
+
+
+def vandermonde(rows, duck):
+    """Exact at ten rows whose terms are nearly as independent as those of a greedy choice among all."""
+    got = np.array(fetch(duck, "SELECT p_partkey, p_size, p_partkey % 97, p_retailprice FROM part"), float)
+    at = by(rows, "p_partkey")
+    assert len(at) == len(got)
+    used = np.array([r for r in got if at[int(r[0])].chosen])
+    z = 2 * (got[:, 1:3] - got[:, 1:3].min(0)) / np.ptp(got[:, 1:3], 0) - 1
+    terms = np.stack([z[:, 0] ** i * z[:, 1] ** j for i in range(4) for j in range(4 - i)], 1)
+    own = terms[[at[int(k)].chosen for k in got[:, 0]]]
+    left, greedy = terms.copy(), []
+    for _ in range(10):
+        i = int((left * left).sum(1).argmax())
+        greedy.append(i)
+        w = left[i] / np.linalg.norm(left[i])
+        left = left - np.outer(left @ w, w)
+    assert own.shape == (10, 10) and abs(np.linalg.det(own)) > 0.1 * abs(np.linalg.det(terms[greedy]))
+    assert all(abs(at[int(r[0])].prediction - r[3]) < 1e-6 * abs(r[3]) for r in used)
+
+
+def sampled_lines(rows, duck):
+    whole = {f"{k},{c}" for k, c in fetch(duck, "SELECT o_orderkey, o_custkey FROM orders")}
+    first = fetch(duck, "SELECT o_orderkey FROM orders ORDER BY 1 LIMIT 2")
+    got = [r.line.rsplit(",", 1)[0] for r in rows]
+    assert len(set(got)) == len(got) and set(got) <= whole and 0.1 * len(whole) < len(got) < 0.35 * len(whole)
+    assert {str(k) for (k,) in first} <= {g.split(",")[0] for g in got}
+    most = {}
+    for r in rows:
+        most[r.part] = max(most.get(r.part, 0), r.bytes)
+    assert sum(most.values()) < 0.5 * len(whole) * 22
+
+
 def plrm_categories(rows, duck):
     """Better than the best cubic surface over quantity and the item's number."""
     assert len(rows) == fetch(duck, "SELECT count(*) FROM sale_lines")[0][0]
@@ -415,6 +456,6 @@ def shepard_gradient(rows, duck):
 
 
 PLAIN = {f.__name__: f for f in (normal_confidence, inverse_sampling, smoothed_cdf, modes, combined_distributions, latin_sphere_points, test_corpus_parts, metric_pairs, test_transforms, spline, batch_minimum, descent_fit,
-                                 pca_weights, metric_pca, poly_fit, decision_tree, split_model, embedding_interpolator, voronoi, boxmesh, delaunay, lshep, best_k_model, cdf_cubic_inverse, polynomial_gradient, shepard_gradient, plrm_categories, spline_natural, spline_local)}
+                                 pca_weights, metric_pca, poly_fit, decision_tree, split_model, embedding_interpolator, voronoi, boxmesh, delaunay, lshep, best_k_model, cdf_cubic_inverse, polynomial_gradient, shepard_gradient, plrm_categories, spline_natural, spline_local, sketched_percentiles, vandermonde, sampled_lines)}
 PLAIN |= {"voronoi_cells": voronoi, "boxmesh_cells": boxmesh, "delaunay_cells": delaunay}
 PLAIN |= {"svr": fits(1.02), "mars": fits(1.0 + 1e-9), "neural_network": fits(1.0), "plrm": fits(1.0)}
