@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .encoding import polynomial_terms
-from . import meshes
+from . import cells, joins, meshes
 from .joins import nearest, pairwise_distance
 
 TINY = math.sqrt(2.0 ** -52)
@@ -83,7 +83,12 @@ def modified_shepard_radii(points: DataFrame, p_id: str, vec: str, m: int) -> Da
 
 
 def modified_shepard_weights(queries: DataFrame, points: DataFrame, q_id: str, p_id: str, vec: str, m: int = 10, stretch: float = 1.0) -> DataFrame:
-    """((r - d)+ / (r d))^2 of each point's own radius, normalised; an exact hit takes all; outside all radii the m+1 nearest by 1/d^2."""
+    """((r - d)+ / (r d))^2 of each point's own radius, normalised; an exact hit takes all; outside all radii the m+1 nearest by 1/d^2.
+
+    Many pairs are not compared all: a query visits the cells that the greatest radius among their points reaches it from.
+    """
+    if queries.count() * points.count() > joins.DIRECT_PAIRS:
+        return _modified_shepard_in_cells(queries, points, q_id, p_id, vec, m, stretch)
     radii = modified_shepard_radii(points, p_id, vec, m)
     d = pairwise_distance(queries.select(F.col(q_id).alias("query_id"), F.col(vec).alias("qv")), points, "query_id", p_id, "qv", vec).join(radii, p_id)
     w, r, x = Window.partitionBy("query_id"), F.col("radius") * stretch, F.col("distance")
@@ -94,6 +99,40 @@ def modified_shepard_weights(queries: DataFrame, points: DataFrame, q_id: str, p
     return d.select("query_id", p_id, raw.alias("raw")).withColumn("weight", F.col("raw") / F.sum("raw").over(w)).where("weight > 0").drop("raw")
 
 
+def _modified_shepard_in_cells(queries: DataFrame, points: DataFrame, q_id: str, p_id: str, vec: str, m: int, stretch: float) -> DataFrame:
+    radii = modified_shepard_radii(points, p_id, vec, m).select(F.col(p_id).alias("_id"), (F.col("radius") * stretch).alias("_reach"))
+    built = cells.build(points, p_id, vec)
+    asks = queries.select(F.col(q_id).alias("ask"), F.col(vec).cast("array<double>").alias("c")).where(cells.usable("c"))
+    near = cells.kept(cells.closest(built, asks.withColumns({"far": F.lit(False), "most": F.lit(None).cast("double")}), m + 1), "near")
+    # a point's reach travels as one more component of its vector
+    placed = cells.kept(built.placed.join(radii, "_id").withColumn("_x", F.concat("_x", F.array("_reach"))), "reach")
+    most = np.zeros(len(built.pivots))
+    for r in placed.groupBy("_cell").agg(F.max("_reach").alias("r")).collect():  # a row a cell
+        most[r["_cell"]] = max(r["r"], TINY) * (1 + cells.SLACK)
+
+    def bound(b, pivots, radius, count):
+        return np.sqrt(cells.rough(cells.matrix(b.column("c")), pivots)) * (1 - cells.SLACK) <= radius + most + TINY
+
+    def inside(q, x, order, ids):
+        c, who, what, far = cells.matrix(q.column("c")), [], [], []
+        for i in range(len(c)):
+            d = np.sqrt(cells.squared(x[:, :-1], c[i]))
+            at = np.flatnonzero((d < x[:, -1]) | (d < TINY))
+            who.append(np.full(len(at), i)), what.append(at), far.append(np.stack([d[at], x[at, -1]], 1))
+        both = np.concatenate(far)
+        return [q.column("ask").combine_chunks().take(pa.array(np.concatenate(who))), ids.take(pa.array(np.concatenate(what))), both[:, 0], both[:, 1]]
+
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField("ask", asks.schema["ask"].dataType), T.StructField("_id", built.id_type), T.StructField("d", T.DoubleType()), T.StructField("r", T.DoubleType())])
+    held = cells.kept(cells.search(cells.Cells(placed, built.pivots, built.radius, built.count, built.id_type), asks, bound, inside, schema), "held")
+    rest = near.join(held.select("ask").distinct(), "ask", "left_anti").select("ask", "_id", F.sqrt("value").alias("d"), F.lit(None).cast("double").alias("r"))
+    w, r, x = Window.partitionBy("ask"), F.col("r"), F.col("d")
+    raw = F.when(F.min("d").over(w) < TINY, (x < TINY).cast("double")).when(r.isNull(), 1 / (x * x)).otherwise(F.pow((r - x) / (r * x), F.lit(2.0)))
+    rows = held.unionByName(rest).select("ask", "_id", raw.alias("raw"))
+    return rows.select(F.col("ask").alias("query_id"), F.col("_id").alias(p_id), (F.col("raw") / F.sum("raw").over(w)).alias("weight")).where("weight > 0")
+
+
 def linear_shepard_fit(points: DataFrame, p_id: str, vec: str, y: str, m: int | None = None, robust: bool = False) -> DataFrame:
     """(point, radius, slope): a weighted least-squares plane through each point on its nearest neighbours.
 
@@ -374,6 +413,8 @@ class Rows:
             rows = self.df.orderBy(*self.df.columns).collect()
             m = np.array([tuple(r) for r in rows], float).reshape(self.n, self.inputs + 1)
             self.held = m[:, :-1], m[:, -1]
+        else:
+            self.df = cells.kept(self.df, "rows")  # passes read these columns alone
 
     def sums(self, function) -> list[np.ndarray]:
         """The sums over all rows of the arrays that `function(x, t)` returns for some of them."""

@@ -50,6 +50,16 @@ def test_many_pairs_take_cells(spark, clustered, monkeypatch):
     assert sorted(map(tuple, joins.nearest(p, p, 2, "id", "id", "x", "x").collect())) == want
 
 
+def test_modified_shepard_in_cells(spark, clustered, monkeypatch):
+    ids, x = clustered
+    p = table(spark, ids, x)
+    q = table(spark, range(30), np.concatenate([x[::25][:24], [[0.4, 0.2, 0.1], [20.1, 20, 20], [-31, -29, -28], [500, 0, 0], [0, 0, 0], [9, 9, 9]]]))
+    want = {(r.query_id, r.id): r.weight for r in models.modified_shepard_weights(q, p, "id", "id", "x", 5, 1.2).collect()}
+    monkeypatch.setattr(joins, "DIRECT_PAIRS", 1000)
+    got = {(r.query_id, r.id): r.weight for r in models.modified_shepard_weights(q, p, "id", "id", "x", 5, 1.2).collect()}
+    assert set(got) == set(want) and all(abs(got[k] - w) < 1e-9 for k, w in want.items())
+
+
 def test_odd_rows(spark):
     p = table(spark, range(6), [None, [np.nan, 1], [1, np.inf], [1, 1], [1, 1], [4, 5]])
     got = cells.nearest(p.withColumnRenamed("id", "q"), p, 9, "q", "id", "x", "x").collect()

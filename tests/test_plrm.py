@@ -58,7 +58,6 @@ def test_category_beats_its_code(spark, shop):
 def test_passes_equal_held_rows(spark, shop, monkeypatch):
     held = plrm.fit(shop, ["q"], ["item", "flag"], "y", steps=4)
     monkeypatch.setattr(models, "MAX_FIT_ROWS", 100)
-    monkeypatch.setattr(plrm, "MAX_FIT_ROWS", 100)
     passed = plrm.fit(shop.repartition(5), ["q"], ["item", "flag"], "y", steps=4)
     assert np.allclose(held.errors, passed.errors) and all(np.allclose(held.parameters[k], passed.parameters[k], atol=1e-6) for k in held.parameters)
 
