@@ -12,12 +12,13 @@ the order matters. Runs are found without sorting all suffixes:
   windows share anchors, so anchors are few, one for about 70 bytes.
 * Windows of an anchor form its context. A core (the CORE bytes at an anchor) that occurs once settles
   all its windows: nothing equals them. Where all contexts of a core are the same text, all windows of
-  all of them have copies. Only the first of each context of other cores is opened, window by window, and the
-  windows are compared by core and fingerprint.
+  all of them have copies. Only the first of each context of other cores is opened: the suffixes that
+  start at its windows are sorted with those of its core, as bytes, to the depth of `length`.
 
-A core's fingerprint and that of the context or window have 64 bits each, so it takes 128 equal bits to be
-taken for equal. Aggregates combine before they shuffle, and joins have plain exchanges on both sides,
-which adaptive execution splits where a key is hot. Texts are sent compressed.
+A core of many contexts is dealt to parts by a hash of the window, ten at most; a core of more
+than MANY contexts goes the way of fingerprints, a row a window. Fingerprints of a core and of a context (or window) have
+64 bits each, so it takes 128 equal bits to be taken for equal. Aggregates combine before they shuffle, joins have
+plain exchanges on both sides, which adaptive execution splits where a key is hot, and texts are sent compressed.
 
 Positions are ordered by document id, then text fingerprint, then byte. With `keep_first` only later
 copies go: what equals something at a smaller position. Defined cases: null texts count as empty; texts
@@ -29,7 +30,7 @@ string may begin inside a character.
 
 from __future__ import annotations
 
-import functools
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,8 @@ from .common import arrow_schema, discard, release, text_or_empty, written
 LENGTH, CORE = 200, 64
 #: Bytes that are hashed at once; positions in a piece have so many bits.
 PIECE, PLACE_BITS = 1 << 20, 24
+#: Contexts that are sorted together; cores of more than MANY contexts go the way of fingerprints.
+GROUP, MANY = 2048, 20_000
 BASE = 0x9E3779B97F4A7C15 | 1
 ANCHORS = "core long, x long, id long, h long, start int, n int"
 
@@ -52,7 +55,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@functools.cache
+@cache
 def _tables(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A number for each byte, powers of the base and of its inverse."""
     letters = _mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
@@ -158,9 +161,9 @@ def anchors(rows: DataFrame, length: int, narrow: bool) -> DataFrame:
     return rows.mapInArrow(run, ddl)
 
 
-def windows(texts: DataFrame, length: int) -> DataFrame:
-    """(core, w, id, h, start, solo) of all windows of the contexts `asked` of each packed text."""
-    ddl = "core long, w long, id long, h long, start int, solo boolean"
+def opened(texts: DataFrame, length: int) -> DataFrame:
+    """(core, parts, id, h, start, n, solo, x): the bytes of the contexts `asked` of each packed text."""
+    ddl = "core long, parts int, id long, h long, start int, n int, solo boolean, x binary"
     kinds = arrow_schema(texts.sparkSession, ddl)
 
     def run(batches):
@@ -168,16 +171,105 @@ def windows(texts: DataFrame, length: int) -> DataFrame:
 
         for b in batches:
             for i, h, z, asked in zip(b.column("id").to_pylist(), b.column("h").to_pylist(), b.column("z").to_pylist(), b.column("asked"), strict=True):
-                want = asked.values
-                core, first, n, solo = (want.field(k).to_numpy(zero_copy_only=False) for k in ("core", "start", "n", "solo"))
-                start = np.repeat(first, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-                w = Hashes(zstandard.decompress(z)).of(start.astype(np.int64), start.astype(np.int64) + length)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((np.repeat(core, n), w.view(np.int64), np.full(len(w), i), np.full(len(w), h), start, np.repeat(solo, n)), kinds.types, strict=True)], schema=kinds)
+                data, want = zstandard.decompress(z), asked.values
+                core, parts, start, n, solo = (want.field(k) for k in ("core", "parts", "start", "n", "solo"))
+                x = [data[s: s + k - 1 + length] for s, k in zip(start.to_pylist(), n.to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([core, parts, pa.array(np.full(len(x), i), pa.int64()), pa.array(np.full(len(x), h), pa.int64()), start, n, solo, pa.array(x, pa.binary())], schema=kinds)
         release()
 
     return texts.mapInArrow(run, ddl)
 
 
+def suffix_runs(core: np.ndarray, x: list[bytes], part: np.ndarray, parts: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(context, window, run) of the windows of contexts that are in a part, in suffix order.
+
+    Suffixes are sorted as byte strings to a depth of `length`, core by core; those with a common prefix of that length are a run.
+    """
+    n = np.array([len(v) - length + 1 for v in x])
+    whose = np.repeat(np.arange(len(x)), n)
+    window = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    joined = b"".join(x)
+    begin = np.cumsum([0, *map(len, x[:-1])])
+    if (parts > 1).any():  # equal windows fall into equal parts
+        at = begin[whose] + window
+        mine = Hashes(joined).of(at, at + length) % parts[whose].astype(np.uint64) == part[whose].astype(np.uint64)
+        whose, window = whose[mine], window[mine]
+    data = np.frombuffer(joined, np.uint8)
+    rows = np.empty((len(whose), 8 + length), np.uint8)
+    rows[:, :8] = core.astype(">i8").view(np.uint8).reshape(-1, 8)[whose]
+    rows[:, 8:] = np.lib.stride_tricks.sliding_window_view(data, length)[begin[whose] + window]
+    order = np.argsort(rows.view(f"V{8 + length}").ravel(), kind="stable")
+    rows = rows[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (rows[1:] != rows[:-1]).any(1)
+    return whose[order], window[order], np.cumsum(new) - 1
+
+
+def resolved(contexts_: DataFrame, length: int, keep_first: bool) -> DataFrame:
+    """(id, h, start, n): windows that start elsewhere too, neighbours as one row; with `keep_first` those that start earlier.
+
+    Of a run in suffix order the smallest position is the previous smaller one of all others: their longest previous factor has
+    the full length. What is not the largest has a next one, for the mirror.
+    """
+    ddl = "id long, h long, start int, n int"
+    kinds = arrow_schema(contexts_.sparkSession, ddl)
+
+    def solve(rows: list[dict]) -> pa.RecordBatch:
+        core, ids, hs, start, part, parts = (np.array([r[k] for r in rows], np.int64) for k in ("core", "id", "h", "start", "part", "parts"))
+        whose, window, run = suffix_runs(core, [r["x"] for r in rows], part, parts, length)
+        if keep_first:
+            place = np.lexsort((start[whose] + window, hs[whose], ids[whose], run))
+            whose, window, run = whose[place], window[place], run[place]
+            hit = np.zeros(len(run), bool)
+            hit[1:] = run[1:] == run[:-1]
+        else:
+            hit = (np.bincount(run)[run] > 1) & np.array([r["solo"] for r in rows])[whose]
+        whose, at = whose[hit], window[hit]
+        order = np.lexsort((at, whose))
+        whose, at = whose[order], at[order]
+        first = np.ones(len(at), bool)
+        first[1:] = (whose[1:] != whose[:-1]) | (at[1:] != at[:-1] + 1)
+        head = np.flatnonzero(first)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((ids[whose[head]], hs[whose[head]], start[whose[head]] + at[head], np.diff(np.append(head, len(at)))), kinds.types, strict=True)], schema=kinds)
+
+    def run_(batches):
+        held: list[dict] = []
+        for b in batches:
+            for row in b.to_pylist():
+                if len(held) >= GROUP and (row["core"], row["part"]) != (held[-1]["core"], held[-1]["part"]):
+                    yield solve(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield solve(held)
+        release()
+
+    spread = contexts_.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return spread.repartition("core", "part").sortWithinPartitions("core", "part").mapInArrow(run_, ddl)
+
+
+def resolved_alone(contexts_: DataFrame, length: int, keep_first: bool) -> DataFrame:
+    """The same for cores of so many contexts that one offset of them is too much for a task: a row a window, by fingerprint."""
+    ddl = "core long, w long, id long, h long, start int, solo boolean"
+    kinds = arrow_schema(contexts_.sparkSession, ddl)
+
+    def run(batches):
+        for b in batches:
+            x = b.column("x").to_pylist()
+            n = b.column("n").to_numpy()
+            w = np.concatenate([Hashes(v).all(length) for v in x]) if x else np.zeros(0, np.uint64)
+            core, ids, hs, start, solo = (np.repeat(b.column(c).to_numpy(zero_copy_only=False), n) for c in ("core", "id", "h", "start", "solo"))
+            step = np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((core, w.view(np.int64), ids, hs, start + step, solo), kinds.types, strict=True)], schema=kinds)
+        release()
+
+    inside = written(contexts_.mapInArrow(run, ddl), "windows")
+    place = F.struct("id", "h", "start")
+    equal = inside.groupBy("core", "w").agg(F.count("*").alias("c"), F.min(place).alias("first")).where("c > 1")
+    found = inside.where(F.col("solo") | F.lit(keep_first)).join(equal, ["core", "w"])
+    return (found.where(place != F.col("first")) if keep_first else found).select("id", "h", "start", F.lit(1).alias("n"))
+
+
 def packed(rows: DataFrame) -> DataFrame:
     """(id, h, none, z): texts compressed, for exchanges."""
     ddl = "id long, h long, none boolean, z binary"
@@ -238,17 +330,19 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, keep_first: bool = False
 
     place = F.struct("id", "h", "start")
     classes = written(again.where(F.col("open") | F.lit(keep_first)).groupBy("core", "x", "open").agg(F.count("*").alias("c"), F.min(F.struct("id", "h", "start", "n")).alias("first")), "classes")
-    asked = classes.where("open").select("first.*", "core", (F.col("c") == 1).alias("solo")).groupBy("id", "h").agg(F.collect_set(F.struct("core", "start", "n", "solo")).alias("asked"))
-    inside = written(windows(packed(long).join(asked, ["id", "h"]).select("id", "h", "z", "asked"), length), "windows")
-    equal = inside.groupBy("core", "w").agg(F.count("*").alias("c"), F.min(place).alias("first")).where("c > 1")
+    sizes = classes.where("open").groupBy("core").agg(F.count("*").alias("m"))
+    asked = (classes.where("open").join(sizes, "core").select("first.*", "core", (F.col("c") == 1).alias("solo"), F.when(F.col("m") > MANY, 0).otherwise(F.ceil(F.col("m") / GROUP)).cast("int").alias("parts"))
+             .groupBy("id", "h").agg(F.collect_set(F.struct("core", "parts", "start", "n", "solo")).alias("asked")))
+    inside = opened(packed(long).join(asked, ["id", "h"]).select("id", "h", "z", "asked"), length)
+    parts = [resolved(inside.where("parts > 0"), length, keep_first)]
+    if not sizes.where(F.col("m") > MANY).isEmpty():
+        parts.append(resolved_alone(inside.where("parts = 0"), length, keep_first))
     copied = again.join(classes.where("c > 1").select("core", "x", "first"), ["core", "x"])
     if keep_first:
-        later = lambda df: df.where(place != F.struct("first.id", "first.h", "first.start"))
-        spans = later(copied).select("id", "h", "start", "n").unionByName(later(inside.join(equal, ["core", "w"])).select("id", "h", "start", F.lit(1).alias("n")))
+        parts.append(copied.where(place != F.struct("first.id", "first.h", "first.start")).select("id", "h", "start", "n"))
     else:
-        whole = again.where("not open").select("id", "h", "start", "n").unionByName(copied.select("id", "h", "start", "n"))
-        spans = whole.unionByName(inside.where("solo").join(equal, ["core", "w"]).select("id", "h", "start", F.lit(1).alias("n")))
-    by_text = spans.groupBy("id", "h").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
-    out = written(_cut(packed(rows).join(by_text, ["id", "h"], "left").select("id", "none", "z", "spans"), length, id_col), "kept")
-    discard(cores, again, classes, inside)
-    return out
+        parts += [again.where("not open").select("id", "h", "start", "n"), copied.select("id", "h", "start", "n")]
+    spans = reduce(DataFrame.unionByName, parts)
+    by_text = written(spans.groupBy("id", "h").agg(F.collect_set(F.struct("start", "n")).alias("spans")), "spans")
+    discard(cores, again, classes)
+    return _cut(packed(rows).join(by_text, ["id", "h"], "left").select("id", "none", "z", "spans"), length, id_col)

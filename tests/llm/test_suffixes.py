@@ -70,6 +70,19 @@ def test_against_plain(spark, keep_first):
     assert sum(r[2] > 0 for r in want) > 40 and sum(0 < r[2] < r[1] for r in want) > 20
 
 
+@pytest.mark.parametrize("keep_first", [False, True])
+@pytest.mark.parametrize(("group", "many"), [(2, 1_000_000), (3, 4), (2048, 1)])
+def test_cores_of_many_contexts(spark, monkeypatch, group, many, keep_first):
+    """Parts of a core, and fingerprints for cores beyond that, give what one sorted group gives."""
+    monkeypatch.setattr(suffixes, "GROUP", group)
+    monkeypatch.setattr(suffixes, "MANY", many)
+    rng = random.Random(4)
+    line = "".join(rng.choice("abcdef ") for _ in range(150))
+    rows = [(k, "".join(rng.choice("xyz ") for _ in range(rng.randint(0, 90))) + line + "".join(rng.choice("pq") for _ in range(rng.randint(0, 8))) + line[:90]) for k in range(40)] + made(rng, 20)
+    rows = [(k, t) for k, (_, t) in enumerate(rows)]
+    assert got(spark, rows, keep_first=keep_first) == plain(rows, 200, keep_first)
+
+
 @pytest.mark.parametrize("length", [64, 90])
 def test_other_lengths(spark, length):
     rows = made(random.Random(9), 60)
