@@ -67,6 +67,8 @@ def test_gradient_equals_differences(spark, surface, fit):
              "network": lambda d: models.network_fit(d, ["a", "b"], "y", (8, 8), steps=60), "plrm": lambda d: models.plrm_fit(d, ["a", "b"], "y", steps=60), "svr": lambda d: models.svr_fit(d, ["a", "b"], "y"),
              "svr_poly": lambda d: models.svr_fit(d, ["a", "b"], "y", "poly")}[fit](surface)
     h = 1e-5
+    # knots are values of rows, so the places asked lie beside the rows
+    surface = surface.withColumns({"a": F.col("a") + 1.7e-3, "b": F.col("b") + 2.3e-3})
     moved = surface.select("id", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), (F.col("a") + (h * s if k == 0 else 0)).alias("a"), (F.col("b") + (h * s if k == 1 else 0)).alias("b"), F.lit(s).alias("s")) for k in (0, 1) for s in (-1, 1)])).alias("m")).select("id", "m.*")
     f = {(r.id, r.k, r.s): r.prediction for r in model.predict(moved).collect()}
     kinks = 0
