@@ -3,6 +3,11 @@
 Stages take (spark, docs, sf_dir); all but the last return the columns of documents. Toxic documents
 go, one document of each near-duplicate group stays, documents with a leaked benchmark item go,
 personal data are replaced in the texts, and the texts become token ids.
+
+Defined cases: null and empty texts pass every stage (they score as clean, resemble nothing, hold no item) and have no token ids;
+rows with equal ids and texts stay or go together, except that one of two equal texts with different ids is enough for the
+Jaccard stage, which keeps the least id; a null id is kept; very long texts are taken whole; empty tables give
+an empty result; other columns pass through the stages, whatever their names, up to the last one.
 """
 
 from __future__ import annotations
