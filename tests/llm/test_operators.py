@@ -798,6 +798,24 @@ def vectors_by_force(x, threshold=0.9):
         least = new
 
 
+def test_nn_descent_and_its_audit_on_planted_groups(spark, monkeypatch):
+    """Three thousand vectors with the settings in use: most links are found, none too many, and the audit says how many."""
+    rng = np.random.default_rng(13)
+    x = [rng.standard_normal(64) for _ in range(2600)]
+    for _ in range(150):
+        c = rng.standard_normal(64)
+        x += [c + rng.standard_normal(64) * 0.22 for _ in range(rng.integers(2, 6))]
+    audits, plain = [], nn_descent._audit
+    monkeypatch.setattr(nn_descent, "_audit", lambda *a: audits.append(plain(*a)) or audits[-1])
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r.n_links for r in nn_descent.near_duplicates(d).collect()}
+    counts, _ = vectors_by_force(x)
+    true, found = sum(counts), sum(got.values())
+    assert true > 600 and all(got[i] <= n for i, n in enumerate(counts)) and found >= 0.95 * true
+    print(f"true links {true}, found {found}, recall {found / true:.3f}, audited {audits}")
+    assert audits and abs(audits[-1] - found / true) <= 0.03
+
+
 def test_nn_descent_every_length_is_searched(spark):
     rng = np.random.default_rng(41)
     x = [rng.standard_normal(16) for _ in range(40)]
