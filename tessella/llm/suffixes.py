@@ -37,13 +37,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, discard, release, text_or_empty, written
+from .common import arrow_schema, discard, release, task_count, text_or_empty, written
 
 LENGTH, CORE = 200, 64
 #: Bytes that are hashed at once; positions in a piece have so many bits.
 PIECE, PLACE_BITS = 1 << 20, 24
 #: Contexts that are sorted together; cores of more than MANY contexts go the way of fingerprints.
 GROUP, MANY = 2048, 20_000
+#: A class with more rows than a task's share by this part is dealt to several tasks.
+HOT_PART = 4
 BASE = 0x9E3779B97F4A7C15 | 1
 ANCHORS = "core long, x long, id long, h long, start int, n int"
 
@@ -314,6 +316,19 @@ def _cut(texts: DataFrame, length: int, id_col: str) -> DataFrame:
     return texts.mapInArrow(run, ddl)
 
 
+def _copies(again: DataFrame, classes: DataFrame) -> DataFrame:
+    """Contexts with the first of their class; classes of more than a task's share of rows are dealt to several tasks.
+
+    There are at most as many such classes as tasks times HOT_PART, so they may be broadcast.
+    """
+    share = F.ceil(classes.agg(F.sum("c")).scalar() / (task_count(again.sparkSession) * HOT_PART))
+    parts = F.when(F.col("c") > share, F.ceil(F.col("c") / share)).otherwise(1)
+    hot = classes.where(F.col("c") > share).select("core", "x", parts.alias("parts"))
+    rows = again.join(F.broadcast(hot), ["core", "x"], "left").withColumn("deal", F.pmod(F.xxhash64("id", "h", "start"), F.coalesce("parts", F.lit(1))))
+    firsts = classes.select("core", "x", "first", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("deal"))
+    return rows.join(firsts, ["core", "x", "deal"])
+
+
 def remove_repeats(df: DataFrame, length: int = LENGTH, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, spans, kept) of every document; spans are removed byte ranges."""
     if length < CORE:
@@ -337,7 +352,7 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, keep_first: bool = False
     parts = [resolved(inside.where("parts > 0"), length, keep_first)]
     if not sizes.where(F.col("m") > MANY).isEmpty():
         parts.append(resolved_alone(inside.where("parts = 0"), length, keep_first))
-    copied = again.join(classes.where("c > 1").select("core", "x", "first"), ["core", "x"])
+    copied = _copies(again, classes.where("c > 1"))
     if keep_first:
         parts.append(copied.where(place != F.struct("first.id", "first.h", "first.start")).select("id", "h", "start", "n"))
     else:

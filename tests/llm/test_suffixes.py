@@ -107,6 +107,13 @@ def test_pieces_of_long_texts(spark, monkeypatch):
     assert [r[:4] for r in res] == [(1, len(long), len(long), 1), (2, 150, 0, 0), (3, 3, 0, 0)]
 
 
+def test_hot_classes_are_dealt_to_tasks(spark):
+    again = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("core"), F.lit(1).cast("long").alias("x"), "id", F.col("id").alias("h"), F.lit(0).alias("start"), F.lit(5).alias("n"))
+    classes = again.groupBy("core", "x").agg(F.count("*").alias("c"), F.min(F.struct("id", "h", "start", "n")).alias("first"))
+    got = suffixes._copies(again, classes)
+    assert got.count() == 3000 and got.where("core = 7").groupBy("deal").count().count() >= 5 and got.where("core <> 7 and deal <> 0").count() == 0
+
+
 def test_too_short_a_length_is_refused(spark):
     with pytest.raises(ValueError):
         suffixes.remove_repeats(spark.createDataFrame([(1, "x")], "doc_id long, text string"), length=10)
