@@ -211,12 +211,12 @@ def _measure(root: Node) -> list[Node]:
     return order
 
 
-def _has_sentence(x: Node) -> bool:
+def _has_sentence(x: Node, least: int = PARAGRAPH_CHARS) -> bool:
     """Whether a text inside is long enough for a paragraph and has the end of a sentence."""
     stack = [x]
     while stack:
         y = stack.pop()
-        if (y is x or y.tag in BLOCK) and len(text := _own_text(y)) >= PARAGRAPH_CHARS and SENTENCE.search(text):
+        if (y is x or y.tag in BLOCK) and len(text := _own_text(y)) >= least and SENTENCE.search(text):
             return True
         stack.extend(k for k in y.kids if isinstance(k, Node) and not k.bad)
     return False
@@ -241,12 +241,13 @@ def _settle(root: Node) -> list[Node]:
     for x in order:
         if x.doubt == COMMENT:
             x.bad = True
-        elif x.doubt in (BAD, FORM):
-            # what holds half of the page's text is not beside the text, whatever its name
+        elif x.doubt == BAD:
+            x.bad = x not in above
+        elif x.doubt == FORM:
             x.bad = x not in above and 2 * (x.chars - x.links) < root.chars - root.links
         elif x.doubt == LOOSE:
             x.bad = x not in above and (_density(x) >= 0.3 or not _has_sentence(x))
-    if had and not _has_sentence(root):  # names that would leave no text are wrong
+    if had and not _has_sentence(root, 1):  # names that would leave no sentence, however short, are wrong
         for x in order:
             x.bad = False
     return _measure(root)
