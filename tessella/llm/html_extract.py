@@ -237,7 +237,7 @@ def _settle(root: Node) -> list[Node]:
         while chief is not None:
             above.add(chief)
             chief = chief.parent
-    had = _has_sentence(root)
+    had, told = _has_sentence(root), root.chars - root.links
     for x in order:
         if x.doubt == COMMENT:
             x.bad = True
@@ -247,10 +247,13 @@ def _settle(root: Node) -> list[Node]:
             x.bad = x not in above and 2 * (x.chars - x.links) < root.chars - root.links
         elif x.doubt == LOOSE:
             x.bad = x not in above and (_density(x) >= 0.3 or not _has_sentence(x))
-    if had and not _has_sentence(root, 1):  # names that would leave no sentence, however short, are wrong
+    left = _measure(root)
+    if had and 2 * (root.chars - root.links) < told and not _has_sentence(root, 1):
+        # names that would leave the lesser part of the text, and no sentence in it, are wrong
         for x in order:
             x.bad = False
-    return _measure(root)
+        left = _measure(root)
+    return left
 
 
 def _density(x: Node) -> float:
