@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cells import kept
+from .cells import _lists, kept, matrix
 from .ordered import scan
 
 #: Nodes that are solved together.
@@ -28,6 +28,11 @@ BLOCK = 65_536
 PIECES = "low double, high double, c array<double>"
 
 
+def _dealt(df: DataFrame, by: str) -> DataFrame:
+    """Rows dealt to as many tasks as the session shuffles to: small rows that cost much are not joined into one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), by)
+
+
 def numbered(nodes: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     """(k, x, y): nodes in order, counted from 0."""
     plain = nodes.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null")
@@ -37,71 +42,98 @@ def numbered(nodes: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
 def neighbours(nodes: DataFrame, reach: int) -> DataFrame:
     """(k, near): each node's number with the nodes up to `reach` numbers away, in order, itself among them."""
     to = F.explode(F.sequence(F.col("k") - reach, F.col("k") + reach)).alias("at")
-    lists = nodes.select(to, F.struct("k", "x", "y").alias("n")).groupBy("at").agg(F.array_sort(F.collect_list("n")).alias("near"))  # 2 * reach + 1 nodes at most
+    lists = _dealt(nodes.select(to, F.struct("k", "x", "y").alias("n")), "at").groupBy("at").agg(F.array_sort(F.collect_list("n")).alias("near"))  # 2 * reach + 1 nodes at most
     return lists.where(F.exists("near", lambda n: n["k"] == F.col("at"))).withColumnRenamed("at", "k")
 
 
-def divided(x: np.ndarray, values: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
-    """(Newton coefficients, places) of the polynomial with the given value and derivatives at each place."""
-    places = np.concatenate([[a] * len(v) for a, v in zip(x, values, strict=True)])
-    whose = np.concatenate([[i] * len(v) for i, v in enumerate(values)])
-    row = np.array([values[i][0] for i in whose], float)
-    out = [row[0]]
-    for d in range(1, len(places)):
-        gap = places[d:] - places[:-d]
-        row = np.array([(row[i + 1] - row[i]) / gap[i] if gap[i] else values[whose[i]][d] / factorial(d) for i in range(len(gap))])
-        out.append(row[0])
-    return np.array(out), places
-
-
-def powers(newton: np.ndarray, places: np.ndarray, at: float) -> np.ndarray:
-    """Coefficients of powers of x - at of a polynomial in Newton's form."""
-    c = newton[-1:].astype(float)
-    for a, p in zip(newton[-2::-1], places[: len(newton) - 1][::-1], strict=True):
-        c = np.append(0.0, c) - (p - at) * np.append(c, 0.0)
-        c[0] += a
+def divided(x: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(Newton coefficients, places), row by row, of polynomials with the given value and derivatives (last axis) at each place."""
+    n, k = values.shape[1:]
+    places, whose = np.repeat(x, k, 1), np.repeat(np.arange(n), k)
+    row = values[:, whose, 0]
+    out = [row[:, 0]]
+    for d in range(1, n * k):
+        gap = places[:, d:] - places[:, :-d]
+        level = gap == 0
+        if d >= k and level.any():
+            raise ValueError("nodes need distinct places")
+        row = (row[:, 1:] - row[:, :-1]) / np.where(level, 1, gap)
+        if d < k:
+            row = np.where(level, values[:, whose[:-d], d] / factorial(d), row)
+        out.append(row[:, 0])
+    return np.stack(out, 1), places
+
+
+def powers(newton: np.ndarray, places: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Coefficients of powers of x - at of polynomials in Newton's form, row by row."""
+    c, none = newton[:, -1:], np.zeros((len(newton), 1))
+    for j in range(newton.shape[1] - 2, -1, -1):
+        c = np.hstack([none, c]) - (places[:, j] - at)[:, None] * np.hstack([c, none])
+        c[:, 0] += newton[:, j]
     return c
 
 
+def local_polynomials(x: np.ndarray, y: np.ndarray, i: int, order: int) -> np.ndarray:
+    """Derivatives at node i of each row, of the polynomial through the `order` nodes nearest by number, then by closeness of place and value."""
+    n, u = x.shape[1], x[:, i]
+    by_number = np.broadcast_to(np.abs(np.arange(n) - i), x.shape)
+    rank = np.lexsort((np.abs(x - u[:, None]) * np.abs(y - y[:, i:i + 1]), by_number))
+    out = np.zeros((len(x), order + 1))
+    far = np.abs(np.take_along_axis(x, rank, 1) - u[:, None])
+    more = far[:, order] == far[:, order - 1] if n > order > 1 else np.zeros(len(x), bool)  # the next one is just as near
+    for rows, size in ((np.flatnonzero(~more), min(n, order)), (np.flatnonzero(more), order + 1)):
+        if len(rows):
+            use = np.sort(rank[rows, :size], 1)
+            c = powers(*divided(np.take_along_axis(x[rows], use, 1), np.take_along_axis(y[rows], use, 1)[:, :, None]), u[rows])
+            out[rows, :size] = c * np.array([factorial(d) for d in range(size)])
+    return out
+
+
+def local_quadratics(x: np.ndarray, y: np.ndarray, i: int) -> np.ndarray:
+    """Derivatives at node i of each row, of a parabola through it: mean slopes on both sides, then the squares weighted by inverse squared distance."""
+    n = x.shape[1]
+    if n < 2:
+        return np.hstack([y, np.zeros((len(y), 2))])
+    other = np.arange(n) != i
+    sx, sy = x[:, other] - x[:, i:i + 1], y[:, other] - y[:, i:i + 1]
+    away = np.abs(sx)
+    slope = sy / away
+    left, right = slope[:, :i].mean(1) if i else None, slope[:, i:].mean(1) if i < n - 1 else None
+    b = -left if right is None else right if left is None else (right - left) / 2
+    a = ((slope - np.sign(sx) * b[:, None]) * away).sum(1) / (away * away).sum(1)
+    return np.stack([y[:, i], b, 2 * a], 1)
+
+
+def local_facets(x: np.ndarray, y: np.ndarray, i: int, size: int = 3) -> np.ndarray:
+    """Slope at node i of each row, of the line through `size` neighbours in a row that comes nearest to the node."""
+    n = x.shape[1]
+    size = min(max(3, 2 * (size // 2) + 1), n)
+    half, offs, slopes = size // 2, [], []
+    for centre in range(max(0, i - half), min(n, i + half + 1)):
+        low, high = max(0, centre - half), min(n, centre + half + 1)
+        if high - low < size:
+            continue
+        u, v = x[:, low:high], y[:, low:high]
+        um, vm = u.mean(1), v.mean(1)
+        du = u - um[:, None]
+        s = (du * (v - vm[:, None])).sum(1) / (du * du).sum(1)
+        offs.append(np.abs(vm + s * (x[:, i] - um) - y[:, i])), slopes.append(s)
+    if not offs:
+        return np.stack([y[:, i], np.zeros(len(y))], 1)
+    best = np.stack(offs, 1).argmin(1)
+    return np.stack([y[:, i], np.stack(slopes, 1)[np.arange(len(y)), best]], 1)
+
+
 def local_polynomial(x: np.ndarray, y: np.ndarray, i: int, order: int) -> np.ndarray:
-    """Derivatives at node i of the polynomial through the `order` nodes nearest by number, then by closeness of place and value."""
-    rank = np.lexsort((np.abs(x - x[i]) * np.abs(y - y[i]), np.abs(np.arange(len(x)) - i)))
-    use = np.sort(rank[:order])
-    if len(rank) > order and abs(x[rank[order]] - x[i]) == abs(x[rank[order - 1]] - x[i]) and order > 1:
-        use = np.sort(rank[: order + 1])  # the next one is just as near
-    c = powers(*divided(x[use], [[v] for v in y[use]]), x[i])
-    return c * np.array([factorial(d) for d in range(len(c))])
+    return local_polynomials(x[None], y[None], i, order)[0]
 
 
 def local_quadratic(x: np.ndarray, y: np.ndarray, i: int) -> np.ndarray:
-    """Derivatives at node i of a parabola through it: mean slopes on both sides, then the squares weighted by inverse squared distance."""
-    other = x != x[i]
-    sx, sy = x[other] - x[i], y[other] - y[i]
-    if not len(sx):
-        return np.array([y[i], 0.0, 0.0])
-    away = np.abs(sx)
-    slope = sy / away
-    right = slope[sx > 0].mean() if (sx > 0).any() else None
-    left = slope[sx < 0].mean() if (sx < 0).any() else None
-    b = (right - left) / 2 if None not in (left, right) else right if left is None else -left
-    a = ((slope - np.sign(sx) * b) @ away) / (away @ away)
-    return np.array([y[i], b, 2 * a])
+    return local_quadratics(x[None], y[None], i)[0]
 
 
 def local_facet(x: np.ndarray, y: np.ndarray, i: int, size: int = 3) -> np.ndarray:
-    """Slope at node i of the line through `size` neighbours in a row that comes nearest to the node."""
-    size = min(max(3, 2 * (size // 2) + 1), len(x))
-    half, best = size // 2, None
-    for centre in range(max(0, i - half), min(len(x), i + half + 1)):
-        low, high = max(0, centre - half), min(len(x), centre + half + 1)
-        if high - low < size:
-            continue
-        u, v = x[low:high], y[low:high]
-        s = ((u - u.mean()) @ (v - v.mean())) / ((u - u.mean()) @ (u - u.mean()))
-        off = abs(v.mean() + s * (x[i] - u.mean()) - y[i])
-        if best is None or off < best[0]:
-            best = (off, s)
-    return np.array([y[i], best[1] if best else 0.0])
+    return local_facets(x[None], y[None], i, size)[0]
 
 
 def fit(nodes: DataFrame, continuity: int = 1, local: str = "polynomial", reach: int | None = None, x: str = "x", y: str = "y") -> DataFrame:
@@ -117,28 +149,33 @@ def fit(nodes: DataFrame, continuity: int = 1, local: str = "polynomial", reach:
 
     def derive(batches):
         for b in batches:
-            out = []
-            for k, n in zip(b.column("k").to_pylist(), b.column("near").to_pylist(), strict=True):
-                u, v = np.array([p["x"] for p in n]), np.array([p["y"] for p in n])
-                i = next(j for j, p in enumerate(n) if p["k"] == k)
-                d = local_polynomial(u, v, i, continuity + 1) if local == "polynomial" else local_quadratic(u, v, i) if local == "quadratic" else local_facet(u, v, i)
-                d = np.append(d, np.zeros(continuity + 1))[: continuity + 1]
-                d[0] = v[i]
-                out.append((k, float(u[i]), d.tolist()))
-            cols = list(zip(*out, strict=True)) if out else [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.list_(pa.float64()))], names=["k", "x", "d"])
+            k, lists = b.column("k").to_numpy(), b.column("near")
+            start = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            flat = lists.flatten()
+            number, u, v = (flat.field(i).to_numpy() for i in range(3))
+            long = np.diff(start)
+            at = np.flatnonzero(number == np.repeat(k, long)) - start[:-1]
+            x, d = np.zeros(len(k)), np.zeros((len(k), continuity + 1))
+            for n, i in {*zip(long.tolist(), at.tolist(), strict=True)}:  # only nodes near the ends have other lists than the rest
+                rows = np.flatnonzero((long == n) & (at == i))
+                cells = start[rows, None] + np.arange(n)
+                near_x, near_y = u[cells], v[cells]
+                got = local_polynomials(near_x, near_y, i, continuity + 1) if local == "polynomial" else local_quadratics(near_x, near_y, i) if local == "quadratic" else local_facets(near_x, near_y, i)
+                size = min(continuity + 1, got.shape[1])
+                d[rows, :size] = got[:, :size]
+                d[rows, 0], x[rows] = near_y[:, i], near_x[:, i]
+            yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(x), _lists(d)], names=["k", "x", "d"])
 
     known = near.mapInArrow(derive, "k long, x double, d array<double>")
-    ends = known.select(F.explode(F.array("k", F.col("k") - 1)).alias("piece"), F.struct("k", "x", "d").alias("n")).groupBy("piece").agg(F.min("n").alias("a"), F.max("n").alias("b")).where("a.k < b.k")
+    ends = known.select(F.explode(F.array("k", F.col("k") - 1)).alias("piece"), F.struct("k", "x", "d").alias("n"))
+    ends = _dealt(ends, "piece").groupBy("piece").agg(F.min("n").alias("a"), F.max("n").alias("b")).where("a.k < b.k")
 
     def join(batches):
         for b in batches:
-            out = []
-            for p, q in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True):
-                c = powers(*divided(np.array([p["x"], q["x"]]), [p["d"], q["d"]]), p["x"])
-                out.append((p["x"], q["x"], c.tolist()))
-            cols = list(zip(*out, strict=True)) if out else [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.float64()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.list_(pa.float64()))], names=["low", "high", "c"])
+            low, high = b.column("a").field("x").to_numpy(), b.column("b").field("x").to_numpy()
+            d = np.stack([matrix(b.column(c).field("d")) for c in ("a", "b")], 1) if b.num_rows else np.zeros((0, 2, continuity + 1))
+            c = powers(*divided(np.stack([low, high], 1), d), low)
+            yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), _lists(c)], names=["low", "high", "c"])
 
     return ends.mapInArrow(join, PIECES)
 

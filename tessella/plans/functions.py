@@ -138,7 +138,8 @@ def spline_natural(spark: SparkSession, sf: str) -> DataFrame:
 def spline_local(spark: SparkSession, sf: str) -> DataFrame:
     """A spline with one continuous derivative out of parabolas through three neighbours."""
     nodes = _spend(spark, sf)
-    return splines.evaluate(nodes.select((F.col("x") + 0.25).alias("v")), splines.fit(nodes, 2), "v")
+    found = splines.kept(splines.fit(nodes, 2), "local")
+    return splines.evaluate(nodes.select((F.col("x") + 0.25).alias("v")), found, "v")
 
 
 @query("newton_polynomial", "SELECT i::BIGINT AS i, round(pow(i / 10.0, 3) - 2 * (i / 10.0) + 1, 6) AS value FROM range(0, 50) t(i)")

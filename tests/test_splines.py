@@ -134,3 +134,23 @@ def test_as_of_without_keys_on_numbers(spark):
     b = spark.createDataFrame([(2.5, "x"), (6.0, "y")], "at double, name string")
     got = {r.v: r.name for r in intervals.as_of(a, b, "v", "at").collect()}
     assert got == {0: None, 1: None, 2: None, 3: "x", 4: "x", 5: "x", 6: "y", 7: "y", 8: "y", 9: "y"}
+
+
+def test_local_fits_of_many_rows_equal_those_of_one():
+    """Nodes are fitted together, not one after another."""
+    rng = np.random.default_rng(2)
+    x = np.cumsum(rng.integers(1, 3, (60, 7)), 1).astype(float)  # equal steps make ties
+    y = rng.random((60, 7))
+    for i in (0, 3, 6):
+        for many, one, order in ((splines.local_polynomials, splines.local_polynomial, (3,)), (splines.local_quadratics, splines.local_quadratic, ()), (splines.local_facets, splines.local_facet, ())):
+            assert np.allclose(many(x, y, i, *order), [one(a, b, i, *order) for a, b in zip(x, y, strict=True)], rtol=1e-12)
+    for a, b, c in zip(x, y, splines.local_polynomials(x, y, 3, 3), strict=True):
+        near = sorted(range(7), key=lambda j: (abs(j - 3), abs(a[j] - a[3]) * abs(b[j] - b[3])))
+        use = near[: 4 if abs(a[near[3]] - a[3]) == abs(a[near[2]] - a[3]) else 3]
+        p = np.polyfit(a[use] - a[3], b[use], len(use) - 1)[::-1]
+        assert np.allclose(c[: len(use)], p * np.array([1, 1, 2, 6])[: len(use)])
+
+
+def test_local_spline_is_dealt_to_all_tasks(spark, wave):
+    x, y = wave
+    assert splines.fit(nodes(spark, x, y), 2).rdd.getNumPartitions() == 4
