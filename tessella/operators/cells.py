@@ -220,7 +220,7 @@ def closest(cells: Cells, asks: DataFrame, k: int, tally: dict | None = None) ->
                 place, value = least_of(v, order, k, most[j], exact, slack)
                 who.append(np.full(len(place), j)), what.append(place), values.append(value)
         who, what = np.concatenate(who), np.concatenate(what)
-        return [q.column("ask").combine_chunks().take(pa.array(who)), ids.take(pa.array(what)), _lists(x[what]), np.concatenate(values)]
+        return [q.column("ask").combine_chunks().take(pa.array(who)), ids.take(pa.array(what)), lists(x[what]), np.concatenate(values)]
 
     near = kept(search(cells, asks, first, answer, schema, tally), "first")
     top = near.groupBy("ask").agg(F.when(F.count("*") >= k, F.max("value")).alias("known"))
@@ -237,7 +237,7 @@ def _dot(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return out
 
 
-def _lists(x: np.ndarray) -> pa.Array:
+def lists(x: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(np.arange(0, x.size + 1, max(1, x.shape[1]), dtype=np.int32)[: len(x) + 1], x.ravel())
 
 

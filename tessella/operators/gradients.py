@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .joins import pairwise_distance
+from .joins import inverse_terms, pair_sums
 from .models import TINY, ArrayModel, LinearModel, _network_layers
 
 VECTOR = T.ArrayType(T.DoubleType())
@@ -100,18 +100,22 @@ def shepard_gradient(queries: DataFrame, points: DataFrame, q_id: str, p_id: str
     """(query_id, prediction, gradient) of inverse squared distance weights.
 
     With f = sum(y w) / sum(w) and w = d**-2 the slope of w is -2 (q - x) w**2, so a component of the
-    gradient is (sum(y w') - f sum(w')) / sum(w); sums over points are taken dimension by dimension.
+    gradient is (sum(y w') - f sum(w')) / sum(w); the sums are taken over tiles of pairs.
     """
-    q = queries.select(F.col(q_id).alias("query_id"), F.col(vec).cast("array<double>").alias("qv"))
-    d = pairwise_distance(q, points, "query_id", p_id, "qv", vec)
-    rows = d.join(points.select(p_id, F.col(vec).cast("array<double>").alias("pv"), F.col(y).cast("double").alias("y")), p_id).join(q, "query_id")
-    hit = F.col("distance") < TINY
-    w = F.when(~hit, 1 / (F.col("distance") * F.col("distance")))
-    steps = F.posexplode(F.zip_with("qv", "pv", lambda a, b: a - b)).alias("k", "step")
-    parts = rows.select("query_id", "y", hit.alias("hit"), w.alias("w"), steps).withColumn("s", -2 * F.col("step") * F.col("w") * F.col("w"))
-    sums = parts.groupBy("query_id", "k").agg(F.sum("w").alias("w"), F.sum(F.col("y") * F.col("w")).alias("yw"), F.sum("s").alias("s"), F.sum(F.col("y") * F.col("s")).alias("ys"), F.avg(F.when(F.col("hit"), F.col("y"))).alias("at"))
-    f = F.col("yw") / F.col("w")
-    slope = F.when(F.col("at").isNotNull(), 0.0).otherwise((F.col("ys") - f * F.col("s")) / F.col("w"))
-    both = sums.select("query_id", "k", F.coalesce("at", f).alias("f"), slope.alias("slope"))
-    order = F.array_sort(F.collect_list(F.struct("k", "slope")))  # a row a dimension
-    return both.groupBy("query_id").agg(F.first("f").alias("prediction"), F.transform(order, lambda p: p["slope"]).alias("gradient"))
+    q = queries.select(F.col(q_id).alias("query_id"), F.col(vec).alias("qv"))
+    dims = q.agg(F.max(F.size("qv"))).first()[0] or 0
+
+    split = inverse_terms(TINY)
+
+    def terms(diff, away, own):
+        w, both, hits = split(away, own)
+        yield from (*(w @ both).T, *hits)
+        w2 = w * w
+        for k in range(dims):
+            yield from -2 * ((diff(k) * w2) @ both).T
+
+    got = pair_sums(q, points, "query_id", "qv", vec, [F.col(y), F.col(y).isNotNull().cast("double")], 4 + 2 * dims, terms)
+    s, at = F.col("sums"), F.col("sums")[2] > 0
+    w = F.nullif(s[0], F.lit(0.0))
+    slopes = F.array(*[F.when(at, 0.0).otherwise((s[5 + 2 * k] - s[1] / w * s[4 + 2 * k]) / w) for k in range(dims)]).cast("array<double>")
+    return got.where("sums is not null").select("query_id", F.when(at, s[3] / F.nullif(s[2], F.lit(0.0))).otherwise(s[1] / w).alias("prediction"), slopes.alias("gradient"))

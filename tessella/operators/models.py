@@ -68,11 +68,17 @@ def shepard_weights(queries: DataFrame, points: DataFrame, q_id: str, p_id: str,
 
 
 def shepard_predict(queries: DataFrame, points: DataFrame, q_id: str, p_id: str, vec: str, y: str) -> DataFrame:
-    """Prediction without a window: two sums and the least distance of each query."""
-    d = pairwise_distance(queries.select(F.col(q_id).alias("query_id"), F.col(vec).alias("qv")), points, "query_id", p_id, "qv", vec).join(points.select(p_id, F.col(y).cast("double").alias("y")), p_id)
-    hit = F.col("distance") < TINY
-    inv = 1 / F.when(~hit, F.col("distance") * F.col("distance"))
-    return d.groupBy("query_id").agg(F.coalesce(F.avg(F.when(hit, F.col("y"))), F.sum(F.col("y") * inv) / F.sum(inv)).alias("prediction"))
+    """Prediction from four sums over all points of each query, in tiles of pairs."""
+    split = joins.inverse_terms(TINY)
+
+    def terms(diff, away, own):
+        inv, both, hits = split(away, own)
+        return *(inv @ both).T, *hits
+
+    q = queries.select(F.col(q_id).alias("query_id"), F.col(vec).alias("qv"))
+    s = F.col("sums")
+    got = joins.pair_sums(q, points, "query_id", "qv", vec, [F.col(y), F.col(y).isNotNull().cast("double")], 4, terms)
+    return got.select("query_id", F.when(s[2] > 0, s[3] / F.nullif(s[2], F.lit(0.0))).otherwise(s[1] / F.nullif(s[0], F.lit(0.0))).alias("prediction"))
 
 
 def modified_shepard_radii(points: DataFrame, p_id: str, vec: str, m: int) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cells import _lists, kept, matrix
+from .cells import kept, lists as rows_of, matrix
 from .ordered import scan
 
 #: Nodes that are solved together.
@@ -164,7 +164,7 @@ def fit(nodes: DataFrame, continuity: int = 1, local: str = "polynomial", reach:
                 size = min(continuity + 1, got.shape[1])
                 d[rows, :size] = got[:, :size]
                 d[rows, 0], x[rows] = near_y[:, i], near_x[:, i]
-            yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(x), _lists(d)], names=["k", "x", "d"])
+            yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(x), rows_of(d)], names=["k", "x", "d"])
 
     known = near.mapInArrow(derive, "k long, x double, d array<double>")
     ends = known.select(F.explode(F.array("k", F.col("k") - 1)).alias("piece"), F.struct("k", "x", "d").alias("n"))
@@ -175,7 +175,7 @@ def fit(nodes: DataFrame, continuity: int = 1, local: str = "polynomial", reach:
             low, high = b.column("a").field("x").to_numpy(), b.column("b").field("x").to_numpy()
             d = np.stack([matrix(b.column(c).field("d")) for c in ("a", "b")], 1) if b.num_rows else np.zeros((0, 2, continuity + 1))
             c = powers(*divided(np.stack([low, high], 1), d), low)
-            yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), _lists(c)], names=["low", "high", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), rows_of(c)], names=["low", "high", "c"])
 
     return ends.mapInArrow(join, PIECES)
 

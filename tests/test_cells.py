@@ -117,3 +117,30 @@ def test_simplex_method():
     w, price, ok = meshes.solve(np.array([[1.0, -1, 0, 2], [1, 1, 1, 1]]), np.array([1.0, 1, 3, 0.5]), np.array([0.0, 1.0]))
     assert ok and np.allclose(w, [0, 2 / 3, 0, 1 / 3]) and np.all(np.array([1.0, 1, 3, 0.5]) - price @ np.array([[1.0, -1, 0, 2], [1, 1, 1, 1]]) > -1e-9)
     assert not meshes.solve(np.array([[1.0, 2.0], [1, 1]]), np.array([1.0, 1]), np.array([0.0, 1.0]))[2]
+
+
+def test_sums_over_pairs_keep_no_pair(spark, monkeypatch):
+    """Distance-weighted sums come from tiles: the plans hold no join of queries and points, and blocks of queries give the same."""
+    from tessella.operators import gradients
+
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(0, 3, (300, 2)), rng.normal(0, 1, 300)
+    p = spark.createDataFrame([(i, v.tolist(), float(t)) for i, (v, t) in enumerate(zip(x, y, strict=True))] + [(900, None, 1.0), (901, [1.0], 2.0)], "id long, x array<double>, y double")
+    at = np.concatenate([rng.normal(0, 3, (50, 2)), x[:2]])
+    q = table(spark, range(1000, 1053), [*at, None])
+    monkeypatch.setattr(joins, "SUM_QUERIES", 20)
+    monkeypatch.setattr(joins, "TILE", 500)
+    plain = models.shepard_predict(q.withColumn("y", F.lit(0.0)), p, "id", "id", "x", "y")
+    slopes = gradients.shepard_gradient(q, p, "id", "id", "x", "y")
+    for df in (plain, slopes):
+        plan = df._jdf.queryExecution().toString()
+        assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    got, slope = {r.query_id: r.prediction for r in plain.collect()}, {r.query_id: r for r in slopes.collect()}
+    assert len(got) == 53 and got[1052] is None and len(slope) == 52
+    for i, v in enumerate(at[:50]):
+        w = 1 / ((x - v) ** 2).sum(1)
+        f = w @ y / w.sum()
+        dw = -2 * (v - x) * (w * w)[:, None]
+        assert abs(got[1000 + i] - f) < 1e-9 and abs(slope[1000 + i].prediction - f) < 1e-9
+        assert np.allclose(slope[1000 + i].gradient, (y @ dw - f * dw.sum(0)) / w.sum(), atol=1e-8)
+    assert [got[1050], got[1051]] == y[:2].tolist() and list(slope[1050].gradient) == [0, 0]
