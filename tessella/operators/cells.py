@@ -30,6 +30,8 @@ from tessella.sources.scratch import shared_folder
 MAX_PIVOTS = 1024
 #: Points of a block and questions of a chunk.
 BLOCK, CHUNK = 8192, 8192
+#: Pairs of question and cell that a task bounds at a time, and visits of a question from which on cells are visited in groups.
+BOUNDED, MANY = 1 << 18, 8
 SLACK = 1e-9
 
 
@@ -110,32 +112,73 @@ Bound = Callable[[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray], np.ndarra
 Answer = Callable[[pa.Table, np.ndarray, np.ndarray, pa.Array], list]
 
 
-def search(cells: Cells, asks: DataFrame, bound: Bound, answer: Answer, schema: T.StructType, tally: dict | None = None) -> DataFrame:
+def search(cells: Cells, asks: DataFrame, bound: Bound, answer: Answer, schema: T.StructType, tally: dict | None = None, notes: dict | None = None) -> DataFrame:
     """Rows of `schema` that `answer(questions, x, order, ids)` makes of the questions and the points of a block.
 
-    `bound(questions, pivots, radius, count)` says for each question and cell whether the cell has to be visited.
+    `bound(questions, pivots, radius, count)` says for each question and cell whether the cell has to be visited. Where it rules out
+    little, whole groups of cells are visited (`notes` says so), and a question meets points of cells that it need not visit.
     """
     pivots, radius, count = cells.pivots, cells.radius, cells.count
     visits_schema = T.StructType([*asks.schema.fields, T.StructField("_cell", T.IntegerType())])
 
+    spark = asks.sparkSession
+
+    def called(b):
+        """(first row, table of questions and cells to visit), some questions at a time."""
+        step = max(1, BOUNDED // max(1, len(count)))
+        for at in range(0, b.num_rows, step):
+            yield at, bound(b.slice(at, step), pivots, radius, count) & (count > 0)
+
+    def number(batches):
+        total, rows = np.zeros(len(count), np.int64), 0
+        for b in batches:
+            rows += b.num_rows
+            for _, hit in called(b):
+                total += hit.sum(0)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int32()), pa.array(np.append(total[some], rows))], names=["_cell", "n"])
+
+    asked = {r["_cell"]: r["n"] for r in asks.mapInArrow(number, "_cell int, n long").groupBy("_cell").agg(F.sum("n").alias("n")).collect()}  # a row a cell
+    rows = asked.pop(-1, 0)
+    placed, group, block = cells.placed, np.arange(len(count)), BLOCK
+    if sum(asked.values()) > MANY * rows:
+        # most cells are visited by most questions: a question goes once to a group of cells, not once to each of them
+        group, block = grouped(pivots, count, GROUP), GROUP
+        if notes is not None:
+            notes["grouped"] = True
+        sent = F.broadcast(spark.createDataFrame(list(enumerate(group.tolist())), "_cell int, _group int"))  # a row a cell
+        placed = placed.join(sent, "_cell").drop("_cell").withColumnRenamed("_group", "_cell")
+    size = np.bincount(group, count, len(count)).astype(int)
+    order_of = np.argsort(group, kind="stable")
+    starts = np.flatnonzero(np.diff(group[order_of], prepend=-1))
+
     def visit(batches):
         for b in batches:
-            if not b.num_rows:
-                continue
-            q, c = np.nonzero(bound(b, pivots, radius, count) & (count > 0))
-            yield pa.RecordBatch.from_arrays([*[x.take(pa.array(q)) for x in b.columns], pa.array(c, pa.int32())], names=visits_schema.names)
+            for at, hit in called(b):
+                q, c = np.nonzero(np.logical_or.reduceat(hit[:, order_of], starts, axis=1))
+                c = group[order_of[starts]][c]
+                for i in range(0, len(q), 16_384):
+                    yield pa.RecordBatch.from_arrays([*[x.take(pa.array(q[i: i + 16_384] + at)) for x in b.columns], pa.array(c[i: i + 16_384], pa.int32())], names=visits_schema.names)
+
+    def met(batches):
+        total = np.zeros(len(count), np.int64)
+        for b in batches:
+            for _, hit in called(b):
+                total[group[order_of[starts]]] += np.logical_or.reduceat(hit[:, order_of], starts, axis=1).sum(0)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], names=["_cell", "n"])
 
+    if placed is not cells.placed:
+        asked = {r["_cell"]: r["n"] for r in asks.mapInArrow(met, "_cell int, n long").groupBy("_cell").agg(F.sum("n").alias("n")).collect()}  # a row a group
     visits = asks.mapInArrow(visit, visits_schema)
-    asked = {r["_cell"]: r["count"] for r in visits.groupBy("_cell").count().collect()}  # a row a cell
     if tally is not None:
-        tally["compared"] = tally.get("compared", 0) + sum(n * int(count[c]) for c, n in asked.items())
-    spark = asks.sparkSession
-    plan = spark.createDataFrame([(c, -(-int(count[c]) // BLOCK), -(-n // CHUNK)) for c, n in asked.items()], "_cell int, _blocks int, _chunks int")  # a row a cell
+        tally["compared"] = tally.get("compared", 0) + sum(n * int(size[c]) for c, n in asked.items())
+    plan = spark.createDataFrame([(c, -(-int(size[c]) // block), -(-n // (CHUNK if block == BLOCK else GROUP))) for c, n in asked.items()], "_cell int, _blocks int, _chunks int")  # a row a cell
     plan = F.broadcast(plan)
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     keys = ["_cell", "_block", "_chunk"]
     left = visits.join(plan, "_cell").withColumn("_chunk", F.pmod(F.xxhash64(*[c for c in asks.columns if not isinstance(asks.schema[c].dataType, T.MapType)]), F.col("_chunks")).cast("int")).withColumn("_block", spread("_blocks")).drop("_blocks", "_chunks")
-    right = cells.placed.join(plan, "_cell").withColumn("_block", F.pmod(F.xxhash64("_id"), F.col("_blocks")).cast("int")).withColumn("_chunk", spread("_chunks")).drop("_blocks", "_chunks")
+    right = placed.join(plan, "_cell").withColumn("_block", F.pmod(F.xxhash64("_id"), F.col("_blocks")).cast("int")).withColumn("_chunk", spread("_chunks")).drop("_blocks", "_chunks")
     kinds = to_arrow_schema(schema)
 
     def run(q: pa.Table, p: pa.Table) -> pa.Table:
@@ -149,6 +192,24 @@ def search(cells: Cells, asks: DataFrame, bound: Bound, answer: Answer, schema:
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, schema)
 
 
+#: Points and questions that meet in a task where cells are visited in groups.
+GROUP = 32_768
+
+
+def grouped(pivots: np.ndarray, count: np.ndarray, most: int) -> np.ndarray:
+    """A group for each cell: halves by the widest dimension until a group has at most so many points, or is one cell."""
+    group, todo, n = np.zeros(len(count), int), [np.arange(len(count))], 0
+    while todo:
+        own = todo.pop()
+        if len(own) == 1 or count[own].sum() <= most:
+            group[own], n = n, n + 1
+            continue
+        x = pivots[own]
+        by = own[np.argsort(x[:, np.ptp(x, axis=0).argmax()], kind="stable")]
+        todo += [by[: len(by) // 2], by[len(by) // 2:]]
+    return group
+
+
 def least_of(value: np.ndarray, order: np.ndarray, k: int, limit: float, exact: Callable[[np.ndarray], np.ndarray], slack: float) -> tuple[np.ndarray, np.ndarray]:
     """(places, exact values) of the k least values of a row below a limit; rough values only choose what is computed exactly."""
     near = np.flatnonzero(value <= limit + slack)
@@ -225,9 +286,13 @@ def closest(cells: Cells, asks: DataFrame, k: int, tally: dict | None = None) ->
     near = kept(search(cells, asks, first, answer, schema, tally), "first")
     top = near.groupBy("ask").agg(F.when(F.count("*") >= k, F.max("value")).alias("known"))
     again = asks.join(top, "ask", "left").withColumn("known", F.coalesce("known", F.lit(float("inf"))))
-    more = search(cells, again, rest, answer, schema, tally)
+    notes: dict = {}
+    more = search(cells, again, rest, answer, schema, tally, notes)
+    both = near.unionByName(more)
+    if notes.get("grouped"):
+        both = both.dropDuplicates(["ask", "_id"])  # the first cell lies in a group too
     rank = F.row_number().over(Window.partitionBy("ask").orderBy("value", "_id"))
-    return near.unionByName(more).withColumn("_rank", rank).where(F.col("_rank") <= k)
+    return both.withColumn("_rank", rank).where(F.col("_rank") <= k)
 
 
 def _dot(x: np.ndarray, c: np.ndarray) -> np.ndarray:

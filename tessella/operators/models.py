@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .encoding import polynomial_terms
 from . import cells, joins, meshes
@@ -128,8 +129,6 @@ def _modified_shepard_in_cells(queries: DataFrame, points: DataFrame, q_id: str,
         both = np.concatenate(far)
         return [q.column("ask").combine_chunks().take(pa.array(np.concatenate(who))), ids.take(pa.array(np.concatenate(what))), both[:, 0], both[:, 1]]
 
-    from pyspark.sql import types as T
-
     schema = T.StructType([T.StructField("ask", asks.schema["ask"].dataType), T.StructField("_id", built.id_type), T.StructField("d", T.DoubleType()), T.StructField("r", T.DoubleType())])
     held = cells.kept(cells.search(cells.Cells(placed, built.pivots, built.radius, built.count, built.id_type), asks, bound, inside, schema), "held")
     rest = near.join(held.select("ask").distinct(), "ask", "left_anti").select("ask", "_id", F.sqrt("value").alias("d"), F.lit(None).cast("double").alias("r"))
@@ -179,13 +178,53 @@ def linear_shepard_fit(points: DataFrame, p_id: str, vec: str, y: str, m: int |
 
 
 def linear_shepard_predict(queries: DataFrame, points: DataFrame, fitted: DataFrame, q_id: str, p_id: str, vec: str, y: str) -> DataFrame:
-    """Planes of the points whose (doubled) radius holds the query, weighted as by modified Shepard."""
-    d = pairwise_distance(queries.select(F.col(q_id).alias("query_id"), F.col(vec).alias("qv")), points, "query_id", p_id, "qv", vec)
-    d = d.join(fitted, p_id).join(points.select(p_id, F.col(vec).alias("pv"), F.col(y).cast("double").alias("y")), p_id).join(queries.select(F.col(q_id).alias("query_id"), F.col(vec).alias("qv")), "query_id")
-    x, r = F.col("distance"), F.col("radius")
-    plane = F.col("y") + F.aggregate(F.zip_with(F.zip_with("qv", "pv", lambda a, b: a.cast("double") - b.cast("double")), "slope", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    w = F.when(x < TINY, F.lit(1e30)).when(x < r, F.pow((r - x) / (r * x), F.lit(2.0))).otherwise(1e-30 / (x * x))
-    return d.select("query_id", plane.alias("f"), w.alias("w")).groupBy("query_id").agg((F.sum(F.col("f") * F.col("w")) / F.sum("w")).alias("prediction"))
+    """Planes of the points whose (doubled) radius holds the query, weighted as by modified Shepard.
+
+    All other points have the weight 1e-30 / d**2. Radii are searched for in cells, and their sums are the answer where all other weights
+    together cannot reach the last digits; the remaining queries, as a rule those that no radius holds, sum over all points.
+    """
+    rows = cells.kept(points.select(p_id, F.col(vec).cast("array<double>").alias("pv"), F.col(y).cast("double").alias("y")).join(fitted, p_id), "planes")
+    built = cells.build(rows, p_id, "pv")
+    asks = queries.select(F.col(q_id).alias("ask"), F.col(vec).cast("array<double>").alias("c"))
+    d, n = built.dims, int(built.count.sum())
+    # radius, response and slope travel as more components of the vector
+    carried = rows.select(F.col(p_id).alias("_id"), F.array("radius", "y").alias("_more"), "slope")
+    placed = cells.kept(built.placed.join(carried, "_id").select("_id", F.concat("_x", "_more", "slope").alias("_x"), "_cell"), "planes")
+    most = np.zeros(len(built.pivots))
+    for r in placed.groupBy("_cell").agg(F.max(F.col("_x")[d]).alias("r")).collect():  # a row a cell
+        most[r["_cell"]] = max(r["r"], TINY) * (1 + cells.SLACK)
+
+    def bound(b, pivots, radius, count):
+        return np.sqrt(cells.rough(cells.matrix(b.column("c")), pivots)) * (1 - cells.SLACK) <= radius + most + TINY
+
+    def weighed(diff, away, own):
+        """Sums of weight times plane and of weights; `own` are radius, response and slope."""
+        x, r = np.sqrt(away), own[:, 0]
+        w = np.where(x < TINY, 1e30, np.where(x < r, ((r - x) / (r * np.maximum(x, TINY))) ** 2, 1e-30 / np.maximum(away, 1e-300)))
+        return (w * (own[:, 1] + sum(diff(k) * own[:, 2 + k] for k in range(d)))).sum(1), w.sum(1)
+
+    def inside(q, x, order, ids):
+        c, out = cells.matrix(q.column("c")), []
+        for i in range(len(c)):
+            away = cells.squared(x[:, :d], c[i])
+            at = np.flatnonzero((np.sqrt(away) < x[:, d]) | (np.sqrt(away) < TINY))
+            if len(at):
+                f, w = weighed(lambda k, i=i, at=at: (c[i, k] - x[at, k])[None], away[None, at], x[at, d:])
+                out.append((i, f[0], w[0]))
+        who, f, w = (np.array(v) for v in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0), np.zeros(0))
+        return [q.column("ask").combine_chunks().take(pa.array(who.astype(int))), f, w]
+
+    schema = T.StructType([T.StructField("ask", asks.schema["ask"].dataType), T.StructField("f", T.DoubleType()), T.StructField("w", T.DoubleType())])
+    fine = asks.where(cells.usable("c"))
+    held = cells.search(cells.Cells(placed, built.pivots, built.radius, built.count, built.id_type), fine, bound, inside, schema).groupBy("ask").agg(F.sum("f").alias("f"), F.sum("w").alias("w"))
+    near = cells.closest(built, fine.withColumns({"far": F.lit(False), "most": F.lit(None).cast("double")}), 1).select("ask", "value")
+    # all others weigh n * 1e-30 / (least squared distance) at most
+    sure = F.col("w") * F.greatest("value", F.lit(TINY**2)) > n * 1e-9
+    held = cells.kept(held.join(near, "ask").where(sure).select("ask", (F.col("f") / F.col("w")).alias("prediction")), "held")
+    rest = asks.join(held.select("ask"), "ask", "left_anti")
+    own = [F.col("radius"), F.col("y"), *[F.col("slope")[k] for k in range(d)]]
+    left = joins.pair_sums(rest, rows, "ask", "c", "pv", own, 2, weighed).where("sums is not null")
+    return held.unionByName(left.select("ask", (F.col("sums")[0] / F.col("sums")[1]).alias("prediction"))).withColumnRenamed("ask", "query_id")
 
 
 def _local(queries: DataFrame, points: DataFrame, q_id: str, p_id: str, vec: str, weigh, distinct: bool = False) -> DataFrame:

@@ -144,3 +144,44 @@ def test_sums_over_pairs_keep_no_pair(spark, monkeypatch):
         assert abs(got[1000 + i] - f) < 1e-9 and abs(slope[1000 + i].prediction - f) < 1e-9
         assert np.allclose(slope[1000 + i].gradient, (y @ dw - f * dw.sum(0)) / w.sum(), atol=1e-8)
     assert [got[1050], got[1051]] == y[:2].tolist() and list(slope[1050].gradient) == [0, 0]
+
+
+def test_linear_shepard_without_a_row_a_pair(spark):
+    """Radii are searched for; a query that no radius holds sums over all points. Neither joins queries and points."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(0, 1, (400, 2))
+    y = np.sin(x[:, 0]) + x[:, 1] ** 2
+    p = spark.createDataFrame([(i, v.tolist(), float(t)) for i, (v, t) in enumerate(zip(x, y, strict=True))], "id long, x array<double>, y double")
+    at = np.concatenate([rng.normal(0, 1, (60, 2)), x[:2], [[40.0, 40.0], [-90.0, 3.0]]])
+    q = table(spark, range(1000, 1064), at)
+    fitted = models.linear_shepard_fit(p, "id", "x", "y")
+    by = {r.id: (r.radius, np.array(r.slope)) for r in fitted.collect()}
+    radius, slope = np.array([by[i][0] for i in range(400)]), np.array([by[i][1] for i in range(400)])
+    df = models.linear_shepard_predict(q, p, fitted, "id", "id", "x", "y")
+    plan = df._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    got = {r.query_id: r.prediction for r in df.collect()}
+    assert len(got) == 64
+    for i, v in enumerate(at):
+        d = np.sqrt(((x - v) ** 2).sum(1))
+        w = np.where(d < 1e-8, 1e30, np.where(d < radius, ((radius - d) / (radius * np.maximum(d, 1e-9))) ** 2, 1e-30 / np.maximum(d, 1e-9) ** 2))
+        assert abs(got[1000 + i] - w @ (y + ((v - x) * slope).sum(1)) / w.sum()) < 1e-9 * max(1, abs(got[1000 + i]))
+
+
+def test_cells_in_groups(spark, monkeypatch):
+    """Where nothing is ruled out a question goes once to a group of cells, with the same neighbours."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (500, 24))
+    p = table(spark, range(500), x)
+    q = table(spark, range(30), x[:30] + 0.1).select(F.col("id").alias("query_id"), F.col("x").alias("qx"))
+    built = cells.build(p, "id", "x")
+    sizes = []
+    real = cells.grouped
+    monkeypatch.setattr(cells, "GROUP", 120)
+    monkeypatch.setattr(cells, "BOUNDED", 50)
+    monkeypatch.setattr(cells, "grouped", lambda *a: sizes.append(real(*a)) or sizes[-1])
+    got = cells.nearest(q, p, 4, "query_id", "id", "qx", "x", cells=built)
+    want = joins.nearest(q, p, 4, "query_id", "id", "qx", "x")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert sizes and len(set(sizes[0].tolist())) < len(built.pivots)
+    assert np.bincount(sizes[0], built.count).max() <= 120
