@@ -64,6 +64,20 @@ def test_full_outer_merge(spark):
     assert [(r[0], r[1], r[2]) for r in got.collect()] == [("a", 0, 3), ("b", 1, 4), ("b", 1, 6), ("b", 2, 4), ("b", 2, 6), ("c", None, 5), ("d", 7, None)]
 
 
+def test_full_outer_merge_of_hot_keys(spark, monkeypatch):
+    """Rows of one key are dealt to tasks; blocks of a side, nulls and rows without a match come out as by a full join."""
+    a = spark.createDataFrame([(i, None if i % 3 == 0 else i % 5) for i in range(60)] + [(99, 77)], "x long, k int")
+    b = spark.createDataFrame([(i, None if i % 7 == 0 else i % 4) for i in range(40)] + [(98, 55)], "y long, k int")
+    want = sorted(map(tuple, a.join(b, a.k.eqNullSafe(b.k), "full").select(F.coalesce(a.k, b.k), "x", "y").collect()), key=repr)
+    for rows in (1000, 9):
+        monkeypatch.setattr(joins, "BROADCAST_ROWS", rows)
+        got = joins.merge_on_column(a, b, "k")
+        assert sorted(map(tuple, got.collect()), key=repr) == want
+        assert "FullOuter" not in got._jdf.queryExecution().toString()
+    sizes = [r["count"] for r in a.groupBy("k").count().collect()]
+    assert joins.merge_on_column(a, a.withColumnRenamed("x", "z"), "k").count() == sum(n * n for n in sizes)
+
+
 def test_stack_unstack_keep_nulls(spark):
     d = spark.createDataFrame([(1, "a", None, 0), (1, "a", 2.0, 1), (2, None, 3.0, 2), (2, None, None, 3)], "k long, s string, v double, o long")
     s = reshape.stack(d, ["v"], ["o"])
