@@ -8,7 +8,7 @@ better one.
 
 The model lies on the driver, so its size has to be bounded: the `max_codes` most frequent values of a category have vectors of
 their own (ties: the least value), all others share one with missing values. Up to models.MAX_FIT_ROWS rows are held by the
-driver; of more, the columns in use are written once and each step is a pass over them.
+driver, rows of equal inputs as one; of more, these are written once and each step is a pass over them.
 
 Defined cases: rows with a null number or response do not fit; rows with a null number have null predictions; a null or unknown
 category takes the shared vector; categories that hold one value only add a constant; an empty table is an error.
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .models import Rows
+from .models import Points
 
 MAX_CODES = 10_000
 
@@ -78,17 +78,16 @@ class Plrm:
         start = d
         for k, a in enumerate(at):
             size = p[f"e{k}"].shape[1]
-            out[f"e{k}"] = np.zeros_like(p[f"e{k}"])
-            np.add.at(out[f"e{k}"], a, g[:, start: start + size])
+            out[f"e{k}"] = np.stack([np.bincount(a, g[:, start + j], len(p[f"e{k}"])) for j in range(size)], 1)
             start += size
         return out, g[:, :d]
 
-    def loss(self, m: np.ndarray, t: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """(sum of squared scaled errors, its gradients)."""
+    def loss(self, m: np.ndarray, t: np.ndarray, n: np.ndarray | float = 1.0) -> tuple[float, dict[str, np.ndarray]]:
+        """(sum of squared scaled errors, its gradients); `n` rows stand behind each one."""
         z, at = self.split(m)
         layers = self.forward(z, at)
         e = layers[-1][:, 0] - (t - self.scaling["y_mean"]) / self.scaling["y_scale"]
-        return float(e @ e), self.backward(layers, at, 2 * e[:, None])[0]
+        return float(e @ (n * e)), self.backward(layers, at, (2 * n * e)[:, None])[0]
 
     def values(self, m: np.ndarray) -> np.ndarray:
         return self.forward(*self.split(m))[-1][:, 0] * self.scaling["y_scale"] + self.scaling["y_mean"]
@@ -144,7 +143,7 @@ def fit(df: DataFrame, inputs: list[str], categories: list[str], y: str, size: i
     used = df.select(*[F.col(c).cast("double").alias(c) for c in inputs], *[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in categories], F.col(y).cast("double").alias(y)).dropna(subset=[*inputs, y])
     codes = {c: _codes(used.where(~F.isnan(c)), c, max_codes) for c in categories}
     # the shared vector's code stands for missing values too, as dropna takes no part for them
-    rows = Rows(used.select(*inputs, *[F.when(F.isnan(c), F.lit(2.0**62)).otherwise(F.col(c)).alias(c) for c in categories], y), [*inputs, *categories], y)
+    rows = Points(used.select(*inputs, *[F.when(F.isnan(c), F.lit(2.0**62)).otherwise(F.col(c)).alias(c) for c in categories], y), [*inputs, *categories], y)
     mean, var, y_mean, y_var = rows.moments()
     d = len(inputs)
     deviation = lambda v: np.where(v == 0, 1, np.sqrt(v))
@@ -162,12 +161,12 @@ def fit(df: DataFrame, inputs: list[str], categories: list[str], y: str, size: i
     m, v = {k: np.zeros_like(p[k]) for k in names}, {k: np.zeros_like(p[k]) for k in names}
     factor, before, best, since, first = 1.0, np.inf, (np.inf, None), 0, True
     for step in range(1, steps + 1):
-        def part(x, t, own=model):
-            error, slopes = own.loss(x, t)
+        def part(x, t, n, own=model):
+            error, slopes = own.loss(x, t, n)
             return [np.array(error), *[slopes[k] for k in names]]
 
         error, *slopes = (a / rows.n for a in rows.sums(part))
-        error = float(error)
+        error = float(error) + rows.within / model.scaling["y_scale"] ** 2 / rows.n
         model.errors.append(error)
         if error < best[0]:
             best, since = (error, {k: model.parameters[k].copy() for k in names}), 0

@@ -71,3 +71,33 @@ def test_missing_and_unknown(spark, shop):
     assert got[0] is None and got[1] == got[2] is not None
     with pytest.raises(ValueError):
         plrm.fit(shop.where("id < 0"), ["q"], ["item"], "y")
+
+
+@pytest.mark.parametrize("most", [20_000, 3])
+def test_rows_of_equal_inputs_are_one_point(spark, monkeypatch, most):
+    """Sums of squared errors over points and what lies within them are those over all rows; a fit sees a row a point."""
+    monkeypatch.setattr(models, "MAX_FIT_ROWS", most)
+    rng = np.random.default_rng(3)
+    x, t = rng.integers(0, 3, (400, 2)).astype(float), rng.normal(size=400) + 1e4
+    df = spark.createDataFrame([*[(*map(float, r), float(v)) for r, v in zip(x, t)], (None, 1.0, 5.0)], "a double, b double, y double")
+    points = models.Points(df, ["a", "b"], "y")
+    f = lambda x: 1e4 + x @ np.array([0.5, -0.25])
+    seen, error = points.sums(lambda x, t, n: [np.array(len(x)), n @ (f(x) - t) ** 2])
+    assert seen == 9 and points.n == 400
+    assert error + points.within == pytest.approx(((f(x) - t) ** 2).sum())
+    mean, var, middle, spread = points.moments()
+    assert np.allclose(mean, x.mean(0)) and np.allclose(var, x.var(0)) and middle == pytest.approx(t.mean()) and spread == pytest.approx(t.var())
+
+
+def test_svr_adds_up_rows_of_equal_inputs(spark, monkeypatch):
+    """Fits over passes, where rows of equal inputs share their features, are those of rows on the driver."""
+    rng = np.random.default_rng(4)
+    rows = [(float(a), float(b), float(a - b + e)) for a, b, e in zip(rng.integers(0, 4, 300), rng.integers(0, 3, 300), rng.normal(size=300))]
+    df, seen = spark.createDataFrame(rows, "a double, b double, y double"), []
+    values = models._svr_values
+    monkeypatch.setattr(models, "_svr_values", lambda p, x: (seen.append(len(x)), values(p, x))[1])
+    held = models.svr_fit(df, ["a", "b"], "y", features=20)
+    assert set(seen) == {12}  # features are made once for a point, not for each of its rows
+    monkeypatch.undo()
+    monkeypatch.setattr(models, "MAX_FIT_ROWS", 50)
+    assert np.allclose(models.svr_fit(df, ["a", "b"], "y", features=20).parameters["weights"], held.parameters["weights"], rtol=1e-4, atol=1e-6)
