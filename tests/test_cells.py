@@ -185,3 +185,20 @@ def test_cells_in_groups(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert sizes and len(set(sizes[0].tolist())) < len(built.pivots)
     assert np.bincount(sizes[0], built.count).max() <= 120
+
+
+def test_far_points_on_lines_are_cut_off(spark):
+    """On lines the nearest points all lie on a query's own line; what they leave open is cut off by each other, in the mesh's weights as ever."""
+    rng = np.random.default_rng(8)
+    rows = [(100 * k + i, [k / 2, float(v)]) for k in range(12) for i, v in enumerate(np.sort(rng.random(90)))]
+    points = spark.createDataFrame(rows, "p int, x array<double>")
+    at = [[k / 2, float(v)] for k in (3, 6, 8) for v in rng.random(2)] + [[2.7, 0.5]]
+    queries = spark.createDataFrame(list(enumerate(at)), "q int, x array<double>")
+    x = np.array([r[1] for r in rows])
+    built = cells.build(points, "p", "x", pivots=20)
+    known = meshes._known(built, meshes._asks(queries, "q", "x"))
+    open_ = meshes._openings(built, known, meshes._open_balls, lambda at, radius, o: np.ones(len(at), bool))
+    assert max(r.n for r in open_.select(F.size("open").alias("n")).collect()) <= 24
+    own, near = meshes.voronoi_weights(queries, points, "q", "p", "x", built), models._local(queries, points, "q", "p", "x", models.voronoi_weights_of)
+    key = lambda df: {(r.query_id, r.p): round(r.weight, 9) for r in df.collect() if r.weight > 1e-9}
+    assert key(own) == key(near)
