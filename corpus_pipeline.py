@@ -47,9 +47,12 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         return len(ids), ids, hashlib.sha256(decoded.encode("utf-8")).hexdigest()
 
     added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded_sha256", T.StringType())]
-    return bpe.encode_decode(docs, vocabulary(), finish, added, keep=["doc_id", "lang", "source"])
+    return bpe.encode_decode(docs, vocabulary(), finish, added, keep=["doc_id", "lang", "source"], limits=REMEMBERED)
 
 
+#: Chunks and words that a worker of the last stage remembers: its memory comes on top of what the stages before have left.
+REMEMBERED = (30_000, 20_000)
+
 STAGES: list[tuple[str, Stage]] = [
     ("toxicity", drop_toxic),
     ("ngram_jaccard", drop_near_duplicates),

@@ -368,11 +368,12 @@ def decode(df: DataFrame, vocabulary_path: str, ids_col: str = "ids", text_col:
 
 
 def encode_decode(df: DataFrame, vocabulary_path: str, finish, added: list[T.StructField],
-                  text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+                  text_col: str = "text", keep: list[str] | None = None, limits: tuple[int, int] | None = None) -> DataFrame:
     """Encode and decode in one pass over the texts, keeping only what `finish(bpe, ids, decoded)` makes of a text.
 
     `finish` returns a tuple with a value for each field of `added`. Ids and decoded texts are
-    several times as large as the texts; callers that need digests of them need not move them.
+    several times as large as the texts; callers that need digests of them need not move them. `limits` are the most chunks and
+    words that a worker remembers.
     """
     spec = broadcast_vocabulary(df.sparkSession, vocabulary_path)
     names = {f.name for f in added}
@@ -383,7 +384,8 @@ def encode_decode(df: DataFrame, vocabulary_path: str, finish, added: list[T.Str
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        bpe, kind = loaded(spec.value), to_arrow_schema(kinds)
+        bpe, kind = loaded(spec.value, limits), to_arrow_schema(kinds)
+        release()  # what stages before and the reading of the vocabulary left behind
         for whole in batches:
             for k in range(0, whole.num_rows, 512):  # ids as Python numbers are large: few at a time
                 b = whole.slice(k, 512)

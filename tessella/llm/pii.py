@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_batch, arrow_schema
+from .common import arrow_batch, arrow_schema, release
 
 KINDS = ("email", "ip", "card", "phone")
 OTHER = len(KINDS)
@@ -425,7 +425,8 @@ def redact(docs: DataFrame, field: Field, text_col: str = "text", length_col: st
 
     def run(batches):
         own = sent.value
-        for b in batches:
+        for whole, at in ((w, k) for w in batches for k in range(0, max(1, w.num_rows), 1024)):  # few texts at a time are Python's
+            b = whole.slice(at, 1024)
             texts, lengths = b.column(text_col).to_pylist(), b.column(length_col).to_pylist() if length_col in names else None
             for i, t in enumerate(texts):
                 base = base_spans(t) if t else []
@@ -435,5 +436,6 @@ def redact(docs: DataFrame, field: Field, text_col: str = "text", length_col: st
                         lengths[i] = len(texts[i])
             new = {text_col: pa.array(texts, pa.string())} | ({length_col: pa.array(lengths, b.column(length_col).type)} if lengths is not None else {})
             yield pa.RecordBatch.from_arrays([new.get(c, b.column(c)) for c in names], names=names)
+        release()
 
     return docs.mapInArrow(run, docs.schema)

@@ -317,7 +317,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
     def run(batches):
         m = sent.value
         f = Features(m.mined)
-        for b in batches:
+        for whole, at in ((w, k) for w in batches for k in range(0, max(1, w.num_rows), 1024)):  # few texts at a time are Python's
+            b = whole.slice(at, 1024)
             x = np.array([f.row(t or "") for t in b.column(text_col).to_pylist()], float).reshape(b.num_rows, len(NAMES) + len(MINED_NAMES))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(m.score(x), pa.float64())], names=[*keep, score_col])
         f.known.clear()
