@@ -7,6 +7,8 @@ pair is found in the one bin that holds the point, so there are no duplicates. B
 bins with many points are dealt to parts, into which their intervals are copied. Two intervals that overlap are
 found where the later of their starts lies, so the join of intervals is that of starts.
 
+Counts and sums of the points of intervals need no pairs: totals() takes them from running sums over all places.
+
 As-of joins union both sides and scan them in order, group by group: a row takes the last (or next) row of the other side.
 
 Defined cases: rows with a null end, point, time or key match nothing and, in as-of joins, stay with nulls; intervals that end
@@ -76,6 +78,29 @@ def covering(points: DataFrame, intervals: DataFrame, at: str, low: str, high: s
     return both.select(*points.columns, *intervals.columns)
 
 
+def totals(points: DataFrame, intervals: DataFrame, at: str, key: str, low: str, high: str, sums: dict[str, Column]) -> DataFrame:
+    """(key, n, least, `sums`) of the points that each interval holds: their number, least place and sums; none where it holds none.
+
+    No pair is made: running sums over all places are read at both ends of an interval, and the place that follows its start. Sums
+    of whole numbers are exact; equal keys count as one row with the points of all their intervals. A sum of nulls only is 0.
+    """
+    place = lambda c: F.col(c).cast("double") + 0.0
+    own = points.where(F.col(at).isNotNull()).groupBy(place(at).alias("_at")).agg(F.count("*").alias("_n"), *[F.coalesce(F.sum(c), F.lit(0)).alias(f"_{k}") for k, c in sums.items()])
+    held = ["_n", *[f"_{k}" for k in sums]]
+    # starts come before the points of their place, ends after them
+    ends = F.array(F.struct(place(low).alias("_at"), F.lit(0).alias("_side")), F.struct(place(high).alias("_at"), F.lit(2).alias("_side")))
+    proper = (intervals.where(F.col(low) <= F.col(high)).select(F.col(key).alias("_key"), ends.alias("_ends")).withColumn("_turn", F.monotonically_increasing_id())
+              .select("_key", "_turn", F.inline("_ends")))
+    none = [F.lit(0).cast(own.schema[c].dataType).alias(c) for c in held]
+    nobody = F.lit(None).cast(proper.schema["_key"].dataType).alias("_key")
+    rows = (own.select("_at", F.lit(1).alias("_side"), F.lit(-1).cast("bigint").alias("_turn"), nobody, *held)
+            .unionByName(proper.select("_at", "_side", "_turn", "_key", *none)))
+    run = scan(rows, ["_at", "_side", "_turn"], sums={f"_up{c}": F.col(c) for c in held}, nexts={"_first": F.when(F.col("_side") == 1, F.col("_at"))}).where("_side <> 1")
+    start = F.col("_side") == 0
+    one = run.groupBy("_turn", "_key").agg(F.max(F.when(start, F.col("_first"))).alias("least"), *[(F.max(F.when(~start, F.col(f"_up{c}"))) - F.max(F.when(start, F.col(f"_up{c}")))).alias(c) for c in held])
+    return one.where("_n > 0").groupBy(F.col("_key").alias(key)).agg(F.sum("_n").alias("n"), F.min("least").alias("least"), *[F.sum(f"_{k}").alias(k) for k in sums])
+
+
 def overlapping(left: DataFrame, right: DataFrame, left_low: str, left_high: str, right_low: str, right_high: str) -> DataFrame:
     """Pairs of intervals that share a point: one side's start lies in the other; equal starts count once."""
     a = left.where(F.col(left_low) <= F.col(left_high))

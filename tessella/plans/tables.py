@@ -353,8 +353,8 @@ SELECT s_suppkey, count(*)::BIGINT AS n, sum(c_custkey)::BIGINT AS keys, round(m
 def balance_ranges(spark: SparkSession, sf: str) -> DataFrame:
     """The customers whose balance lies in a range around each supplier's."""
     s = table(spark, sf, "supplier").select("s_suppkey", (F.col("s_acctbal") - 10 * (1 + F.col("s_suppkey") % 7)).alias("low"), (F.col("s_acctbal") + 25).alias("high"))
-    both = intervals.covering(table(spark, sf, "customer").select("c_custkey", "c_acctbal"), s, "c_acctbal", "low", "high")
-    return both.groupBy("s_suppkey").agg(F.count("*").alias("n"), F.sum("c_custkey").alias("keys"), F.round(F.min("c_acctbal"), 4).alias("least"))
+    got = intervals.totals(table(spark, sf, "customer").select("c_custkey", "c_acctbal"), s, "c_acctbal", "s_suppkey", "low", "high", {"keys": F.col("c_custkey")})
+    return got.select("s_suppkey", "n", "keys", F.round("least", 4).alias("least"))
 
 
 @query("sale_click", """

@@ -107,6 +107,28 @@ def test_range_join(spark, monkeypatch, seed):
         intervals.covering(p, p, "at", "at", "at")
 
 
+def test_totals_of_ranges(spark, monkeypatch):
+    """As the pairs give them, and without a join of points and ranges."""
+    rng = random.Random(3)
+    ranges = [(i % 110, float(a := rng.randint(-50, 50)), a + rng.choice([0.0, 1.0, 2.5, 40.0, 900.0, -1.0])) for i in range(120)] + [(900, None, 1.0), (901, 1.0, None), (902, -1e9, 1e9), (903, 70.0, 80.0)]
+    points = [(i, float(rng.randint(-60, 60)) if rng.random() < 0.7 else 7.0) for i in range(200)] + [(999, None), (998, -0.0), (None, 3.0)]
+    r, p = spark.createDataFrame(ranges, "i long, low double, high double").repartition(3), spark.createDataFrame(points, "p long, at double").repartition(3)
+    got = {x.i: (x.n, x.least, x.total) for x in intervals.totals(p, r, "at", "i", "low", "high", {"total": F.col("p")}).collect()}
+    want = {}
+    for i, low, high in ranges:
+        held = [(a, t) for a, t in points if None not in (t, low, high) and low <= t <= high]
+        if held:
+            n, least, total = want.get(i, (0, 1e9, 0))
+            want[i] = n + len(held), min(least, *[t for _, t in held], 1e9), total + sum(a or 0 for a, _ in held)
+    assert got == want and 903 not in got
+    assert intervals.totals(p, r.limit(0), "at", "i", "low", "high", {}).count() == 0 == intervals.totals(p.limit(0), r, "at", "i", "low", "high", {}).count()
+    # the query makes no row for a pair
+    from tessella.plans import tables
+
+    monkeypatch.setattr(intervals, "covering", lambda *a: pytest.fail("pairs"))
+    assert tables.balance_ranges(spark, "/root/testdata/sf0.001").count() > 0
+
+
 @pytest.mark.parametrize("direction", ["backward", "forward"])
 @pytest.mark.parametrize("tolerance", [None, 7200.0])
 def test_as_of(spark, direction, tolerance):
