@@ -1,8 +1,8 @@
 """Streams with state: joins of two streams within a time and sessions closed by timers.
 
 The join keeps rows of both sides only while a partner may still come: watermarks on both sides and a bound on the difference
-of their times let Spark free what is older. Sessions are an arbitrary state of one open session a key: rows that come within
-the gap of it extend it, and an event-time timer closes it when the watermark has passed its end and the gap. Rows behind the
+of their times let Spark free what is older. Sessions are an arbitrary state of the open sessions of a bucket of keys: rows that come within
+the gap of a key's session extend it, and an event-time timer closes sessions when the watermark has passed their end and the gap. Rows behind the
 watermark are dropped.
 
 Defined cases: rows without a key or a time belong to no session and join nothing; rows at the same time are one after
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +23,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tessella.sources.scratch import shared_folder
 
 OUT = "key string, start long, end long, n long, total double"
-STATE = "sessions array<struct<start: long, end: long, n: long, total: double>>"
+STATE = "keys array<string>, starts binary, ends binary, n binary, totals binary"
+#: Keys share this many states, as a state for each key costs a call of its own a batch.
+BUCKETS = 1024
 
 
 def joined(left: DataFrame, right: DataFrame, key: tuple[str, str], times: tuple[str, str], within: str, late: str) -> DataFrame:
@@ -38,29 +41,58 @@ def sessions(events: DataFrame, key: str, time: str, value: str, gap_seconds: fl
     gap = int(gap_seconds * 1_000_000)
 
     def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = [list(s) for s in state.get[0]] if state.exists else []
-        for f in frames:
-            held += [[t, t, 1, 0.0 if v != v else v] for t, v in zip(f["us"].tolist(), f["value"].tolist(), strict=True)]
-        merged: list[list] = []
-        for s in sorted(held):
-            if merged and s[0] - merged[-1][1] <= gap:
-                m = merged[-1]
-                m[1], m[2], m[3] = max(m[1], s[1]), m[2] + s[2], m[3] + s[3]
-            else:
-                merged.append(list(s))
+        parts = [f[["key", "us", "value"]] for f in frames]
+        new = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"key": [], "us": [], "value": []})
+        us = new["us"].to_numpy(np.int64)
+        held = _held(state.get if state.exists else None)
+        value = new["value"].to_numpy(float)
+        key, start, end, n, total = (np.concatenate(c) for c in zip(held, (new["key"].to_numpy(object), us, us, np.ones(len(us), np.int64), np.where(np.isnan(value), 0.0, value)), strict=True))
+        who = pd.factorize(key)[0]
+        turn = np.lexsort((end, start, who))
+        who, key, start, end, n, total = (c[turn] for c in (who, key, start, end, n, total))
+        # sessions of a key come in the order of their starts; the end of all before a row says whether it goes on
+        if len(who):
+            first = np.flatnonzero(_begins(who, start, end, gap))
+            key, start, end, n, total = key[first], start[first], np.maximum.reduceat(end, first), np.add.reduceat(n, first), np.add.reduceat(total, first)
         mark = state.getCurrentWatermarkMs()
         # rows behind the watermark of the batch before are dropped, so none comes for a session that was closed then
-        done = [s for s in merged if s[1] + gap < mark * 1000]
-        left = merged[len(done):]
-        if left:
-            state.update(([tuple(s) for s in left],))
-            state.setTimeoutTimestamp(max((left[0][1] + gap) // 1000 + 1, mark + 1))
+        done = end + gap < mark * 1000
+        left = ~done
+        if left.any():
+            state.update((key[left].tolist(), *(c[left].tobytes() for c in (start, end, n, total))))
+            state.setTimeoutTimestamp(max((int(end[left].min()) + gap) // 1000 + 1, mark + 1))
         elif state.exists:
             state.remove()
-        if done:
-            yield pd.DataFrame({"key": k[0], "start": [s[0] for s in done], "end": [s[1] for s in done], "n": [s[2] for s in done], "total": [s[3] for s in done]})
-
-    return rows.withWatermark("time", late).groupBy("key").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout).withColumns({c: F.timestamp_micros(c) for c in ("start", "end")})
+        if done.any():
+            yield pd.DataFrame({"key": key[done], "start": start[done], "end": end[done], "n": n[done], "total": total[done]})
+
+    bucket = F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int")
+    dealt = rows.withColumn("bucket", bucket).withWatermark("time", late).groupBy("bucket")
+    return dealt.applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout).withColumns({c: F.timestamp_micros(c) for c in ("start", "end")})
+
+
+def _held(state: tuple | None) -> tuple[np.ndarray, ...]:
+    """(key, start, end, n, total) of the open sessions of a bucket."""
+    keys, *cols = state or ([], b"", b"", b"", b"")
+    names = np.empty(len(keys), object)
+    names[:] = keys
+    return names, *(np.frombuffer(bytes(c), t) for c, t in zip(cols, (np.int64, np.int64, np.int64, float), strict=True))
+
+
+def _begins(who: np.ndarray, start: np.ndarray, end: np.ndarray, gap: int) -> np.ndarray:
+    """Whether a row, in the order of key and start, comes later than the gap after all rows of its key before it."""
+    new = np.ones(len(who), bool)
+    new[1:] = who[1:] != who[:-1]
+    # ends as whole numbers that no earlier key's exceed: the greatest end so far inside a key
+    low = int(end.min())
+    span = int(end.max()) - low + 1
+    if span * (int(who.max()) + 1) < 1 << 62:
+        upto = np.maximum.accumulate((end - low) + who * span) - who * span + low
+    else:
+        upto = pd.Series(end).groupby(who).cummax().to_numpy()
+    out = new.copy()
+    out[1:] |= start[1:] - upto[:-1] > gap
+    return out
 
 
 def written_stream(spark: SparkSession, df: DataFrame, order: str, files: int, clock: dict) -> tuple[DataFrame, int]:

@@ -42,6 +42,28 @@ def test_out_of_order_rows_join_sessions(spark, tmp_path):
     assert got == {("1", 0, 50, 3)}
 
 
+def test_sessions_of_many_keys_share_states(spark, tmp_path):
+    """A state holds the sessions of a bucket of keys; what comes out is as if each key had its own."""
+    rng = np.random.default_rng(7)
+    batches = [[(int(u), int(m)) for u, m in zip(rng.integers(0, 3000, 4000), rng.integers(300 * k, 300 * k + 300, 4000), strict=True)] for k in range(3)]
+    stream = files(spark, tmp_path, [*batches, [(9_999, 100_000)]])
+    reports = []
+    got = sorted((int(r.key), minutes(r.start), minutes(r.end), r.n, r.total) for r in sessions.drained(sessions.sessions(stream, "user", "ts", "value", 30 * 60, "10 hours"), reports).collect())
+    want, by = [], {}
+    for u, m in sum(batches, []):
+        by.setdefault(u, []).append(m)
+    for u, all_ in by.items():
+        runs = []
+        for m in sorted(all_):
+            if runs and m - runs[-1][-1] <= 30:
+                runs[-1].append(m)
+            else:
+                runs.append([m])
+        want += [(u, r[0], r[-1], len(r), float(sum(r))) for r in runs]
+    assert got == sorted(want)
+    assert 0 < max(r.stateOperators[0].numRowsTotal for r in reports) <= sessions.BUCKETS < len(by)
+
+
 def test_join_frees_its_state(spark, tmp_path):
     e = files(spark, tmp_path, [[(1, 0), (2, 3), (1, 9)], [(1, 15), (2, 40)], [(1, 9_000)], [(1, 9_001)]])
     a = e.select(F.col("user").alias("a"), F.col("ts").alias("ta"))
