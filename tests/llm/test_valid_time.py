@@ -91,6 +91,15 @@ def test_against_plain(spark, monkeypatch, seed, each, parts):
     assert (bounds[1] >= 8 if parts == 40 else not bounds) and sum(bounds.values()) <= 2 * parts
 
 
+def test_stores_are_closed_with_their_tasks(spark):
+    """Of eleven starts with a store for each partition none is open when the last has ended."""
+    manager = spark._jvm.org.apache.spark.sql.execution.streaming.state.RocksDBMemoryManager
+    sales, changes = made(random.Random(6), 60, 5)
+    before = manager.getNumRocksDBInstances(True)
+    valid_time.enrich(spark.createDataFrame(sales, SALES), spark.createDataFrame(changes, CHANGES), batches=3)
+    assert manager.getNumRocksDBInstances(True) <= before
+
+
 def test_no_sales_and_no_changes(spark):
     sales, changes = made(random.Random(4), 30, 5)
     s, c = spark.createDataFrame(sales, SALES), spark.createDataFrame(changes, CHANGES)
