@@ -85,6 +85,27 @@ def dense(got, ids, queries):
     return out
 
 
+@pytest.mark.parametrize("pivots", [None, 260])
+def test_boxes_where_points_share_coordinates_and_cells_hold_one(spark, pivots):
+    """Points in columns, many at a query's own coordinate; a cell of one point is not ruled out by that point. Equal queries are one question."""
+    rng = np.random.default_rng(9)
+    x = np.unique(np.stack([rng.integers(0, 12, 260) / 12, np.round(rng.random(260), 2)], 1), axis=0)
+    asked = np.concatenate([np.stack([rng.integers(0, 12, 12) / 12, np.round(rng.random(12), 2) + 0.005], 1), rng.random((6, 2)) * 1.2 - 0.1, x[:1]])
+    asked = np.concatenate([asked, asked[:5]])
+    p, q = table(spark, range(len(x)), x), table(spark, range(len(asked)), asked)
+    weights = meshes.box_mesh_weights(q, p, "id", "id", "x", cells.build(p, "id", "x", pivots)).collect()
+    wide = models.box_widths(x)
+    for i, v in enumerate(asked):
+        got = np.zeros(len(x))
+        for r in weights:
+            if r.query_id == i:
+                got[r.id] += r.weight
+        way = v - x
+        reach = np.take_along_axis(wide, (way > 0).astype(int)[:, :, None], 2)[:, :, 0]
+        w = np.prod(np.where(np.isinf(reach), 1.0, np.maximum(0, 1 - np.abs(way) / reach)), axis=1)
+        assert np.allclose(got, w / w.sum() if w.any() else np.eye(len(x))[(way ** 2).sum(1).argmin()], atol=1e-9)
+
+
 @pytest.mark.parametrize("d", [2, 3])
 def test_meshes_equal_the_local_ones(spark, d):
     rng = np.random.default_rng(d)
