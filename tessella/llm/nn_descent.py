@@ -12,8 +12,8 @@ is compared with every member, in blocks. Cosines that decide a link are always
 
 Recall is then audited against brute force, for a fixed number of vectors of all and the same number
 of those with links: a true link counts as found only if it is in the result. While it is short of
-the target, lists grow and rounds go on; after the last growth, up to `EXACT_ROWS` distinct vectors
-are compared in blocks, and beyond that the call fails rather than return a poor result.
+the target, lists grow and rounds go on; after the last growth, all distinct vectors are compared in
+blocks, however many there are (`EXACT_ROWS` set to a number makes the call fail beyond it).
 
 Defined cases: null and zero vectors and those with null or non-finite components are nodes without
 links; vectors link only with others of their length, and every length is searched (those of at most
@@ -46,7 +46,8 @@ RECALL = 0.95
 GROWTHS = 2
 BLOCK = 512
 FEW_ROWS = 1024
-EXACT_ROWS = 100_000
+#: More vectors than this are refused where lists fall short, for callers that want a bound on the comparison in blocks; None: all are compared.
+EXACT_ROWS: int | None = None
 EXACT_BLOCK = 4096
 
 
@@ -217,7 +218,7 @@ def linked_vectors(units: DataFrame, threshold: float = THRESHOLD, size: int = L
         if got >= recall:
             break
     else:
-        if n > EXACT_ROWS:
+        if EXACT_ROWS is not None and n > EXACT_ROWS:
             raise RuntimeError(f"audited recall {got:.3f} is below {recall} with lists of {size}, and {n} vectors are too many to compare in blocks")
         counted, links = _enlarged(units, units.select("node", F.lit(0).cast("bigint").alias("component")), threshold, EXACT_BLOCK)
     listed = graph.where(F.col("s") >= threshold).select("a", "b").union(graph.where(F.col("s") >= threshold).select("b", "a")).distinct()

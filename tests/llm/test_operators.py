@@ -846,6 +846,21 @@ def test_nn_descent_poor_lists_end_exact_or_fail(spark, monkeypatch):
         nn_descent.near_duplicates(d).collect()
 
 
+@pytest.mark.parametrize("n", [1740, 10_000_000])
+def test_nn_descent_ends_exact_at_any_size(spark, monkeypatch, n):
+    """What lists do not find is compared in blocks; the number of vectors is no reason to refuse or to go another way."""
+    rng = np.random.default_rng(43)
+    x = [rng.standard_normal(8) for _ in range(30)]
+    x += [x[k] + rng.standard_normal(8) * 0.1 for k in range(10)]
+    e = [v / np.linalg.norm(v) for v in np.array([np.float32(v) for v in x], np.float64)]
+    units = spark.createDataFrame([(i, 1, 8, bytearray(v.tobytes())) for i, v in enumerate(e)], "node long, weight long, d int, v binary")
+    monkeypatch.setattr(nn_descent, "GROWTHS", 0)
+    monkeypatch.setattr(nn_descent, "_audit", lambda *a: 0.0)
+    monkeypatch.setattr(units, "count", lambda: n)
+    _, counts = nn_descent.linked_vectors(units)
+    assert {r.node: r.n_links for r in counts.collect()} == dict(enumerate(vectors_by_force(x)[0]))
+
+
 # Toxicity --------------------------------------------------------------------------------------------------
 
 def test_trees_and_isotonic():
