@@ -586,6 +586,27 @@ def test_passage_of_frequent_lines(spark):
     assert all(got[i].class_id == min(j for j in want if j // 152 == i // 152) for i in want)
 
 
+def test_frequent_seeds_are_counted_over_all_texts(spark, monkeypatch):
+    """Copies count once; a bound on sampled documents, as there was one, changes nothing."""
+    rng = random.Random(24)
+    monkeypatch.setattr(passages, "FREQUENT_SHARE", 20)
+    monkeypatch.setattr(passages, "SAMPLE_DOCS", 20, raising=False)
+    lines = [prose(rng, 12) for _ in range(12)]
+    texts = [f"{prose(rng, 20)} {' '.join(x for k, x in enumerate(lines) if i % (k + 8) == 0)} {prose(rng, 10)}" for i in range(300)]
+    docs = [*texts, *[texts[1]] * 40, None, ""]
+    frequent = []
+    monkeypatch.setattr(passages, "_frequent", lambda *a, found=passages._frequent: frequent.append(found(*a)) or frequent[-1])
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(7)
+    passages.repeated_passages(d).count()
+    held = {}
+    for t in set(texts):
+        h, _, _ = passages.minimizers(passages.word_arrays(pa.array([t])))
+        for s in set((h >> np.uint64(16)).tolist()):
+            held[s] = held.get(s, 0) + 1
+    want = sorted(s for s, n in held.items() if n >= 15)  # 301 different texts
+    assert frequent[0].tolist() == want and 3 <= len(want) < len(held)
+
+
 def test_passages_with_every_tenth_word_changed(spark):
     rng = random.Random(25)
     docs = []
