@@ -607,6 +607,25 @@ def test_frequent_seeds_are_counted_over_all_texts(spark, monkeypatch):
     assert frequent[0].tolist() == want and 3 <= len(want) < len(held)
 
 
+def test_frequent_seeds_with_few_counters(spark, monkeypatch):
+    """Each different text counts once; counters that many seeds share, and any dealing of rows, change nothing."""
+    rng = random.Random(27)
+    monkeypatch.setattr(passages, "FREQUENT_SHARE", 20)
+    lines = [prose(rng, 12) for _ in range(12)]
+    texts = [f"{prose(rng, 20)} {' '.join(x for k, x in enumerate(lines) if i % (k + 8) == 0)} {prose(rng, 10)}" for i in range(300)]
+    got = []
+    for slice_, parts in ((passages.SLICE, 3), (4, 3), (64, 40)):
+        monkeypatch.setattr(passages, "SLICE", slice_)
+        monkeypatch.setattr(passages, "MAX_COUNTERS", slice_)
+        seen = []
+        with monkeypatch.context() as own:
+            own.setattr(passages, "_frequent", lambda seeds, *a, found=passages._frequent, seen=seen: seen.append((seeds.where("main").count(), found(seeds, *a).tolist())) or np.array(seen[-1][1], np.uint64))
+            d = spark.createDataFrame(list(enumerate([*texts, *texts[:50]])), "doc_id long, text string").repartition(parts)
+            rows = sorted((r.doc_id, r.class_id, r.passages) for r in passages.repeated_passages(d).collect())
+        got.append((*seen, [r[:2] for r in rows]))
+    assert got[0] == got[1] == got[2] and got[0][0][0] == 300 and len(got[0][0][1]) >= 3
+
+
 def test_passages_with_every_tenth_word_changed(spark):
     rng = random.Random(25)
     docs = []
