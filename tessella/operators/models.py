@@ -61,11 +61,23 @@ def average(df: DataFrame, y: str) -> DataFrame:
 
 def shepard_weights(queries: DataFrame, points: DataFrame, q_id: str, p_id: str, vec: str) -> DataFrame:
     """Inverse squared distances, normalised; points nearer than sqrt(eps) share the whole weight."""
-    d = pairwise_distance(queries.select(F.col(q_id).alias("query_id"), F.col(vec).alias("qv")), points, "query_id", p_id, "qv", vec)
-    w = Window.partitionBy("query_id")
-    near = F.min("distance").over(w) < TINY
-    raw = F.when(near, (F.col("distance") < TINY).cast("double")).otherwise(1 / (F.col("distance") * F.col("distance")))
-    return d.select("query_id", p_id, raw.alias("raw")).withColumn("weight", F.col("raw") / F.sum("raw").over(w)).where("weight > 0").drop("raw")
+    q = queries.select(F.col(q_id).alias("query_id"), F.col(vec).alias("qv"), F.to_json(F.struct(F.col(q_id).alias("id"))).alias("_key"))  # null ids are one query too
+
+    def hits(away):
+        return np.sqrt(away) < TINY if (away < 2 * TINY * TINY).any() else np.zeros(away.shape, bool)
+
+    def terms(diff, away, own):
+        hit = hits(away)
+        return np.where(hit, 0, 1 / away).sum(1), hit.sum(1)
+
+    def weight(away, own):
+        hit, total, alike = hits(away), own[:, :1], own[:, 1:]
+        got = np.where(alike > 0, hit / alike, np.where(hit, 0, 1 / away) / total)
+        return np.ma.masked_array(got, got <= 0)
+
+    sums = joins.pair_sums(q, points, "_key", "qv", vec, [], 2, terms).where("sums[0] is not null")
+    known = q.join(sums, "_key").withColumns({"total": F.col("sums")[0], "alike": F.col("sums")[1]})
+    return joins.pair_rows(known, points, "query_id", p_id, "qv", vec, weight, ["total", "alike"], "weight", unknown=False)
 
 
 def shepard_predict(queries: DataFrame, points: DataFrame, q_id: str, p_id: str, vec: str, y: str) -> DataFrame:

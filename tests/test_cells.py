@@ -223,3 +223,31 @@ def test_far_points_on_lines_are_cut_off(spark):
     own, near = meshes.voronoi_weights(queries, points, "q", "p", "x", built), models._local(queries, points, "q", "p", "x", models.voronoi_weights_of)
     key = lambda df: {(r.query_id, r.p): round(r.weight, 9) for r in df.collect() if r.weight > 1e-9}
     assert key(own) == key(near)
+
+
+def test_pairs_in_tiles(spark, monkeypatch):
+    """Odd rows keep their pairs, and one partition of points is dealt to all tasks."""
+    monkeypatch.setattr(joins, "PAIR_TILE", 8)
+    monkeypatch.setattr(joins, "SUM_QUERIES", 3)
+    q = spark.createDataFrame([(1, [1.0, 2.0]), (1, [0.0, 0.0]), (2, None), (3, [1.0]), (None, [4.0, 4.0]), (5, []), (6, [float("nan"), 1.0])], "q long, v array<double>")
+    p = spark.createDataFrame([(f"p{i}", [float(i), 2.0]) for i in range(12)] + [("none", None), ("hole", [1.0, None]), ("one", [3.0]), ("empty", []), (None, [4.0, 4.0])], "id string, x array<double>").coalesce(1)
+    got = joins.pairwise_distance(q, p, "q", "id", "v", "x")
+    both = q.crossJoin(p).select("q", "id", F.sqrt(joins.squared_distance(F.col("v"), F.col("x"))).alias("distance"))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, both.collect())) and got.count() == 7 * 17
+    assert got.where("id is not null").rdd.getNumPartitions() >= 4
+
+
+def test_shepard_weights_keep_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(joins, "PAIR_TILE", 8)
+    q = spark.createDataFrame([(1, [1.0, 2.0]), (1, [1.5, 2.5]), (2, [1.5, 2.0]), (3, None), (None, [0.5, 2.0]), (4, [7.0])], "q long, v array<double>")
+    p = spark.createDataFrame([(i, [float(i // 2), 2.0]) for i in range(12)] + [(12, None), (13, [1.0])], "id long, x array<double>")
+    w = models.shepard_weights(q, p.withColumnRenamed("x", "v"), "q", "id", "v")
+    got = {}
+    for r in w.collect():
+        got.setdefault(r.query_id, []).append((r.id, r.weight))
+    assert sorted(got[1]) == [(2, 0.5), (3, 0.5)]  # both rows of this query count, and one of them hits
+    for who, at in ((2, [1.5, 2.0]), (None, [0.5, 2.0])):
+        raw = {i: 1 / ((i // 2 - at[0]) ** 2) for i in range(12)}
+        assert sorted(got[who]) == [(i, pytest.approx(x / sum(raw.values()))) for i, x in sorted(raw.items())]
+    assert got[4] == [(13, 1.0)] and set(got) == {1, 2, 4, None}
+    assert "Window" not in w._jdf.queryExecution().executedPlan().toString()
