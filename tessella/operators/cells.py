@@ -44,6 +44,11 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def evenly(df: DataFrame) -> DataFrame:
+    """Rows dealt to all tasks: what is done for a row costs as much as there are cells, so a few MB are work for many tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def matrix(column) -> np.ndarray:
     """Rows of a list column of equal lengths."""
     lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -90,7 +95,7 @@ class Cells:
 
 
 def build(points: DataFrame, p_id: str, vec: str, pivots: int | None = None, seed: int = 0) -> Cells:
-    rows = points.where(usable(vec)).select(F.col(p_id).alias("_id"), F.col(vec).cast("array<double>").alias("_x"))
+    rows = evenly(points.where(usable(vec)).select(F.col(p_id).alias("_id"), F.col(vec).cast("array<double>").alias("_x")))
     n = rows.count()
     m = min(MAX_PIVOTS, pivots or max(1, math.isqrt(n)))
     got = rows.orderBy(F.xxhash64("_id", F.lit(seed)), "_id").limit(m).collect()  # at most MAX_PIVOTS rows
@@ -125,6 +130,7 @@ def search(cells: Cells, asks: DataFrame, bound: Bound, answer: Answer, schema:
     little, whole groups of cells are visited (`notes` says so), and a question meets points of cells that it need not visit.
     """
     pivots, radius, count = cells.pivots, cells.radius, cells.count
+    asks = evenly(asks)
     visits_schema = T.StructType([*asks.schema.fields, T.StructField("_cell", T.IntegerType())])
 
     spark = asks.sparkSession

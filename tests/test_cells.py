@@ -251,3 +251,12 @@ def test_shepard_weights_keep_no_pairs(spark, monkeypatch):
         assert sorted(got[who]) == [(i, pytest.approx(x / sum(raw.values()))) for i, x in sorted(raw.items())]
     assert got[4] == [(13, 1.0)] and set(got) == {1, 2, 4, None}
     assert "Window" not in w._jdf.queryExecution().executedPlan().toString()
+
+
+def test_questions_are_dealt_to_all_tasks(spark, clustered):
+    """A question costs as much as there are cells, so one partition of questions is not one task."""
+    ids, x = clustered
+    p = table(spark, ids, x).coalesce(1)
+    got = cells.nearest(p, p, 2, "id", "id", "x", "x")
+    assert "RoundRobinPartitioning(4)" in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, joins.nearest(p, p, 2, "id", "id", "x", "x").collect()))
