@@ -167,3 +167,17 @@ def test_empty_frame(spark):
     e = Frame(spark.createDataFrame([], "a long, b string"), "a")
     assert e.empty() and e.shape() == (0, 2) and e.rid().df.count() == 0 and e.unique().df.count() == 0
     assert RID in e.rid().df.columns
+
+
+def test_full_outer_merge_is_written_in_short_periods(spark, monkeypatch, tmp_path):
+    """A row for each pair of rows of a key takes a fraction of a byte in a file, and lists cut anywhere give the same rows."""
+    a = spark.range(600).select((F.col("id") % 2).alias("k"), F.col("id").alias("x"))
+    b = spark.range(8001).select((F.col("id") % 3).alias("k"), F.col("id").alias("y"))
+    got = joins.merge_on_column(a, b, "k")
+    got.write.parquet(f"{tmp_path}/out")
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 600 * 2667 + 2667
+    assert sum(p.stat().st_size for p in tmp_path.rglob("*.parquet")) < 600 * 2667
+    want = a.join(b, "k", "full").select("k", "x", "y")
+    monkeypatch.setattr(joins, "LIST_ROWS", 7)
+    few = joins.merge_on_column(a.where("x < 40"), b.where("y < 50"), "k").collect()
+    assert sorted(map(tuple, few), key=repr) == sorted(map(tuple, want.where("(x < 40 or x is null) and y < 50").collect()), key=repr)
