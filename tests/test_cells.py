@@ -260,3 +260,19 @@ def test_questions_are_dealt_to_all_tasks(spark, clustered):
     got = cells.nearest(p, p, 2, "id", "id", "x", "x")
     assert "RoundRobinPartitioning(4)" in got._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, joins.nearest(p, p, 2, "id", "id", "x", "x").collect()))
+
+
+def test_open_rectangles_of_many_queries():
+    """All queries of a block at once leave what each of them leaves by itself; a cell costs few numpy calls for all its queries."""
+    r = np.random.default_rng(5)
+    for x in (r.normal(size=(300, 2)), r.integers(-4, 5, (200, 3)).astype(float), r.normal(size=(1, 2))):
+        c = r.integers(-2, 3, (9, x.shape[1])).astype(float)
+        others = [r.integers(-5, 6, (k, x.shape[1])) - v for k, v in enumerate(c)]
+        for q, o, got in zip(c, others, meshes._open_rectangles_of(x, c, others), strict=True):
+            y = x - q
+
+            def holds(a, b):
+                return bool(np.all(a * np.sign(b) >= np.abs(b)) and np.any(a != b))
+
+            want = {i for i in range(len(y)) if not any(holds(y[i], b) for b in [*y, *o])}
+            assert want == set(got[meshes._open_rectangles(y[got])].tolist())
