@@ -545,6 +545,17 @@ def test_passages_against_all_pairs(spark):
     assert sum(got[i].class_id == classes[i] for i in found) >= 0.99 * len(found)
 
 
+def test_no_pair_of_passages_is_left_out(spark, monkeypatch):
+    """The words and classes of all pairs, with partners of many texts dealt to several tasks."""
+    monkeypatch.setattr(passages, "PARTNER_PAIRS", 8)
+    texts = repeating_corpus(random.Random(27))
+    spans, classes = passages_by_force(texts)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in passages.repeated_passages(d).collect()}
+    assert {i: [tuple(map(int, x.split(":"))) for x in r.passages.split(",")] for i, r in got.items()} == spans
+    assert {i: r.class_id for i, r in got.items()} == classes
+
+
 def two_passages(rng, first, gap, second):
     """Two texts that share `first` words, differ for `gap` words each, and share `second` words."""
     one, two = prose(rng, first), prose(rng, second)
